@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality, sharding, token_counts
+from . import byte_bpe, quality, secrets, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(_documents(spark, sf_dir))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_documents(spark, sf_dir))
+
+
+def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, sf_dir))
+    return found.select("doc_id", simhash.fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bounded_ring, op3_line_rules, op4_token_counts, op5_byte_bpe)
+    f.__name__: f for f in (op2_bounded_ring, op3_line_rules, op4_token_counts, op5_byte_bpe, op9_secret_scan, op10_simhash_pivots)
 }
 SQL: dict[str, str] = {}
