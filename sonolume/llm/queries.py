@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality, secrets, sharding, simhash, token_counts
+from . import byte_bpe, paragraphs, quality, secrets, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(_documents(spark, sf_dir))
 
 
+def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_documents(spark, sf_dir)).drop("mark")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf_dir))
 
@@ -39,6 +43,6 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bounded_ring, op3_line_rules, op4_token_counts, op5_byte_bpe, op9_secret_scan, op10_simhash_pivots)
+    f.__name__: f for f in (op2_bounded_ring, op3_line_rules, op4_token_counts, op5_byte_bpe, op8_paragraph_minhash, op9_secret_scan, op10_simhash_pivots)
 }
 SQL: dict[str, str] = {}
