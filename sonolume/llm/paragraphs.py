@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ MIN_WORDS = 20
 #: Share of pairs at exactly SIMILARITY that may share no band.
 MISS = 1e-3
 ROWS = 3
+#: Longs of a paragraph's odd sketch: every shingle flips one of its bits.
+SKETCH = 4
 
 
 def bands_for(similarity: float, rows: int, miss: float) -> int:
@@ -46,6 +49,12 @@ def shingle_hashes(line: bytes, width: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends)]), ">u8").astype(np.uint64))
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """64 * SKETCH parities. Two sketches differ in at most as many bits as the sets have elements apart."""
+    bits = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _signer(bands: int, rows: int):
     rng = np.random.default_rng(SEED)
     a = (rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -75,12 +84,13 @@ def _paragraphs(text: bytes, min_words: int):
 
 
 def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS, min_words: int = MIN_WORDS, width: int = WIDTH) -> DataFrame:
-    """A row for each paragraph (line of min_words words or more): doc_id, mark, line, pid, size, b0, b1, ...
+    """A row for each paragraph (line of min_words words or more): doc_id, mark, line, pid, size, b0, b1, ..., s0, s1, ...
 
-    pid is the 64-bit hash of the normal form, size its number of shingles. Every document has a row with a null pid too.
+    b are the keys of the bands, s is the odd sketch; pid is the 64-bit hash of the normal form, size its number of shingles. Every document has a row with a null pid too.
     """
-    names = ["doc_id", "mark", "line", "pid", "size", *(f"b{i}" for i in range(bands))]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * bands]
+    names = ["doc_id", "mark", "line", "pid", "size", *(f"b{i}" for i in range(bands)), *(f"s{i}" for i in range(SKETCH))]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    width_all = bands + SKETCH
 
     def run(batches):
         import xxhash
@@ -98,7 +108,7 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS, min_words: int
                         if len(known) > 20_000:
                             known.clear()
                         hashes = shingle_hashes(form, width)
-                        known[pid] = len(hashes), sign(hashes)
+                        known[pid] = len(hashes), np.concatenate([sign(hashes), odd_sketch(hashes)])
                     size, key = known[pid]
                     out.append((doc, mark, number, pid, size))
                     keys.append(key)
@@ -110,12 +120,12 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS, min_words: int
 
     def pack(out, keys):
         none = np.array([k is None for k in keys])
-        table = np.stack([np.zeros(bands, np.int64) if k is None else k for k in keys])
+        table = np.stack([np.zeros(width_all, np.int64) if k is None else k for k in keys])
         cols = [pa.array(c, t) for c, t in zip(zip(*out), types)]
-        return pa.record_batch([*cols, *(pa.array(table[:, i], pa.int64(), mask=none) for i in range(bands))], names)
+        return pa.record_batch([*cols, *(pa.array(table[:, i], pa.int64(), mask=none) for i in range(width_all))], names)
 
     base = docs.select("doc_id", "mark", F.col("text").cast("binary").alias("text"))
-    return base.mapInArrow(run, "doc_id long, mark long, line int, pid long, size int, " + ", ".join(f"b{i} long" for i in range(bands)))
+    return base.mapInArrow(run, "doc_id long, mark long, line int, pid long, size int, " + ", ".join(f"{c} long" for c in names[5:]))
 
 
 def _normal_lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -159,8 +169,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return joined.withColumn("both", both).where(F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both")) - 1e-9).drop("sa", "sb", "both")
 
 
-def _sizes_fit(a: str, b: str, similarity: float) -> Column:
-    return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """False only for pairs below the similarity: by their sizes, or by the elements that their sketches show to be apart."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(SKETCH)])
+    x, y = F.col(a + "size"), F.col(b + "size")
+    return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9) & (apart * (1 + similarity) <= (1 - similarity) * (x + y) + 1e-9)
 
 
 def link_paragraphs(rows: DataFrame, docs: DataFrame, bands: int, similarity: float, min_words: int, width: int) -> DataFrame:
@@ -169,29 +182,30 @@ def link_paragraphs(rows: DataFrame, docs: DataFrame, bands: int, similarity: fl
     In each bucket of a band the commonest paragraph is compared with all others; members that end in its component need
     no comparisons with one another, the rest of the bucket is compared with the bucket. No bucket is gathered in a task.
     """
-    distinct = rows.where("pid is not null").groupBy("pid").agg(F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ["size", *(f"b{i}" for i in range(bands))]))
+    sketch = [f"s{i}" for i in range(SKETCH)]
+    distinct = rows.where("pid is not null").groupBy("pid").agg(F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ["size", *sketch, *(f"b{i}" for i in range(bands))]))
     distinct = materialize(distinct, "paragraphs")
-    keyed = distinct.select("pid", "weight", "size", F.explode(F.array(*(f"b{i}" for i in range(bands)))).alias("key"))
+    keyed = distinct.select("pid", "weight", "size", *sketch, F.explode(F.array(*(f"b{i}" for i in range(bands)))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     multi = materialize(keyed.join(shared, "key"), "colliding")
     sets = _shingle_sets(_normal_lines(docs, min_words).join(multi.select("pid").distinct(), "pid", "left_semi").dropDuplicates(["pid"]), width)
     sets = materialize(sets, "shingles")
-    heads = multi.groupBy("key").agg(F.max_by(F.struct(F.col("pid").alias("hpid"), F.col("size").alias("hsize")), F.struct("weight", "pid")).alias("head")).select("key", "head.*")
+    heads = multi.groupBy("key").agg(F.max_by(F.struct(F.col("pid").alias("hpid"), *(F.col(c).alias("h" + c) for c in ("size", *sketch))), F.struct("weight", "pid")).alias("head")).select("key", "head.*")
     members = materialize(multi.join(heads, "key").drop("weight"), "members")
-    star = members.where((F.col("pid") != F.col("hpid")) & _sizes_fit("size", "hsize", similarity)).select(F.col("pid").alias("a"), F.col("hpid").alias("b")).distinct()
+    star = members.where((F.col("pid") != F.col("hpid")) & _may_be_similar("", "h", similarity)).select(F.col("pid").alias("a"), F.col("hpid").alias("b")).distinct()
     first = connected_components(_verified(star, sets, similarity))
     labelled = materialize(
         members.join(first.select(F.col("node").alias("pid"), F.col("component").alias("c")), "pid", "left")
         .join(first.select(F.col("node").alias("hpid"), F.col("component").alias("hc")), "hpid", "left")
-        .select("key", "pid", "size", "hpid", F.coalesce("c", "pid").alias("c"), F.coalesce("hc", "hpid").alias("hc")),
+        .select("key", "pid", "size", *sketch, "hpid", F.coalesce("c", "pid").alias("c"), F.coalesce("hc", "hpid").alias("hc")),
         "labelled",
     )
-    strays = labelled.where("c <> hc").select("key", F.col("pid").alias("spid"), F.col("size").alias("ssize"), F.col("c").alias("sc"))
+    strays = labelled.where("c <> hc").select("key", F.col("pid").alias("opid"), *(F.col(c).alias("o" + c) for c in ("size", *sketch)), F.col("c").alias("oc"))
     pairs = labelled.join(
         strays,
-        (labelled["key"] == strays["key"]) & (F.col("c") != F.col("sc")) & ((F.col("c") == F.col("hc")) | (F.col("pid") < F.col("spid"))) & (F.col("pid") != F.col("hpid")) & _sizes_fit("size", "ssize", similarity),
-    ).select(F.col("pid").alias("a"), F.col("spid").alias("b"), "c", "sc").distinct()
-    links = _verified(pairs, sets, similarity).select(F.col("c").alias("a"), F.col("sc").alias("b"))
+        (labelled["key"] == strays["key"]) & (F.col("c") != F.col("oc")) & ((F.col("c") == F.col("hc")) | (F.col("pid") < F.col("opid"))) & (F.col("pid") != F.col("hpid")) & _may_be_similar("", "o", similarity),
+    ).select(F.col("pid").alias("a"), F.col("opid").alias("b"), "c", "oc").distinct()
+    links = _verified(pairs, sets, similarity).select(F.col("c").alias("a"), F.col("oc").alias("b"))
     second = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
     ends = first.select(F.col("node").alias("pid"), "component").unionByName(second.select(F.col("component").alias("pid"), "component")).distinct()
     return ends.join(second, "component", "left").groupBy("pid").agg(F.min(F.coalesce("top", "component")).alias("component"))
