@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, paragraphs, quality, secrets, sharding, simhash, token_counts
+from . import byte_bpe, hmm, packing, paragraphs, quality, secrets, sharding, simhash, token_counts, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.bounded_ring_shards(_documents(spark, sf_dir))
 
@@ -29,6 +33,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(_documents(spark, sf_dir))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.hmm_scores(_documents(spark, sf_dir))
+
+
 def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(_documents(spark, sf_dir)).drop("mark")
 
@@ -43,6 +55,25 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bounded_ring, op3_line_rules, op4_token_counts, op5_byte_bpe, op8_paragraph_minhash, op9_secret_scan, op10_simhash_pivots)
+    f.__name__: f
+    for f in (
+        op1_maxscore, op2_bounded_ring, op3_line_rules, op4_token_counts, op5_byte_bpe, op6_best_fit_packing, op7_hmm_scores, op8_paragraph_minhash, op9_secret_scan,
+        op10_simhash_pivots,
+    )
+}
+
+SQL: dict[str, str] = {
+    "op1_maxscore": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
 }
-SQL: dict[str, str] = {}
