@@ -78,3 +78,13 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * LOST_PERCENT))
         .drop("_words", "_lines", "_windows", "_full", "_good", "_at")
     )
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The kept rows of docs, their text without the failing lines.
+
+    The partition number, which counts as not deterministic, keeps the optimiser from copying the whole expression of
+    ``kept`` into a filter below, where its arrays would be built anew for each of their elements.
+    """
+    judged = clean_lines(docs, id_col, text_col).withColumn("_at", F.spark_partition_id())
+    return judged.where(F.col("kept") & (F.col("_at") >= 0)).withColumn(text_col, F.col("clean_text")).select(*docs.columns)
