@@ -15,8 +15,7 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines. Null texts are rejected."""
-    clean = quality.clean_lines(docs).where("kept").withColumn("text", F.col("clean_text"))
-    return _with_length(clean.select(*docs.columns))
+    return _with_length(quality.kept_documents(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
