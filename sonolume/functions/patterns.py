@@ -51,3 +51,88 @@ def delay_law(angle_deg: Column, elements: int, width: float, speed: float) -> C
     """Delays in ms of every element for a plane wave, from zero."""
     raw = F.transform(F.sequence(F.lit(1), F.lit(elements)), lambda i: 1000.0 / speed * F.sin(F.radians(angle_deg)) * i * width)
     return F.transform(raw, lambda d: d - F.array_min(raw))
+
+
+def phase_of(bits: Column) -> Column:
+    """Quarter turns 0 to 3 from the first run: its digit, and whether it is about half of the longest run."""
+    longest = F.greatest(longest_run(bits, "0"), longest_run(bits, "1"))
+    share = first_run(bits) / longest
+    shifted = (share > 0.3) & (share < 0.7)
+    starts_high = F.substr(bits, F.lit(1), F.lit(1)) == "1"
+    return F.when(bits == "", 0).when(starts_high, F.when(shifted, 0).otherwise(1)).otherwise(F.when(shifted, 2).otherwise(3))
+
+
+def striped(low: Column, high: Column, head: Column, tail: Column, size: int) -> Column:
+    """Bits: runs of ``low`` zeros and ``high`` ones repeated to the size; ``head`` digits leave the head for zeros at the tail, ``tail`` ones move from the tail to the head."""
+    unit = F.concat(F.repeat(F.lit("0"), low), F.repeat(F.lit("1"), high))
+    bits = F.substr(F.repeat(unit, F.ceil(F.lit(size) / F.length(unit)).cast("int")), F.lit(1), F.lit(size))
+    bits = F.concat(F.substr(bits, head + 1, F.lit(size)), F.repeat(F.lit("0"), head))
+    return F.concat(F.repeat(F.lit("1"), tail), F.substr(bits, F.lit(1), F.lit(size) - tail))
+
+
+def square_wave(elements: int, pitch: float, frequency: Column, kind: str) -> Column:
+    """Bits of the elements where the cosine or sine of their centred position is positive."""
+    wave = {"cos": F.cos, "sin": F.sin}[kind]
+    turn = lambda i: wave(2 * F.pi() * frequency * ((i - (elements - 1) / 2) * pitch))
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(elements - 1)), lambda i: F.when(turn(i) > 0, "1").otherwise("0")), "")
+
+
+def bits_to_hex_reversed(bits: Column) -> Column:
+    """Least significant bit first: as bits_to_hex of the mirrored bits, filled up with zeros to whole digits."""
+    return bits_to_hex(F.reverse(F.rpad(bits, (F.ceil(F.length(bits) / 4) * 4).cast("int"), F.lit("0"))))
+
+
+def angle_of_delays(delays: Column, pitch: float, speed: float) -> Column:
+    """Steering angle in whole degrees: slope of the regression of delays (s) on element position, signed by the side of the largest."""
+    n = F.size(delays)
+    mean = F.aggregate(delays, F.lit(0.0), lambda s, d: s + d) / n
+    centred = F.transform(delays, lambda d, i: F.struct(((i - (n - 1) / 2) * pitch).alias("x"), (d - mean).alias("d")))
+    sxy = F.aggregate(centred, F.lit(0.0), lambda s, p: s + p["x"] * p["d"])
+    sxx = F.aggregate(centred, F.lit(0.0), lambda s, p: s + p["x"] * p["x"])
+    angle = F.degrees(F.asin(sxy / sxx * speed))
+    top = F.array_position(delays, F.array_max(delays)) - 1
+    half = F.floor(n / 2)
+    return F.rint(F.when(top < half, -F.abs(angle)).when(top > half, F.abs(angle)).otherwise(0.0)).cast("int")
+
+
+def focus_delays(elements: int, pitch: float, focus_x: Column, focus_z: Column, speed: float) -> Column:
+    """Delays in s that bring every element's wave to the focus at one time: the farthest fires first."""
+    way = F.transform(F.sequence(F.lit(0), F.lit(elements - 1)), lambda i: F.sqrt(F.pow((i - (elements - 1) / 2) * pitch - focus_x, F.lit(2)) + focus_z * focus_z) / speed)
+    return F.transform(way, lambda d: F.array_max(way) - d)
+
+
+def rotation_centre(positions: list[float], angle: Column, delays: Column, bits: Column, speed: float) -> Column:
+    """x where the wave front's line meets the probe; 0 without active elements or for a flat front. Delays in s."""
+    a = F.round(angle, 5)
+    first, last = F.element_at(delays, 1) * speed, F.element_at(delays, -1) * speed
+    x_first, x_last = F.lit(positions[0]) - F.sin(a) * first, F.lit(positions[-1]) - F.sin(a) * last
+    z_first, z_last = -F.cos(a) * first, -F.cos(a) * last
+    flat = (z_last == z_first) | ~bits.contains("1")
+    return F.when(flat, 0.0).otherwise((z_last * x_first - z_first * x_last) / F.nullif(z_last - z_first, F.lit(0.0)))
+
+
+def steered_window(x: Column, z: Column, angle_deg: Column, width: float, alpha: float = 0.3, divergence_deg: float = 0.5) -> Column:
+    """Weight of a point in the steered, slowly widening beam: 1 inside, cosine edge of share alpha, 0 outside."""
+    half = width / 2 + z * F.tan(F.radians(F.lit(divergence_deg)))
+    at = F.abs((x - z * F.tan(F.radians(angle_deg))) / half)
+    edge = 0.5 * (1 + F.cos(F.pi() * (at - (1 - alpha)) / alpha)) if alpha > 0 else F.lit(0.0)
+    return F.when(at <= 1 - alpha, 1.0).when(at <= 1, edge).otherwise(0.0)
+
+
+def next_power_of_2(n: Column) -> Column:
+    return F.pow(F.lit(2), F.ceil(F.log2(n))).cast("long")
+
+
+def target_size(size: Column, step: Column, target: Column) -> Column:
+    """Samples at the target step over the same length; two at least."""
+    return F.greatest(F.lit(2), F.floor(size * step / target + 1e-9))
+
+
+def pattern_of(name: Column) -> Column:
+    """The parts of a name between its first and its last underscore."""
+    parts = F.split(name, "_")
+    return F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), "_")
+
+
+def field_name(code: Column, angle: Column) -> Column:
+    return F.concat(F.lit("field_"), code, F.lit("_"), angle_code(angle))

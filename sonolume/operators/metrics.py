@@ -21,3 +21,42 @@ def contrast_recovery(with_lesion: DataFrame, without: DataFrame, truth: DataFra
 
 def best_iteration(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.min_by("iter", F.struct("mse", "iter")).alias("iter"), F.min("mse").alias("mse"))
+
+
+def structural_similarity(image: DataFrame, truth: DataFrame, size: int = 7, data_range: float | None = None) -> DataFrame:
+    """(ssim,): mean over the pixels whose whole size x size window lies in the image; uniform windows, sample covariance.
+
+    Box sums are two passes of a window function, along x and then along z; no pixel meets its 49 neighbours by a join.
+    """
+    from pyspark.sql import Window
+
+    half = size // 2
+    both = image.select("z", "x", F.col("value").alias("a")).join(truth.select("z", "x", F.col("value").alias("b")), ["z", "x"])
+    cells = both.select("z", "x", "a", "b", (F.col("a") * F.col("a")).alias("aa"), (F.col("b") * F.col("b")).alias("bb"), (F.col("a") * F.col("b")).alias("ab"), F.lit(1).alias("n"))
+    names = ["a", "b", "aa", "bb", "ab", "n"]
+    for along, across in (("x", "z"), ("z", "x")):
+        w = Window.partitionBy(across).orderBy(along).rangeBetween(-half, half)
+        cells = cells.select("z", "x", *[F.sum(c).over(w).alias(c) for c in names])
+    n = size * size
+    whole = cells.where(F.col("n") == n)
+    ends = truth.agg((F.max("value") - F.min("value")).alias("_range")) if data_range is None else truth.sparkSession.range(1).select(F.lit(float(data_range)).alias("_range"))
+    c1, c2 = F.pow(0.01 * F.col("_range"), F.lit(2)), F.pow(0.03 * F.col("_range"), F.lit(2))
+    ma, mb = F.col("a") / n, F.col("b") / n
+    unbiased = n / (n - 1)
+    va, vb, vab = (F.col("aa") / n - ma * ma) * unbiased, (F.col("bb") / n - mb * mb) * unbiased, (F.col("ab") / n - ma * mb) * unbiased
+    score = (2 * ma * mb + c1) * (2 * vab + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+    return whole.crossJoin(F.broadcast(ends)).agg(F.avg(score).alias("ssim"))
+
+
+def maximum_projection(field: DataFrame) -> DataFrame:
+    """(z, x, value, db): largest amplitude over time of squared envelopes, and in decibels of the largest pixel."""
+    top = field.groupBy("z", "x").agg(F.sqrt(F.max("value")).alias("value"))
+    peak = F.broadcast(top.agg(F.max("value").alias("_peak")))
+    return top.crossJoin(peak).select("z", "x", "value", F.when(F.col("value") > 0, 20 * F.log10(F.col("value") / F.col("_peak"))).alias("db"))
+
+
+def regional_contrast(images: DataFrame, region: DataFrame) -> DataFrame:
+    """(iter, inside, outside, contrast) of images (iter, z, x, value) against a region (z, x)."""
+    marked = images.join(region.select("z", "x").distinct().withColumn("_in", F.lit(True)), ["z", "x"], "left")
+    inside, outside = F.avg(F.when(F.col("_in"), F.col("value"))), F.avg(F.when(F.col("_in").isNull(), F.col("value")))
+    return marked.groupBy("iter").agg(inside.alias("inside"), outside.alias("outside"), (inside / outside - 1).alias("contrast"))

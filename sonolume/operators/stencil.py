@@ -33,6 +33,11 @@ def divergence(field: DataFrame) -> DataFrame:
     return field.select("z", "x", (part("gz", down) + part("gx", right)).alias("value"))
 
 
+def gradient_adjoint(field: DataFrame) -> DataFrame:
+    """Adjoint of gradient, minus the divergence: what total variation adds to a primal step."""
+    return divergence(field).select("z", "x", (-F.col("value")).alias("value"))
+
+
 def project_ball(field: DataFrame, radius: float) -> DataFrame:
     """Scale vectors longer than the radius back to it."""
     norm = F.sqrt(F.col("gz") * F.col("gz") + F.col("gx") * F.col("gx") + 1e-12)
@@ -40,20 +45,84 @@ def project_ball(field: DataFrame, radius: float) -> DataFrame:
     return field.select("z", "x", (F.col("gz") * scale).alias("gz"), (F.col("gx") * scale).alias("gx"))
 
 
-def prior(image: DataFrame, beta: float, kind: str = "quadratic", delta: float = 1.0, gamma: float = 0.05, radius: int = 1, shape: str = "cross") -> DataFrame:
-    """Gradient and energy of a pair prior: (z, x, grad, energy). Each pixel meets its neighbours by an equi-join on (z, x)."""
-    spark = image.sparkSession
-    steps = F.broadcast(spark.createDataFrame(offsets(radius, shape), "dz int, dx int, w double"))
-    asked = image.crossJoin(steps).select("z", "x", F.col("value").alias("a"), "w", (F.col("z") + F.col("dz")).alias("nz"), (F.col("x") + F.col("dx")).alias("nx"))
-    other = image.select(F.col("z").alias("nz"), F.col("x").alias("nx"), F.col("value").alias("b"))
-    d, w = F.col("a") - F.col("b"), F.col("w") * beta
+def pair_energy(kind: str, a, b, w, beta: float, delta: float = 1.0, gamma: float = 0.05, surrogate: bool = False):
+    """Gradient, Hessian and energy of one pair (a, b) as columns; with surrogate the Huber Hessian keeps its linear part."""
+    d, w = a - b, w * beta
+    size = F.abs(d)
     if kind == "quadratic":
-        grad, energy = w * d, w * d * d / 2
-    elif kind == "huber":
-        small = F.abs(d) <= delta
-        grad = F.when(small, w * d / delta).otherwise(w * F.signum(d))
-        energy = F.when(small, w * d * d / (2 * delta)).otherwise(w * (F.abs(d) - delta / 2))
-    else:
-        below = F.col("a") + F.col("b") + gamma * F.abs(d) + 1e-12
-        grad, energy = w * d * (2 * below - d * (1 + gamma * F.signum(d))) / (below * below), w * d * d / below
-    return asked.join(other, ["nz", "nx"]).groupBy("z", "x").agg(F.sum(grad).alias("grad"), (F.sum(energy) / 2).alias("energy"))
+        return w * d, w, w * d * d / 2
+    if kind == "huber":
+        small = size <= delta
+        beyond = w / (size + 1e-8) if surrogate else F.lit(0.0)
+        return F.when(small, w * d / delta).otherwise(w * F.signum(d)), F.when(small, w / delta).otherwise(beyond), F.when(small, w * d * d / (2 * delta)).otherwise(w * (size - delta / 2))
+    if kind == "relative":
+        below = a + b + gamma + delta * size
+        return w * d * (2 * below - d * (1 + delta * F.signum(d))) / (below * below), 2 * w / below, w * d * d / below
+    raise ValueError(f"unknown prior {kind}")
+
+
+def pairs(image: DataFrame, columns: list[str], radius: int = 1, shape: str = "cross") -> DataFrame:
+    """Each pixel with each neighbour on the grid: (z, x, a_<column>.., b_<column>.., w), by an equi-join on (z, x)."""
+    spark = image.sparkSession
+    steps = F.broadcast(spark.createDataFrame(offsets(radius, shape), "dz int, dx int, w double"))  # at most (2 radius + 1)^2 rows
+    asked = image.crossJoin(steps).select("z", "x", *[F.col(c).alias(f"a_{c}") for c in columns], "w", (F.col("z") + F.col("dz")).alias("nz"), (F.col("x") + F.col("dx")).alias("nx"))
+    other = image.select(F.col("z").alias("nz"), F.col("x").alias("nx"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    return asked.join(other, ["nz", "nx"]).drop("nz", "nx")
+
+
+def prior(image: DataFrame, beta: float, kind: str = "quadratic", delta: float = 1.0, gamma: float = 0.05, radius: int = 1, shape: str = "cross", surrogate: bool = False) -> DataFrame:
+    """Gradient, Hessian and energy of a pair prior: (z, x, grad, hess, energy). A pixel without neighbours has no row."""
+    grad, hess, energy = pair_energy(kind, F.col("a_value"), F.col("b_value"), F.col("w"), beta, delta, gamma, surrogate)
+    return pairs(image, ["value"], radius, shape).groupBy("z", "x").agg(F.sum(grad).alias("grad"), F.sum(hess).alias("hess"), (F.sum(energy) / 2).alias("energy"))
+
+
+def gaussian(image: DataFrame, sigma: float, along: str, size: int, truncate: float = 4.0) -> DataFrame:
+    """Gaussian filter along z or x of a grid whose index runs from 0 to size - 1, mirrored at the borders (edge pixel repeated)."""
+    radius = int(truncate * sigma + 0.5)
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)] if sigma > 0 else [1.0]
+    weights = [(k - radius, w / sum(raw)) for k, w in enumerate(raw)] if sigma > 0 else [(0, 1.0)]
+    taps = F.broadcast(image.sparkSession.createDataFrame(weights, "_k long, _w double"))
+    m = F.pmod(F.col(along) + F.col("_k"), F.lit(2 * size))
+    other = "x" if along == "z" else "z"
+    target = F.when(m < size, m).otherwise(2 * size - 1 - m)
+    asked = image.select(other, along).crossJoin(taps).select(other, F.col(along).alias("_at"), target.alias(along), "_w")
+    return asked.join(image.select(other, along, "value"), [other, along]).groupBy(F.col("_at").alias(along), other).agg(F.sum(F.col("_w") * F.col("value")).alias("value")).select("z", "x", "value")
+
+
+def crop(image: DataFrame, z_range: tuple[int, int], x_range: tuple[int, int], step: int = 1) -> DataFrame:
+    """Pixels within [from, to), thinned out by the step and numbered anew."""
+    keep = (F.col("z") >= z_range[0]) & (F.col("z") < z_range[1]) & (F.col("x") >= x_range[0]) & (F.col("x") < x_range[1])
+    at = lambda c, lo: F.floor((F.col(c) - lo) / step).alias(c)
+    return image.where(keep & ((F.col("z") - z_range[0]) % step == 0) & ((F.col("x") - x_range[0]) % step == 0)).select(at("z", z_range[0]), at("x", x_range[0]), "value")
+
+
+def sample(image: DataFrame, points: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Bilinear values at points (keys.., z, x, fz, fx: real coordinates in pixels); corners outside count as zero.
+
+    Each point asks its four corners by an equi-join; the corners' weights are summed after it.
+    """
+    keys = keys or []
+    z0, x0 = F.floor("fz"), F.floor("fx")
+    uz, ux = F.col("fz") - z0, F.col("fx") - x0
+    corner = lambda dz, dx: F.struct((z0 + dz).alias("cz"), (x0 + dx).alias("cx"), ((uz if dz else 1 - uz) * (ux if dx else 1 - ux)).alias("w"))
+    asked = points.select(*keys, "z", "x", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("c")).select(*keys, "z", "x", "c.cz", "c.cx", "c.w").where("w > 0")
+    values = [c for c in image.columns if c not in ("z", "x", *keys)]
+    have = image.select(*keys, F.col("z").alias("cz"), F.col("x").alias("cx"), *values)
+    joined = asked.join(have, [*keys, "cz", "cx"], "left")
+    return joined.groupBy(*keys, "z", "x").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0.0)) * F.col("w")).alias(c) for c in values])
+
+
+def rotate(image: DataFrame, angle: float, centre_x: float, centre_z: float, x0: float, dx: float, z0: float, dz: float) -> DataFrame:
+    """The image turned by the angle about a centre, bilinear, zero outside. Axes start at x0, z0 with steps dx, dz."""
+    rx, rz = F.col("x") * dx + x0 - centre_x, F.col("z") * dz + z0 - centre_z
+    c, s = math.cos(angle), math.sin(angle)
+    points = image.select("z", "x", ((-s * rx + c * rz + centre_z - z0) / dz).alias("fz"), ((c * rx + s * rz + centre_x - x0) / dx).alias("fx"))
+    return sample(image, points)
+
+
+def zoom(image: DataFrame, from_size: tuple[int, int], to_size: tuple[int, int]) -> DataFrame:
+    """Linear resize of (z, x, value); first and last pixels map to each other."""
+    ratio = [(a - 1) / (b - 1) if b > 1 else 0.0 for a, b in zip(from_size, to_size)]
+    spark = image.sparkSession
+    grid = spark.range(to_size[0] * to_size[1]).select(F.floor(F.col("id") / to_size[1]).alias("z"), (F.col("id") % to_size[1]).alias("x"))
+    return sample(image, grid.withColumn("fz", F.col("z") * ratio[0]).withColumn("fx", F.col("x") * ratio[1]))

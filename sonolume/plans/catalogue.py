@@ -275,11 +275,4 @@ def gradient_descent_2(spark, d):
     return solvers.gradient_descent(_matrix(spark, d), _signal(spark, d), 2, 1e-6).select("col_id", F.round("value", 4).alias("value"))
 
 
-@register()
-def fista_3(spark, d):
-    return solvers.fista(_matrix(spark, d), _signal(spark, d), 3, 1e-6).select("col_id", F.round("value", 4).alias("value"))
-
-
-@register()
-def mapem_2(spark, d):
-    return solvers.mapem(_matrix(spark, d), _signal(spark, d), 2, 0.01, X).select("col_id", F.round("value", 4).alias("value"))
+from . import acquisition, reconstruction  # noqa: E402, F401  they register their queries

@@ -1,20 +1,71 @@
-"""Iterative reconstructions. The driver only loops; every vector is a table and lineage is cut after each iteration."""
+"""Iterative reconstructions. The driver only loops over scalars; every vector is a table and lineage is cut after each iteration."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import smatrix, stencil
 from ..session import cut
 
+State = dict[str, DataFrame]
+
+
+@dataclass
+class Prior:
+    """Pair prior on the pixel grid; x_size is the number of pixels in a line."""
+
+    beta: float
+    x_size: int
+    kind: str = "quadratic"
+    delta: float = 1.0
+    radius: int = 1
+    shape: str = "cross"
+
+    def grid(self, image: DataFrame, columns: list[str]) -> DataFrame:
+        return image.select(F.floor(F.col("col_id") / self.x_size).alias("z"), (F.col("col_id") % self.x_size).alias("x"), *columns)
+
+    def of(self, image: DataFrame, surrogate: bool = False) -> DataFrame:
+        """(col_id, grad, hess, energy)."""
+        found = stencil.prior(self.grid(image, ["value"]), self.beta, self.kind, self.delta, radius=self.radius, shape=self.shape, surrogate=surrogate)
+        return found.select((F.col("z") * self.x_size + F.col("x")).alias("col_id"), "grad", "hess", "energy")
+
+    def energy(self, image: DataFrame) -> float:
+        return self.of(image).agg(F.sum("energy")).first()[0] or 0.0
+
+
+@dataclass
+class Stop:
+    """Stopping rule on a scalar a round: relative_change, cost, squared_error or gradient_norm, averaged over a window."""
+
+    kind: str
+    threshold: float
+    window: int = 5
+    seen: list[float] = field(default_factory=list)
+
+    def done(self, value: float) -> bool:
+        self.seen = [*self.seen, value][-(self.window + 1) :]
+        if len(self.seen) < 2:
+            return False
+        if self.kind in ("relative_change", "gradient_norm"):
+            steps = self.seen[1:]
+        else:
+            steps = [abs(b - a) / (abs(a) + 1e-10) for a, b in zip(self.seen, self.seen[1:])]
+        return sum(steps) / len(steps) < self.threshold
+
 
 def start_image(a: DataFrame, value: float) -> DataFrame:
     return a.select("col_id").distinct().withColumn("value", F.lit(value))
 
 
+def saved_rounds(rounds: int, most: int) -> list[int]:
+    """Every k-th round and the last one, about ``most`` of them."""
+    return sorted({*range(0, rounds, max(1, rounds // most)), rounds - 1})
+
+
 def _ratio(a: DataFrame, y: DataFrame, image: DataFrame, eps: float) -> DataFrame:
     return y.join(smatrix.forward(a, image), "row_id").select("row_id", (F.col("y") / F.greatest("q", F.lit(eps))).alias("y"))
 
@@ -24,70 +75,333 @@ def _residual(a: DataFrame, y: DataFrame, image: DataFrame) -> DataFrame:
     return q.join(y, "row_id", "left").select("row_id", (F.col("q") - F.coalesce("y", F.lit(0.0))).alias("y"))
 
 
-def _prior(image: DataFrame, beta: float, x_size: int) -> DataFrame:
-    grid = image.select(F.floor(F.col("col_id") / x_size).alias("z"), (F.col("col_id") % x_size).alias("x"), "value")
-    return stencil.prior(grid, beta).select((F.col("z") * x_size + F.col("x")).alias("col_id"), "grad")
+def poisson_cost(a: DataFrame, y: DataFrame, image: DataFrame) -> float:
+    """Sum of q - y ln q."""
+    q = F.greatest("q", F.lit(1e-10))
+    return smatrix.forward(a, image).join(y, "row_id", "left").agg(F.sum(q - F.coalesce("y", F.lit(0.0)) * F.ln(q))).first()[0] or 0.0
+
+
+def squares_cost(a: DataFrame, y: DataFrame, image: DataFrame) -> float:
+    """Half the squared norm of Ax - y over all rows of A and y."""
+    r = F.coalesce("q", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))
+    return smatrix.forward(a, image).join(y, "row_id", "full").agg(F.sum(r * r) / 2).first()[0] or 0.0
+
 
+def _norm(df: DataFrame, value: Column) -> float:
+    return df.agg(F.sqrt(F.sum(value * value))).first()[0] or 0.0
 
-def _iterate(image: DataFrame, rounds: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def _zero(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0.0))
+
+
+def _run(state: State, rounds: int, step: Callable[[State, int], State], after: Callable[[int, State, State], bool] | None = None) -> State:
+    """Apply the step; tables of the state are written after each round but the last. ``after`` may end the loop."""
     for k in range(rounds):
-        image = step(image)
-        if k < rounds - 1:
-            image = cut(image, "image")
-    return image
+        before, state = state, step(state, k)
+        if k < rounds - 1 or after:
+            state = {name: cut(table, name) for name, table in state.items()}
+        if after and after(k, before, state):
+            break
+    return state
 
 
-def mlem(a: DataFrame, y: DataFrame, rounds: int, start: float = 0.1, eps: float = 1e-10) -> DataFrame:
-    """x <- max(0, x * A^T(y / Ax) / A^T 1)."""
-    sens = smatrix.sensitivity(a)
+def _expectation(kind: str, a: DataFrame, y: DataFrame, prior: Prior | None, start: float, eps: float):
+    """mlem, mapem (prior one step late), depierro (surrogate), ppgmlem (preconditioned gradient)."""
+    floor = F.lit(1e-10)
+    whole = cut(a.groupBy("col_id").agg(F.sum("v").alias("sens")), "sensitivity")
 
-    def step(image: DataFrame) -> DataFrame:
+    def step(state: State, _: int) -> State:
+        image = state["image"]
         c = smatrix.backward(a, _ratio(a, y, image, eps))
-        return image.join(sens, "col_id").join(c, "col_id", "left").select("col_id", F.greatest(F.lit(0.0), F.col("value") * F.coalesce("c", F.lit(0.0)) / F.col("sens")).alias("value"))
+        joined = image.join(whole, "col_id").join(c, "col_id", "left")
+        if prior:
+            joined = joined.join(prior.of(image, surrogate=kind == "depierro"), "col_id", "left")
+        x, back, sens = F.col("value"), _zero("c"), F.col("sens")
+        grad, hess = (_zero("grad"), _zero("hess")) if prior else (F.lit(0.0), F.lit(0.0))
+        new = {
+            "mlem": lambda: x * back / F.greatest(sens, floor),
+            "mapem": lambda: x * back / F.greatest(sens + grad, floor),
+            # A^T((y - q) / q) = A^T(y / q) - A^T 1
+            "depierro": lambda: x + x * (back - sens - grad) / F.greatest(F.greatest(sens, floor) + x * hess, floor),
+            "ppgmlem": lambda: x + x * (back - F.greatest(sens, floor) - grad) / F.greatest(F.greatest(sens, floor) + x * (prior.delta if prior else 1.0) * hess, floor),
+        }[kind]()
+        return {"image": joined.select("col_id", F.greatest(F.lit(0.0), new).alias("value"))}
 
-    return _iterate(start_image(a, start), rounds, step)
+    return {"image": start_image(a, start)}, step
 
 
-def mapem(a: DataFrame, y: DataFrame, rounds: int, beta: float, x_size: int, start: float = 0.1, eps: float = 1e-10) -> DataFrame:
-    """One step late: the prior's gradient joins the sensitivity."""
-    sens = a.groupBy("col_id").agg(F.sum("v").alias("sens"))
+def _descent(a: DataFrame, y: DataFrame, step_size: float, momentum: bool, prior: Prior | None, scale: DataFrame | None):
+    """Projected gradient; with momentum t <- (1 + sqrt(1 + 4 t^2)) / 2. ``scale`` (col_id, diagonal) preconditions the data term."""
+    ts = [1.0]
 
-    def step(image: DataFrame) -> DataFrame:
-        c = smatrix.backward(a, _ratio(a, y, image, eps))
-        whole = image.join(sens, "col_id").join(c, "col_id", "left").join(_prior(image, beta, x_size), "col_id", "left")
-        below = F.greatest(F.col("sens") + F.coalesce("grad", F.lit(0.0)), F.lit(1e-10))
-        return whole.select("col_id", F.greatest(F.lit(0.0), F.col("value") * F.coalesce("c", F.lit(0.0)) / below).alias("value"))
+    def step(state: State, k: int) -> State:
+        table = state["image"]
+        at = table.select("col_id", F.col("ahead").alias("value"))
+        c = smatrix.backward(a, _residual(a, y, at))
+        joined = table.join(c, "col_id", "left")
+        data = _zero("c")
+        if scale is not None:
+            joined, data = joined.join(scale, "col_id", "left"), _zero("c") / F.col("diagonal")
+        if prior:
+            joined, data = joined.join(prior.of(at), "col_id", "left"), data + _zero("grad")
+        if len(ts) == k + 1:
+            ts.append((1 + (1 + 4 * ts[k] ** 2) ** 0.5) / 2)
+        new = F.greatest(F.lit(0.0), F.col("ahead") - step_size * data)
+        push = (ts[k] - 1) / ts[k + 1] if momentum else 0.0
+        return {"image": joined.select("col_id", new.alias("value"), (new + push * (new - F.col("value"))).alias("ahead"))}
 
-    return _iterate(start_image(a, start), rounds, step)
+    return {"image": start_image(a, 0.0).withColumn("ahead", F.col("value"))}, step
 
 
-def gradient_descent(a: DataFrame, y: DataFrame, rounds: int, step_size: float) -> DataFrame:
-    """x <- max(0, x - s A^T(Ax - y)), from zero."""
+def _conjugate(a: DataFrame, y: DataFrame, step_size: float, prior: Prior | None, start: float):
+    """Fletcher-Reeves directions with a fixed step, clipped at zero."""
+    last = [0.0]
 
-    def step(image: DataFrame) -> DataFrame:
-        c = smatrix.backward(a, _residual(a, y, image))
-        return image.join(c, "col_id", "left").select("col_id", F.greatest(F.lit(0.0), F.col("value") - step_size * F.coalesce("c", F.lit(0.0))).alias("value"))
+    def step(state: State, k: int) -> State:
+        table = state["image"]
+        image = table.select("col_id", "value")
+        joined = table.join(smatrix.backward(a, _residual(a, y, image)), "col_id", "left")
+        r = -_zero("c")
+        if prior:
+            joined, r = joined.join(prior.of(image), "col_id", "left"), r - _zero("grad")
+        joined = cut(joined.select("col_id", "value", "d", r.alias("r")), "direction")
+        size = joined.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+        share, last[0] = (size / (last[0] + 1e-10) if k else 0.0), size
+        d = F.col("r") + share * F.col("d")
+        return {"image": joined.select("col_id", F.greatest(F.lit(0.0), F.col("value") + step_size * d).alias("value"), d.alias("d"))}
 
-    return _iterate(start_image(a, 0.0), rounds, step)
+    return {"image": start_image(a, start).withColumn("d", F.lit(0.0))}, step
 
 
-def fista(a: DataFrame, y: DataFrame, rounds: int, step_size: float) -> DataFrame:
-    """gradient_descent with momentum t <- (1 + sqrt(1 + 4 t^2)) / 2."""
-    state, t = start_image(a, 0.0).withColumn("last", F.col("value")), 1.0
+def primal_dual_steps(a: DataFrame, x_size: int, z_size: int, subsets: int = 1, rho: float = 0.99) -> tuple[DataFrame, DataFrame, float]:
+    """Diagonal step sizes: (col_id, tau), (row_id, sigma) and the one of the gradient's dual."""
+    rows, cols = smatrix.absolute_sums(a, "row_id"), smatrix.absolute_sums(a, "col_id")
+    least = lambda t: F.greatest(F.percentile("total", 0.5) * 1e-6, F.lit(1e-12))
+    low_row, low_col = rows.agg(least(rows)).first()[0] or 1e-12, cols.agg(least(cols)).first()[0] or 1e-12
+    z, x = F.floor(F.col("col_id") / x_size), F.col("col_id") % x_size
+    near = 4 - sum((F.when(c, 1).otherwise(0) for c in (z == 0, z == z_size - 1, x == 0, x == x_size - 1)), F.lit(0))
+    return (
+        cols.select("col_id", (rho / subsets / (F.greatest("total", F.lit(low_col)) + near)).alias("tau")),
+        rows.select("row_id", (rho / F.greatest("total", F.lit(low_row))).alias("sigma")),
+        rho / 2,
+    )
+
+
+def _primal_dual(a: DataFrame, y: DataFrame, beta: float, tau: DataFrame, sigma: DataFrame, sigma_p: float, x_size: int, theta: float, subsets: int, t_size: int):
+    """Primal-dual splitting with total variation; with subsets each round updates the rows of one subset of emissions."""
+    rows = a.select("row_id").distinct()
+
+    def step(state: State, k: int) -> State:
+        image, dual, tv = state["image"], state["dual"], state["tv"]
+        ahead = image.select("col_id", F.col("ahead").alias("value"))
+        q = dual.join(sigma, "row_id").join(smatrix.forward(a, ahead), "row_id", "left").join(y, "row_id", "left")
+        moved = (F.col("dual") + F.col("sigma") * (_zero("q") - _zero("y"))) / (1 + F.col("sigma"))
+        if subsets > 1:  # emissions are dealt anew each time all subsets have been used
+            mine = F.pmod(F.xxhash64(F.floor(F.col("row_id") / t_size), F.lit(k // subsets)), F.lit(subsets)) == k % subsets
+            moved = F.when(mine, moved).otherwise(F.col("dual"))
+        dual = cut(q.select("row_id", moved.alias("dual")), "dual")
+        grid = ahead.select(F.floor(F.col("col_id") / x_size).alias("z"), (F.col("col_id") % x_size).alias("x"), "value")
+        g = stencil.gradient(grid).withColumnsRenamed({"gz": "dz", "gx": "dx"})
+        raised = tv.join(g, ["z", "x"]).select("z", "x", (F.col("gz") + sigma_p * F.col("dz")).alias("gz"), (F.col("gx") + sigma_p * F.col("dx")).alias("gx"))
+        tv = cut(stencil.project_ball(raised, beta), "tv")
+        div = stencil.divergence(tv).select((F.col("z") * x_size + F.col("x")).alias("col_id"), F.col("value").alias("div"))
+        back = smatrix.backward(a, dual, "dual")
+        # The adjoint of the gradient is minus the divergence.
+        new = F.greatest(F.lit(0.0), F.col("value") - F.col("tau") * (_zero("c") - _zero("div")))
+        joined = image.join(tau, "col_id").join(back, "col_id", "left").join(div, "col_id", "left")
+        return {"image": joined.select("col_id", new.alias("value"), (new + theta * (new - F.col("value"))).alias("ahead")), "dual": dual, "tv": tv}
+
+    zero = start_image(a, 0.0)
+    grid = zero.select(F.floor(F.col("col_id") / x_size).alias("z"), (F.col("col_id") % x_size).alias("x"), F.lit(0.0).alias("gz"), F.lit(0.0).alias("gx"))
+    return {"image": zero.withColumn("ahead", F.col("value")), "dual": rows.withColumn("dual", F.lit(0.0)), "tv": grid}, step
+
+
+def lbfgs(a: DataFrame, y: DataFrame, rounds: int, prior: Prior | None = None, start: float = 0.1, memory: int = 10) -> DataFrame:
+    """Limited-memory BFGS on w with image = w^2.
+
+    w, its gradient g and the pairs (s_i, u_i) are columns of one table. One aggregation gives all inner products; the two
+    loops then run on the driver on the coefficients of the direction in these vectors, so no vector leaves Spark. The
+    residual along a direction is r + t q1 + t^2 q2: the data cost of every trial step follows from five more sums.
+    """
+    a, y = cut(a, "matrix"), cut(y, "signal")
+
+    def gradient(w: DataFrame, residual: DataFrame) -> DataFrame:
+        """w (col_id, w, ..) with g."""
+        joined = w.join(smatrix.backward(a, residual), "col_id", "left")
+        grad = _zero("c")
+        if prior:
+            joined, grad = joined.join(prior.of(w.select("col_id", (F.col("w") * F.col("w")).alias("value"))), "col_id", "left"), grad + _zero("grad")
+        return joined.select(*w.columns, (grad * 2 * F.col("w")).alias("g"))
+
+    def energies(table: DataFrame, steps: list[float]) -> list[float]:
+        if not prior:
+            return [0.0] * len(steps)
+        pairs = stencil.pairs(prior.grid(table, ["w", "d"]), ["w", "d"], prior.radius, prior.shape)
+        at = lambda side, t: F.pow(F.col(f"{side}_w") + t * F.col(f"{side}_d"), F.lit(2))
+        sums = [F.sum(stencil.pair_energy(prior.kind, at("a", t), at("b", t), F.col("w"), prior.beta, prior.delta)[2]) / 2 for t in steps]
+        return [v or 0.0 for v in pairs.agg(*[s.alias(f"e{i}") for i, s in enumerate(sums)]).first()]
+
+    table = start_image(a, start**0.5).withColumnRenamed("value", "w")
+    residual = cut(_residual(a, y, table.select("col_id", (F.col("w") * F.col("w")).alias("value"))), "residual")
+    table = cut(gradient(table, residual), "lbfgs")
+    kept: list[int] = []
     for k in range(rounds):
-        c = smatrix.backward(a, _residual(a, y, state.select("col_id", "value")))
-        ahead = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        new = F.greatest(F.lit(0.0), F.col("value") - step_size * F.coalesce("c", F.lit(0.0)))
-        state = state.join(c, "col_id", "left").select("col_id", (new + (t - 1) / ahead * (new - F.col("last"))).alias("value"), new.alias("last"))
-        state, t = (cut(state, "image") if k < rounds - 1 else state), ahead
-    return state.select("col_id", F.col("last").alias("value"))
+        names = [*[f"s{i}" for i in kept], *[f"u{i}" for i in kept], "g"]
+        pairs_of = [(p, q) for i, p in enumerate(names) for q in names[i:]]
+        sums = table.agg(*[F.sum(F.col(p) * F.col(q)).alias(f"d{i}") for i, (p, q) in enumerate(pairs_of)]).first()
+        dot = {}
+        for (p, q), v in zip(pairs_of, sums):
+            dot[p, q] = dot[q, p] = v or 0.0
+
+        def inner(coef: dict[str, float], name: str) -> float:
+            return sum(c * dot[n, name] for n, c in coef.items())
+
+        def direction() -> dict[str, float]:
+            coef, alphas = dict.fromkeys(names, 0.0) | {"g": 1.0}, {}
+            for i in reversed(kept):
+                alphas[i] = inner(coef, f"s{i}") / dot[f"s{i}", f"u{i}"]
+                coef[f"u{i}"] -= alphas[i]
+            newest = kept[-1] if kept else None
+            scale = 1 / (dot["g", "g"] ** 0.5 + 1e-5) if newest is None else dot[f"s{newest}", f"u{newest}"] / (dot[f"u{newest}", f"u{newest}"] + 1e-10)
+            coef = {n: c * scale for n, c in coef.items()}
+            for i in kept:
+                coef[f"s{i}"] += alphas[i] - inner(coef, f"u{i}") / dot[f"s{i}", f"u{i}"]
+            return {n: -c for n, c in coef.items()}
+
+        coef = direction()
+        if inner(coef, "g") >= 0:
+            kept, coef = [], {"g": -1 / (dot["g", "g"] ** 0.5 + 1e-8)}
+        slope = inner(coef, "g")
+        table = cut(table.withColumn("d", sum((F.lit(c) * F.col(n) for n, c in coef.items()), F.lit(0.0))), "lbfgs")
+        q1 = smatrix.forward(a, table.select("col_id", (2 * F.col("w") * F.col("d")).alias("value"))).withColumnRenamed("q", "q1")
+        q2 = smatrix.forward(a, table.select("col_id", (F.col("d") * F.col("d")).alias("value"))).withColumnRenamed("q", "q2")
+        line = cut(residual.join(q1, "row_id").join(q2, "row_id"), "line")
+        c = lambda n: F.col(n)
+        s = [v or 0.0 for v in line.agg(*[F.sum(p).alias(f"c{i}") for i, p in enumerate((c("y") * c("y"), c("y") * c("q1"), c("q1") * c("q1"), c("y") * c("q2"), c("q1") * c("q2"), c("q2") * c("q2")))]).first()]
+        steps = [0.5**i for i in range(20)]
+        here, *there = energies(table, [0.0, *steps])
+        data = lambda t: 0.5 * (s[0] + 2 * t * s[1] + t * t * (s[2] + 2 * s[3]) + 2 * t**3 * s[4] + t**4 * s[5])
+        size = next((t for t, e in zip(steps, there) if data(t) + e <= data(0) + here + 1e-4 * t * slope), None)
+        if size is None:
+            break
+        residual = cut(line.select("row_id", (c("y") + size * c("q1") + size * size * c("q2")).alias("y")), "residual")
+        moved = table.select("col_id", (c("w") + size * c("d")).alias("w"), *[n for i in kept for n in (f"s{i}", f"u{i}")], c("g").alias("old"), (size * c("d")).alias(f"s{k}"))
+        table = cut(gradient(moved, residual).withColumn(f"u{k}", c("g") - c("old")).drop("old"), "lbfgs")
+        curvature = table.agg(F.sum(c(f"s{k}") * c(f"u{k}"))).first()[0] or 0.0
+        kept = [*kept, k][-memory:] if curvature > 1e-10 else []
+        table = table.select("col_id", "w", "g", *[n for i in kept for n in (f"s{i}", f"u{i}")])
+    return table.select("col_id", (F.col("w") * F.col("w")).alias("value"))
 
 
-def lipschitz(a: DataFrame, rounds: int = 20) -> float:
-    """Largest eigenvalue of A^T A by power iteration from the constant vector."""
+def lipschitz(a: DataFrame, rounds: int = 20, scale: DataFrame | None = None) -> float:
+    """Largest eigenvalue of A^T A (divided by the diagonal ``scale``) by power iteration from the constant vector."""
     image, size = start_image(a, 1.0), 0.0
     for _ in range(rounds):
-        image = cut(smatrix.backward(a, smatrix.forward(a, image).withColumnRenamed("q", "y")).withColumnRenamed("c", "value"), "power")
-        size = image.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0] or 0.0
+        back = smatrix.backward(a, smatrix.forward(a, image).withColumnRenamed("q", "y"))
+        if scale is not None:
+            back = back.join(scale, "col_id").select("col_id", (F.col("c") / F.col("diagonal")).alias("c"))
+        image = cut(back.withColumnRenamed("c", "value"), "power")
+        size = _norm(image, F.col("value"))
         image = image.withColumn("value", F.col("value") / (size or 1.0))
     return size
+
+
+@dataclass
+class Result:
+    image: DataFrame
+    saved: DataFrame | None
+    rounds: int
+    costs: list[float]
+
+
+#: Optimizer: whether it takes a prior.
+OPTIMIZERS = {"mlem": False, "mapem": True, "depierro": True, "ppgmlem": True, "gradient": False, "fista": True, "conjugate": True, "primal_dual": False, "lbfgs": True}
+
+
+def reconstruct(
+    a: DataFrame, y: DataFrame, optimizer: str, rounds: int, *, prior: Prior | None = None, step_size: float | None = None, start: float = 0.1, eps: float = 1e-10, precondition: bool = False,
+    beta: float = 0.0, x_size: int = 0, z_size: int = 0, theta: float = 1.0, subsets: int = 1, t_size: int = 1, stop: Stop | None = None, truth: DataFrame | None = None, costs: bool = False, max_saves: int = 0,
+) -> Result:
+    """Run an optimizer of OPTIMIZERS; saved images come as (iter, col_id, value). step_size None: 1.9 / Lipschitz constant."""
+    if optimizer not in OPTIMIZERS:
+        raise ValueError(f"unknown optimizer {optimizer}; one of {', '.join(OPTIMIZERS)}")
+    if prior and not OPTIMIZERS[optimizer]:
+        raise ValueError(f"{optimizer} takes no prior")
+    if optimizer == "primal_dual" and not (x_size and z_size):
+        raise ValueError("primal_dual needs x_size and z_size")
+    if stop and stop.kind == "squared_error" and truth is None:
+        raise ValueError("squared_error needs the truth")
+    if optimizer == "lbfgs":
+        if stop or costs or max_saves:
+            raise ValueError("lbfgs has its own stopping rule and saves no rounds")
+        return Result(lbfgs(a, y, rounds, prior, start), None, rounds, [])
+    a, y = cut(a, "matrix"), cut(y, "signal")
+    scale = None
+    if precondition:
+        d = smatrix.hessian_diagonal(a)
+        top = d.agg(F.max("diagonal")).first()[0] or 1.0
+        scale = cut(d.withColumn("diagonal", F.col("diagonal") + 1e-3 * top), "diagonal")
+    if optimizer in ("gradient", "fista", "conjugate") and step_size is None:
+        step_size = 1.9 / (lipschitz(a, scale=scale) or 1.9)
+    if optimizer in ("mlem", "mapem", "depierro", "ppgmlem"):
+        state, step, cost = *_expectation(optimizer, a, y, prior, start, eps), poisson_cost
+    elif optimizer == "conjugate":
+        state, step, cost = *_conjugate(a, y, step_size, prior, start), squares_cost
+    elif optimizer == "primal_dual":
+        tau, sigma, sigma_p = primal_dual_steps(a, x_size, z_size, subsets)
+        state, step, cost = *_primal_dual(a, y, beta, cut(tau, "tau"), cut(sigma, "sigma"), sigma_p, x_size, theta, subsets, t_size), squares_cost
+    else:
+        state, step, cost = *_descent(a, y, step_size, optimizer == "fista", prior, scale), squares_cost
+    keep = set(saved_rounds(rounds, max_saves)) if max_saves else set()
+    saved: list[DataFrame] = []
+    history: list[float] = []
+    done_rounds = [rounds]
+
+    def after(k: int, before: State, now: State) -> bool:
+        image = now["image"].select("col_id", "value")
+        if k in keep:
+            saved.append(image.select(F.lit(k).alias("iter"), "col_id", "value"))
+        if costs or (stop and stop.kind == "cost"):
+            history.append(cost(a, y, image) + (prior.energy(image) if prior else 0.0))
+        if stop is None:
+            return False
+        if stop.kind == "cost":
+            value = history[-1]
+        elif stop.kind == "squared_error":
+            value = image.join(truth, "col_id").agg(F.avg(F.pow(F.col("value") - F.col("truth"), F.lit(2)))).first()[0]
+        elif stop.kind == "relative_change":
+            both = image.join(before["image"].select("col_id", F.col("value").alias("old")), "col_id")
+            value = _norm(both, F.col("value") - F.col("old")) / (_norm(image, F.col("value")) + 1e-10)
+        elif stop.kind == "gradient_norm":
+            value = _norm(smatrix.backward(a, _residual(a, y, image)), F.col("c"))
+        else:
+            raise ValueError(f"unknown stopping rule {stop.kind}")
+        done_rounds[0] = k + 1
+        return stop.done(value)
+
+    state = _run(state, rounds, step, after if (stop or costs or max_saves) else None)
+    all_saved = None
+    for part in saved:
+        all_saved = part if all_saved is None else all_saved.unionByName(part)
+    return Result(state["image"].select("col_id", "value"), all_saved, done_rounds[0], history)
+
+
+def mlem(a: DataFrame, y: DataFrame, rounds: int, start: float = 0.1, eps: float = 1e-10) -> DataFrame:
+    """x <- max(0, x * A^T(y / Ax) / A^T 1)."""
+    return reconstruct(a, y, "mlem", rounds, start=start, eps=eps).image
+
+
+def mapem(a: DataFrame, y: DataFrame, rounds: int, beta: float, x_size: int, start: float = 0.1, eps: float = 1e-10) -> DataFrame:
+    """One step late: the prior's gradient joins the sensitivity."""
+    return reconstruct(a, y, "mapem", rounds, prior=Prior(beta, x_size), start=start, eps=eps).image
+
+
+def gradient_descent(a: DataFrame, y: DataFrame, rounds: int, step_size: float) -> DataFrame:
+    """x <- max(0, x - s A^T(Ax - y)), from zero."""
+    return reconstruct(a, y, "gradient", rounds, step_size=step_size).image
+
+
+def fista(a: DataFrame, y: DataFrame, rounds: int, step_size: float) -> DataFrame:
+    """gradient_descent with momentum."""
+    return reconstruct(a, y, "fista", rounds, step_size=step_size).image

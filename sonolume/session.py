@@ -1,23 +1,27 @@
-"""Sessions and the cutting of lineage in iterations."""
+"""The shared folder, and the cutting of lineage in iterations."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder of ``spark.checkpoint.dir`` and read it back; an own folder only where that is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; an own one only where that is unset."""
     global _own_dir
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not base:
         _own_dir = _own_dir or tempfile.mkdtemp(prefix="spark-sonolume-")
         base = _own_dir
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write df to the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
