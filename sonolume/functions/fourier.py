@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .patterns import let
+
 
 def _each(f):
     return lambda series: pd.Series([None if v is None else f(np.asarray(v, dtype=float)) for v in series])
@@ -81,17 +83,18 @@ def resample_field(field: DataFrame, keys: list[str], sizes: tuple[int, int, int
 
 def dominant_bin(bits: Column) -> Column:
     """Bin 1 to n/2 - 1 with the largest magnitude in a string of 0 and 1 (ties: the lowest); 0 if all are 1. In the JVM."""
-    values = F.transform(F.split(bits, ""), lambda c: c.cast("double"))
     n = F.length(bits)
 
-    def power(k: Column) -> Column:
-        turn = lambda i: 2 * F.pi() * k * i / n
-        re = F.aggregate(F.transform(values, lambda v, i: v * F.cos(turn(i))), F.lit(0.0), lambda s, v: s + v)
-        im = F.aggregate(F.transform(values, lambda v, i: v * F.sin(turn(i))), F.lit(0.0), lambda s, v: s + v)
-        return F.round(F.sqrt(re * re + im * im), 6)
+    def search(values: Column) -> Column:
+        def power(k: Column) -> Column:
+            turn = lambda i: 2 * F.pi() * k * i / n
+            total = lambda wave: F.aggregate(F.transform(values, lambda v, i: v * wave(turn(i))), F.lit(0.0), lambda s, v: s + v)
+            return F.round(F.sqrt(F.pow(total(F.cos), F.lit(2)) + F.pow(total(F.sin), F.lit(2))), 6)
+
+        return F.array_min(F.transform(F.sequence(F.lit(1), F.floor(n / 2).cast("int") - 1), lambda k: F.struct((-power(k)).alias("p"), k.alias("k"))))["k"]
 
-    found = F.array_sort(F.transform(F.sequence(F.lit(1), F.floor(n / 2).cast("int") - 1), lambda k: F.struct((-power(k)).alias("p"), k.alias("k"))))
-    return F.when(F.replace(bits, F.lit("1"), F.lit("")) == "", F.lit(0)).otherwise(found[0]["k"])
+    found = let(F.transform(F.split(bits, ""), lambda c: c.cast("double")), search)
+    return F.when(F.replace(bits, F.lit("1"), F.lit("")) == "", F.lit(0)).otherwise(found)
 
 
 def ramp_filter(f: Column, kind: str, cutoff: float) -> Column:

@@ -48,9 +48,14 @@ def flipped_code(code: Column) -> Column:
 
 
 def delay_law(angle_deg: Column, elements: int, width: float, speed: float) -> Column:
-    """Delays in ms of every element for a plane wave, from zero."""
-    raw = F.transform(F.sequence(F.lit(1), F.lit(elements)), lambda i: 1000.0 / speed * F.sin(F.radians(angle_deg)) * i * width)
-    return F.transform(raw, lambda d: d - F.array_min(raw))
+    """Delays in ms of every element for a plane wave; the smallest, that of the first or the last element, is zero."""
+    slope = 1000.0 / speed * F.sin(F.radians(angle_deg)) * width
+    return F.transform(F.sequence(F.lit(1), F.lit(elements)), lambda i: slope * i - F.when(slope < 0, slope * elements).otherwise(slope))
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where ``use`` needs it for every element of an array."""
+    return F.transform(F.array(value), use)[0]
 
 
 def phase_of(bits: Column) -> Column:
@@ -84,21 +89,22 @@ def bits_to_hex_reversed(bits: Column) -> Column:
 
 def angle_of_delays(delays: Column, pitch: float, speed: float) -> Column:
     """Steering angle in whole degrees: slope of the regression of delays (s) on element position, signed by the side of the largest."""
-    n = F.size(delays)
-    mean = F.aggregate(delays, F.lit(0.0), lambda s, d: s + d) / n
-    centred = F.transform(delays, lambda d, i: F.struct(((i - (n - 1) / 2) * pitch).alias("x"), (d - mean).alias("d")))
-    sxy = F.aggregate(centred, F.lit(0.0), lambda s, p: s + p["x"] * p["d"])
-    sxx = F.aggregate(centred, F.lit(0.0), lambda s, p: s + p["x"] * p["x"])
-    angle = F.degrees(F.asin(sxy / sxx * speed))
-    top = F.array_position(delays, F.array_max(delays)) - 1
-    half = F.floor(n / 2)
-    return F.rint(F.when(top < half, -F.abs(angle)).when(top > half, F.abs(angle)).otherwise(0.0)).cast("int")
+
+    def angle(d: Column) -> Column:
+        n = F.size(d)
+        moment = F.aggregate(F.transform(d, lambda v, i: (i - (n - 1) / 2) * v), F.lit(0.0), lambda s, v: s + v)
+        slope = moment / (pitch * n * (n * n - 1) / 12)
+        size = F.abs(F.degrees(F.asin(slope * speed)))
+        top, half = F.array_position(d, F.array_max(d)) - 1, F.floor(n / 2)
+        return F.rint(F.when(top < half, -size).when(top > half, size).otherwise(0.0)).cast("int")
+
+    return let(delays, angle)
 
 
 def focus_delays(elements: int, pitch: float, focus_x: Column, focus_z: Column, speed: float) -> Column:
     """Delays in s that bring every element's wave to the focus at one time: the farthest fires first."""
     way = F.transform(F.sequence(F.lit(0), F.lit(elements - 1)), lambda i: F.sqrt(F.pow((i - (elements - 1) / 2) * pitch - focus_x, F.lit(2)) + focus_z * focus_z) / speed)
-    return F.transform(way, lambda d: F.array_max(way) - d)
+    return let(way, lambda w: let(F.array_max(w), lambda top: F.transform(w, lambda d: top - d)))
 
 
 def rotation_centre(positions: list[float], angle: Column, delays: Column, bits: Column, speed: float) -> Column:

@@ -29,8 +29,8 @@ def pattern_phase(spark, d):
 
 
 @register(f"""WITH {_P}, {_BITS}, e AS (SELECT n, i, CAST(bits[i + 1] AS INTEGER) AS v FROM b, range(0, 48) r(i)), k AS (SELECT k FROM range(1, 24) r(k)),
- p AS (SELECT n, k, round(sqrt(power(sum(v * cos(2 * pi() * k * i / 48)), 2) + power(sum(v * sin(2 * pi() * k * i / 48)), 2)), 6) AS p FROM e, k GROUP BY 1, 2)
- SELECT n, CAST(first(k ORDER BY p DESC, k) AS INTEGER) AS bin FROM p GROUP BY 1""")
+ m AS (SELECT n, k, round(sqrt(power(sum(v * cos(2 * pi() * k * i / 48)), 2) + power(sum(v * sin(2 * pi() * k * i / 48)), 2)), 6) AS p FROM e, k GROUP BY 1, 2)
+ SELECT n, CAST(first(k ORDER BY p DESC, k) AS INTEGER) AS bin FROM m GROUP BY 1""")
 def pattern_frequency(spark, d):
     return _codes(spark, d).select("n", fourier.dominant_bin(patterns.hex_to_bits(F.col("code"), 48)).cast("int").alias("bin"))
 
