@@ -64,8 +64,8 @@ def pair_energy(kind: str, a, b, w, beta: float, delta: float = 1.0, gamma: floa
 def pairs(image: DataFrame, columns: list[str], radius: int = 1, shape: str = "cross") -> DataFrame:
     """Each pixel with each neighbour on the grid: (z, x, a_<column>.., b_<column>.., w), by an equi-join on (z, x)."""
     spark = image.sparkSession
-    steps = F.broadcast(spark.createDataFrame(offsets(radius, shape), "dz int, dx int, w double"))  # at most (2 radius + 1)^2 rows
-    asked = image.crossJoin(steps).select("z", "x", *[F.col(c).alias(f"a_{c}") for c in columns], "w", (F.col("z") + F.col("dz")).alias("nz"), (F.col("x") + F.col("dx")).alias("nx"))
+    steps = F.broadcast(spark.createDataFrame(offsets(radius, shape), "dz int, dx int, _w double"))  # at most (2 radius + 1)^2 rows
+    asked = image.crossJoin(steps).select("z", "x", *[F.col(c).alias(f"a_{c}") for c in columns], F.col("_w").alias("w"), (F.col("z") + F.col("dz")).alias("nz"), (F.col("x") + F.col("dx")).alias("nx"))
     other = image.select(F.col("z").alias("nz"), F.col("x").alias("nx"), *[F.col(c).alias(f"b_{c}") for c in columns])
     return asked.join(other, ["nz", "nx"]).drop("nz", "nx")
 
