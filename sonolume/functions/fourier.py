@@ -81,6 +81,32 @@ def resample_field(field: DataFrame, keys: list[str], sizes: tuple[int, int, int
     return field
 
 
+def _cubic(v: np.ndarray, size: int) -> list[float]:
+    n = len(v)
+    if n < 2 or size < 1:
+        return (np.repeat(v, size) if n else v).tolist()
+    period = 2 * (n - 1)
+    turn = 2 * np.pi * np.arange(period // 2 + 1) / period
+    # The series mirrored about both ends is periodic, so its spline coefficients come from one division of spectra.
+    c = np.fft.irfft(np.fft.rfft(np.concatenate([v, v[-2:0:-1]])) * 6 / (4 + 2 * np.cos(turn)), period)
+    at = np.arange(size) * ((n - 1) / (size - 1) if size > 1 else 0.0)
+    i = np.floor(at).astype(int)
+    u = at - i
+    parts = ((1 - u) ** 3, 4 - 6 * u**2 + 3 * u**3, 1 + 3 * u + 3 * u**2 - 3 * u**3, u**3)
+    return (sum(w * c[(i + k - 1) % period] for k, w in enumerate(parts)) / 6).tolist()
+
+
+def cubic_zoom(series: Column, size: int) -> Column:
+    """Interpolating cubic spline at ``size`` even places from the first sample to the last; mirrored at the ends. Empty: empty."""
+    return pandas_udf(_each(lambda v: _cubic(v, size)), "array<double>")(series)
+
+
+def uniform_length(signals: DataFrame, keys: list[str], size: int, at: str = "t", value: str = "y") -> DataFrame:
+    """Signals (keys.., t, y) stretched or shrunk along t to ``size`` samples by cubic splines."""
+    packed = pack(signals, keys, at, value)
+    return unpack(packed.withColumn("series", cubic_zoom(F.col("series"), size)), keys, at, value)
+
+
 def dominant_bin(bits: Column) -> Column:
     """Bin 1 to n/2 - 1 with the largest magnitude in a string of 0 and 1 (ties: the lowest); 0 if all are 1. In the JVM."""
     n = F.length(bits)
