@@ -150,9 +150,21 @@ def signal_envelope(spark, d):
     return _vectors(spark, d).select("vec_id", F.posexplode(fourier.envelope(F.col("series"))).alias("t", "value")).select("vec_id", "t", F.round("value", 5).alias("value"))
 
 
-@register()
+@register(f"""WITH {_SERIES}, f AS MATERIALIZED (SELECT vec_id, k, CASE WHEN k = 0 THEN 1 ELSE 2 END * CASE WHEN k <= 14 THEN 1 ELSE 0.5 * (1 + cos(pi() * (k - 14) / 6)) END AS w, sum(v * cos(2 * pi() * k * i / 64)) AS re, -sum(v * sin(2 * pi() * k * i / 64)) AS im FROM s, range(0, 20) b(k) GROUP BY 1, 2)
+ SELECT vec_id, CAST(t AS INTEGER) AS t, round(sum(w * (re * cos(2 * pi() * k * t / 40) - im * sin(2 * pi() * k * t / 40))) / 64, 5) + 0.0 AS value FROM f, range(0, 40) r(t) GROUP BY 1, 2""")
 def signal_resample(spark, d):
-    return _vectors(spark, d).select("vec_id", F.posexplode(fourier.resample(F.col("series"), 40)).alias("t", "value")).select("vec_id", "t", F.round("value", 5).alias("value"))
+    return _vectors(spark, d).select("vec_id", F.posexplode(fourier.resample(F.col("series"), 40)).alias("t", "value")).select("vec_id", "t", (F.round("value", 5) + 0.0).alias("value"))
+
+
+# The spline's coefficients are sums over the mirrored samples with weights that fall by sqrt(3) - 2 a step: 40 steps reach 1e-22.
+@register(f"""WITH {_SERIES}, c AS (SELECT k, CASE WHEN m < 64 THEN m ELSE 126 - m END AS i, sum(w) AS w FROM
+  (SELECT k, ((k + d) % 126 + 126) % 126 AS m, sqrt(3) * power(sqrt(3) - 2, abs(d)) AS w FROM range(-1, 66) a(k), range(-40, 41) b(d)) GROUP BY 1, 2),
+ o AS (SELECT t, CAST(floor(t * 63 / 99.0) AS BIGINT) AS f, t * 63 / 99.0 - floor(t * 63 / 99.0) AS u FROM range(0, 100) r(t)),
+ p AS (SELECT t, f - 1 AS k, (1 - u) ** 3 / 6 AS w FROM o UNION ALL SELECT t, f, (4 - 6 * u ** 2 + 3 * u ** 3) / 6 FROM o UNION ALL SELECT t, f + 1, (1 + 3 * u + 3 * u ** 2 - 3 * u ** 3) / 6 FROM o UNION ALL SELECT t, f + 2, u ** 3 / 6 FROM o),
+ m AS MATERIALIZED (SELECT t, i, sum(p.w * c.w) AS w FROM p JOIN c USING (k) GROUP BY 1, 2)
+ SELECT vec_id, CAST(t AS INTEGER) AS t, round(sum(w * v), 5) + 0.0 AS value FROM m JOIN s USING (i) GROUP BY 1, 2""")
+def signal_cubic_zoom(spark, d):
+    return _vectors(spark, d).select("vec_id", F.posexplode(fourier.cubic_zoom(F.col("series"), 100)).alias("t", "value")).select("vec_id", "t", (F.round("value", 5) + 0.0).alias("value"))
 
 
 _FREQ = "f AS (SELECT p_partkey AS n, (p_partkey % 101 - 50) / 25.0 AS f FROM part)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import generators, metrics, stencil
 from ..session import cut
-from . import analytic, solvers
+from . import analytic, focused, solvers
 from .catalogue import _A, _G, _GRAD, _PRIOR, _Y, T, X, _grid, _image, _matrix, _signal, _table, register
 
 def _rounded():
@@ -136,7 +136,14 @@ def image_similarity(spark, d):
     return found.select(F.round("ssim", 8).alias("ssim"))
 
 
-@register()
+def _mirror(at: str, size: str) -> str:
+    m = f"(({at}) % (2 * {size}) + 2 * {size}) % (2 * {size})"
+    return f"CASE WHEN {m} < {size} THEN {m} ELSE 2 * {size} - 1 - {m} END"
+
+
+@register(f"""WITH {_G}, n AS (SELECT max(z) + 1 AS n FROM g), kx AS (SELECT k, exp(-0.5 * power(k / 1.5, 2)) AS w FROM range(-6, 7) r(k)), kz AS (SELECT k, exp(-0.5 * power(k, 2)) AS w FROM range(-4, 5) r(k)),
+ a AS MATERIALIZED (SELECT o.z, o.x, sum(w * i.value) / sum(w) AS value FROM (SELECT z, x, w, {_mirror("x + k", "50")} AS m FROM g, kx) o JOIN g i ON i.z = o.z AND i.x = o.m GROUP BY 1, 2)
+ SELECT o.z, o.x, round(sum(w * i.value) / sum(w), 6) AS value FROM (SELECT z, x, w, {_mirror("z + k", "n")} AS m FROM a, kz, n) o JOIN a i ON i.x = o.x AND i.z = o.m GROUP BY 1, 2""")
 def image_smooth(spark, d):
     """Gaussian filter along x, then z."""
     grid = _grid(spark, d)
@@ -160,3 +167,25 @@ def back_projected_image(spark, d):
     filtered = analytic.filtered_traces(_traces(spark, d), T, 0.2, 2.0, 0.1)
     pixels = generators.grid(spark, T, X)
     return analytic.back_project(filtered, pixels, T, X, 0.2, 0.2, 0.1).select("z", "x", F.round("value", 4).alias("value"))
+
+
+_FOCUS = dict(t_size=64, z_size=30, dx=1e-3, dz=1e-3, speed=1500.0, rate=2.98e6, frequency=1e6, cycles=2.0, focus=15e-3, aperture=10e-3)
+_WAIST = "(1.028 * 1.5e-3 * 1.5 / (2 * sqrt(2 * ln(2))))"
+_WIDTH = f"({_WAIST} * sqrt(1 + power((z * 1e-3 - 15e-3) / (pi() * power({_WAIST}, 2) / 1.5e-3), 2)) / 1e-3)"
+
+
+@register(f"""WITH s AS (SELECT vec_id AS x, i - 5 AS t, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(5, 60) r(i)), n AS (SELECT count(*) AS n FROM embeddings),
+ p AS (SELECT z, CAST(floor(z * 54 / 29.0) AS BIGINT) AS f, z * 54 / 29.0 - floor(z * 54 / 29.0) AS u FROM range(0, 30) r(z)),
+ raw AS MATERIALIZED (SELECT z, x, sum(v * CASE WHEN t = f THEN 1 - u ELSE u END) AS v FROM p JOIN s ON t = f OR t = f + 1 GROUP BY 1, 2),
+ lev AS MATERIALIZED (SELECT z, x, v - min(v) OVER (PARTITION BY x) AS v FROM raw),
+ kz AS (SELECT k, exp(-0.5 * power(k / (3 / (2 * sqrt(2 * ln(2)))), 2)) AS w FROM range(-5, 6) r(k)),
+ ax AS MATERIALIZED (SELECT o.z, o.x, sum(w * i.v) / sum(w) AS v FROM (SELECT z, x, w, {_mirror("z + k", "30")} AS m FROM lev, kz) o JOIN lev i ON i.x = o.x AND i.z = o.m GROUP BY 1, 2),
+ kx AS (SELECT z AS line, k, exp(-0.5 * power(k / {_WIDTH}, 2)) AS w FROM range(0, 30) a(z), range(-40, 41) b(k) WHERE abs(k) <= floor(4 * {_WIDTH} + 0.5)),
+ la AS MATERIALIZED (SELECT o.z, o.x, sum(w * i.v) / sum(w) AS v FROM (SELECT z, x, w, {_mirror("x + k", "n")} AS m FROM ax JOIN kx ON line = z, n) o JOIN ax i ON i.z = o.z AND i.x = o.m GROUP BY 1, 2)
+ SELECT z, x, round((v - (SELECT min(v) FROM la)) / ((SELECT max(v) - min(v) FROM la) + 1e-9), 6) + 0.0 AS value FROM la""")
+def focused_image(spark, d):
+    """Vectors as the signals of a focused scan: one emission each, one lateral place each."""
+    vectors = _table(spark, d, "embeddings")
+    signals = vectors.select(F.col("vec_id").alias("n"), F.posexplode(F.col("embedding").cast("array<double>")).alias("t", "y"))
+    n = vectors.count()
+    return focused.focused_image(signals, n_size=n, x_size=n, **_FOCUS).select("z", "x", (F.round("value", 6) + 0.0).alias("value"))
