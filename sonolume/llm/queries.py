@@ -76,4 +76,30 @@ SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op3_line_rules": rf"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+        t AS (SELECT r, i, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+        c AS (SELECT r, i, w3 IS NOT NULL AND count(*) OVER (PARTITION BY r, w, w2, w3) > 1 AS twice FROM t),
+        k AS (
+            SELECT r, count(*) AS n_words, count(*) FILTER (WHERE covered) AS n_repeat_words FROM (
+                SELECT r, twice OR coalesce(lag(twice) OVER p, false) OR coalesce(lag(twice, 2) OVER p, false) AS covered FROM c WINDOW p AS (PARTITION BY r ORDER BY i)
+            ) GROUP BY r
+        ), l AS (SELECT r, line, length(line) AS n, length(line) - length(replace(line, ' ', '')) AS spaces FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+        b AS (
+            SELECT r, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS solid,
+                   (n - length(translate(line, '{quality.MARKS}', ''))) * 100 >= n * {quality.MARK_PERCENT}
+                   OR (n >= {quality.CAPITALS_LENGTH} AND regexp_matches(line, '[A-ZÀ-ÖØ-Þ]') AND NOT regexp_matches(line, '[a-zß-öø-ÿ]'))
+                   OR (spaces >= {quality.UNPUNCTUATED_WORDS - 1} AND NOT regexp_matches(line, '[.,;:!?。，！？؟।]'))
+                   OR (spaces < {quality.BOILERPLATE_WORDS} AND regexp_matches(line, '{quality.BOILERPLATE}')) AS bad
+            FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+        ), m AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(solid) FILTER (WHERE bad), 0) AS lost FROM b GROUP BY r),
+        s AS (
+            SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+                   CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+            FROM d LEFT JOIN k USING (r) LEFT JOIN m USING (r)
+        ), v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost * 100 <= word_chars * {quality.LOST_PERCENT} AS kept FROM v
+    """,
 }
