@@ -19,10 +19,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; rows that repeat an id count once."""
-    classes = simhash.near_duplicates(docs)
-    keepers = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keeper")).distinct()
-    return docs.join(keepers, F.col("doc_id").eqNullSafe(F.col("keeper")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group: the smallest by id (null ids last), then by the hashes of the text and of the row."""
+    columns = [F.col(c) for c in docs.columns]
+    keyed = docs.withColumns({"_text": F.xxhash64("text"), "_row": F.xxhash64(*columns, *(c.isNull() for c in columns))})
+    keepers = simhash.class_keepers(keyed, ("_text", "_row")).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), F.col("_row").alias("_r"))
+    kept = keyed.join(keepers, (F.col("_text") == F.col("_t")) & (F.col("_row") == F.col("_r")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text", "_row"]).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

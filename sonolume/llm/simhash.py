@@ -42,16 +42,17 @@ def fingerprint(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (long, the fingerprint's 64 bits) of every row. Null and blank texts: 0."""
+def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (long, the fingerprint's 64 bits) and the longs named in carry of every row. Null and blank texts: 0."""
+    names = ["doc_id", "fp", *carry]
 
     def run(batches):
         for batch in batches:
             fps = [fingerprint(t.as_py() or b"", width) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]], names)
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return base.mapInArrow(run, "doc_id long, fp long")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *carry)
+    return base.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -142,5 +143,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col:
     return found.join(answer, "fp").select("doc_id", "fp", "component_id")
 
 
+def class_keepers(docs: DataFrame, carry: tuple[str, ...], width: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the longs named in carry of one row for each class of near_duplicates: the smallest of both, null ids last."""
+    found = fingerprints(docs, width, id_col, text_col, carry)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *carry)
+    fps = materialize(found.groupBy("fp").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("weight")), "distinct")
+    links = link_fingerprints(fps.select("fp", "weight"), max_bits)
+    classed = fps.join(links, "fp", "left").select("first", F.coalesce("component", "fp").alias("class"))
+    return classed.groupBy("class").agg(F.min("first").alias("first")).select("first.doc_id", *(f"first.{c}" for c in carry))
+
+
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

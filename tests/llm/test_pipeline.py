@@ -73,3 +73,13 @@ def test_empty(spark, tmp_path):
     for _, f in corpus_pipeline.STAGES:
         df2 = f(spark, df, str(tmp_path))
         assert df2.count() == 0
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e, f = (" ".join(f"{tag}{rng.randint(0, 400)}" for _ in range(120)) for tag in "abcdef")
+    rows = [(5, a), (5, b), (3, a), (None, c), (None, d), (None, d), (None, e), (9, e), (7, f), (7, f), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == COLUMNS
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, a), (5, b), (None, c), (None, d), (9, e), (7, f)])
