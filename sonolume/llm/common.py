@@ -34,6 +34,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a result of materialize that nothing reads any more."""
+    spark = df.sparkSession
+    found = df.inputFiles()
+    if found:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(found[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def word_array(text: Column) -> Column:
     """Words (maximal runs of non-white-space) of a text; null and blank texts give an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

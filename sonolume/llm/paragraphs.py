@@ -1,4 +1,4 @@
-"""Substring dedup by paragraphs: MinHash banding, exact Jaccard on colliding pairs, removals by components."""
+"""Substring dedup: lines by MinHash banding and exact Jaccard on colliding pairs, passages anywhere in the text by chosen word windows."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import SPACE_CLASS, connected_components, discard, materialize
 
 SEED = 42
 #: Words in a shingle and least Jaccard similarity of two paragraphs that count as one passage.
@@ -23,6 +23,10 @@ MISS = 1e-3
 ROWS = 3
 #: Longs of a paragraph's odd sketch: every shingle flips one of its bits.
 SKETCH = 4
+#: Words in a window. Of STEP windows in a row one at least is compared, so that a passage of PASSAGE + STEP - 1 words shares
+#: a window with its copy wherever both lie, and STEP - 1 words at each end of it may stay.
+PASSAGE = 30
+STEP = 11
 
 
 def bands_for(similarity: float, rows: int, miss: float) -> int:
@@ -208,7 +212,113 @@ def link_paragraphs(rows: DataFrame, docs: DataFrame, bands: int, similarity: fl
     links = _verified(pairs, sets, similarity).select(F.col("c").alias("a"), F.col("oc").alias("b"))
     second = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
     ends = first.select(F.col("node").alias("pid"), "component").unionByName(second.select(F.col("component").alias("pid"), "component")).distinct()
-    return ends.join(second, "component", "left").groupBy("pid").agg(F.min(F.coalesce("top", "component")).alias("component"))
+    answer = materialize(ends.join(second, "component", "left").groupBy("pid").agg(F.min(F.coalesce("top", "component")).alias("component")), "links")
+    for table in (distinct, multi, sets, members, labelled):
+        discard(table)
+    return answer
+
+
+def window_hashes(words: np.ndarray, passage: int) -> np.ndarray:
+    """64-bit hash of every run of ``passage`` words, from the hashes of the words."""
+    n = len(words) - passage + 1
+    total = np.zeros(max(0, n), np.uint64)
+    for k in range(passage if n > 0 else 0):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+    total = (total ^ (total >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return total ^ (total >> np.uint64(29))
+
+
+def chosen_windows(hashes: np.ndarray, step: int) -> np.ndarray:
+    """Positions of the least hash of every ``step`` neighbours: the same in each copy, whatever stands around it."""
+    if len(hashes) <= step:
+        return np.array([hashes.argmin()] if len(hashes) else [], np.int64)
+    near = np.lib.stride_tricks.sliding_window_view(hashes, step)
+    return np.unique(near.argmin(axis=1) + np.arange(len(near)))
+
+
+def passage_rows(docs: DataFrame, passage: int = PASSAGE, step: int = STEP) -> DataFrame:
+    """doc_id, mark, at, gram for every chosen window of the whole text; ``at`` is the number of its first word, from 0."""
+    names = ["doc_id", "mark", "at", "gram"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
+    def run(batches):
+        import xxhash
+
+        known: dict[bytes, int] = {}
+
+        def word_hash(w: bytes) -> int:
+            found = known.get(w)
+            if found is None:
+                if len(known) > 200_000:
+                    known.clear()
+                found = known[w] = xxhash.xxh3_64_intdigest(w, SEED)
+            return found
+
+        for batch in batches:
+            docs, marks, ats, grams, n = [], [], [], [], 0
+
+            def pack():
+                at, gram = np.concatenate(ats), np.concatenate(grams).view(np.int64)
+                return pa.record_batch([pa.array(c, t) for c, t in zip((docs, marks, at, gram), types)], names)
+
+            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                words = (text.as_py() or b"").lower().split()
+                hashes = window_hashes(np.fromiter(map(word_hash, words), np.uint64, len(words)), passage)
+                at = chosen_windows(hashes, step)
+                docs += [doc] * len(at)
+                marks += [mark] * len(at)
+                ats.append(at)
+                grams.append(hashes[at])
+                n += len(at)
+                if n > 100_000:
+                    yield pack()
+                    docs, marks, ats, grams, n = [], [], [], [], 0
+            if n:
+                yield pack()
+
+    base = docs.select("doc_id", "mark", F.col("text").cast("binary").alias("text"))
+    return base.mapInArrow(run, "doc_id long, mark long, at int, gram long")
+
+
+def _spans(places: DataFrame, passage: int) -> DataFrame:
+    """doc_id, mark, spans (of words to remove, end excluded), passages_in: the windows gone, less the words of windows that stay."""
+    kind = "doc_id long, mark long, spans array<struct<start: int, end: int>>, passages_in array<long>"
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def covered(at: list, size: int) -> np.ndarray:
+        ends = np.zeros(size + 1, np.int64)
+        np.add.at(ends, np.array(at, np.int64), 1)
+        np.add.at(ends, np.array(at, np.int64) + passage, -1)
+        return np.cumsum(ends) > 0
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for gone, stay in zip(batch.column("gone").to_pylist(), batch.column("stay").to_pylist()):
+                size = max([*gone, *stay]) + passage
+                cut = np.diff((covered(gone, size) & ~covered(stay, size)).astype(np.int8), prepend=0)
+                out.append([{"start": a, "end": b} for a, b in zip(np.flatnonzero(cut == 1).tolist(), np.flatnonzero(cut == -1).tolist())])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(out, spans_type), batch.column("passages_in")], ["doc_id", "mark", "spans", "passages_in"])
+
+    return places.mapInArrow(run, kind)
+
+
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE, step: int = STEP) -> DataFrame:
+    """doc_id, mark, spans, passages_in for texts with a passage to remove, found across line breaks and inside longer lines.
+
+    docs: doc_id, mark, text. Windows are equal or not: below 49 words one other word inside takes a window under Jaccard 0.8
+    anyway. Of equal windows the smallest (doc_id, mark, at) stays; its words stay even where another window is a repeat.
+    """
+    rows = passage_rows(docs, passage, step)
+    place = F.struct("doc_id", "mark", "at")
+    kept = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keeper")).where("n > 1").select("gram", "keeper")
+    hits = rows.join(kept, "gram").select("doc_id", "mark", "at", place.eqNullSafe(F.col("keeper")).alias("stays"), F.col("keeper.doc_id").alias("keeper"))
+    places = hits.groupBy("doc_id", "mark").agg(
+        F.collect_set(F.when(~F.col("stays"), F.col("at"))).alias("gone"),
+        F.collect_set(F.when(F.col("stays"), F.col("at"))).alias("stay"),
+        F.sort_array(F.collect_set(F.when(~F.col("stays"), F.col("keeper")))).alias("passages_in"),
+    )
+    return materialize(_spans(places.where(F.size("gone") > 0), passage).where(F.size("spans") > 0), "passages")
 
 
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, width: int = WIDTH, rows: int = ROWS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,16 +327,35 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, min_wor
     A paragraph is a line of min_words words or more. Of each component of linked paragraphs the occurrence with the
     smallest (doc_id, line) stays; all others, in any document, are removals. Returns doc_id, mark (hash of the text),
     n_paragraphs, n_repeated (in a component with several occurrences), n_removed, removed_lines (sorted line numbers from
-    0) and kept_in (ids of the documents that keep them). Null and blank texts have no paragraphs. Null ids sort first.
+    0) and kept_in (ids of the documents that keep them); and of passages anywhere in the whole text (see repeated_passages)
+    n_passage_words, passages (start and end of their words, from 0, end excluded) and passages_in. Null and blank texts have no paragraphs. Null ids sort first.
     Rows that repeat id and text share one result. Empty table: no rows.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    base = _base(docs, id_col, text_col)
+    lines = _repeated_lines(base, similarity, min_words, width, rows, miss)
+    found = repeated_passages(base).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("passages"), "passages_in")
+    joined = lines.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").drop("_id", "_mark")
+    n = F.aggregate("passages", F.lit(0), lambda total, s: total + s["end"] - s["start"])
+    return joined.select(
+        "*", F.coalesce(n, F.lit(0)).cast("long").alias("n_passage_words"), F.coalesce("passages", F.array().cast("array<struct<start: int, end: int>>")).alias("passages_"),
+        F.coalesce("passages_in", F.array().cast("array<long>")).alias("passages_in_"),
+    ).drop("passages", "passages_in").withColumnsRenamed({"passages_": "passages", "passages_in_": "passages_in"})
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+
+
+def _repeated_lines(base: DataFrame, similarity: float, min_words: int, width: int, rows: int, miss: float) -> DataFrame:
+    """The columns of repeated_paragraphs up to kept_in."""
     bands = bands_for(similarity, rows, miss)
     found = materialize(paragraph_rows(base, bands, rows, min_words, width), "lines")
     links = link_paragraphs(found, base, bands, similarity, min_words, width)
     place = F.struct("doc_id", "mark", "line")
-    occurrences = found.where("pid is not null").select("doc_id", "mark", "line", "pid").join(links, "pid", "left").select("doc_id", "mark", "line", F.coalesce("component", "pid").alias("class"))
-    occurrences = materialize(occurrences, "occurrences")
+    every = found.select("doc_id", "mark", "line", "pid").join(links, "pid", "left").select("doc_id", "mark", "line", "pid", F.coalesce("component", "pid").alias("class"))
+    every = materialize(every, "occurrences")
+    discard(found)
+    found, occurrences = every, every.where("pid is not null").select("doc_id", "mark", "line", "class")
     kept = occurrences.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keeper")).where("n > 1").select("class", "keeper")
     marked = occurrences.join(kept, "class").select("doc_id", "mark", "line", F.when(~place.eqNullSafe(F.col("keeper")), F.col("keeper.doc_id")).alias("kept_in"), (~place.eqNullSafe(F.col("keeper"))).alias("gone"))
     every = found.select("doc_id", "mark", F.col("pid").isNotNull().cast("long").alias("one"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("long").alias("kept_in"), F.lit(None).cast("boolean").alias("gone"))
@@ -245,10 +374,29 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, min_wor
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the repeated paragraphs cut out of the text; rows, other columns and texts without repeats stay as they are."""
-    repeats = repeated_paragraphs(docs, id_col=id_col, text_col=text_col, **options).where("n_removed > 0")
-    repeats = repeats.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("removed_lines").alias("_removed"))
-    marked = docs.withColumn("_own", F.xxhash64(text_col))
-    joined = marked.join(repeats, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left")
+    """docs with the repeated lines, then the passages repeated in what is left, cut out of the text; all else stays as it is."""
+    settings = {"similarity": SIMILARITY, "min_words": MIN_WORDS, "width": WIDTH, "rows": ROWS, "miss": MISS} | options
+    repeats = _repeated_lines(_base(docs, id_col, text_col), **settings).where("n_removed > 0")
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
+    docs = materialize(_cut(docs, repeats.select("doc_id", "mark", F.col("removed_lines").alias("_removed")), left, id_col, text_col), "cut")
+    passages = repeated_passages(_base(docs, id_col, text_col)).select("doc_id", "mark", F.col("spans").alias("_removed"))
+    return _cut(docs, passages, _without_spans(F.col(text_col)), id_col, text_col)
+
+
+def _cut(docs: DataFrame, repeats: DataFrame, left: Column, id_col: str, text_col: str) -> DataFrame:
+    """docs with the text ``left`` where repeats (doc_id, mark, _removed) has a row for it."""
+    repeats = repeats.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+    joined = docs.withColumn("_own", F.xxhash64(text_col)).join(repeats, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left")
     return joined.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+
+
+def _without_spans(text: Column) -> Column:
+    """The text without the words in _removed; line breaks before a span stay."""
+    parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def part(p: Column, i: Column) -> Column:
+        first = F.exists("_removed", lambda s: i == s["start"])
+        inside = F.exists("_removed", lambda s: (i >= s["start"]) & (i < s["end"]))
+        return F.when(first, F.regexp_replace(p, r"[^\n]", "")).when(inside, F.lit("")).otherwise(p)
+
+    return F.concat(F.array_join(F.transform(parts, part), ""), F.regexp_extract(text, SPACE_CLASS + r"\z", 0))

@@ -1,6 +1,6 @@
 import random
 
-from sonolume.llm.paragraphs import bands_for, normal_form, remove_repeats, repeated_paragraphs
+from sonolume.llm.paragraphs import STEP, bands_for, normal_form, remove_repeats, repeated_paragraphs
 
 from .fixtures import awkward_docs, no_docs
 
@@ -87,3 +87,25 @@ def test_rows_columns_and_empty(spark):
     df, rows = awkward_docs(spark, n=10)
     assert remove_repeats(df).count() == len(rows) and remove_repeats(df).columns == df.columns
     assert repeated_paragraphs(no_docs(spark)).count() == 0
+
+
+def test_passages_inside_and_across_lines(spark):
+    rng = random.Random(6)
+    own = lambda n, tag: [f"{tag}{rng.randint(0, 9999)}" for _ in range(n)]
+    lines = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    inside, wrapped = own(60, "in"), own(60, "wr")
+    texts = [
+        " ".join(own(40, "a") + inside + own(50, "b")), " ".join(own(70, "c") + inside + own(20, "d")),
+        lines(own(25, "e") + wrapped + own(35, "f"), 10), lines(own(13, "g") + wrapped + own(47, "h"), 10), " ".join(own(90, "k")) + " \n", "x " * 300,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in repeated_paragraphs(df).collect()}
+    assert [found[i].n_passage_words > 0 for i in range(6)] == [False, True, False, True, False, True]
+    assert list(found[1].passages_in) == [0] and list(found[3].passages_in) == [2] and all(found[i].n_removed == 0 for i in range(6))
+    left = {r.doc_id: r.text for r in remove_repeats(df).collect()}
+    assert all(left[i] == texts[i] for i in (0, 2, 4))
+    for i, passage in ((1, inside), (3, wrapped)):
+        words = left[i].split()
+        assert [w for w in words if w not in passage] == [w for w in texts[i].split() if w not in passage]
+        assert sum(w in passage for w in words) <= 2 * (STEP - 1)
+    assert 30 <= len(left[5].split()) < 300
