@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns
+from ..session import cut
 
 
 def near_phases(scans: DataFrame, phases: list[float], column: str = "phase") -> DataFrame:
@@ -82,9 +83,32 @@ def combine_phases(traces: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_pair_mean(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """Repeats of a key folded in the order of n as ((a + b) / 2 + c) / 2; a key has as many rows as its scans repeat."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("n", "y"))), lambda r: r["y"])
-    return signals.groupBy(*keys).agg(rows.alias("_y")).select(*keys, F.aggregate(F.slice("_y", 2, F.greatest(F.size("_y") - 1, F.lit(0))), F.col("_y")[0], lambda s, v: (s + v) / 2).alias("y"))
+    """Repeats of a key folded in the order of n as ((a + b) / 2 + c) / 2. A null y makes the fold null, as an addition does.
+
+    The fold is a weighted sum: the k-th of m repeats counts 2^-(m - k + 1), the first as much as the second. The m - k come
+    from counts of ranges of (n, y) over all keys, as in renumber, so that no key is sorted in one task.
+    """
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    own = [f"_k{i}" for i in range(len(keys))]
+    rows = signals.select(*named, "n", "y")
+    order = [F.asc_nulls_first("n"), F.asc_nulls_first("y")]
+    placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    placed = cut(placed, "repeats")
+    sizes = placed.groupBy(*own, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    after = Window.partitionBy(*own).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    later = sizes.select(*(F.col(c).alias("_j" + c) for c in own), F.col("_part").alias("_q"), F.coalesce(F.sum("_c").over(after), F.lit(0)).alias("_later"), F.sum("_c").over(Window.partitionBy(*own)).alias("_m"))
+    same = F.col("_part") == F.col("_q")
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col("_j" + c))
+    inside = Window.partitionBy(*own, "_part").orderBy(F.desc_nulls_last("n"), F.desc_nulls_last("y"), F.desc("_at"))
+    ranked = placed.join(later, same).withColumn("_behind", F.col("_later") + F.row_number().over(inside) - 1)
+    first = F.col("_behind") == F.col("_m") - 1
+    halvings = F.col("_behind") + F.when(first, 0).otherwise(1)
+    half = F.floor(halvings / 2)
+    term = F.col("y") * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - halvings)  # in two steps: 2^-1080 alone is zero
+    term = F.when(F.abs("y") == F.lit(float("inf")), F.col("y")).otherwise(term)
+    folded = ranked.groupBy(*own).agg(F.sum(term).alias("_s"), F.count(F.lit(1)).alias("_n"), F.count("y").alias("_filled"))
+    return folded.select(*(F.col(c).alias(k) for c, k in zip(own, keys)), F.when(F.col("_n") == F.col("_filled"), F.col("_s")).alias("y"))
 
 
 def serpentine(position, x_size: int):

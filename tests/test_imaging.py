@@ -261,3 +261,18 @@ def test_damaged_image_fails(spark, tmp_path):
     (tmp_path / "header").write_text("!matrix size [1] := 2\n!matrix size [2] := 2\n!number format := short float\n")
     with pytest.raises(Exception):
         binary.read_image(spark, f"{tmp_path}/data", f"{tmp_path}/header").collect()
+
+
+def test_pair_mean_of_a_hot_key(spark):
+    draw = np.random.default_rng(12)
+    rows = [(None if i % 11 == 0 else 1 if i % 3 else i % 7, int(n), float(draw.normal())) for i, n in enumerate(draw.permutation(5000))]
+    rows += [(50, 1, 2.0), (51, 1, None), (51, 2, 3.0), (52, 1, math.inf), (53, 1, 1e300), *[(k, n, 0.0) for k in (52, 53) for n in range(2, 2 + 3000 if k == 52 else 2 + 1080)]]
+    df = spark.createDataFrame(rows, "k long, n long, y double").repartition(9)
+    found = scans.running_pair_mean(df, ["k"])
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    want = {}
+    for k, _, y in sorted(rows, key=lambda r: r[1]):
+        want[k] = y if k not in want else None if y is None or want[k] is None else (want[k] + y) / 2
+    got = {r.k: r.y for r in found.collect()}
+    assert set(got) == set(want) and got[51] is None
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want if k != 51)
