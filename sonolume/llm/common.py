@@ -16,11 +16,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of this machine only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; in local mode alone, where that is unset, a folder of this machine."""
     global _own_dir
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-sonolume-")
     return _own_dir
@@ -43,6 +45,14 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_array(text: Column) -> Column:
     """Words (maximal runs of non-white-space) of a text; null and blank texts give an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -77,19 +87,20 @@ def group_ranks(df: DataFrame, group: str, spread: Column, order: list[str], pie
     return joined.withColumn("rank", place + F.col("_offset")).drop("_piece", "_group", "_p", "_offset")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the edge list; component is the smallest node reachable.
 
     Alternating large-star and small-star contraction: every round joins edges with per-node minima, so that a node with
-    a very large degree is spread by the shuffle join's skew handling and never gathered into one group. Nodes are long
-    or string; null ends and loops are ignored. An empty edge list gives no rows.
+    a very large degree is spread by the shuffle join's skew handling and never gathered into one group. Rounds go on until
+    a round leaves the edges as they were. Nodes are long or string; null ends and loops are ignored. An empty edge list
+    gives no rows.
     """
     pairs = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     ).distinct()
     pairs = materialize(pairs, "cc")
     digest = None
-    for _ in range(max_rounds):
+    while True:
         seen = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo") % 1_000_003), F.sum(F.xxhash64("lo", "hi") % 998_244_353)).first()
         if seen == digest or seen[0] == 0:
             break
@@ -101,7 +112,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(low, "hi")
         small = joined.select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        pairs = materialize(small.select("e.hi", "e.lo").where(F.col("hi") != F.col("lo")).distinct(), "cc")
+        spent, pairs = pairs, materialize(small.select("e.hi", "e.lo").where(F.col("hi") != F.col("lo")).distinct(), "cc")
+        discard(spent)
     labels = pairs.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
     roots = labels.select(F.col("component").alias("node"), "component").distinct()
     return labels.unionByName(roots)

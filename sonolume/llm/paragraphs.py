@@ -1,32 +1,41 @@
-"""Substring dedup: lines by MinHash banding and exact Jaccard on colliding pairs, passages anywhere in the text by chosen word windows."""
+"""Substring dedup: paragraphs by MinHash banding and exact Jaccard on colliding pairs, passages anywhere in the text by chosen word windows."""
 
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, connected_components, discard, materialize
+from .common import connected_components, discard, fresh, materialize
 
 SEED = 42
 #: Words in a shingle and least Jaccard similarity of two paragraphs that count as one passage.
 WIDTH = 5
 SIMILARITY = 0.8
-#: Shorter lines are left alone: they recur in clean text too.
+#: A line of so many words is a paragraph of its own. Shorter lines are compared as parts of passages, which run over line breaks.
 MIN_WORDS = 20
-#: Share of pairs at exactly SIMILARITY that may share no band.
+#: Share of pairs at exactly SIMILARITY that may share no band, and hashes in a band.
 MISS = 1e-3
-ROWS = 3
+ROWS = 2
 #: Longs of a paragraph's odd sketch: every shingle flips one of its bits.
 SKETCH = 4
 #: Words in a window. Of STEP windows in a row one at least is compared, so that a passage of PASSAGE + STEP - 1 words shares
 #: a window with its copy wherever both lie, and STEP - 1 words at each end of it may stay.
 PASSAGE = 30
-STEP = 11
+STEP = 18
+#: Words that are hashed and signed at once.
+BLOCK_WORDS = 200_000
+#: Up to so many colliding paragraphs (8 bytes each) are sent to the tasks that cut their shingles; more are joined.
+SENT_PARAGRAPHS = 1_000_000
+BASE = 0x9E3779B97F4A7C15
+LOW_48 = np.uint64((1 << 48) - 1)
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def bands_for(similarity: float, rows: int, miss: float) -> int:
@@ -34,136 +43,155 @@ def bands_for(similarity: float, rows: int, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
 
 
-def normal_form(line: bytes) -> bytes:
-    """Words joined by single spaces, A-Z in lower case."""
-    return b" ".join(line.lower().split())
-
-
-def shingle_hashes(line: bytes, width: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the word shingles of a line in normal form (fewer words: of the whole line)."""
-    import xxhash
-
-    starts = [0]
-    at = line.find(b" ")
-    while at >= 0:
-        starts.append(at + 1)
-        at = line.find(b" ", at + 1)
-    ends = [s - 1 for s in starts[width:]] + [len(line)]
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends)]), ">u8").astype(np.uint64))
-
-
-def odd_sketch(hashes: np.ndarray) -> np.ndarray:
-    """64 * SKETCH parities. Two sketches differ in at most as many bits as the sets have elements apart."""
-    bits = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
-def _signer(bands: int, rows: int):
-    rng = np.random.default_rng(SEED)
-    a = (rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-    b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-    mix = (rng.integers(0, 1 << 63, (rows, 1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-    salt = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
-
-    def sign(hashes: np.ndarray) -> np.ndarray:
-        least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-        for k in range(0, len(hashes), 4096):
-            least = np.minimum(least, (a[:, None] * hashes[None, k : k + 4096] + b[:, None]).min(axis=1))
-        low = least.reshape(bands, rows).T
-        key = salt.copy()
-        for r in range(rows):
-            key = (key ^ (low[r] >> np.uint64(7)) ^ low[r]) * mix[r] + (key >> np.uint64(29))
-        return key.view(np.int64)
-
-    return sign
+class WordHashes(dict):
+    """64-bit hashes by word, remembered until there are 200,000."""
 
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
-def _paragraphs(text: bytes, min_words: int):
-    for number, line in enumerate(text.split(b"\n")):
-        if line.count(b" ") + line.count(b"\t") + 1 >= min_words or len(line) > 20 * min_words:
-            form = normal_form(line)
-            if form.count(b" ") + 1 >= min_words:
-                yield number, form
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
+        return found
+
+    def array(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hash of every run of ``length`` words, from the hashes of the words; runs of 1, 2, 4, ... words are put together."""
+    n = len(words) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total, done, piece, size = np.zeros(n, np.uint64), 0, words, 1
+    while done < length:
+        factor = np.uint64(pow(BASE, size, 1 << 64))
+        if length & size:
+            total = total * factor + piece[done : done + n]
+            done += size
+        if done < length:
+            piece, size = piece[:-size] * factor + piece[size:], 2 * size
+    return _mixed(total)
+
+
+class Paragraphs:
+    """Paragraphs of a block of texts: where they stand, their ids and their distinct shingles (48 bits each), put end to end."""
+
+    def __init__(self, where: list[tuple[int, int]], words: np.ndarray, lengths: np.ndarray, width: int):
+        self.doc, self.line = np.array(where, np.int64).reshape(-1, 2).T
+        starts = np.cumsum(lengths) - lengths
+        place = np.arange(len(words)) - np.repeat(starts, lengths)
+        powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(lengths.max() - 1, BASE, np.uint64))])
+        self.pid = _mixed(np.add.reduceat(words * powers[place], starts) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+        shingles = run_hashes(words, width)
+        number = np.repeat(np.arange(len(lengths)), lengths)[: len(shingles)]
+        whole = place[: len(shingles)] <= lengths[number] - width
+        keyed = np.sort((number[whole].astype(np.uint64) << np.uint64(48)) | (shingles[whole] >> np.uint64(16)))
+        keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])]
+        self.owner, self.shingles = (keyed >> np.uint64(48)).astype(np.int64), keyed & LOW_48
+        self.begins = np.flatnonzero(np.concatenate([[True], self.owner[1:] != self.owner[:-1]]))
+        self.size = np.diff(np.append(self.begins, len(keyed)))
+
+    def odd_sketches(self) -> np.ndarray:
+        """64 * SKETCH parities each. Two sketches differ in at most as many bits as the sets have elements apart."""
+        bits = 64 * SKETCH
+        flips = np.bincount(self.owner * bits + (self.shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits * len(self.size))
+        return np.packbits((flips & 1).astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64)
+
+    def band_keys(self, bands: int, rows: int) -> np.ndarray:
+        rng = np.random.default_rng(SEED)
+        a = (rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+        b = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
+        keys = []
+        for band in range(bands):
+            key = np.full(len(self.size), band + 1, np.uint64)
+            for f in range(band * rows, (band + 1) * rows):
+                key = _mixed(key * np.uint64(BASE) + np.minimum.reduceat(a[f] * self.shingles + b[f], self.begins))
+            keys.append(key.view(np.int64))
+        return np.stack(keys)
+
+
+def paragraph_blocks(texts, min_words: int, width: int, hashes: WordHashes):
+    """Paragraphs of the texts (bytes or None) in blocks; lower case is taken of A-Z only, white space between words counts as one space."""
+    where, words, lengths = [], [], []
+
+    def block():
+        return Paragraphs(where, hashes.array(words), np.array(lengths), width)
+
+    for doc, text in enumerate(texts):
+        for number, line in enumerate((text or b"").lower().split(b"\n")):
+            if len(line) < 2 * min_words - 1:
+                continue
+            found = line.split()
+            if len(found) < max(1, min_words):
+                continue
+            found += [b""] * (width - len(found))
+            where.append((doc, number))
+            words += found
+            lengths.append(len(found))
+            if len(words) > BLOCK_WORDS or len(lengths) > 60_000:
+                yield block()
+                where, words, lengths = [], [], []
+    if where:
+        yield block()
+
+
+def _texts(column) -> list:
+    return [t.as_py() for t in column]
 
 
 def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS, min_words: int = MIN_WORDS, width: int = WIDTH) -> DataFrame:
     """A row for each paragraph (line of min_words words or more): doc_id, mark, line, pid, size, b0, b1, ..., s0, s1, ...
 
-    b are the keys of the bands, s is the odd sketch; pid is the 64-bit hash of the normal form, size its number of shingles. Every document has a row with a null pid too.
+    b are the keys of the bands, s is the odd sketch; pid is the 64-bit hash of the words, size the number of shingles.
+    Every document has a row with line -1, no pid and its number of paragraphs as size too.
     """
     names = ["doc_id", "mark", "line", "pid", "size", *(f"b{i}" for i in range(bands)), *(f"s{i}" for i in range(SKETCH))]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-    width_all = bands + SKETCH
 
     def run(batches):
-        import xxhash
-
-        sign = _signer(bands, rows)
-        known: dict[int, tuple] = {}
+        hashes = WordHashes()
         for batch in batches:
-            out, keys = [], []
-            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                out.append((doc, mark, -1, None, None))
-                keys.append(None)
-                for number, form in _paragraphs(text.as_py() or b"", min_words):
-                    pid = int.from_bytes(xxhash.xxh3_64_digest(form, SEED), "big", signed=True)
-                    if pid not in known:
-                        if len(known) > 20_000:
-                            known.clear()
-                        hashes = shingle_hashes(form, width)
-                        known[pid] = len(hashes), np.concatenate([sign(hashes), odd_sketch(hashes)])
-                    size, key = known[pid]
-                    out.append((doc, mark, number, pid, size))
-                    keys.append(key)
-                if len(out) > 20_000:
-                    yield pack(out, keys)
-                    out, keys = [], []
-            if out:
-                yield pack(out, keys)
-
-    def pack(out, keys):
-        none = np.array([k is None for k in keys])
-        table = np.stack([np.zeros(width_all, np.int64) if k is None else k for k in keys])
-        cols = [pa.array(c, t) for c, t in zip(zip(*out), types)]
-        return pa.record_batch([*cols, *(pa.array(table[:, i], pa.int64(), mask=none) for i in range(width_all))], names)
+            n = np.zeros(batch.num_rows, np.int64)
+            for p in paragraph_blocks(_texts(batch.column(2)), min_words, width, hashes):
+                n += np.bincount(p.doc, minlength=len(n))
+                at = pa.array(p.doc)
+                longs = [*p.band_keys(bands, rows), *p.odd_sketches().T]
+                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(p.line, pa.int32()), pa.array(p.pid), pa.array(p.size, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in longs)], names)
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.full(len(n), -1), pa.int32()), none, pa.array(n, pa.int32()), *[none] * (bands + SKETCH)], names)
 
     base = docs.select("doc_id", "mark", F.col("text").cast("binary").alias("text"))
     return base.mapInArrow(run, "doc_id long, mark long, line int, pid long, size int, " + ", ".join(f"{c} long" for c in names[5:]))
 
 
-def _normal_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    def run(batches):
-        import xxhash
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int, width: int) -> DataFrame:
+    """pid, shingles of the paragraphs whose pid is in wanted. Few pids are sent to the tasks, more are joined with all paragraphs."""
+    few = wanted.limit(SENT_PARAGRAPHS + 1).toArrow()["pid"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(few)) if len(few) <= SENT_PARAGRAPHS else None
 
-        seen: set[int] = set()
+    def run(batches):
+        hashes, seen = WordHashes(), set()
         for batch in batches:
-            pids, forms = [], []
-            for text in batch.column(0):
-                for _, form in _paragraphs(text.as_py() or b"", min_words):
-                    pid = int.from_bytes(xxhash.xxh3_64_digest(form, SEED), "big", signed=True)
-                    if pid not in seen:
+            for p in paragraph_blocks(_texts(batch.column(0)), min_words, width, hashes):
+                asked = np.isin(p.pid, sent.value) if sent is not None else np.ones(len(p.pid), bool)
+                pids, sets = [], []
+                for i in np.flatnonzero(asked).tolist():
+                    if p.pid[i] not in seen:
                         if len(seen) > 200_000:
                             seen.clear()
-                        seen.add(pid)
-                        pids.append(pid)
-                        forms.append(form)
-                if len(pids) > 20_000:
-                    yield pa.record_batch([pa.array(pids, pa.int64()), pa.array(forms, pa.binary())], ["pid", "form"])
-                    pids, forms = [], []
-            if pids:
-                yield pa.record_batch([pa.array(pids, pa.int64()), pa.array(forms, pa.binary())], ["pid", "form"])
+                        seen.add(p.pid[i])
+                        pids.append(p.pid[i])
+                        sets.append(p.shingles[p.begins[i] : p.begins[i] + p.size[i]].view(np.int64))
+                if pids:
+                    yield pa.record_batch([pa.array(pids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["pid", "shingles"])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "pid long, form binary")
-
-
-def _shingle_sets(lines: DataFrame, width: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_hashes(f.as_py(), width).view(np.int64) for f in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["pid", "shingles"])
-
-    return lines.mapInArrow(run, "pid long, shingles array<long>")
+    found = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "pid long, shingles array<long>")
+    return (found if sent is not None else found.join(wanted, "pid", "left_semi")).dropDuplicates(["pid"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -183,28 +211,32 @@ def _may_be_similar(a: str, b: str, similarity: float) -> Column:
 def link_paragraphs(rows: DataFrame, docs: DataFrame, bands: int, similarity: float, min_words: int, width: int) -> DataFrame:
     """(pid, component) for every paragraph with a verified link to another paragraph.
 
-    In each bucket of a band the commonest paragraph is compared with all others; members that end in its component need
-    no comparisons with one another, the rest of the bucket is compared with the bucket. No bucket is gathered in a task.
+    Only (key, pid) go through the bands; sizes and sketches are joined to what collides. In each bucket of a band the
+    commonest paragraph is compared with all others; members that end in its component need no comparisons with one
+    another, the rest of the bucket is compared with the bucket. No bucket is gathered in a task.
     """
     sketch = [f"s{i}" for i in range(SKETCH)]
-    distinct = rows.where("pid is not null").groupBy("pid").agg(F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ["size", *sketch, *(f"b{i}" for i in range(bands))]))
+    keys = [f"b{i}" for i in range(bands)]
+    distinct = rows.where("pid is not null").groupBy("pid").agg(F.count(F.lit(1)).alias("weight"), *(F.first(c).alias(c) for c in ["size", *sketch, *keys]))
     distinct = materialize(distinct, "paragraphs")
-    keyed = distinct.select("pid", "weight", "size", *sketch, F.explode(F.array(*(f"b{i}" for i in range(bands)))).alias("key"))
+    keyed = distinct.select("pid", F.explode(F.array(*keys)).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    multi = materialize(keyed.join(shared, "key"), "colliding")
-    sets = _shingle_sets(_normal_lines(docs, min_words).join(multi.select("pid").distinct(), "pid", "left_semi").dropDuplicates(["pid"]), width)
-    sets = materialize(sets, "shingles")
-    heads = multi.groupBy("key").agg(F.max_by(F.struct(F.col("pid").alias("hpid"), *(F.col(c).alias("h" + c) for c in ("size", *sketch))), F.struct("weight", "pid")).alias("head")).select("key", "head.*")
-    members = materialize(multi.join(heads, "key").drop("weight"), "members")
-    star = members.where((F.col("pid") != F.col("hpid")) & _may_be_similar("", "h", similarity)).select(F.col("pid").alias("a"), F.col("hpid").alias("b")).distinct()
+    multi = materialize(keyed.join(shared.hint("shuffle_hash"), "key"), "colliding")
+    known = materialize(distinct.select("pid", "weight", "size", *sketch).join(multi.select("pid").distinct(), "pid", "left_semi"), "known")
+    discard(distinct)
+    sets = materialize(_shingle_sets(docs, known.select("pid"), min_words, width), "shingles")
+    full = multi.join(known, "pid")
+    heads = full.groupBy("key").agg(F.max_by(F.struct(F.col("pid").alias("hpid"), *(F.col(c).alias("h" + c) for c in ("size", *sketch))), F.struct("weight", "pid")).alias("head")).select("key", "head.*")
+    star = full.join(heads, "key").where((F.col("pid") != F.col("hpid")) & _may_be_similar("", "h", similarity)).select(F.col("pid").alias("a"), F.col("hpid").alias("b")).distinct()
     first = connected_components(_verified(star, sets, similarity))
-    labelled = materialize(
-        members.join(first.select(F.col("node").alias("pid"), F.col("component").alias("c")), "pid", "left")
-        .join(first.select(F.col("node").alias("hpid"), F.col("component").alias("hc")), "hpid", "left")
-        .select("key", "pid", "size", *sketch, "hpid", F.coalesce("c", "pid").alias("c"), F.coalesce("hc", "hpid").alias("hc")),
-        "labelled",
+    named = multi.join(heads.select("key", "hpid"), "key").join(first.select(F.col("node").alias("pid"), F.col("component").alias("c")), "pid", "left").join(
+        first.select(F.col("node").alias("hpid"), F.col("component").alias("hc")), "hpid", "left"
     )
-    strays = labelled.where("c <> hc").select("key", F.col("pid").alias("opid"), *(F.col(c).alias("o" + c) for c in ("size", *sketch)), F.col("c").alias("oc"))
+    named = materialize(named.select("key", "pid", "hpid", F.coalesce("c", "pid").alias("c"), F.coalesce("hc", "hpid").alias("hc")), "labelled")
+    strays = named.where("c <> hc")
+    open_keys = strays.select("key").distinct()
+    labelled = named.join(open_keys, "key", "left_semi").join(known.drop("weight"), "pid")
+    strays = strays.join(known.drop("weight"), "pid").select("key", F.col("pid").alias("opid"), *(F.col(c).alias("o" + c) for c in ("size", *sketch)), F.col("c").alias("oc"))
     pairs = labelled.join(
         strays,
         (labelled["key"] == strays["key"]) & (F.col("c") != F.col("oc")) & ((F.col("c") == F.col("hc")) | (F.col("pid") < F.col("opid"))) & (F.col("pid") != F.col("hpid")) & _may_be_similar("", "o", similarity),
@@ -213,76 +245,86 @@ def link_paragraphs(rows: DataFrame, docs: DataFrame, bands: int, similarity: fl
     second = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("top"))
     ends = first.select(F.col("node").alias("pid"), "component").unionByName(second.select(F.col("component").alias("pid"), "component")).distinct()
     answer = materialize(ends.join(second, "component", "left").groupBy("pid").agg(F.min(F.coalesce("top", "component")).alias("component")), "links")
-    for table in (distinct, multi, sets, members, labelled):
+    for table in (multi, known, sets, named):
         discard(table)
     return answer
 
 
-def window_hashes(words: np.ndarray, passage: int) -> np.ndarray:
-    """64-bit hash of every run of ``passage`` words, from the hashes of the words."""
-    n = len(words) - passage + 1
-    total = np.zeros(max(0, n), np.uint64)
-    for k in range(passage if n > 0 else 0):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
-    total = (total ^ (total >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return total ^ (total >> np.uint64(29))
-
-
 def chosen_windows(hashes: np.ndarray, step: int) -> np.ndarray:
-    """Positions of the least hash of every ``step`` neighbours: the same in each copy, whatever stands around it."""
-    if len(hashes) <= step:
-        return np.array([hashes.argmin()] if len(hashes) else [], np.int64)
-    near = np.lib.stride_tricks.sliding_window_view(hashes, step)
-    return np.unique(near.argmin(axis=1) + np.arange(len(near)))
+    """Positions of the least hash of every ``step`` neighbours: the same in each copy, whatever stands around it.
 
+    The largest value means no window. Of a run of equal ones (one word again and again) the first is taken.
+    """
+    none = np.iinfo(np.uint64).max
+    edge = np.full(step - 1, none, np.uint64)
 
-def passage_rows(docs: DataFrame, passage: int = PASSAGE, step: int = STEP) -> DataFrame:
-    """doc_id, mark, at, gram for every chosen window of the whole text; ``at`` is the number of its first word, from 0."""
-    names = ["doc_id", "mark", "at", "gram"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    def extreme(x: np.ndarray, best) -> np.ndarray:
+        size = 1
+        while 2 * size <= step:
+            x, size = best(x[:-size], x[size:]), 2 * size
+        rest = step - size
+        return best(x[:-rest], x[rest:]) if rest else x
 
-    def run(batches):
-        import xxhash
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = extreme(np.concatenate([edge, hashes, edge]), np.minimum)
+    largest = extreme(np.where(least == none, np.uint64(0), least), np.maximum)
+    again = np.concatenate([[False], hashes[1:] == hashes[:-1]])
+    return np.flatnonzero((hashes == largest) & (hashes != none) & ~again)
 
-        known: dict[bytes, int] = {}
 
-        def word_hash(w: bytes) -> int:
-            found = known.get(w)
-            if found is None:
-                if len(known) > 200_000:
-                    known.clear()
-                found = known[w] = xxhash.xxh3_64_intdigest(w, SEED)
-            return found
+def passage_rows(docs: DataFrame, passage: int = PASSAGE, step: int = STEP) -> DataFrame:
+    """doc_id, mark, at, line, last, gram for every chosen window of the whole text.
 
+    ``at`` is the number of its first word, ``line`` and ``last`` are the lines of its first and last word, all from 0.
+    """
+    if step > passage:
+        raise ValueError("windows of neighbouring texts would meet: step must not be above passage")
+    names = ["doc_id", "mark", "at", "line", "last", "gram"]
+
+    def run(batches):
+        hashes = WordHashes()
         for batch in batches:
-            docs, marks, ats, grams, n = [], [], [], [], 0
+            words, docs, lengths, lines, counts = [], [], [], [], []
 
             def pack():
-                at, gram = np.concatenate(ats), np.concatenate(grams).view(np.int64)
-                return pa.record_batch([pa.array(c, t) for c, t in zip((docs, marks, at, gram), types)], names)
-
-            for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                words = (text.as_py() or b"").lower().split()
-                hashes = window_hashes(np.fromiter(map(word_hash, words), np.uint64, len(words)), passage)
-                at = chosen_windows(hashes, step)
-                docs += [doc] * len(at)
-                marks += [mark] * len(at)
-                ats.append(at)
-                grams.append(hashes[at])
-                n += len(at)
-                if n > 100_000:
-                    yield pack()
-                    docs, marks, ats, grams, n = [], [], [], [], 0
-            if n:
+                sizes = np.array(lengths)
+                starts = np.cumsum(sizes) - sizes
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(words)) - starts[owner]
+                line = np.repeat(np.concatenate(lines), np.concatenate(counts))
+                grams = run_hashes(hashes.array(words), passage)
+                # Windows over the end of a text are none; there are passage - 1 of them in a row, so texts never meet.
+                grams[place[: len(grams)] > sizes[owner[: len(grams)]] - passage] = np.iinfo(np.uint64).max
+                at = chosen_windows(grams, step)
+                rows = pa.array(np.array(docs)[owner[at]])
+                return pa.record_batch(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[at], pa.int32()), pa.array(line[at], pa.int32()), pa.array(line[at + passage - 1], pa.int32()), pa.array(grams[at].view(np.int64))], names
+                )
+
+            for doc, text in enumerate(_texts(batch.column(2))):
+                parts = [x.split() for x in (text or b"").lower().split(b"\n")]
+                size = np.array([len(x) for x in parts])
+                if size.sum() >= passage:
+                    for x in parts:
+                        words += x
+                    docs.append(doc)
+                    lengths.append(size.sum())
+                    lines.append(np.arange(len(parts)))
+                    counts.append(size)
+                    if len(words) > BLOCK_WORDS:
+                        yield pack()
+                        words, docs, lengths, lines, counts = [], [], [], [], []
+            if words:
                 yield pack()
 
     base = docs.select("doc_id", "mark", F.col("text").cast("binary").alias("text"))
-    return base.mapInArrow(run, "doc_id long, mark long, at int, gram long")
+    return base.mapInArrow(run, "doc_id long, mark long, at int, line int, last int, gram long")
 
 
 def _spans(places: DataFrame, passage: int) -> DataFrame:
-    """doc_id, mark, spans (of words to remove, end excluded), passages_in: the windows gone, less the words of windows that stay."""
-    kind = "doc_id long, mark long, spans array<struct<start: int, end: int>>, passages_in array<long>"
+    """doc_id, mark, spans (of words to remove, end excluded), passages_in, n_shared: the windows gone, less the words of windows that stay."""
+    kind = "doc_id long, mark long, passages array<struct<start: int, end: int>>, passages_in array<long>, n_shared long"
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def covered(at: list, size: int) -> np.ndarray:
@@ -293,110 +335,137 @@ def _spans(places: DataFrame, passage: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, shared = [], []
             for gone, stay in zip(batch.column("gone").to_pylist(), batch.column("stay").to_pylist()):
                 size = max([*gone, *stay]) + passage
                 cut = np.diff((covered(gone, size) & ~covered(stay, size)).astype(np.int8), prepend=0)
                 out.append([{"start": a, "end": b} for a, b in zip(np.flatnonzero(cut == 1).tolist(), np.flatnonzero(cut == -1).tolist())])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(out, spans_type), batch.column("passages_in")], ["doc_id", "mark", "spans", "passages_in"])
+                shared.append(len(gone) + len(stay))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array(out, spans_type), batch.column("passages_in"), pa.array(shared, pa.int64())], ["doc_id", "mark", "passages", "passages_in", "n_shared"])
 
     return places.mapInArrow(run, kind)
 
 
-def repeated_passages(docs: DataFrame, passage: int = PASSAGE, step: int = STEP) -> DataFrame:
-    """doc_id, mark, spans, passages_in for texts with a passage to remove, found across line breaks and inside longer lines.
+def repeated_passages(docs: DataFrame, removed: DataFrame, passage: int = PASSAGE, step: int = STEP) -> DataFrame:
+    """doc_id, mark, passages, passages_in, n_shared for texts with a window that has several places, across line breaks and inside longer lines.
 
-    docs: doc_id, mark, text. Windows are equal or not: below 49 words one other word inside takes a window under Jaccard 0.8
-    anyway. Of equal windows the smallest (doc_id, mark, at) stays; its words stay even where another window is a repeat.
+    docs: doc_id, mark, text; removed: doc_id, mark, removed_lines of paragraphs that go, whose words take no part. Of equal
+    windows the smallest (doc_id, mark, at) stays; its words stay even where another window is a repeat. Windows are equal
+    or not: below 49 words one other word inside takes a window under Jaccard 0.8 anyway.
     """
-    rows = passage_rows(docs, passage, step)
+    rows = materialize(passage_rows(docs, passage, step), "windows")
+    several = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    gone = removed.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "removed_lines")
+    hits = rows.join(several.hint("shuffle_hash"), "gram").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
+    touched = F.exists("removed_lines", lambda x: (x >= F.col("line")) & (x <= F.col("last")))
+    hits = materialize(hits.where(~F.coalesce(touched, F.lit(False))).select("doc_id", "mark", "at", "gram"), "hits")
+    discard(rows)
     place = F.struct("doc_id", "mark", "at")
-    kept = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keeper")).where("n > 1").select("gram", "keeper")
-    hits = rows.join(kept, "gram").select("doc_id", "mark", "at", place.eqNullSafe(F.col("keeper")).alias("stays"), F.col("keeper.doc_id").alias("keeper"))
-    places = hits.groupBy("doc_id", "mark").agg(
+    kept = hits.groupBy("gram").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where(~F.col("keeper").eqNullSafe(F.col("other"))).select("gram", "keeper")
+    marked = hits.join(kept, "gram").select("doc_id", "mark", "at", place.eqNullSafe(F.col("keeper")).alias("stays"), F.col("keeper.doc_id").alias("keeper"))
+    places = marked.groupBy("doc_id", "mark").agg(
         F.collect_set(F.when(~F.col("stays"), F.col("at"))).alias("gone"),
         F.collect_set(F.when(F.col("stays"), F.col("at"))).alias("stay"),
         F.sort_array(F.collect_set(F.when(~F.col("stays"), F.col("keeper")))).alias("passages_in"),
     )
-    return materialize(_spans(places.where(F.size("gone") > 0), passage).where(F.size("spans") > 0), "passages")
-
-
-def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, width: int = WIDTH, rows: int = ROWS, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document (distinct id and text): which of its paragraphs are repeats to remove.
-
-    A paragraph is a line of min_words words or more. Of each component of linked paragraphs the occurrence with the
-    smallest (doc_id, line) stays; all others, in any document, are removals. Returns doc_id, mark (hash of the text),
-    n_paragraphs, n_repeated (in a component with several occurrences), n_removed, removed_lines (sorted line numbers from
-    0) and kept_in (ids of the documents that keep them); and of passages anywhere in the whole text (see repeated_passages)
-    n_passage_words, passages (start and end of their words, from 0, end excluded) and passages_in. Null and blank texts have no paragraphs. Null ids sort first.
-    Rows that repeat id and text share one result. Empty table: no rows.
-    """
-    base = _base(docs, id_col, text_col)
-    lines = _repeated_lines(base, similarity, min_words, width, rows, miss)
-    found = repeated_passages(base).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("spans").alias("passages"), "passages_in")
-    joined = lines.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").drop("_id", "_mark")
-    n = F.aggregate("passages", F.lit(0), lambda total, s: total + s["end"] - s["start"])
-    return joined.select(
-        "*", F.coalesce(n, F.lit(0)).cast("long").alias("n_passage_words"), F.coalesce("passages", F.array().cast("array<struct<start: int, end: int>>")).alias("passages_"),
-        F.coalesce("passages_in", F.array().cast("array<long>")).alias("passages_in_"),
-    ).drop("passages", "passages_in").withColumnsRenamed({"passages_": "passages", "passages_in_": "passages_in"})
-
+    found = materialize(_spans(places, passage), "passages")
+    discard(hits)
+    return found
 
-def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
-
-def _repeated_lines(base: DataFrame, similarity: float, min_words: int, width: int, rows: int, miss: float) -> DataFrame:
-    """The columns of repeated_paragraphs up to kept_in."""
+def _repeats(docs: DataFrame, similarity: float, min_words: int, width: int, rows: int, miss: float, passage: int, step: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paragraph rows, the lines that have several places (doc_id, mark, line, gone, kept_in), and repeated_passages of the rest."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("mark"), F.col(text_col).alias("text"))
     bands = bands_for(similarity, rows, miss)
     found = materialize(paragraph_rows(base, bands, rows, min_words, width), "lines")
     links = link_paragraphs(found, base, bands, similarity, min_words, width)
     place = F.struct("doc_id", "mark", "line")
-    every = found.select("doc_id", "mark", "line", "pid").join(links, "pid", "left").select("doc_id", "mark", "line", "pid", F.coalesce("component", "pid").alias("class"))
-    every = materialize(every, "occurrences")
-    discard(found)
-    found, occurrences = every, every.where("pid is not null").select("doc_id", "mark", "line", "class")
-    kept = occurrences.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("keeper")).where("n > 1").select("class", "keeper")
-    marked = occurrences.join(kept, "class").select("doc_id", "mark", "line", F.when(~place.eqNullSafe(F.col("keeper")), F.col("keeper.doc_id")).alias("kept_in"), (~place.eqNullSafe(F.col("keeper"))).alias("gone"))
-    every = found.select("doc_id", "mark", F.col("pid").isNotNull().cast("long").alias("one"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("long").alias("kept_in"), F.lit(None).cast("boolean").alias("gone"))
-    whole = every.unionByName(marked.withColumn("one", F.lit(0).cast("long")))
-    return (
-        whole.groupBy("doc_id", "mark")
-        .agg(
-            F.sum("one").alias("n_paragraphs"),
-            F.count("line").alias("n_repeated"),
-            F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed_lines"),
-            F.sort_array(F.collect_set("kept_in")).alias("kept_in"),
-        )
-        .withColumn("n_removed", F.size("removed_lines").cast("long"))
-        .select("doc_id", "mark", "n_paragraphs", "n_repeated", "n_removed", "removed_lines", "kept_in")
-    )
+    occurrences = found.where("pid is not null").select("doc_id", "mark", "line", "pid").join(links, "pid", "left").select("doc_id", "mark", "line", F.coalesce("component", "pid").alias("class"))
+    kept = occurrences.groupBy("class").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where(~F.col("keeper").eqNullSafe(F.col("other"))).select("class", "keeper")
+    gone = ~place.eqNullSafe(F.col("keeper"))
+    lines = occurrences.join(kept, "class").select("doc_id", "mark", "line", gone.alias("gone"), F.when(gone, F.col("keeper.doc_id")).alias("kept_in"))
+    lines = materialize(lines, "repeated")
+    removed = lines.where("gone").groupBy("doc_id", "mark").agg(F.collect_set("line").alias("removed_lines"))
+    return found, lines, repeated_passages(base, removed, passage, step)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the repeated lines, then the passages repeated in what is left, cut out of the text; all else stays as it is."""
-    settings = {"similarity": SIMILARITY, "min_words": MIN_WORDS, "width": WIDTH, "rows": ROWS, "miss": MISS} | options
-    repeats = _repeated_lines(_base(docs, id_col, text_col), **settings).where("n_removed > 0")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    docs = materialize(_cut(docs, repeats.select("doc_id", "mark", F.col("removed_lines").alias("_removed")), left, id_col, text_col), "cut")
-    passages = repeated_passages(_base(docs, id_col, text_col)).select("doc_id", "mark", F.col("spans").alias("_removed"))
-    return _cut(docs, passages, _without_spans(F.col(text_col)), id_col, text_col)
+def repeated_paragraphs(
+    docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, width: int = WIDTH, rows: int = ROWS, miss: float = MISS, passage: int = PASSAGE, step: int = STEP, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row for each document (distinct id and text): which of its paragraphs and passages are repeats to remove.
 
+    A paragraph is a line of min_words words or more. Of each component of linked paragraphs the occurrence with the
+    smallest (doc_id, line) stays; all others, in any document, are removals. Passages are found in what then is left.
+    Returns doc_id, mark (hash of the text), n_paragraphs, n_repeated (in a component with several places, the one that
+    stays included), n_removed, removed_lines (sorted, from 0), kept_in (ids of the documents that keep them), n_shared
+    (compared windows with several places, those that stay included), n_passage_words, passages (start and end of their
+    words in the whole text, from 0, end excluded) and passages_in.
+
+    Null and blank texts have no paragraphs. Null ids sort first. Rows that repeat id and text are one document. Texts of
+    any length are compared whole. Empty table: no rows.
+    """
+    found, lines, passages = _repeats(docs, similarity, min_words, width, rows, miss, passage, step, id_col, text_col)
+    none = {"n_paragraphs": "int", "line": "int", "gone": "boolean", "kept_in": "long", "passages": "array<struct<start: int, end: int>>", "passages_in": "array<long>", "n_shared": "long"}
+    parts = [found.where("line = -1").select("doc_id", "mark", F.col("size").alias("n_paragraphs")), lines, passages]
+    every = reduce(DataFrame.unionByName, [p.select("doc_id", "mark", *(F.col(c) if c in p.columns else F.lit(None).cast(t).alias(c) for c, t in none.items())) for p in parts])
+    whole = every.groupBy("doc_id", "mark").agg(
+        F.max("n_paragraphs").cast("long").alias("n_paragraphs"),
+        F.size(F.collect_set("line")).cast("long").alias("n_repeated"),
+        F.sort_array(F.collect_set(F.when(F.col("gone"), F.col("line")))).alias("removed_lines"),
+        F.sort_array(F.collect_set("kept_in")).alias("kept_in"),
+        F.coalesce(F.max("n_shared"), F.lit(0)).alias("n_shared"),
+        F.coalesce(F.max("passages"), F.array().cast(none["passages"])).alias("passages"),
+        F.coalesce(F.max("passages_in"), F.array().cast(none["passages_in"])).alias("passages_in"),
+    )
+    words = F.aggregate("passages", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return whole.select("doc_id", "mark", "n_paragraphs", "n_repeated", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", "kept_in", "n_shared", words.alias("n_passage_words"), "passages", "passages_in")
 
-def _cut(docs: DataFrame, repeats: DataFrame, left: Column, id_col: str, text_col: str) -> DataFrame:
-    """docs with the text ``left`` where repeats (doc_id, mark, _removed) has a row for it."""
-    repeats = repeats.withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
-    joined = docs.withColumn("_own", F.xxhash64(text_col)).join(repeats, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
 
+def cut_text(text: bytes, lines, spans) -> bytes:
+    """The text without the lines of these numbers and the words in these spans (start, end, start, end, ...) of the whole text.
 
-def _without_spans(text: Column) -> Column:
-    """The text without the words in _removed; line breaks before a span stay."""
-    parts = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    Words go with the white space before them; a line that loses its last word goes too, other lines stay as they are.
+    """
+    lines, spans = set(lines), sorted(zip(spans[::2], spans[1::2]))
+    out, first, k = [], 0, 0
+    for number, line in enumerate(text.split(b"\n")):
+        n = len(line.split())
+        while k < len(spans) and spans[k][1] <= first:
+            k += 1
+        if number not in lines:
+            if k < len(spans) and spans[k][0] < first + n:
+                left, at, j = [], 0, k
+                for i, m in enumerate(WORD.finditer(line), first):
+                    while j < len(spans) and spans[j][1] <= i:
+                        j += 1
+                    if j == len(spans) or i < spans[j][0]:
+                        left.append(line[at : m.end()])
+                    at = m.end()
+                if left:
+                    out.append(b"".join(left) + line[at:])
+            else:
+                out.append(line)
+        first += n
+    return b"\n".join(out)
+
+
+def remove_repeats(
+    docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, width: int = WIDTH, rows: int = ROWS, miss: float = MISS, passage: int = PASSAGE, step: int = STEP, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """docs without the repeated lines and the passages repeated in what is left; all else stays as it is."""
+    _, lines, passages = _repeats(docs, similarity, min_words, width, rows, miss, passage, step, id_col, text_col)
+    own, gone, words, at, mark = (fresh(docs, c) for c in ("own_mark", "gone_lines", "gone_words", "at_id", "at_mark"))
+    flat = F.flatten(F.transform("passages", lambda s: F.array(s["start"], s["end"])))
+    parts = lines.where("gone").select("doc_id", "mark", "line", F.lit(None).cast("array<int>").alias("words")).unionByName(
+        passages.where(F.size("passages") > 0).select("doc_id", "mark", F.lit(None).cast("int").alias("line"), flat.alias("words"))
+    )
+    cuts = parts.groupBy(F.col("doc_id").alias(at), F.col("mark").alias(mark)).agg(F.collect_set("line").alias(gone), F.coalesce(F.max("words"), F.array().cast("array<int>")).alias(words))
 
-    def part(p: Column, i: Column) -> Column:
-        first = F.exists("_removed", lambda s: i == s["start"])
-        inside = F.exists("_removed", lambda s: (i >= s["start"]) & (i < s["end"]))
-        return F.when(first, F.regexp_replace(p, r"[^\n]", "")).when(inside, F.lit("")).otherwise(p)
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, gone: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cut_text(t.encode(), list(a), list(b)).decode() for t, a, b in zip(text, gone, words)], dtype=object)
 
-    return F.concat(F.array_join(F.transform(parts, part), ""), F.regexp_extract(text, SPACE_CLASS + r"\z", 0))
+    joined = docs.withColumn(own, F.coalesce(F.xxhash64(text_col), F.lit(0))).join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(mark)), "left")
+    touched = F.col(gone).isNotNull()
+    left = F.when(touched, cut(F.when(touched, F.col(text_col)), gone, words)).otherwise(F.col(text_col))
+    return joined.select(*(left.alias(c) if c == text_col else F.col(c) for c in docs.columns))
