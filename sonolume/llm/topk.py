@@ -56,7 +56,8 @@ class Shard:
                     found = found[gathered[found] + rest[b] >= least]
         found = found[self.ids[found] != own]
         scores = self.rows[found] @ query
-        best = np.lexsort((self.ids[found], -scores))[:k]
+        by_id = np.argsort(self.ids[found], kind="stable")
+        best = by_id[np.argsort(-scores[by_id], kind="stable")][:k]
         return self.ids[found][best], scores[best]
 
 
@@ -67,6 +68,16 @@ def _matrix(vectors: list, dims: int, dtype) -> np.ndarray:
     return out
 
 
+def _scaled(scale: int):
+    """floor(scale * x) as a double; doubles of 2**53 and more are whole already."""
+
+    def of(x):
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+
+    return of
+
+
 def _cell(k: int):
     def run(table: pa.Table) -> pa.Table:
         ids, vectors = table["vec_id"].to_numpy(), table["v"].to_pylist()
@@ -74,6 +85,8 @@ def _cell(k: int):
         dims = max(map(len, vectors), default=0)
         largest = max((max(map(abs, v), default=0) for v in vectors), default=0)
         dtype = np.float64 if largest * largest * max(dims, 1) < 1 << 53 else object
+        if dtype is object:
+            vectors = [[int(x) for x in v] for v in vectors]
         matrix = _matrix(vectors, dims, dtype)
         out_q, out_v, out_s = [], [], []
         if not is_query.all():
@@ -93,13 +106,14 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
 
     Rows are dealt by hash into shards and queries into blocks; each pair of a shard and a block is one group of bounded
     size, which keeps its own best k a query, and these are merged. Null vectors and vectors with null or non-finite
-    components, or with one of 2**28 or more after scaling, take no part, nor do null ids. Shorter vectors count as padded
-    with zeros. Rows with the query's own id are no candidates; other repeated rows are candidates each; a repeated query
+    components take no part, nor do null ids. Every finite component counts whole: groups in which a score may not be exact
+    in doubles are scored in integers of any size, and a score that no long holds is an error. Shorter vectors count as
+    padded with zeros. Rows with the query's own id are no candidates; other repeated rows are candidates each; a repeated query
     is answered once. No queries or no candidates: no rows.
     """
-    bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) * scale >= float(1 << 28)))
+    bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     base = embeddings.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(~bad)
-    base = base.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    base = base.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, _scaled(scale)).alias("v"))
     asked = base.where(F.col("vec_id") % every == 0)
     n, q = embeddings.select(F.count(F.lit(1)), F.count(F.when(F.col(id_col) % every == 0, 1))).first()
     shards, blocks = max(LEAST_SHARDS, -(-n // SHARD_ROWS)), max(1, -(-q // BLOCK_QUERIES))

@@ -44,6 +44,13 @@ def test_huge_components_stay_exact(spark):
     assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, every=10).collect()) == brute(rows, 5, 10)
 
 
+def test_every_finite_component_counts(spark):
+    rows = [(0, [1.0, 1.0], 0, None, ""), (1, [2e6, 1.0], 0, None, ""), (2, [1.0, 3.0], 0, None, ""), (3, [-3e12, 7.0], 0, None, "")]
+    rows = spark.createDataFrame(rows, SCHEMA).collect()  # components are 32-bit floats
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute(rows, 5, 50) and len(got) == 3
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0, None, ""), (3, [-1.0, 1.0], 0, None, "")], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id) for r in topk.top_k(df).collect()] == [(0, 1, 3)]
