@@ -60,7 +60,7 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost: Callable
 
     length: tokens of a row (default: words and one end token). Documents beyond the largest capacity are cut into pieces.
     The driver sees the histogram of lengths alone (as many numbers as the largest capacity); its plan says, for each
-    length, which bins take which ranks. Pieces of one length are ranked in hashed cuts, so a very common length is spread.
+    length, which bins take which ranks. Pieces of one length are ranked in hashed cuts, so a very common length, or one id on many rows, is spread.
     Null and blank texts: length 1. Repeated rows: packed once each. Empty table: no rows.
     """
     spark = docs.sparkSession
@@ -68,7 +68,7 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost: Callable
     tokens = length if length is not None else F.size(word_array(F.col(text_col))) + 1
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.greatest(tokens.cast("long"), F.lit(1)).alias("n"))
     pieces = sized.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long"))).alias("piece", "start"))
-    pieces = materialize(pieces.select("doc_id", "piece", "start", F.least(F.lit(most), F.col("n") - F.col("start")).cast("int").alias("length")), "lengths")
+    pieces = materialize(pieces.select("doc_id", "piece", "start", F.least(F.lit(most), F.col("n") - F.col("start")).cast("int").alias("length"), F.monotonically_increasing_id().alias("key")), "lengths")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     ranges: dict[int, list] = {}
     taken: dict[int, int] = {}
@@ -82,7 +82,7 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost: Callable
         bins += times
     plan = spark.createDataFrame(sorted(ranges.items()), "length int, ranges array<struct<lo:long,hi:long,bin:long,k:int,at:int,size:int>>")
     total = sum(histogram.values())
-    ranked = group_ranks(pieces, "length", F.xxhash64("doc_id", "piece"), ["doc_id", "piece"], 64 + total // 100_000)
+    ranked = group_ranks(pieces, "length", F.xxhash64("key"), ["doc_id", "piece", "key"], 64 + total // 100_000)
     placed = ranked.join(F.broadcast(plan), "length").withColumn("r", F.element_at(F.filter("ranges", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"])), 1))
     place = F.col("rank") - F.col("r.lo")
     return placed.select(
