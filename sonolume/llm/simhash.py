@@ -17,8 +17,8 @@ SEED = 42
 CHUNK = 65_536
 #: Distances to so many reference fingerprints are kept, nine to a long (seven bits each).
 PIVOTS = 18
-#: The fingerprint is cut into so many blocks; pairs within max_bits leave BLOCKS - max_bits blocks equal.
-BLOCKS = 6
+#: Fingerprints that a bucket holds by chance at most about.
+BUCKET = 8
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -77,6 +77,16 @@ def _near_all_pivots(a: str, b: str, max_bits: int, pivots: int) -> Column:
     return reduce(lambda x, y: x & y, [F.abs(at(a, k) - at(b, k)) <= max_bits for k in range(pivots)])
 
 
+def blocks_for(n: int, max_bits: int) -> int:
+    """Blocks to cut fingerprints into: pairs within max_bits leave blocks - max_bits of them equal, which makes the key of a
+    bucket. The least number, two more than max_bits at least, for which n random fingerprints leave BUCKET or fewer in one,
+    so that the pairs tested grow with n and not with its square."""
+    blocks = max_bits + 2
+    while blocks < 16 and n >> (64 * (blocks - max_bits) // blocks) > BUCKET:
+        blocks += 1
+    return blocks
+
+
 def _block_keys(fp: Column, equal: int, blocks: int) -> Column:
     """A long for each choice of ``equal`` blocks: the choice's number and the bits of its blocks."""
     bounds = [64 * b // blocks for b in range(blocks + 1)]
@@ -90,14 +100,15 @@ def _block_keys(fp: Column, equal: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def link_fingerprints(fps: DataFrame, max_bits: int = 4, blocks: int = BLOCKS, pivots: int = PIVOTS) -> DataFrame:
+def link_fingerprints(fps: DataFrame, max_bits: int = 4, blocks: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """(fp, component) for every fingerprint with a link; component is some fingerprint of its class.
 
-    fps: distinct fp (long) and weight. Candidates share blocks - max_bits whole blocks (every linked pair does). In each
+    fps: distinct fp (long) and weight, in a written table; blocks: by default blocks_for their number. Candidates share blocks - max_bits whole blocks (every linked pair does). In each
     bucket of candidates the fingerprint with most documents is a further pivot: all others are compared with it first.
     Members of one component need no more comparisons with one another, so what remains are the members outside the
     pivot's component, against their bucket. Pairs are made for those alone, never for a whole group of near copies.
     """
+    blocks = blocks or blocks_for(fps.count(), max_bits)
     tables = [f"t{i}" for i in range((pivots + 8) // 9)]
     table = fps.select("fp", "weight", *pivot_table(F.col("fp"), pivots))
     keyed = table.select("fp", "weight", *tables, F.explode(_block_keys(F.col("fp"), blocks - max_bits, blocks)).alias("key"))

@@ -99,3 +99,28 @@ def test_ranks(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(no_docs(spark)).count() == 0
+
+
+def test_pairs_tested_grow_with_the_rows():
+    for n in (10**3, 10**6, 10**9, 2 * 10**10, 10**12):
+        blocks = simhash.blocks_for(n, 4)
+        assert blocks >= 6 and n >> (64 * (blocks - 4) // blocks) <= simhash.BUCKET
+    assert simhash.blocks_for(10**6, 4) == 6
+
+
+def test_number_of_blocks_changes_no_link(spark):
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(6)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f, 1) for f in signed], "fp long, weight long")
+    label = brute_components(signed, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
+    groups = {}
+    for f, c in zip(signed, label):
+        groups.setdefault(c, set()).add(f)
+    want = {frozenset(g) for g in groups.values() if len(g) > 1}
+    for blocks in (6, 7, 8):
+        got = {}
+        for r in simhash.link_fingerprints(df, blocks=blocks).collect():
+            got.setdefault(r.component, set()).add(r.fp)
+        assert {frozenset(g) for g in got.values()} == want
