@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, word_array
+from .common import SPACES, fresh, word_array
 
 #: A line of marks: this share of its characters or more are of MARKS.
 MARKS = "#*$%&|<>{}!~^=_\\"
@@ -39,52 +39,59 @@ def _solid(text: Column) -> Column:
     return F.length(F.translate(text, SPACES, "")).cast("long")
 
 
+#: What clean_lines adds.
+VERDICT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "lost_chars", "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the fields in VERDICT under names that it has not, and these names."""
+    own = {c: fresh(docs, f"judged_{c}") for c in (*VERDICT, "words", "lines", "windows", "full", "good", "at")}
+    words, lines, windows, full, good, at = (own.pop(c) for c in ("words", "lines", "windows", "full", "good", "at"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    has_word = lambda line: F.btrim(line, F.lit(SPACES)) != ""
+    staged = docs.withColumn(words, word_array(F.col(f"`{text_col}`"))).withColumn(lines, F.split(text, "\n"))
+    staged = staged.withColumn(
+        windows,
+        F.array_sort(F.slice(F.transform(words, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))), 1, F.greatest(F.size(words) - 2, F.lit(0)))),
+    ).withColumn(full, F.filter(lines, has_word)).withColumn(good, F.filter(lines, lambda line: ~has_word(line) | ~_bad_line(line)))
+    twice = F.transform(windows, lambda x, k: F.when((x["h"] == F.get(windows, k + 1)["h"]) | (x["h"] == F.get(windows, k - 1)["h"]), x["i"]))
+    staged = staged.withColumn(at, F.sort_array(F.filter(twice, lambda i: i.isNotNull())))
+    covered = F.aggregate(F.transform(at, lambda i, k: F.least(F.lit(3), i - F.coalesce(F.get(at, k - 1), i - 3))), F.lit(0), lambda a, b: a + b)
+    staged = (
+        staged.withColumn(own["n_words"], F.size(words).cast("long"))
+        .withColumn(own["word_chars"], _solid(text))
+        .withColumn(own["n_symbols"], (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
+        .withColumn(own["n_dup_lines"], (F.size(full) - F.size(F.array_distinct(full))).cast("long"))
+        .withColumn(own["n_repeat_words"], covered.cast("long"))
+        .withColumn(own["clean_text"], F.array_join(good, "\n"))
+    )
+    staged = staged.withColumn(own["lost_chars"], F.col(own["word_chars"]) - _solid(F.col(own["clean_text"])))
+    base_failed = (F.col(own["n_words"]) < 50) | (100 * F.col(own["n_repeat_words"]) > 50 * F.col(own["n_words"]))
+    staged = staged.withColumn(own["base_failed"], base_failed)
+    kept = ~F.col(own["base_failed"]) & (F.col(own["lost_chars"]) * 100 <= F.col(own["word_chars"]) * LOST_PERCENT)
+    return staged.withColumn(own["kept"], kept).drop(words, lines, windows, full, good, at), own
+
+
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Judge every line, remove the failures, then judge the document; every row of docs returns.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean), lost_chars (long)
-    and clean_text (the lines that pass). Input columns of these names are replaced.
+    and clean_text (the lines that pass). Input columns of these names are replaced, all others stay.
     n_repeat_words counts the words inside 3-word windows whose 64-bit hash occurs again in the text: each text's windows
-    are sorted in its own row, so nothing is shuffled. Null text counts as empty and fails (under 50 words).
+    are sorted in its own row, so nothing is shuffled. Null text counts as empty and fails (under 50 words). Texts of any
+    length are judged whole, in one row's memory. Repeated rows: one result each. Empty table: no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    has_word = lambda line: F.btrim(line, F.lit(SPACES)) != ""
-    staged = docs.withColumn("_words", word_array(F.col(text_col))).withColumn("_lines", F.split(text, "\n"))
-    staged = staged.withColumn(
-        "_windows",
-        F.array_sort(F.slice(F.transform("_words", lambda w, i: F.struct(F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i"))), 1, F.greatest(F.size("_words") - 2, F.lit(0)))),
-    ).withColumn("_full", F.filter("_lines", has_word)).withColumn("_good", F.filter("_lines", lambda line: ~has_word(line) | ~_bad_line(line)))
-    twice = F.transform(
-        "_windows",
-        lambda x, k: F.when((x["h"] == F.get("_windows", k + 1)["h"]) | (x["h"] == F.get("_windows", k - 1)["h"]), x["i"]),
-    )
-    staged = staged.withColumn("_at", F.sort_array(F.filter(twice, lambda i: i.isNotNull())))
-    covered = F.aggregate(
-        F.transform("_at", lambda i, k: F.least(F.lit(3), i - F.coalesce(F.get("_at", k - 1), i - 3))), F.lit(0), lambda a, b: a + b
-    )
-    n_words = F.size("_words").cast("long")
-    staged = (
-        staged.withColumn("n_words", n_words)
-        .withColumn("word_chars", _solid(text))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
-        .withColumn("n_dup_lines", (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"))
-        .withColumn("n_repeat_words", covered.cast("long"))
-        .withColumn("clean_text", F.array_join("_good", "\n"))
-    )
-    staged = staged.withColumn("lost_chars", F.col("word_chars") - _solid(F.col("clean_text")))
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (
-        staged.withColumn("base_failed", base_failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * LOST_PERCENT))
-        .drop("_words", "_lines", "_windows", "_full", "_good", "_at")
-    )
+    judged, own = _judged(docs, text_col)
+    return judged.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in VERDICT), *(F.col(own[c]).alias(c) for c in VERDICT))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept rows of docs, their text without the failing lines.
+    """The kept rows of docs, their text without the failing lines; other columns stay as they are, whatever their names.
 
     The partition number, which counts as not deterministic, keeps the optimiser from copying the whole expression of
     ``kept`` into a filter below, where its arrays would be built anew for each of their elements.
     """
-    judged = clean_lines(docs, id_col, text_col).withColumn("_at", F.spark_partition_id())
-    return judged.where(F.col("kept") & (F.col("_at") >= 0)).withColumn(text_col, F.col("clean_text")).select(*docs.columns)
+    judged, own = _judged(docs, text_col)
+    at = fresh(judged, "judged_at")
+    judged = judged.withColumn(at, F.spark_partition_id()).where(F.col(own["kept"]) & (F.col(at) >= 0))
+    return judged.select(*(F.col(own["clean_text"]).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from sonolume.llm.quality import clean_lines
+from sonolume.llm.quality import clean_lines, kept_documents
 
 from .fixtures import awkward_docs, no_docs
 
@@ -40,3 +40,11 @@ def test_verdicts(spark):
 
 def test_empty(spark):
     assert clean_lines(no_docs(spark)).count() == 0
+
+
+def test_clashing_columns(spark):
+    prose = "\n".join(f"Here{i} is line {i} of{i} plain prose, and{i} it goes{i} on for{i} a while{i}." for i in range(12))
+    df = spark.createDataFrame([(1, prose, "mine", "mine", "mine", "mine", "mine", "mine")], "doc_id long, text string, kept string, _at string, _words string, judged_words string, n_words string, `a.b` string")
+    assert [tuple(r) for r in kept_documents(df).collect()] == [(1, prose, *["mine"] * 6)]
+    row = clean_lines(df).first()
+    assert row.kept is True and row.n_words > 50 and row["a.b"] == "mine" and row["_at"] == "mine"
