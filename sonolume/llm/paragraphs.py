@@ -80,22 +80,30 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
 
 
 class Paragraphs:
-    """Paragraphs of a block of texts: where they stand, their ids and their distinct shingles (48 bits each), put end to end."""
+    """Paragraphs of a block of texts: where they stand and their ids; cut() gives their distinct shingles (48 bits each), put end to end."""
 
-    def __init__(self, where: list[tuple[int, int]], words: np.ndarray, lengths: np.ndarray, width: int):
+    def __init__(self, where: list[tuple[int, int]], words: np.ndarray, lengths: np.ndarray):
         self.doc, self.line = np.array(where, np.int64).reshape(-1, 2).T
+        self.words, self.lengths = words, lengths
         starts = np.cumsum(lengths) - lengths
-        place = np.arange(len(words)) - np.repeat(starts, lengths)
+        self.place = np.arange(len(words)) - np.repeat(starts, lengths)
         powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(lengths.max() - 1, BASE, np.uint64))])
-        self.pid = _mixed(np.add.reduceat(words * powers[place], starts) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-        shingles = run_hashes(words, width)
-        number = np.repeat(np.arange(len(lengths)), lengths)[: len(shingles)]
-        whole = place[: len(shingles)] <= lengths[number] - width
+        self.pid = _mixed(np.add.reduceat(words * powers[self.place], starts) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+
+    def only(self, chosen: np.ndarray) -> Paragraphs | None:
+        at = np.flatnonzero(chosen)
+        return Paragraphs(list(zip(self.doc[at], self.line[at])), self.words[np.repeat(chosen, self.lengths)], self.lengths[at]) if len(at) else None
+
+    def cut(self, width: int) -> Paragraphs:
+        shingles = run_hashes(self.words, width)
+        number = np.repeat(np.arange(len(self.lengths)), self.lengths)[: len(shingles)]
+        whole = self.place[: len(shingles)] <= self.lengths[number] - width
         keyed = np.sort((number[whole].astype(np.uint64) << np.uint64(48)) | (shingles[whole] >> np.uint64(16)))
         keyed = keyed[np.concatenate([[True], keyed[1:] != keyed[:-1]])]
         self.owner, self.shingles = (keyed >> np.uint64(48)).astype(np.int64), keyed & LOW_48
         self.begins = np.flatnonzero(np.concatenate([[True], self.owner[1:] != self.owner[:-1]]))
         self.size = np.diff(np.append(self.begins, len(keyed)))
+        return self
 
     def odd_sketches(self) -> np.ndarray:
         """64 * SKETCH parities each. Two sketches differ in at most as many bits as the sets have elements apart."""
@@ -121,7 +129,7 @@ def paragraph_blocks(texts, min_words: int, width: int, hashes: WordHashes):
     where, words, lengths = [], [], []
 
     def block():
-        return Paragraphs(where, hashes.array(words), np.array(lengths), width)
+        return Paragraphs(where, hashes.array(words), np.array(lengths))
 
     for doc, text in enumerate(texts):
         for number, line in enumerate((text or b"").lower().split(b"\n")):
@@ -158,6 +166,7 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS, min_words: int
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             for p in paragraph_blocks(_texts(batch.column(2)), min_words, width, hashes):
+                p.cut(width)
                 n += np.bincount(p.doc, minlength=len(n))
                 at = pa.array(p.doc)
                 longs = [*p.band_keys(bands, rows), *p.odd_sketches().T]
@@ -178,9 +187,12 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int, width: int
         hashes, seen = WordHashes(), set()
         for batch in batches:
             for p in paragraph_blocks(_texts(batch.column(0)), min_words, width, hashes):
-                asked = np.isin(p.pid, sent.value) if sent is not None else np.ones(len(p.pid), bool)
+                p = p.only(np.isin(p.pid, sent.value)) if sent is not None else p
+                if p is None:
+                    continue
+                p.cut(width)
                 pids, sets = [], []
-                for i in np.flatnonzero(asked).tolist():
+                for i in range(len(p.pid)):
                     if p.pid[i] not in seen:
                         if len(seen) > 200_000:
                             seen.clear()
@@ -354,12 +366,14 @@ def repeated_passages(docs: DataFrame, removed: DataFrame, passage: int = PASSAG
     or not: below 49 words one other word inside takes a window under Jaccard 0.8 anyway.
     """
     rows = materialize(passage_rows(docs, passage, step), "windows")
-    several = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Written, so that the join deals both sides out anew and can split a very common window.
+    several = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "several")
     gone = removed.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "removed_lines")
     hits = rows.join(several.hint("shuffle_hash"), "gram").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     touched = F.exists("removed_lines", lambda x: (x >= F.col("line")) & (x <= F.col("last")))
     hits = materialize(hits.where(~F.coalesce(touched, F.lit(False))).select("doc_id", "mark", "at", "gram"), "hits")
     discard(rows)
+    discard(several)
     place = F.struct("doc_id", "mark", "at")
     kept = hits.groupBy("gram").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where(~F.col("keeper").eqNullSafe(F.col("other"))).select("gram", "keeper")
     marked = hits.join(kept, "gram").select("doc_id", "mark", "at", place.eqNullSafe(F.col("keeper")).alias("stays"), F.col("keeper.doc_id").alias("keeper"))
