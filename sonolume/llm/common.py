@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,24 @@ def word_array(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS))
 
 
+def count_words(batches):
+    """mapInArrow over one binary column of texts: word (A-Z in lower case), freq; many partial counts, of bounded memory."""
+    seen: Counter = Counter()
+
+    def flush():
+        out = pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "freq"])
+        seen.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column(0):
+            seen.update((text.as_py() or b"").lower().split())
+            if len(seen) > 250_000:
+                yield flush()
+    if seen:
+        yield flush()
+
+
 def row_keys(batches, start: int):
     """Number the rows of one task: yields (batch, first key), keys being unique over all tasks."""
     for batch in batches:

@@ -9,51 +9,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_row_key, materialize, row_keys
+from .common import count_words, first_row_key, materialize, row_keys
 
-#: Words with emission probabilities of their own (with K states: a table of fixed size); others share the rare class.
+#: Words with emission probabilities of their own (with K states: a table of fixed size), of HEAD_BYTES together at most.
 HEAD_WORDS = 30_000
-HEAD_BYTES = 64
+HEAD_BYTES = 4_000_000
+#: All other words are dealt by hash into so many classes (a power of 2), each with emission probabilities of its own and
+#: exact counts of its words.
+CLASSES = 4096
 STATES = 6
 ROUNDS = 5
-#: Training sequences are cut so that one step of the recursion serves many of them; scores use whole texts.
+#: For training, texts are read in pieces of SEGMENT tokens, so that one step of the recursion serves many of them. Each sees
+#: CONTEXT tokens of its text on both sides, in which the chain forgets where it was cut; scores use whole texts.
 SEGMENT = 256
+CONTEXT = 32
 BATCH_TOKENS = 300_000
-FLUSH_WORDS = 250_000
+HASH_SEED = 42  # that of Spark's xxhash64
 
 
-def _counts(batches):
-    seen: Counter = Counter()
-
-    def flush():
-        out = pa.record_batch([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "freq"])
-        seen.clear()
-        return out
-
-    for batch in batches:
-        for text in batch.column(0):
-            seen.update((text.as_py() or b"").lower().split())
-            if len(seen) > FLUSH_WORDS:
-                yield flush()
-    if seen:
-        yield flush()
-
-
-def _encode(head, rare: int):
-    end = rare + 1
-
+def _encode(head, classes: int, kind):
     def run(batches):
+        import xxhash
+
         known = head.value
+        rare, mask = len(known), classes - 1
+        end = rare + classes
         for batch, key in row_keys(batches, first_row_key()):
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 ids, sizes, words, freqs = [], [], [], []
                 for text in part.column("text"):
                     tokens = (text.as_py() or b"").lower().split()
-                    found = [known.get(w, rare) for w in tokens]
-                    tail = Counter([w for w, i in zip(tokens, found) if i == rare])
+                    found = [known.get(w, -1) for w in tokens]
+                    tail: Counter = Counter()
+                    for k, i in enumerate(found):
+                        if i < 0:
+                            w = tokens[k]
+                            tail[w] += 1
+                            found[k] = rare + (xxhash.xxh64_intdigest(w, HASH_SEED) & mask)
                     found.append(end)
-                    ids.append(np.array(found, np.uint16).tobytes())
+                    ids.append(np.array(found, kind).tobytes())
                     sizes.append(len(found))
                     words.append(list(tail))
                     freqs.append(list(tail.values()))
@@ -95,17 +90,25 @@ def forward(ids: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.nd
     return out
 
 
-def expected_counts(ids, lengths, start, move, emit):
-    """Sums over all sequences of the expected starts (K), moves (K x K) and emissions (symbols x K)."""
+def expected_counts(ids, lengths, start, move, emit, counted=None, whole=None):
+    """Sums over all sequences of the expected starts (K), moves (K x K) and emissions (symbols x K).
+
+    counted: whether a token (and the move to it) counts or is context only. whole: whether a sequence begins where its text
+    does; others begin in the steady state of the moves and give no start. By default all are.
+    """
     order, place, begins = time_major(lengths)
-    by_step = np.empty(len(ids), np.int64)
+    by_step, weight = np.empty(len(ids), np.int64), np.ones((len(ids), 1))
     by_step[place] = ids
+    if counted is not None:
+        weight[place, 0] = counted
+    first = np.ones(len(lengths), bool) if whole is None else whole[order]
+    entry = np.where(first[:, None], start, np.linalg.matrix_power(move, 1024)[0])
     seen = emit[by_step]
     alpha, norms = np.empty_like(seen), np.empty(len(ids))
     steps = list(zip(begins[:-1], begins[1:]))
     for t, (a, b) in enumerate(steps):
         n = b - a
-        x = (start if t == 0 else alpha[steps[t - 1][0] : steps[t - 1][0] + n] @ move) * seen[a:b]
+        x = (entry if t == 0 else alpha[steps[t - 1][0] : steps[t - 1][0] + n] @ move) * seen[a:b]
         norms[a:b] = x.sum(axis=1)
         alpha[a:b] = x / norms[a:b, None]
     moves = np.zeros_like(move)
@@ -117,36 +120,50 @@ def expected_counts(ids, lengths, start, move, emit):
         if t:
             p = steps[t - 1][0]
             ahead = seen[a:b] * beta / norms[a:b, None]
-            moves += alpha[p : p + b - a].T @ ahead
+            moves += alpha[p : p + b - a].T @ (ahead * weight[a:b])
             before = np.ones((a - p, len(start)))
             before[: b - a] = ahead @ move.T
             beta = before
+    starts = gamma[: steps[0][1]][first].sum(axis=0)
+    gamma *= weight
     emitted = np.stack([np.bincount(by_step, weights=gamma[:, k], minlength=len(emit)) for k in range(len(start))], axis=1)
-    return gamma[: steps[0][1]].sum(axis=0), moves * move, emitted
+    return starts, moves * move, emitted
 
 
-def _expectations(model, states: int):
+def pieces(ids: np.ndarray):
+    """(tokens, where the counted ones begin and end, whether it begins the text) of every piece of a text."""
+    for k in range(0, len(ids), SEGMENT):
+        lo, end = max(0, k - CONTEXT), min(len(ids), k + SEGMENT)
+        yield ids[lo : end + CONTEXT], k - lo, end - lo, lo == 0
+
+
+def piece_counts(found: list, start, move, emit):
+    lengths = np.array([len(p[0]) for p in found])
+    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    lo, hi = (np.repeat(np.array([p[k] for p in found]), lengths) for k in (1, 2))
+    return expected_counts(np.concatenate([p[0] for p in found]), lengths, start, move, emit, (at >= lo) & (at < hi), np.array([p[3] for p in found]))
+
+
+def _expectations(model, states: int, kind):
     names = ["symbol", *(f"g{k}" for k in range(states))]
 
     def run(batches):
         start, move, emit = model.value
         sums = None
-        waiting: list[np.ndarray] = []
+        waiting: list = []
         size = 0
 
         def add(sums):
-            lengths = np.array([len(w) for w in waiting])
-            found = expected_counts(np.concatenate(waiting), lengths, start, move, emit)
+            found = piece_counts(waiting, start, move, emit)
             return found if sums is None else tuple(x + y for x, y in zip(sums, found))
 
         for batch in batches:
             for raw in batch.column(0):
-                ids = np.frombuffer(raw.as_py(), np.uint16)
-                for k in range(0, len(ids), SEGMENT):
-                    waiting.append(ids[k : k + SEGMENT])
-                    size += len(waiting[-1])
-                if size >= BATCH_TOKENS:
-                    sums, waiting, size = add(sums), [], 0
+                for piece in pieces(np.frombuffer(raw.as_py(), kind)):
+                    waiting.append(piece)
+                    size += len(piece[0])
+                    if size >= BATCH_TOKENS:
+                        sums, waiting, size = add(sums), [], 0
         if waiting:
             sums = add(sums)
         if sums is not None:
@@ -172,87 +189,106 @@ def next_model(starts, moves, emitted, unigram):
     return starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emitted / emitted.sum(axis=0)
 
 
-def _scores(model, base, known_below: int):
+def _scores(model, base, rare: int, kind):
+    """Scores of rows, as many at once as have BATCH_TOKENS together."""
+
     def run(batches):
         start, move, emit = model.value
         for batch in batches:
-            ids = [np.frombuffer(raw.as_py(), np.uint16) for raw in batch.column("ids")]
-            if not ids:
-                continue
-            lengths = np.array([len(i) for i in ids])
-            score = forward(np.concatenate(ids), lengths, start, move, emit)
-            plain = base.value
-            base_score = [float(plain[i].sum()) for i in ids]
-            known = [int((i != known_below).sum()) for i in ids]
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("row"), batch.column("held_out"), batch.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base_score), pa.array(score), batch.column("words"), batch.column("freqs")],
-                ["doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "freqs"],
-            )
+            before = np.cumsum(np.concatenate([[0], batch.column("n_tokens").to_numpy()]))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(before, before[lo] + BATCH_TOKENS, "right")) - 1)
+                part, lo = batch.slice(lo, hi - lo), hi
+                ids = [np.frombuffer(raw.as_py(), kind) for raw in part.column("ids")]
+                score = forward(np.concatenate(ids), np.array([len(i) for i in ids]), start, move, emit)
+                plain = base.value
+                base_score = [float(plain[i].sum()) for i in ids]
+                known = [int(((i < rare) | (i == len(plain) - 1)).sum()) for i in ids]
+                yield pa.record_batch(
+                    [part.column("doc_id"), part.column("row"), part.column("held_out"), part.column("n_tokens"), pa.array(known, pa.int64()), pa.array(base_score), pa.array(score), part.column("words"), part.column("freqs")],
+                    ["doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "freqs"],
+                )
 
     return run
 
 
-def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD_WORDS, classes: int = CLASSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row, by a model of the training rows.
 
     Training rows: crc32(id as text) mod 5 is not 1 (null id: of the empty text). All their tokens are counted and all take
     part in every Baum-Welch round; each partition sends its expected counts a symbol, which Spark sums, and the driver
-    sees (head_words + 2 + states + 1) x states numbers. Symbols are the commonest words, one class of rare words, and the
-    end. Inside the rare class a word has probability (c + 0.5) / (its tokens + 0.5 * (its words + 1)), unseen words
-    together one more word: so the score is the log10 of a proper distribution. Rare words are counted by a join.
-    Null and blank texts: the end alone. Repeated rows: one result each, all learnt from. Empty table: no rows.
+    sees (head_words + classes + 2 + states) x states numbers. Symbols are the commonest words, classes of the other words by
+    hash, and the end. Inside a class a word has probability (c + 0.5) / (its tokens + 0.5 * (its words + 1)), unseen words of
+    the class together one more word: so the score is the log10 of a proper distribution. Words of classes are counted by a
+    join. Null and blank texts: the end alone. Texts of any length are learnt from and scored whole. Repeated rows: one
+    result each, all learnt from. Empty table: no rows.
     """
+    if classes & (classes - 1):
+        raise ValueError("classes must be a power of 2")
     spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     train = base.where(~F.col("held_out"))
-    table = materialize(train.select("text").mapInArrow(_counts, "word binary, freq long").groupBy("word").agg(F.sum("freq").alias("freq")), "words")
+    table = materialize(train.select("text").mapInArrow(count_words, "word binary, freq long").groupBy("word").agg(F.sum("freq").alias("freq")), "words")
     texts = train.select(F.lit(1)).count()
     words, tokens = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("freq"), F.lit(0))).first()
     total, distinct = tokens + texts, words + (texts > 0)
-    top = table.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("freq"), "word").limit(head_words).toArrow()
-    freqs = np.array(top["freq"].to_pylist(), np.float64)
-    rare, least = len(freqs), int(freqs.min()) if len(freqs) else 0
-    head = spark.sparkContext.broadcast({w: i for i, w in enumerate(top["word"].to_pylist())})
-    rare_tokens, rare_words = int(tokens - freqs.sum()), words - rare
-
-    coded = base.mapInArrow(_encode(head, rare), "doc_id long, row long, held_out boolean, n_tokens long, ids binary, words array<binary>, freqs array<long>")
+    # Of words too long for the head (a rule of a million dashes) a prefix comes to the driver, and they go to classes.
+    top = table.select(F.substring("word", 1, HEAD_BYTES // 100).alias("word"), "freq", F.octet_length("word").alias("bytes")).orderBy(F.desc("freq"), "word").limit(head_words).toArrow()
+    sizes = np.array(top["bytes"].to_pylist(), np.int64)
+    taken = (sizes <= HEAD_BYTES // 100) & (np.cumsum(sizes) <= HEAD_BYTES)
+    freqs = np.array(top["freq"].to_pylist(), np.float64)[taken]
+    names = [w for w, t in zip(top["word"].to_pylist(), taken.tolist()) if t]
+    rare, end = len(freqs), len(freqs) + classes
+    kind = np.uint16 if end < 1 << 16 else np.uint32
+    head = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+    own_words = F.broadcast(spark.createDataFrame([(bytearray(w),) for w in names], "word binary"))
+    class_of = lambda w: F.xxhash64(w).bitwiseAND(F.lit(classes - 1)).cast("int")
+    tail = table.join(own_words, "word", "left_anti")
+    class_tokens, class_words = np.zeros(classes), np.zeros(classes)
+    for c, n, k in tail.groupBy(class_of("word").alias("class")).agg(F.sum("freq"), F.count(F.lit(1))).collect():
+        class_tokens[c], class_words[c] = n, k
+
+    coded = base.mapInArrow(_encode(head, classes, kind), "doc_id long, row long, held_out boolean, n_tokens long, ids binary, words array<binary>, freqs array<long>")
     coded = materialize(coded, "coded")
-    unigram = np.concatenate([freqs, [rare_tokens, texts]]) + 0.5
+    unigram = np.concatenate([freqs, class_tokens, [texts]]) + 0.5
     unigram /= unigram.sum()
     model = first_model(unigram, states)
     sequences = coded.where(~F.col("held_out")).select("ids")
     shape = ", ".join(["symbol int", *(f"g{k} double" for k in range(states))])
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
-        sums = sequences.mapInArrow(_expectations(sent, states), shape).groupBy("symbol").agg(*(F.sum(f"g{k}").alias(f"g{k}") for k in range(states))).toArrow()
-        got = np.zeros((rare + 2 + 1 + states, states))
+        sums = sequences.mapInArrow(_expectations(sent, states, kind), shape).groupBy("symbol").agg(*(F.sum(f"g{k}").alias(f"g{k}") for k in range(states))).toArrow()
+        got = np.zeros((end + 1 + 1 + states, states))
         if sums.num_rows:
             got[sums["symbol"].to_numpy()] = np.stack([sums[f"g{k}"].to_numpy() for k in range(states)], axis=1)
-        model = next_model(got[rare + 2], got[rare + 3 :], got[: rare + 2], unigram)
+        model = next_model(got[end + 1], got[end + 2 :], got[: end + 1], unigram)
         sent.unpersist()
 
     below = total + 0.5 * (distinct + 1)
-    plain = np.concatenate([np.log10((freqs + 0.5) / below), [0.0, np.log10((texts + 0.5) / below)]])
+    plain = np.concatenate([np.log10((freqs + 0.5) / below), np.zeros(classes), [np.log10((texts + 0.5) / below)]])
     scored = coded.mapInArrow(
-        _scores(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(plain), rare),
+        _scores(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(plain), rare, kind),
         "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, words array<binary>, freqs array<long>",
     )
-    # The document's own row comes as a word that no text holds, next to its rare words.
+    # The document's own row comes as a word that no text holds, next to its words of classes.
     own = F.array(F.struct(F.concat(F.lit(b"\xff"), F.col("row").cast("string").cast("binary")).alias("words"), F.lit(0).cast("long").alias("freqs")))
     flat = scored.select("doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score", F.explode(F.concat(own, F.arrays_zip("words", "freqs"))).alias("w"))
     first = lambda c, zero: F.when(F.col("w.freqs") == 0, F.col(c)).otherwise(F.lit(zero)).alias(c)
     flat = flat.select("doc_id", "row", "held_out", "n_tokens", first("n_known", 0), first("base_score", 0.0), first("score", 0.0), F.col("w.words").alias("word"), F.col("w.freqs").alias("n"))
-    tail = table.where((F.col("freq") <= least) | (F.octet_length("word") > HEAD_BYTES)) if rare == head_words else table.where(F.octet_length("word") > HEAD_BYTES)
+    share = spark.createDataFrame([(k, float(t + 0.5 * (w + 1))) for k, (t, w) in enumerate(zip(class_tokens, class_words))], "class int, mass double")
     c = F.coalesce("freq", F.lit(0))
     end_known = 0 if texts else -1
     return (
         flat.join(tail, "word", "left")
+        .withColumn("class", class_of("word"))
+        .join(F.broadcast(share), "class")
         .groupBy("doc_id", "row", "held_out", "n_tokens")
         .agg(
             (F.sum("n_known") + F.sum(F.when(c > 0, F.col("n")).otherwise(0)) + end_known).alias("n_known"),
             F.sum(F.col("base_score") + F.col("n") * F.log10((c + 0.5) / below)).alias("base_score"),
-            F.sum(F.col("score") + F.col("n") * F.log10((c + 0.5) / (rare_tokens + 0.5 * (rare_words + 1)))).alias("score"),
+            F.sum(F.col("score") + F.col("n") * F.log10((c + 0.5) / F.col("mass"))).alias("score"),
         )
         .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
     )

@@ -62,8 +62,8 @@ def brute_base(rows):
 
 def test_counts_and_base(spark):
     df, rows = awkward_docs(spark)
-    for head in (30_000, 8):
-        got = hmm.hmm_scores(df, states=2, rounds=1, head_words=head).collect()
+    for head, classes in ((30_000, 4096), (8, 16), (8, 1)):
+        got = hmm.hmm_scores(df, states=2, rounds=1, head_words=head, classes=classes).collect()
         key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
         a = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got), key=key)
         for x, y in zip(a, sorted(brute_base(rows), key=key), strict=True):
@@ -75,11 +75,67 @@ def test_single_state_is_a_unigram_distribution(spark):
     """With one state the score of a one-word text is its probability; over all words and one unseen these add up to 1."""
     held = [i for i in range(100, 400) if zlib.crc32(str(i).encode()) % 5 == 1][:8]
     rows = [(i, "a b c d e f a b a") for i in range(20)] + list(zip(held, ["a", "b", "c", "d", "e", "f", "never", ""]))
-    got = {r.doc_id: r.score for r in hmm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string"), states=1, rounds=2, head_words=3).collect()}
+    got = {r.doc_id: r.score for r in hmm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string"), states=1, rounds=2, head_words=3, classes=1).collect()}
     end = 10 ** got[held[7]]
     assert math.isclose(sum(10 ** got[held[k]] / end for k in range(7)) + end, 1, rel_tol=1e-6)
 
 
+def plain_training(texts, states, rounds, classes):
+    """Baum-Welch sequence by sequence, on whole texts whose words are all in the head; the model and the words' symbols."""
+    lists = [t.encode().lower().split() for t in texts]
+    freq = Counter(w for ws in lists for w in ws)
+    names = sorted(freq, key=lambda w: (-freq[w], w))
+    symbol = {w: i for i, w in enumerate(names)}
+    end = len(names) + classes
+    unigram = np.array([freq[w] for w in names] + [0] * classes + [len(texts)]) + 0.5
+    unigram /= unigram.sum()
+    start, move, emit = hmm.first_model(unigram, states)
+    for _ in range(rounds):
+        starts, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((end + 1, states))
+        for ws in lists:
+            ids = [symbol[w] for w in ws] + [end]
+            alpha, beta = [start * emit[ids[0]]], [np.ones(states)]
+            for i in ids[1:]:
+                alpha.append(alpha[-1] @ move * emit[i])
+            for i in ids[:0:-1]:
+                beta.insert(0, move @ (emit[i] * beta[0]))
+            total = alpha[-1].sum()
+            starts += alpha[0] * beta[0] / total
+            for t, i in enumerate(ids):
+                emitted[i] += alpha[t] * beta[t] / total
+                if t:
+                    moves += np.outer(alpha[t - 1], emit[i] * beta[t]) * move / total
+        start, move, emit = hmm.next_model(starts, moves, emitted, unigram)
+    return symbol, end, start, move, emit
+
+
+def test_score_equals_plain_training(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices("abcdefgh"[(i % 3) * 2 :], k=rng.randint(0, 30)))) for i in range(60)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    symbol, end, *model = plain_training([t for i, t in rows if not held(i)], 3, 3, 8)
+    got = {r.doc_id: r.score for r in hmm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string"), states=3, rounds=3, classes=8).collect()}
+    for i, t in rows:
+        assert math.isclose(got[i], plain_forward([symbol[w] for w in t.encode().split()] + [end], *model), rel_tol=1e-7), i
+
+
+def test_pieces_with_context_count_as_whole_texts():
+    rng = np.random.default_rng(4)
+    start, move, emit = random_model(rng, 50, 4)
+    texts = [rng.integers(0, 50, n) for n in (1, 255, 256, 257, 288, 1000, 2500)]
+    want = hmm.expected_counts(np.concatenate(texts), np.array([len(t) for t in texts]), start, move, emit)
+    got = hmm.piece_counts([p for t in texts for p in hmm.pieces(t)], start, move, emit)
+    assert sum(hi - lo for t in texts for _, lo, hi, _ in hmm.pieces(t)) == sum(map(len, texts))
+    assert all(np.allclose(a, b, rtol=1e-6, atol=1e-6) for a, b in zip(got, want))
+    assert math.isclose(got[0].sum(), len(texts)) and math.isclose(got[1].sum(), sum(len(t) - 1 for t in texts)) and math.isclose(got[2].sum(), sum(map(len, texts)))
+
+
+def test_long_words_and_rows_over_the_batch(spark, monkeypatch):
+    rows = [(i, "-" * 50_000 + " a b") for i in range(6)] + [(9, "x " * 3000)]
+    got = hmm.hmm_scores(spark.createDataFrame(rows, "doc_id long, text string"), states=2, rounds=1).collect()
+    assert len(got) == 7 and all(math.isfinite(r.score) for r in got)
+
+
 def test_states_help_on_held_out_texts(spark):
     rng = random.Random(0)
     tongues = [[f"{t}{k}" for k in range(40)] for t in "xyz"]
