@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import count_words
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 # Runs are maximal, so a least length inside the pattern drops the same matches as a test afterwards.
@@ -25,6 +28,13 @@ MIN_LOG_GUESSES = 10.0
 #: Longest word, date or walk that the segmentation considers.
 LONGEST_PART = 24
 
+#: Words of the corpus in the dictionary at most, after COMMON_WORDS (about 4 MB in a task), and the occurrences that each needs.
+DICTIONARY = 50_000
+LEAST_OCCURRENCES = 5
+#: What names a value instead of giving it: placeholders, and dotted names or addresses as a whole.
+REFERENCE = re.compile(r"\$?\{\{?[^{}]*\}?\}|\$[A-Za-z_]\w*|%[A-Za-z_]\w*%|[A-Za-z_]{1,40}(?:\.[A-Za-z_]{1,40})+(?:\(.*\)?)?|[a-z]+://[^@]*", re.ASCII)
+LOG_REFERENCE = 3.0
+
 #: Common password words, commonest first (fixed values).
 COMMON_WORDS = (
     "password passw0rd pass admin root user test guest login welcome master secret letmein dragon monkey qwerty iloveyou sunshine princess football baseball "
@@ -59,10 +69,10 @@ def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33) if c.isascii() else 3.0
 
 
-def _word_cost(part: str) -> float | None:
+def _word_cost(part: str, ranks: dict[str, int]) -> float | None:
     low = part.lower()
-    rank, extra = RANK.get(low), 0.0
-    if rank is None and (rank := RANK.get(low.translate(LEET))) is not None:
+    rank, extra = ranks.get(low), 0.0
+    if rank is None and (rank := ranks.get(low.translate(LEET))) is not None:
         extra = LOG2
     if rank is None:
         return None
@@ -71,60 +81,89 @@ def _word_cost(part: str) -> float | None:
     return math.log10(rank + 1) + extra
 
 
-def guess_cost(value: str) -> float:
+def parts_from(value: str, i: int, run_end: int, again, ranks: dict[str, int]):
+    """(end, log10 of the guesses) of every part but brute force that may begin at i, its factor 2 for the place included."""
+    n = len(value)
+    # One character again and again; where a run is very long, up to its last places.
+    for k in range(max(i + 3, run_end - LONGEST_PART), run_end + 1):
+        yield k, _brute(value[i]) + math.log10(k - i) + LOG2
+    low = value[i : i + LONGEST_PART].lower()
+    if len(low) == len(value[i : i + LONGEST_PART]):  # a few letters get longer in lower case
+        for step in (1, -1):
+            j = 1
+            while j < len(low) and low[j].isalnum() and ord(low[j]) - ord(low[j - 1]) == step:
+                j += 1
+            if j >= 3:
+                yield i + j, math.log10(26 if low[0].isalpha() else 10) + math.log10(j) + 2 * LOG2
+        # A walk over neighbouring keys: 47 starts, about 4 turns a key.
+        j, turns = 1, 0
+        while j < len(low) and (low[j - 1], low[j]) in NEXT_KEYS:
+            turns += j >= 2 and ord(low[j]) - ord(low[j - 1]) != ord(low[j - 1]) - ord(low[j - 2])
+            j += 1
+            if j >= 4:
+                yield i + j, math.log10(47 * j) + turns * 0.3 + LOG2
+    # The part before, once more or as often as it comes again.
+    for size in range(2, min(i, LONGEST_PART) + 1):
+        times = again[size][i] // size
+        for m in {1, times} if times else ():
+            yield i + m * size, math.log10(2 * size * m)
+    if run_end < i + 3:  # no word begins with one letter three times
+        for j in range(i + 3, min(n, i + LONGEST_PART) + 1):
+            word = _word_cost(value[i:j], ranks)
+            if word is not None:
+                yield j, word + LOG2
+    date = DATE.match(value, i)
+    if date:
+        yield date.end(), (math.log10(119) if date.end() - i == 4 else math.log10(365 * 119)) + LOG2
+
+
+def repeats_behind(value: str) -> tuple[list[int], list]:
+    """The end of the run of one character at each place; and by size the number of characters from each place on that equal those size places before."""
+    n = len(value)
+    run_end = [n] * n
+    for i in range(n - 2, -1, -1):
+        run_end[i] = run_end[i + 1] if value[i] == value[i + 1] else i + 1
+    again: list = [None, None]
+    for size in range(2, min(n, LONGEST_PART) + 1):
+        row = array("i", bytes(4 * (n + 1)))
+        for i in range(n - 1, size - 1, -1):
+            if value[i] == value[i - size]:
+                row[i] = row[i + 1] + 1
+        again.append(row)
+    return run_end, again
+
+
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest segmentation into words, dates, repeats, walks and brute-force spans.
 
     cost[j] = min over i < j of cost[i] + the cost of value[i:j] as one part; parts other than brute force carry a factor 2
-    for their place. Parts span up to LONGEST_PART characters, repeats of a part any number, so time is linear in the length of
-    the value. The empty value costs 0.
+    for their place. From each place at most a fixed number of parts begins, so time is linear in the length of the value.
+    A value that as a whole refers to another (a placeholder, a dotted name, an address) costs LOG_REFERENCE at most. The
+    empty value costs 0.
     """
-    n, low = len(value), value.lower()
+    n = len(value)
     cost = [0.0] + [math.inf] * n
-    # again[size][i]: characters from i on that equal those size places before.
-    again = [[0] * (n + 1) for _ in range(LONGEST_PART + 1)]
-    for size in range(2, LONGEST_PART + 1):
-        row = again[size]
-        for i in range(n - 1, size - 1, -1):
-            if value[i] == value[i - size]:
-                row[i] = row[i + 1] + 1
+    run_end, again = repeats_behind(value)
     for i in range(n):
         here = cost[i]
         cost[i + 1] = min(cost[i + 1], here + _brute(value[i]))
-        # One character again and again, or steps of one in the alphabet or the digits.
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        for k in range(i + 3, j + 1):
-            cost[k] = min(cost[k], here + _brute(value[i]) + math.log10(k - i) + LOG2)
-        for step in (1, -1):
-            j = i + 1
-            while j < n and j - i < LONGEST_PART and low[j].isalnum() and ord(low[j]) - ord(low[j - 1]) == step:
-                j += 1
-            if j - i >= 3:
-                cost[j] = min(cost[j], here + math.log10(26 if low[i].isalpha() else 10) + math.log10(j - i) + 2 * LOG2)
-        # A walk over neighbouring keys: 47 starts, about 4 turns a key.
-        j, turns = i + 1, 0
-        while j < n and j - i < LONGEST_PART and (low[j - 1], low[j]) in NEXT_KEYS:
-            turns += j >= i + 2 and ord(low[j]) - ord(low[j - 1]) != ord(low[j - 1]) - ord(low[j - 2])
-            j += 1
-            if j - i >= 4:
-                cost[j] = min(cost[j], here + math.log10(47 * (j - i)) + turns * 0.3 + LOG2)
-        # The part before, once more or as often as it comes again.
-        for size in range(2, min(i, LONGEST_PART) + 1):
-            times = again[size][i] // size
-            for m in {1, times} if times else ():
-                cost[i + m * size] = min(cost[i + m * size], here + math.log10(2 * size * m))
-        for j in range(i + 3, min(n, i + LONGEST_PART) + 1):
-            word = _word_cost(value[i:j])
-            if word is not None:
-                cost[j] = min(cost[j], here + word + LOG2)
-        date = DATE.match(value, i)
-        if date:
-            cost[date.end()] = min(cost[date.end()], here + (math.log10(119) if date.end() - i == 4 else math.log10(365 * 119)) + LOG2)
-    return cost[n]
+        for j, part in parts_from(value, i, run_end[i], again, ranks):
+            if here + part < cost[j]:
+                cost[j] = here + part
+    return min(cost[n], LOG_REFERENCE) if n and REFERENCE.fullmatch(value) else cost[n]
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least: int = LEAST_OCCURRENCES) -> dict[str, int]:
+    """Ranks of words: COMMON_WORDS, then the commonest words of the corpus (3 to LONGEST_PART letters a-z), at most ``most``."""
+    counted = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count_words, "word binary, freq long").groupBy("word").agg(F.sum("freq").alias("freq"))
+    words = counted.select(F.col("word").cast("string").alias("word"), "freq").where(F.col("word").rlike(f"^[a-z]{{3,{LONGEST_PART}}}$") & (F.col("freq") >= least))
+    ranks = dict(RANK)
+    for word in words.orderBy(F.desc("freq"), "word").limit(most).toArrow()["word"].to_pylist():
+        ranks.setdefault(word, len(ranks) + 1)
+    return ranks
 
 
-def find_spans(text: str, min_log_guesses: float = MIN_LOG_GUESSES) -> tuple[list, list, list]:
+def find_spans(text: str, min_log_guesses: float = MIN_LOG_GUESSES, ranks: dict[str, int] = RANK) -> tuple[list, list, list]:
     """Base spans and all spans of a text as sorted (start, kind index, end), and the value ranges to hide."""
     base, values = [], []
     for m in ASSIGN.finditer(text):
@@ -138,7 +177,7 @@ def find_spans(text: str, min_log_guesses: float = MIN_LOG_GUESSES) -> tuple[lis
     added = []
     for m in CONTEXT.finditer(text):
         value = m.group(1).rstrip(".)]}")
-        if len(value) >= 6 and guess_cost(value) >= min_log_guesses:
+        if len(value) >= 6 and not REFERENCE.fullmatch(m.group(1)) and guess_cost(value, ranks) >= min_log_guesses:
             added.append((m.start(1), 3, m.start(1) + len(value)))
             values.append((m.start(1), m.start(1) + len(value)))
     return sorted(base), sorted(base + added), values
@@ -160,12 +199,12 @@ def hide(text: str, values, mark: str) -> str:
     return "".join(out) + text[at:]
 
 
-def _scan(min_log_guesses):
+def _scan(min_log_guesses, ranks):
     def run(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
             for text in batch.column(1):
-                base, spans, _ = find_spans(text.as_py() or "", min_log_guesses)
+                base, spans, _ = find_spans(text.as_py() or "", min_log_guesses, ranks.value)
                 for kind in range(3):
                     cols[kind].append(sum(k == kind for _, k, _ in base))
                 cols[3].append(hashlib.sha256(_joined(base).encode()).hexdigest())
@@ -178,22 +217,25 @@ def _scan(min_log_guesses):
 def scan_secrets(docs: DataFrame, min_log_guesses: float = MIN_LOG_GUESSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row's whole text, in code points.
 
-    Null and empty texts: no spans. Spans of one kind don't overlap; of two kinds they may. Repeated rows: one result each.
+    The words of values are looked up in the dictionary of all texts. Null and empty texts: no spans. Texts and values of
+    any length are scanned whole. Spans of one kind don't overlap; of two kinds they may. Repeated rows: one result each.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text_col))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_scan(min_log_guesses), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return base.mapInArrow(_scan(min_log_guesses, ranks), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", min_log_guesses: float = MIN_LOG_GUESSES, text_col: str = "text") -> DataFrame:
     """docs with every secret value in the text replaced by mark; other columns and null texts stay as they are."""
     at = docs.columns.index(text_col)
+    ranks = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text_col))
 
     def run(batches):
         for batch in batches:
             texts = []
             for text in batch.column(at):
                 t = text.as_py()
-                texts.append(t if t is None else hide(t, find_spans(t, min_log_guesses)[2], mark))
+                texts.append(t if t is None else hide(t, find_spans(t, min_log_guesses, ranks.value)[2], mark))
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,7 +2,11 @@ import hashlib
 import re
 from collections import Counter
 
-from sonolume.llm.secrets import find_spans, guess_cost, redact_secrets, scan_secrets
+import math
+import random
+import time
+
+from sonolume.llm.secrets import RANK, _brute, dictionary, find_spans, guess_cost, parts_from, redact_secrets, repeats_behind, scan_secrets
 
 from .fixtures import awkward_docs, no_docs
 
@@ -50,6 +54,54 @@ def test_guess_costs():
     assert guess_cost("z9" * 4000) < 40
 
 
+def exhaustive(value):
+    """The cheapest of all segmentations, each tried."""
+    run_end, again = repeats_behind(value)
+    parts = {i: [(i + 1, _brute(value[i])), *parts_from(value, i, run_end[i], again, RANK)] for i in range(len(value))}
+
+    def costs(i):
+        if i == len(value):
+            yield 0.0
+            return
+        for j, c in parts[i]:
+            for rest in costs(j):
+                yield c + rest
+
+    return min(costs(0))
+
+
+def test_costs_against_all_segmentations():
+    rng = random.Random(3)
+    atoms = ["tiger", "1999", "qwer", "abc", "zz", "aaaa", "P4ss", "!", "7", "x", "2024-01-31"]
+    for _ in range(60):
+        value = "".join(rng.choice(atoms) for _ in range(4))[:11]
+        assert math.isclose(guess_cost(value), exhaustive(value)), value
+
+
+def test_repeats_behind():
+    run_end, again = repeats_behind("aabababx")
+    assert run_end == [2, 2, 3, 4, 5, 6, 7, 8] and list(again[2]) == [0, 0, 0, 4, 3, 2, 1, 0, 0]
+
+
+def test_long_values_take_linear_time():
+    for value in ("a" * 100_000, "ab1" * 30_000):
+        began = time.process_time()
+        guess_cost(value)
+        assert time.process_time() - began < 20
+
+
+def test_references_are_no_secrets():
+    for text in ("password: {{vault_password}}", "token = ${API_TOKEN_FOR_PRODUCTION}", "token = process.env.PRODUCTION_TOKEN", "api-key: https://docs.example.org/manage/keys"):
+        assert [s for s in find_spans(text)[1] if s[1] == 3] == [], text
+
+
+def test_dictionary_of_the_corpus(spark):
+    rows = [(i, "monitoring service Uncommonword x1 Thequick brownfox") for i in range(6)] + [(9, "rareword"), (10, None)]
+    ranks = dictionary(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert ranks["password"] == 1 and {"monitoring", "service", "brownfox", "thequick"} <= set(ranks) and "rareword" not in ranks and "x1" not in ranks
+    assert guess_cost("monitoring-service", ranks) < 10 < guess_cost("monitoring-service")
+
+
 def test_weak_context_values_stay_unreported():
     assert find_spans("pwd = password")[1] == []
     assert find_spans("pwd = monday2024")[1] == []
