@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def hex_to_bits(code: Column, elements: int) -> Column:
-    """Bits (0/1 string), most significant first; padded with zeros at the right or cut to the number of elements."""
-    nibbles = F.transform(F.filter(F.split(F.regexp_replace(code, " ", ""), ""), lambda c: c != ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0"))
-    return F.when(code.rlike("^[0-9a-fA-F ]*$"), F.rpad(F.array_join(nibbles, ""), elements, "0")).otherwise(F.lit("0" * elements))
+    """Bits (0/1 string), most significant first; padded with zeros at the right or cut to the number of elements. A code of f alone: all ones."""
+    plain = F.regexp_replace(code, "[ \\n]", "")
+    nibbles = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0"))
+    full = F.when(plain.rlike("^[fF]+$"), F.lit("1" * elements))
+    return full.when(plain.rlike("^[0-9a-fA-F]+$"), F.rpad(F.array_join(nibbles, ""), elements, "0")).otherwise(F.lit("0" * elements))
 
 
 def bits_to_hex(bits: Column) -> Column:
@@ -36,11 +38,15 @@ def angle_code(angle: Column) -> Column:
     return F.concat(F.when(angle < 0, "1").otherwise("0"), F.lpad(F.abs(angle.cast("int")).cast("string"), 2, "0"))
 
 
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def angle_of(name: Column) -> Column:
-    """The angle in the last part of a name hex_angle; null if there is none."""
-    code = F.regexp_replace(F.element_at(F.split(name, "_"), -1), "\\.", "")
-    size = F.substr(code, F.lit(2), F.lit(2)).try_cast("int")
-    return F.when(F.substr(code, F.lit(1), F.lit(1)) == "1", -size).otherwise(size)
+    """The angle in the last part of a name hex_angle: its sign (0 or 1) and all digits after it; null if there is none."""
+    code = F.regexp_replace(F.element_at(F.split(base_name(name), "_"), -1), "\\.", "")
+    size = F.substr(code, F.lit(2)).try_cast("int")
+    return F.when(code.rlike("^1[0-9]+$"), -size).when(code.rlike("^0[0-9]+$"), size)
 
 
 def flipped_code(code: Column) -> Column:
@@ -135,10 +141,20 @@ def target_size(size: Column, step: Column, target: Column) -> Column:
 
 
 def pattern_of(name: Column) -> Column:
-    """The parts of a name between its first and its last underscore."""
-    parts = F.split(name, "_")
-    return F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), "_")
+    """The parts of a file's name between its first and its last underscore, put together."""
+    parts = F.split(base_name(name), "_")
+    return F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), "")
 
 
 def field_name(code: Column, angle: Column) -> Column:
     return F.concat(F.lit("field_"), code, F.lit("_"), angle_code(angle))
+
+
+def pattern_paths(folder: str, code: Column, angles: Column) -> Column:
+    """Paths of the fields of a pattern, one for each of an array of angles."""
+    return F.transform(angles, lambda a: F.concat(F.lit(folder + "/"), field_name(code, a), F.lit(".hdr")))
+
+
+def plane_wave_angle(angle: Column) -> Column:
+    """The angle; an error outside -20 to 20 degrees."""
+    return F.when(F.abs(angle) > 20, F.raise_error(F.lit("a plane wave's angle lies between -20 and 20 degrees")).cast("double")).otherwise(angle)

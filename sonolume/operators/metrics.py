@@ -60,3 +60,35 @@ def regional_contrast(images: DataFrame, region: DataFrame) -> DataFrame:
     marked = images.join(region.select("z", "x").distinct().withColumn("_in", F.lit(True)), ["z", "x"], "left")
     inside, outside = F.avg(F.when(F.col("_in"), F.col("value"))), F.avg(F.when(F.col("_in").isNull(), F.col("value")))
     return marked.groupBy("iter").agg(inside.alias("inside"), outside.alias("outside"), (inside / outside - 1).alias("contrast"))
+
+
+def progress(images: DataFrame, truth: DataFrame) -> DataFrame:
+    """(iter, mse, noise, least, most): errors of each iteration, and the extrema of |value - truth| over all iterations after the first."""
+    d = F.abs(F.col("value") - F.col("truth"))
+    found = images.join(truth, "col_id").groupBy("iter").agg(F.avg(d * d).alias("mse"), F.avg(d).alias("noise"), F.min(d).alias("_lo"), F.max(d).alias("_hi"))
+    later = F.col("iter") > F.col("_first")
+    ends = found.crossJoin(F.broadcast(found.agg(F.min("iter").alias("_first")))).agg(F.min(F.when(later, F.col("_lo"))).alias("least"), F.max(F.when(later, F.col("_hi"))).alias("most"))
+    return found.select("iter", "mse", "noise").crossJoin(F.broadcast(ends))
+
+
+def shown_iterations(first: int, last: int, most: int = 5) -> list[int]:
+    """Up to ``most`` evenly spaced iterations."""
+    n = min(most, last - first + 1)
+    return [first + (k * (last - first)) // (n - 1) for k in range(n)] if n > 1 else [first]
+
+
+def relative_costs(costs: DataFrame, by: str) -> DataFrame:
+    """cost divided by the largest of its history."""
+    top = costs.groupBy(by).agg(F.max("cost").alias("_top"))
+    return costs.join(top, by).withColumn("cost", F.col("cost") / F.col("_top")).drop("_top")
+
+
+def apart_by_noise(metrics: DataFrame, distance: float) -> DataFrame:
+    """(iter, noise) of the iterations whose noise differs by more than the distance from that of the one taken before; the first is taken.
+
+    One row holds the history of a reconstruction: as many pairs as it has iterations.
+    """
+    history = metrics.agg(F.sort_array(F.collect_list(F.struct("iter", "noise"))).alias("h"))
+    far = lambda taken, x: F.abs(x["noise"] - F.element_at(taken, -1)["noise"]) > distance
+    taken = F.aggregate(F.slice("h", 2, F.greatest(F.size("h") - 1, F.lit(0))), F.slice("h", 1, 1), lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return history.select(F.explode(taken).alias("e")).select("e.iter", "e.noise")

@@ -14,6 +14,41 @@ def near_phases(scans: DataFrame, phases: list[float], column: str = "phase") ->
     return scans.where(F.exists(F.array(*map(F.lit, map(float, phases))), lambda p: F.abs(F.col(column) - p) <= 1e-3 + 1e-5 * F.abs(p)))
 
 
+def having(scans: DataFrame, column: str, values: list) -> DataFrame:
+    """Scans whose angle, decimation or other property is one of the values; renumber carries the choice over."""
+    return scans.where(F.col(column).isin(values))
+
+
+def named(scans: DataFrame, names: DataFrame) -> DataFrame:
+    """Scans whose name stands in a table of names."""
+    return scans.join(names.select("name"), "name", "left_semi")
+
+
+def key_ranks(scans: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, rank: place of each distinct combination in their order from 0, that of the rows of a complex matrix. The
+    combinations are as many as an acquisition has decimations and angles, whatever the samples."""
+    distinct = scans.select(*keys).distinct()
+    return distinct.withColumn("rank", F.row_number().over(Window.orderBy(*keys)) - 1)
+
+
+def aligned(signals: DataFrame, fields: DataFrame) -> DataFrame:
+    """Signals cut to the shortest length of the fields."""
+    least = shortest_length(fields)
+    return signals.join(F.broadcast(least), F.col("t") < F.col("length")).drop("length")
+
+
+def shortest_length(fields: DataFrame) -> DataFrame:
+    """(length,): samples of the shortest of the fields (n, t, ..)."""
+    return fields.groupBy("n").agg((F.max("t") + 1).alias("size")).agg(F.min("size").alias("length"))
+
+
+def mean_of_repeats(signals: DataFrame, first: int = 0, count: int | None = None) -> DataFrame:
+    """(n, t, y): mean over the repeats (column repeat), of ``count`` from ``first`` on or of all."""
+    if count is not None:
+        signals = signals.where((F.col("repeat") >= first) & (F.col("repeat") < first + count))
+    return signals.groupBy("n", "t").agg(F.avg("y").alias("y"))
+
+
 def pick(scans: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """A random selection of the given size without replacement, fixed by the seed; Spark keeps ``count`` rows a task, then merges."""
     order = F.xxhash64(F.lit(seed), F.col("n"))
@@ -115,3 +150,12 @@ def serpentine(position, x_size: int):
     """Column x of the n-th stop of a scan that turns back at each row's end."""
     row, at = F.floor(position / x_size), F.pmod(position, F.lit(x_size))
     return F.when(row % 2 == 0, at).otherwise(x_size - 1 - at)
+
+
+def serpentine_volume(position, x_size: int, y_size: int):
+    """Columns x, y, z of the n-th stop of a scan of planes that runs each row and each plane back and forth."""
+    plane = x_size * y_size
+    z, at = F.floor(position / plane), F.pmod(position, F.lit(plane))
+    at = F.when(z % 2 == 0, at).otherwise(plane - 1 - at)
+    # The rows' places in the list rise with the stops; only the pairs of a plane are turned.
+    return serpentine(at, x_size), F.floor(at / x_size), z

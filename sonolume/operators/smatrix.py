@@ -6,7 +6,9 @@ have no counterpart: Spark's partitioning takes their place.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -100,3 +102,76 @@ def truncate(a: DataFrame, t_size: int, x_size: int, t_range=None, t_step: int =
 def apodise(a: DataFrame, window: DataFrame) -> DataFrame:
     """v * w of the column; columns without a weight stay."""
     return a.join(window, "col_id", "left").select("row_id", "col_id", (F.col("v") * F.coalesce("w", F.lit(1.0))).alias("v"))
+
+
+def forward_complex(a: DataFrame, image: DataFrame) -> DataFrame:
+    """q = A x for cells (vre, vim) and a real image: (row_id, qre, qim)."""
+    return a.join(image, "col_id").groupBy("row_id").agg(F.sum(F.col("vre") * F.col("value")).alias("qre"), F.sum(F.col("vim") * F.col("value")).alias("qim"))
+
+
+def sensitivity_complex(a: DataFrame, floor: float = 1e-10) -> DataFrame:
+    """|A^H 1|: (col_id, sens)."""
+    return a.groupBy("col_id").agg(F.greatest(F.sqrt(F.pow(F.sum("vre"), F.lit(2)) + F.pow(F.sum("vim"), F.lit(2))), F.lit(floor)).alias("sens"))
+
+
+@dataclass(frozen=True)
+class View:
+    """A virtual truncation: the matrix stays as it is, the view is a filter over it that reaches the scan.
+
+    Times within t_range that are multiples of t_step and pixels of the box are active. Effective rows and columns number
+    the active ones without gaps; gather and scatter carry vectors between both. Without a view the table itself is used.
+    """
+
+    t_size: int
+    x_size: int
+    t_range: tuple[int, int] | None = None
+    t_step: int = 1
+    z_range: tuple[int, int] | None = None
+    x_range: tuple[int, int] | None = None
+
+    def times(self) -> tuple[int, int]:
+        """First active time and number of active times."""
+        lo, hi = self.t_range or (0, self.t_size)
+        first = -(-max(lo, 0) // self.t_step) * self.t_step
+        return first, max(0, -(-(min(hi, self.t_size) - first) // self.t_step))
+
+    def rows(self, row_id: Column) -> Column:
+        t, (first, count) = row_id % self.t_size, self.times()
+        return (t >= first) & (t < first + count * self.t_step) & (t % self.t_step == 0)
+
+    def columns(self, col_id: Column) -> Column:
+        keep = F.lit(True)
+        for at, span in ((F.floor(col_id / self.x_size), self.z_range), (col_id % self.x_size, self.x_range)):
+            if span:
+                keep = keep & (at >= span[0]) & (at < span[1])
+        return keep
+
+    def of(self, a: DataFrame) -> DataFrame:
+        """The active cells, under their own rows and columns."""
+        return a.where(self.rows(F.col("row_id")) & self.columns(F.col("col_id")))
+
+    def effective_row(self, row_id: Column) -> Column:
+        first, count = self.times()
+        return (F.floor(row_id / self.t_size) * count + F.floor((row_id % self.t_size - first) / self.t_step)).cast("long")
+
+    def effective_column(self, col_id: Column) -> Column:
+        (z0, _), (x0, x1) = self.z_range or (0, 0), self.x_range or (0, self.x_size)
+        return ((F.floor(col_id / self.x_size) - z0) * (x1 - x0) + col_id % self.x_size - x0).cast("long")
+
+    def full_column(self, column: Column) -> Column:
+        (z0, _), (x0, x1) = self.z_range or (0, 0), self.x_range or (0, self.x_size)
+        return ((F.floor(column / (x1 - x0)) + z0) * self.x_size + column % (x1 - x0) + x0).cast("long")
+
+    def gather(self, image: DataFrame) -> DataFrame:
+        """The active pixels of an image under their effective columns."""
+        return image.where(self.columns(F.col("col_id"))).withColumn("col_id", self.effective_column(F.col("col_id")))
+
+    def scatter(self, image: DataFrame) -> DataFrame:
+        """An image of the view under the columns of the whole."""
+        return image.withColumn("col_id", self.full_column(F.col("col_id")))
+
+    def extent(self, x_ends: tuple[float, float], z_ends: tuple[float, float], z_size: int) -> list[float]:
+        """[x from, x to, z to, z from] of the active box in the units of the whole grid's ends."""
+        (z0, z1), (x0, x1) = self.z_range or (0, z_size), self.x_range or (0, self.x_size)
+        dx, dz = (x_ends[1] - x_ends[0]) / self.x_size, (z_ends[1] - z_ends[0]) / z_size
+        return [x_ends[0] + x0 * dx, x_ends[0] + x1 * dx, z_ends[0] + z1 * dz, z_ends[0] + z0 * dz]

@@ -58,15 +58,15 @@ def delays_to_angle(spark, d):
     return _codes(spark, d).select("n", patterns.angle_of_delays(law, 0.0002, 1540.0).cast("long").alias("angle"))
 
 
-@register("""WITH d AS (SELECT DISTINCT n_nationkey % 8 AS dec FROM nation), g AS (SELECT DISTINCT r_regionkey * 5 - 10 AS angle FROM region),
+@register("""WITH d AS (SELECT DISTINCT p_size % 8 AS dec FROM part), g AS (SELECT DISTINCT p_partkey % 41 - 20 AS angle FROM part),
  e AS (SELECT dec, i, CASE WHEN cos(2 * pi() * dec / (16 * 0.2) * ((i - 7.5) * 0.2)) > 0 THEN '1' ELSE '0' END AS c, CASE WHEN sin(2 * pi() * dec / (16 * 0.2) * ((i - 7.5) * 0.2)) > 0 THEN '1' ELSE '0' END AS s FROM d, range(0, 16) r(i)),
  b AS (SELECT dec, string_agg(c, '' ORDER BY i DESC) AS c, string_agg(s, '' ORDER BY i DESC) AS s FROM e GROUP BY 1),
  k AS (SELECT dec, 0 AS phase, CASE WHEN dec = 0 THEN repeat('1', 16) ELSE c END AS bits FROM b UNION ALL SELECT dec, 1, translate(c, '01', '10') FROM b WHERE dec <> 0
   UNION ALL SELECT dec, 2, translate(s, '01', '10') FROM b WHERE dec <> 0 UNION ALL SELECT dec, 3, s FROM b WHERE dec <> 0)
  SELECT CAST(row_number() OVER (ORDER BY dec, phase, angle) - 1 AS INTEGER) AS n, lower(lpad(to_hex(list_sum(list_transform(range(0, 16), lambda j: CAST(bits[j + 1] AS BIGINT) << (15 - j)))::BIGINT), 4, '0')) AS code, CAST(angle AS BIGINT) AS angle, CAST(dec AS BIGINT) AS decimation, phase FROM k, g""")
 def emission_patterns(spark, d):
-    decimations = _table(spark, d, "nation").select((F.col("n_nationkey") % 8).alias("decimation"))
-    angles = _table(spark, d, "region").select((F.col("r_regionkey") * 5 - 10).alias("angle"))
+    part = _table(spark, d, "part")
+    decimations, angles = part.select((F.col("p_size") % 8).alias("decimation")), part.select((F.col("p_partkey") % 41 - 20).alias("angle"))
     found = generators.emission_patterns(decimations, angles, 16, 0.2)
     return found.select("n", "code", F.col("angle").cast("long").alias("angle"), F.col("decimation").cast("long").alias("decimation"), "phase")
 
@@ -125,9 +125,10 @@ def phase_selection(spark, d):
     return scans.near_phases(e, [0.0, 1.5707963267948966])
 
 
-@register("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS n, p_partkey AS old FROM part WHERE p_partkey % 3 = 1")
+@register("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n, vec_id AS old FROM (SELECT DISTINCT 3 * l_orderkey + l_linenumber AS vec_id FROM lineitem)".replace("vec_id", "k"))
 def scan_renumber(spark, d):
-    kept = _table(spark, d, "part").where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("n"), F.col("p_partkey").alias("old"))
+    """Numbers with gaps, made of all order lines, numbered anew."""
+    kept = _table(spark, d, "lineitem").select((3 * F.col("l_orderkey") + F.col("l_linenumber")).alias("n")).distinct().select("n", F.col("n").alias("old"))
     return scans.renumber(kept)[0]
 
 
@@ -202,11 +203,11 @@ def absorber_regions(spark, d):
 
 
 @register(f"""WITH {_PIX}, {_ABSORBERS}, m AS (SELECT z, x, x >= 10 AND x < 40 AND z >= 1 AND z < 3 AS inside FROM g),
- h AS (SELECT DISTINCT z, x FROM g JOIN o ON power(x - cx, 2) + power(z - cz, 2) <= radius * radius WHERE name LIKE '%1')
+ h AS (SELECT DISTINCT z, x FROM g JOIN o ON power(x - cx, 2) + power(z - cz, 2) <= radius * radius)
  SELECT m.z, m.x, CASE WHEN h.z IS NOT NULL THEN 343.0 WHEN inside THEN 1540.0 ELSE 1500.0 END AS speed, CASE WHEN h.z IS NOT NULL THEN 1.2 WHEN inside THEN 1050.0 ELSE 1000.0 END AS density FROM m LEFT JOIN h ON h.z = m.z AND h.x = m.x""".replace("343.0", "CAST(343 AS DOUBLE)").replace("1.2 ", "CAST(1.2 AS DOUBLE) "))
 def bubble_medium(spark, d):
     medium = generators.box_medium(_grid(spark, d), (1540.0, 1050.0), (1500.0, 1000.0), (1, 3), (10, 40))
-    return generators.bubble_medium(medium, _absorbers(spark, d).where("name like '%1'"))
+    return generators.bubble_medium(medium, _absorbers(spark, d))
 
 
 @register()
@@ -217,10 +218,12 @@ def textured_medium(spark, d):
 
 
 @register("""WITH e AS (SELECT p_partkey AS i, 0.5 + p_partkey * 0.3 AS lo, 0.5 + p_partkey * 0.3 + 0.25 AS hi FROM part), k AS (SELECT i, lo, hi, unnest(range(CAST(floor(lo / 0.2) AS BIGINT), CAST(floor(hi / 0.2) AS BIGINT) + 1)) AS x FROM e),
- w AS (SELECT i, x, (least(hi, (x + 1) * 0.2) - greatest(lo, x * 0.2)) / 0.2 AS weight FROM k) SELECT i, x, round(weight, 6) AS weight FROM w WHERE weight * 0.2 > 1e-9 AND x < 100000""".replace("0.5 + p_partkey * 0.3", "CAST(0.5 AS DOUBLE) + p_partkey * CAST(0.3 AS DOUBLE)").replace("0.2", "CAST(0.2 AS DOUBLE)").replace("+ CAST(0.2 AS DOUBLE)5 AS hi", "+ CAST(0.25 AS DOUBLE) AS hi"))
+ w AS (SELECT i, x, (least(hi, (x + 1) * 0.2) - greatest(lo, x * 0.2)) / 0.2 AS weight FROM k) SELECT i, x, round(weight, 6) AS weight FROM w WHERE weight * 0.2 > 1e-9 AND x < (SELECT 2 * max(p_partkey) + 10 FROM part)""".replace("0.5 + p_partkey * 0.3", "CAST(0.5 AS DOUBLE) + p_partkey * CAST(0.3 AS DOUBLE)").replace("0.2", "CAST(0.2 AS DOUBLE)").replace("+ CAST(0.2 AS DOUBLE)5 AS hi", "+ CAST(0.25 AS DOUBLE) AS hi"))
 def element_coverage(spark, d):
+    """Elements of a probe as wide as there are parts, on a grid that holds it."""
     elements = _table(spark, d, "part").select(F.col("p_partkey").alias("i"))
-    return generators.element_pixels(elements, 0.25, 0.3, 0.5, 0.2, 100000).select("i", "x", F.round("weight", 6).alias("weight"))
+    width = 2 * (elements.agg(F.max("i")).first()[0] or 0) + 10
+    return generators.element_pixels(elements, 0.25, 0.3, 0.5, 0.2, width).select("i", "x", F.round("weight", 6).alias("weight"))
 
 
 @register()

@@ -11,10 +11,12 @@ _own_dir: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; an own one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; in local mode alone, where that is unset, a folder of this machine."""
     global _own_dir
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_dir = _own_dir or tempfile.mkdtemp(prefix="spark-sonolume-")
         base = _own_dir
     return base
@@ -25,3 +27,12 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a result of cut that nothing reads any more."""
+    spark = df.sparkSession
+    found = df.inputFiles()
+    if found:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(found[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
