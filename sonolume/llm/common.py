@@ -79,6 +79,14 @@ def count_words(batches):
         yield flush()
 
 
+def common_floor(total: int, most: int) -> float:
+    """The share of ``total`` occurrences that a word needs to be among the ``most`` commonest: a hundredth of an equal one.
+
+    At most 100 * most words have it, so the task that picks the commonest reads no more, however many partitions there are.
+    """
+    return total / (100 * most)
+
+
 def row_keys(batches, start: int):
     """Number the rows of one task: yields (batch, first key), keys being unique over all tasks."""
     for batch in batches:

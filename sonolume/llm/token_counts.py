@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_row_key, materialize, row_keys
+from .common import common_floor, first_row_key, materialize, row_keys
 
 #: Pre-tokens sent to every executor: at most so many, none longer than HEAD_BYTES, so below 20 MB whatever the corpus.
 HEAD_WORDS = 200_000
@@ -104,12 +104,13 @@ def token_counts(docs: DataFrame, limit: int = 2048, tokenizer_path: str | None
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     vocabulary = base.select("text").mapInArrow(_vocabulary, "word binary, freq long").groupBy("word").agg(F.sum("freq").alias("freq"))
     table = materialize(vocabulary.mapInArrow(_pieces(tokenizer_path, tokenizer_name), "word binary, freq long, pieces long"), "pieces")
-    top = table.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("freq"), "word").limit(head_words).select("word", "pieces", "freq").toArrow()
+    floor = common_floor(table.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0], head_words)
+    top = table.where((F.octet_length("word") <= HEAD_BYTES) & (F.col("freq") >= floor)).orderBy(F.desc("freq"), "word").limit(head_words).select("word", "pieces", "freq").toArrow()
     least = min(top["freq"].to_pylist(), default=0) if top.num_rows == head_words else None
     head = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), top["pieces"].to_pylist())))
     counted = base.mapInArrow(_frequencies(head, pa.int64()), "doc_id long, row long, n_bytes long, word binary, n long")
-    # Words outside the head: those at most as common as its last, and the long ones.
-    rest = table.where((F.col("freq") <= F.lit(least)) | (F.octet_length("word") > HEAD_BYTES)) if least is not None else table.where(F.octet_length("word") > HEAD_BYTES)
+    # Words outside the head: those at most as common as its last or below the floor, and the long ones.
+    rest = table.where((F.col("freq") <= F.lit(least) if least is not None else F.col("freq") < floor) | (F.octet_length("word") > HEAD_BYTES))
     total = F.sum(F.col("n") * F.coalesce("pieces", F.lit(1)))
     return (
         counted.join(rest.select("word", "pieces"), "word", "left")
