@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_words, first_row_key, materialize, row_keys
+from .common import common_floor, count_words, first_row_key, materialize, row_keys
 
 #: Words with emission probabilities of their own (with K states: a table of fixed size), of HEAD_BYTES together at most.
 HEAD_WORDS = 30_000
@@ -235,7 +235,7 @@ def hmm_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head
     words, tokens = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("freq"), F.lit(0))).first()
     total, distinct = tokens + texts, words + (texts > 0)
     # Of words too long for the head (a rule of a million dashes) a prefix comes to the driver, and they go to classes.
-    top = table.select(F.substring("word", 1, HEAD_BYTES // 100).alias("word"), "freq", F.octet_length("word").alias("bytes")).orderBy(F.desc("freq"), "word").limit(head_words).toArrow()
+    top = table.where(F.col("freq") >= common_floor(tokens, head_words)).select(F.substring("word", 1, HEAD_BYTES // 100).alias("word"), "freq", F.octet_length("word").alias("bytes")).orderBy(F.desc("freq"), "word").limit(head_words).toArrow()
     sizes = np.array(top["bytes"].to_pylist(), np.int64)
     taken = (sizes <= HEAD_BYTES // 100) & (np.cumsum(sizes) <= HEAD_BYTES)
     freqs = np.array(top["freq"].to_pylist(), np.float64)[taken]
