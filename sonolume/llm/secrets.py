@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import count_words
+from .common import common_floor, count_words, discard, materialize
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -157,9 +157,12 @@ def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY,
     """Ranks of words: COMMON_WORDS, then the commonest words of the corpus (3 to LONGEST_PART letters a-z), at most ``most``."""
     counted = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count_words, "word binary, freq long").groupBy("word").agg(F.sum("freq").alias("freq"))
     words = counted.select(F.col("word").cast("string").alias("word"), "freq").where(F.col("word").rlike(f"^[a-z]{{3,{LONGEST_PART}}}$") & (F.col("freq") >= least))
+    words = materialize(words, "dictionary")
+    floor = common_floor(words.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0], most)
     ranks = dict(RANK)
-    for word in words.orderBy(F.desc("freq"), "word").limit(most).toArrow()["word"].to_pylist():
+    for word in words.where(F.col("freq") >= floor).orderBy(F.desc("freq"), "word").limit(most).toArrow()["word"].to_pylist():
         ranks.setdefault(word, len(ranks) + 1)
+    discard(words)
     return ranks
 
 
