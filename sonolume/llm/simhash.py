@@ -149,7 +149,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, id_col:
     fps = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight")), "distinct")
     links = link_fingerprints(fps.select("fp", "weight"), max_bits)
     classed = fps.join(links, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
-    smallest = classed.groupBy("class").agg(F.min("first").alias("component_id"))
+    # Written, so that the join deals both sides out anew and can split a very large class.
+    smallest = materialize(classed.groupBy("class").agg(F.min("first").alias("component_id")), "smallest")
     answer = classed.join(smallest, "class").select("fp", "component_id")
     return found.join(answer, "fp").select("doc_id", "fp", "component_id")
 
