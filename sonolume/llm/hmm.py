@@ -27,29 +27,38 @@ BATCH_TOKENS = 300_000
 HASH_SEED = 42  # that of Spark's xxhash64
 
 
-def _encode(head, classes: int, kind):
-    def run(batches):
+class Symbols(dict):
+    """Symbols by word: those of the head, and the classes of the last other words seen."""
+
+    def __init__(self, head: dict, classes: int):
+        super().__init__(head)
+        self.rare, self.mask, self.seen = len(head), classes - 1, {}
+
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        known = head.value
-        rare, mask = len(known), classes - 1
-        end = rare + classes
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            found = self.seen[word] = self.rare + (xxhash.xxh64_intdigest(word, HASH_SEED) & self.mask)
+        return found
+
+
+def _encode(head, classes: int, kind):
+    def run(batches):
+        symbols = Symbols(head.value, classes)
+        rare, end = symbols.rare, np.array([symbols.rare + classes], kind)
         for batch, key in row_keys(batches, first_row_key()):
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 ids, sizes, words, freqs = [], [], [], []
                 for text in part.column("text"):
                     tokens = (text.as_py() or b"").lower().split()
-                    found = [known.get(w, -1) for w in tokens]
-                    tail: Counter = Counter()
-                    for k, i in enumerate(found):
-                        if i < 0:
-                            w = tokens[k]
-                            tail[w] += 1
-                            found[k] = rare + (xxhash.xxh64_intdigest(w, HASH_SEED) & mask)
-                    found.append(end)
-                    ids.append(np.array(found, kind).tobytes())
-                    sizes.append(len(found))
+                    found = np.fromiter(map(symbols.__getitem__, tokens), kind, len(tokens))
+                    tail = Counter([tokens[k] for k in np.flatnonzero(found >= rare).tolist()])
+                    ids.append(np.concatenate([found, end]).tobytes())
+                    sizes.append(len(found) + 1)
                     words.append(list(tail))
                     freqs.append(list(tail.values()))
                 yield pa.record_batch(
