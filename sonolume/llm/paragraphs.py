@@ -361,7 +361,8 @@ def _spans(places: DataFrame, passage: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, removed: DataFrame, passage: int = PASSAGE, step: int = STEP) -> DataFrame:
     """doc_id, mark, passages, passages_in, n_shared for texts with a window that has several places, across line breaks and inside longer lines.
 
-    docs: doc_id, mark, text; removed: doc_id, mark, removed_lines of paragraphs that go, whose words take no part. Of equal
+    docs: doc_id, mark, text; removed: doc_id, mark, removed_lines of paragraphs that go. Windows wholly inside these take no
+    part; those that reach into shorter lines beside them do, else the short lines of near copies would stay. Of equal
     windows the smallest (doc_id, mark, at) stays; its words stay even where another window is a repeat. Windows are equal
     or not: below 49 words one other word inside takes a window under Jaccard 0.8 anyway.
     """
@@ -370,8 +371,8 @@ def repeated_passages(docs: DataFrame, removed: DataFrame, passage: int = PASSAG
     several = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "several")
     gone = removed.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "removed_lines")
     hits = rows.join(several.hint("shuffle_hash"), "gram").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
-    touched = F.exists("removed_lines", lambda x: (x >= F.col("line")) & (x <= F.col("last")))
-    hits = materialize(hits.where(~F.coalesce(touched, F.lit(False))).select("doc_id", "mark", "at", "gram"), "hits")
+    inside = F.size(F.filter("removed_lines", lambda x: (x >= F.col("line")) & (x <= F.col("last")))) > F.col("last") - F.col("line")
+    hits = materialize(hits.where(~F.coalesce(inside, F.lit(False))).select("doc_id", "mark", "at", "gram"), "hits")
     discard(rows)
     discard(several)
     place = F.struct("doc_id", "mark", "at")
@@ -412,8 +413,9 @@ def repeated_paragraphs(
     smallest (doc_id, line) stays; all others, in any document, are removals. Passages are found in what then is left.
     Returns doc_id, mark (hash of the text), n_paragraphs, n_repeated (in a component with several places, the one that
     stays included), n_removed, removed_lines (sorted, from 0), kept_in (ids of the documents that keep them), n_shared
-    (compared windows with several places, those that stay included), n_passage_words, passages (start and end of their
-    words in the whole text, from 0, end excluded) and passages_in.
+    (compared windows with several places, those that stay included), n_matches (n_repeated and n_shared together: above 0
+    where a paragraph or passage has another place), n_passage_words, passages (start and end of their words in the whole
+    text, from 0, end excluded; parts of removed lines may be among them) and passages_in.
 
     Null and blank texts have no paragraphs. Null ids sort first. Rows that repeat id and text are one document. Texts of
     any length are compared whole. Empty table: no rows.
@@ -432,7 +434,7 @@ def repeated_paragraphs(
         F.coalesce(F.max("passages_in"), F.array().cast(none["passages_in"])).alias("passages_in"),
     )
     words = F.aggregate("passages", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
-    return whole.select("doc_id", "mark", "n_paragraphs", "n_repeated", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", "kept_in", "n_shared", words.alias("n_passage_words"), "passages", "passages_in")
+    return whole.select("doc_id", "mark", "n_paragraphs", "n_repeated", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines", "kept_in", "n_shared", (F.col("n_repeated") + F.col("n_shared")).alias("n_matches"), words.alias("n_passage_words"), "passages", "passages_in")
 
 
 def cut_text(text: bytes, lines, spans) -> bytes:

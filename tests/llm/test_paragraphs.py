@@ -194,3 +194,18 @@ def test_every_passage_of_51_words_is_found(spark):
             rows.append((2 * i + k, "\n".join(" ".join(words[a:b]) for a, b in zip([0, *cuts], [*cuts, len(words)]))))
     got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.n_passage_words >= PASSAGE or r.n_removed > 0 for r in got) == 120 and sum(r.n_shared > 0 or r.n_repeated > 0 for r in got) == 240
+
+
+def test_short_lines_beside_removed_ones(spark):
+    """Two near copies whose long line repeats an older document's: the short lines around it are a repeat as well."""
+    rng = random.Random(12)
+    own = lambda n, tag: " ".join(f"{tag}{rng.randint(0, 9999)}" for _ in range(n))
+    long, before, after = own(40, "l"), [own(15, "b") for _ in range(2)], [own(15, "c") for _ in range(3)]
+    copy = "\n".join([*before, long, *after])
+    texts = [long, copy, copy + "\n" + own(10, "d"), own(80, "e")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in repeated_paragraphs(df).collect()}
+    assert [found[i].n_matches > 0 for i in range(4)] == [True, True, True, False]
+    left = {r.doc_id: r.text for r in remove_repeats(df).collect()}
+    assert left[0] == long and left[3] == texts[3] and left[1] == "\n".join([*before, *after])
+    assert all(a not in left[2] for a in (before[1], after[0], after[1])) and texts[2].split("\n")[-1] in left[2]
