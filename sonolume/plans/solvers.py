@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import smatrix, stencil
-from ..session import cut, discard
+from ..session import cut, cut_bucketed, discard
 
 State = dict[str, DataFrame]
 
@@ -317,6 +317,14 @@ def lipschitz(a: DataFrame, rounds: int = 20, scale: DataFrame | None = None) ->
     return size
 
 
+def stored(a: DataFrame, y: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Matrix and signal written once, before the rounds. Bucketed by row, the joins and sums by row of each round exchange
+    no cells of the matrix (those by column only partial sums); a row with very many cells then stays in one task."""
+    if buckets:
+        return cut_bucketed(a, "row_id", "matrix", buckets), cut_bucketed(y, "row_id", "signal", buckets)
+    return cut(a, "matrix"), cut(y, "signal")
+
+
 @dataclass
 class Result:
     image: DataFrame
@@ -332,8 +340,12 @@ OPTIMIZERS = {"mlem": False, "mapem": True, "depierro": True, "ppgmlem": True, "
 def reconstruct(
     a: DataFrame, y: DataFrame, optimizer: str, rounds: int, *, prior: Prior | None = None, step_size: float | None = None, start: float = 0.1, eps: float = 1e-10, precondition: bool = False,
     beta: float = 0.0, x_size: int = 0, z_size: int = 0, theta: float = 1.0, subsets: int = 1, t_size: int = 1, stop: Stop | None = None, truth: DataFrame | None = None, costs: bool = False, max_saves: int = 0,
+    buckets: int | None = None,
 ) -> Result:
-    """Run an optimizer of OPTIMIZERS; saved images come as (iter, col_id, value). step_size None: 1 / (Lipschitz constants of data and prior)."""
+    """Run an optimizer of OPTIMIZERS; saved images come as (iter, col_id, value). step_size None: 1 / (Lipschitz constants of data and prior).
+
+    buckets: store matrix and signal bucketed by row (see stored); worth it where the matrix is too large to be shuffled each round.
+    """
     if optimizer not in OPTIMIZERS:
         raise ValueError(f"unknown optimizer {optimizer}; one of {', '.join(OPTIMIZERS)}")
     if prior and not OPTIMIZERS[optimizer]:
@@ -346,7 +358,7 @@ def reconstruct(
         if stop or costs or max_saves:
             raise ValueError("lbfgs has its own stopping rule and saves no rounds")
         return Result(lbfgs(a, y, rounds, prior, start), None, rounds, [])
-    a, y = cut(a, "matrix"), cut(y, "signal")
+    a, y = stored(a, y, buckets)
     scale = None
     if precondition:
         d = smatrix.hessian_diagonal(a)

@@ -29,6 +29,18 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_bucketed(df: DataFrame, key: str, name: str = "step", buckets: int | None = None) -> DataFrame:
+    """As cut, but as a table bucketed and sorted by ``key``: joins and sums by it need no exchange of these rows.
+
+    buckets: by default as many as shuffle partitions; tables to be joined without exchange need the same number.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a result of cut that nothing reads any more."""
     spark = df.sparkSession

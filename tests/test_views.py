@@ -86,3 +86,23 @@ def test_serpentine_volume(spark):
     want = [(x, y, z) for z in range(nz) for x, y in (xy if z % 2 == 0 else xy[::-1])]
     x, y, z = scans.serpentine_volume(F.col("id"), nx, ny)
     assert [tuple(r) for r in spark.range(nx * ny * nz).orderBy("id").select(x, y, z).collect()] == want
+
+
+def test_bucketed_matrix_is_not_exchanged_by_row(spark):
+    rng = np.random.default_rng(5)
+    cells = [(r, c, float(rng.random())) for r in range(40) for c in range(12) if rng.random() < 0.6]
+    a = spark.createDataFrame(cells, "row_id long, col_id long, v double")
+    y = a.groupBy("row_id").agg(F.sum("v").alias("y"))
+    for optimizer, step in (("mlem", None), ("gradient", 1e-3)):
+        plain, bucketed = (
+            {r.col_id: r.value for r in solvers.reconstruct(a, y, optimizer, 3, step_size=step, buckets=n).image.collect()} for n in (None, 4)
+        )
+        assert plain.keys() == bucketed.keys() and np.allclose([plain[c] for c in sorted(plain)], [bucketed[c] for c in sorted(plain)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big, signal = solvers.stored(a, y, 4)
+        plan = smatrix.backward(big, signal)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning(col_id" in plan and "Exchange hashpartitioning(row_id" not in plan
