@@ -43,6 +43,17 @@ def test_matches_a_walk_over_single_keys(spark):
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
 
 
+def test_a_very_common_id_is_ranked_in_pieces(spark):
+    ids = [None] * 700 + [5] * 400 + list(range(1000))
+    df = spark.createDataFrame([(i, f"t {k % 3}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    got = bounded_ring_shards(df, shards=7, virtual=5, cells=16, crowd=40).collect()
+    assert Counter((position("" if r.doc_id is None else str(r.doc_id)), r.shard) for r in got) == brute(ids, 7, 5)
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(f"t {k % 3}".encode())) for k, i in enumerate(ids))
+    for s in range(7):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(300))
+
+
 def test_one_more_shard_moves_little(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "'t' as text")
     a = {r.doc_id: r.shard for r in bounded_ring_shards(df, shards=12, cells=64).collect()}
