@@ -13,6 +13,8 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.fourier import ramp_filter
 from ..operators import stencil
 
+#: Up to so many pixels (16 bytes each) are sent to the tasks that hold the traces.
+SENT_PIXELS = 1_000_000
 _COMPLEX = "struct<re:array<double>,im:array<double>>"
 
 
@@ -87,10 +89,11 @@ def filtered_traces(traces: DataFrame, z_size: int, dz: float, cutoff: float, fr
 def back_project(filtered: DataFrame, pixels: DataFrame, z_size: int, x_size: int, dx: float, dz: float, frequency: float, x0: float = 0.0, z0: float = 0.0, centres: DataFrame | None = None) -> DataFrame:
     """(z, x, value): every pixel adds, over all traces, the trace at its distance along the angle, on its carrier wave.
 
-    Each pixel needs each trace: rows are pixels x traces by nature. The traces (decimations x angles arrays) are the
-    small side; sums are formed before the shuffle.
+    Each pixel needs each trace: pixels x traces sums by nature. The traces stay where they are; up to SENT_PIXELS pixels
+    are sent to them, and each task adds its traces up before the shuffle, which then is of the image's size.
     """
     t = filtered.join(centres, ["decimation", "angle"], "left") if centres is not None else filtered.withColumn("centre_x", F.lit(0.0))
+    t = t.select("decimation", "angle", "centre_x", "sup", F.col("low.re").alias("low"))
     a, centre = F.radians("angle"), F.coalesce("centre_x", F.lit(0.0))
     px, pz = F.col("x") * dx + x0, F.col("z") * dz + z0
     along = (px - centre) * F.sin(a) + pz * F.cos(a)
@@ -101,7 +104,9 @@ def back_project(filtered: DataFrame, pixels: DataFrame, z_size: int, x_size: in
     w = place - i0
     at = lambda c: (1 - w) * F.col(c)[i0] + w * F.col(c)[i1]
     turn = 2 * math.pi * F.col("decimation") * frequency * across
-    real = 2 * (F.cos(turn) * at("sup.re") - F.sin(turn) * at("sup.im")) + at("low.re")
+    real = 2 * (F.cos(turn) * at("sup.re") - F.sin(turn) * at("sup.im")) + at("low")
     shots = filtered.agg(F.count(F.lit(1)).alias("_all"), F.count(F.when(F.col("decimation") != 0, 1)).alias("_four"))
-    added = pixels.select("z", "x").crossJoin(t).groupBy("z", "x").agg(F.sum(real).alias("value"))
+    grid = pixels.select("z", "x")
+    few = grid.limit(SENT_PIXELS + 1).count() <= SENT_PIXELS
+    added = t.crossJoin(F.broadcast(grid) if few else grid).groupBy("z", "x").agg(F.sum(real).alias("value"))
     return added.crossJoin(F.broadcast(shots)).select("z", "x", (F.col("value") * dz / (F.col("_all") * F.greatest(0.75 * F.col("_four"), F.lit(0.25)))).alias("value"))

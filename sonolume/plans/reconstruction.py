@@ -151,22 +151,41 @@ def image_smooth(spark, d):
     return stencil.gaussian(stencil.gaussian(grid, 1.5, "x", X), 1.0, "z", lines).select("z", "x", F.round("value", 6).alias("value"))
 
 
-def _traces(spark, d):
-    """Complex traces: orders of 50 lines are emissions; their number gives frequency (0 to 3) and angle (-10, 0, 10)."""
-    y = _signal(spark, d).select(F.floor(F.col("row_id") / T).alias("n"), (F.col("row_id") % T).alias("z"), "y")
-    return y.groupBy((F.col("n") % 4).cast("int").alias("decimation"), ((F.floor(F.col("n") / 4) % 3 - 1) * 10).cast("double").alias("angle"), "z").agg(F.sum("y").alias("re"), F.sum(F.col("y") / (F.col("n") + 1)).alias("im"))
+_SHOT = f"{_Y}, tr AS (SELECT row_id // {T} AS n, row_id // {T} % 4 AS k, row_id // {T} // 4 AS a, row_id % {T} AS z, CAST(y AS DOUBLE) AS re, y / (row_id // {T} + 1.0) AS im FROM y)"
+_SHOTS = "s AS (SELECT count(*) * greatest(0.75 * count(*) FILTER (k <> 0), 0.25) AS n FROM (SELECT DISTINCT n, k FROM tr))"
+_TILT = "radians((a * 24.72135955) % 40 - 20)"
 
 
-@register()
+def _traces(spark, d):
+    """Complex traces: each 50 orders are an emission of its own; every four share an angle (-20 to 20), one for each frequency (0 to 3)."""
+    y = _signal(spark, d).select(F.floor(F.col("row_id") / T).alias("n"), (F.col("row_id") % T).alias("z"), F.col("y").cast("double").alias("y"))
+    angle = (F.floor(F.col("n") / 4) * F.lit(24.72135955)) % 40 - 20
+    return y.select((F.col("n") % 4).cast("int").alias("decimation"), angle.alias("angle"), "z", F.col("y").alias("re"), (F.col("y") / (F.col("n") + 1)).alias("im"))
+
+
+@register(f"""WITH {_SHOT}, {_SHOTS},
+ c AS (SELECT a, z, k, re * CASE WHEN k = 0 THEN 0.5 ELSE 1 END AS re, im * CASE WHEN k = 0 THEN 0.5 ELSE 1 END AS im FROM tr UNION ALL SELECT a, z + 1, -k, re, -im FROM tr WHERE k <> 0 AND z < (SELECT max(z) FROM tr)),
+ f AS MATERIALIZED (SELECT a, z, x, sum(re * cos(2 * pi() * k * (x - 25) / 50.0) - im * sin(2 * pi() * k * (x - 25) / 50.0)) / 0.2 AS v FROM c, range(0, {X}) r(x) GROUP BY 1, 2, 3),
+ p AS (SELECT a, z, x, sin(t) * x + cos(t) * z AS fz, cos(t) * x - sin(t) * z AS fx FROM (SELECT a, z, x, {_TILT} AS t FROM f)),
+ q AS (SELECT a, z, x, CAST(floor(fz) + i AS BIGINT) AS cz, CAST(floor(fx) + j AS BIGINT) AS cx, (CASE WHEN i = 1 THEN fz - floor(fz) ELSE 1 - (fz - floor(fz)) END) * (CASE WHEN j = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w
+  FROM p, (VALUES (0), (1)) u(i), (VALUES (0), (1)) v(j))
+ SELECT q.z, q.x, round(sum(w * coalesce(f.v, 0)) * 0.2 / (SELECT n FROM s), 4) + 0.0 AS value FROM q LEFT JOIN f ON f.a = q.a AND f.z = q.cz AND f.x = q.cx GROUP BY 1, 2""")
 def inverse_fourier_image(spark, d):
-    return analytic.inverse_fourier(_traces(spark, d), X, 0.2, dz=0.2).select("z", "x", F.round("value", 4).alias("value"))
+    return analytic.inverse_fourier(_traces(spark, d), X, 0.2, dz=0.2).select("z", "x", (F.round("value", 4) + 0.0).alias("value"))
 
 
-@register()
+@register(f"""WITH {_SHOT}, {_SHOTS}, m AS (SELECT m, m / 10.0 * exp(-2 * power(m / 20.0, 10)) AS w FROM range(0, 21) r(m)),
+ h AS MATERIALIZED (SELECT e, sum(w * cos(2 * pi() * m * e / 50.0)) AS c, sum(w * sin(2 * pi() * m * e / 50.0)) AS s FROM m, range(-49, 50) r(e) GROUP BY 1),
+ f AS MATERIALIZED (SELECT n, j, sum(re * c - im * s) AS re, sum(re * s + im * c) AS im FROM tr, range(0, {T}) r(j), h WHERE e = j - z GROUP BY 1, 2),
+ t AS (SELECT DISTINCT n, k, {_TILT} AS t FROM tr),
+ p AS (SELECT n, z, x, 2 * pi() * k * 0.1 * ((x * 0.2 - 4.9) * cos(t) - z * 0.2 * sin(t)) AS turn, (x * 0.2 * sin(t) + z * 0.2 * cos(t)) / 0.2 AS u FROM t, range(0, {T}) a(z), range(0, {X}) b(x)),
+ q AS (SELECT *, CAST(greatest(0, least(floor(u), 49)) AS BIGINT) AS i0, CAST(greatest(0, least(floor(u) + 1, 49)) AS BIGINT) AS i1 FROM p),
+ r AS (SELECT n, z, x, turn, i0 AS j, 1 - (u - i0) AS w FROM q UNION ALL SELECT n, z, x, turn, i1, u - i0 FROM q)
+ SELECT z, x, round(sum(2 * w * (cos(turn) * re - sin(turn) * im)) * 0.2 / (SELECT n FROM s), 4) + 0.0 AS value FROM r JOIN f USING (n, j) GROUP BY 1, 2""")
 def back_projected_image(spark, d):
     filtered = analytic.filtered_traces(_traces(spark, d), T, 0.2, 2.0, 0.1)
     pixels = generators.grid(spark, T, X)
-    return analytic.back_project(filtered, pixels, T, X, 0.2, 0.2, 0.1).select("z", "x", F.round("value", 4).alias("value"))
+    return analytic.back_project(filtered, pixels, T, X, 0.2, 0.2, 0.1).select("z", "x", (F.round("value", 4) + 0.0).alias("value"))
 
 
 _FOCUS = dict(t_size=64, z_size=30, dx=1e-3, dz=1e-3, speed=1500.0, rate=2.98e6, frequency=1e6, cycles=2.0, focus=15e-3, aperture=10e-3)
