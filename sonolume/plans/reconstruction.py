@@ -82,7 +82,21 @@ def conjugate_2(spark, d):
     return solvers.reconstruct(_matrix(spark, d), _signal(spark, d), "conjugate", 2, step_size=1e-6).image.select("col_id", _rounded())
 
 
-@register()
+_LEAST = "SELECT greatest(quantile_cont(t, 0.5) * 1e-6, 1e-12) FROM"
+
+
+@register(f"""WITH {_A}, {_Y}, rt AS (SELECT row_id, sum(abs(v)) AS t FROM a GROUP BY 1), ct AS (SELECT col_id, sum(abs(v)) AS t FROM a GROUP BY 1),
+ sg AS (SELECT row_id, 0.99 / greatest(t, ({_LEAST} rt)) AS sigma FROM rt), last AS (SELECT max(col_id) // {X} AS z FROM ct),
+ ta AS (SELECT col_id, 0.99 / (greatest(t, ({_LEAST} ct)) + 4 - CAST(col_id // {X} = 0 AS INT) - CAST(col_id // {X} = last.z AS INT) - CAST(col_id % {X} = 0 AS INT) - CAST(col_id % {X} = {X} - 1 AS INT)) AS tau FROM ct, last),
+ d1 AS MATERIALIZED (SELECT row_id, sigma, coalesce(y, 0) AS y, -sigma * coalesce(y, 0) / (1 + sigma) AS d FROM sg LEFT JOIN y USING (row_id)),
+ x1 AS MATERIALIZED (SELECT col_id, tau, greatest(0, -tau * sum(v * d)) AS u FROM a JOIN d1 USING (row_id) JOIN ta USING (col_id) GROUP BY 1, 2),
+ d2 AS MATERIALIZED (SELECT row_id, (any_value(d) + any_value(sigma) * (sum(v * 2 * u) - any_value(y))) / (1 + any_value(sigma)) AS d FROM a JOIN x1 USING (col_id) JOIN d1 USING (row_id) GROUP BY 1),
+ g AS (SELECT col_id // {X} AS z, col_id % {X} AS x, 2 * u AS value FROM x1), {_GRAD},
+ n AS (SELECT z, x, 0.495 * gz AS gz, 0.495 * gx AS gx, sqrt(power(0.495 * gz, 2) + power(0.495 * gx, 2) + 1e-12) AS n FROM f),
+ tv AS (SELECT z, x, gz * CASE WHEN n > 0.1 THEN 0.1 / n ELSE 1 END AS gz, gx * CASE WHEN n > 0.1 THEN 0.1 / n ELSE 1 END AS gx FROM n),
+ dv AS (SELECT z, x, CASE WHEN lead(1) OVER v IS NULL THEN 0 ELSE gz END - coalesce(lag(gz) OVER v, 0) + CASE WHEN lead(1) OVER h IS NULL THEN 0 ELSE gx END - coalesce(lag(gx) OVER h, 0) AS div FROM tv WINDOW v AS (PARTITION BY x ORDER BY z), h AS (PARTITION BY z ORDER BY x)),
+ c2 AS (SELECT col_id, sum(v * d) AS c FROM a JOIN d2 USING (row_id) GROUP BY 1)
+ SELECT col_id, round(greatest(0, u - tau * (c - div)), 4) + 0.0 AS value FROM x1 JOIN c2 USING (col_id) JOIN dv ON dv.z = col_id // {X} AND dv.x = col_id % {X}""")
 def primal_dual_2(spark, d):
     a = cut(_matrix(spark, d), "matrix")
     lines = a.agg(F.max("col_id")).first()[0] // X + 1
