@@ -76,15 +76,35 @@ def random_patterns(spark, d):
     return generators.random_patterns(_table(spark, d, "part").select(F.col("p_partkey").alias("id")), 48)
 
 
-@register("""WITH s AS (SELECT p_partkey AS n, substr(md5(CAST(p_partkey AS VARCHAR)), 1, 1) AS code, p_partkey % 5 - 2 AS angle FROM part),
- f AS (SELECT n, code, angle, substr('084c2a6e195d3b7f', CAST('0x' || code AS INTEGER) + 1, 1) AS turned FROM s)
- SELECT f.n, coalesce(max(s.n), f.n) AS source, max(s.n) IS NOT NULL AS found FROM f LEFT JOIN s ON s.code = f.turned AND s.angle = -f.angle GROUP BY f.n""")
+_FLIPS = """s AS (SELECT p_partkey AS n, substr(md5(CAST(p_partkey AS VARCHAR)), 1, 1) AS code, p_partkey % 5 - 2 AS angle FROM part),
+ f AS (SELECT n, code, angle, substr('084c2a6e195d3b7f', CAST('0x' || code AS INTEGER) + 1, 1) AS turned FROM s),
+ m AS (SELECT f.n, coalesce(max(s.n), f.n) AS source, max(s.n) IS NOT NULL AS found FROM f LEFT JOIN s ON s.code = f.turned AND s.angle = -f.angle GROUP BY f.n)"""
+
+
+@register(f"WITH {_FLIPS} SELECT * FROM m")
 def flip_lookup(spark, d):
     n = F.col("p_partkey")
     some = _table(spark, d, "part").select(n.alias("n"), F.substring(F.md5(n.cast("string")), 1, 1).alias("code"), (n % 5 - 2).cast("int").alias("angle"))
     return scans.flipped(some, 4)
 
 
+@register(f"WITH {_FLIPS} SELECT n, l_orderkey AS t, sum(l_quantity) AS y FROM m JOIN lineitem ON l_partkey = source GROUP BY 1, 2")
+def signal_flip(spark, d):
+    signals = _table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("n"), F.col("l_orderkey").alias("t")).agg(F.sum("l_quantity").alias("y"))
+    return scans.flip_signals(signals, flip_lookup(spark, d))
+
+
+@register("""WITH p AS (SELECT p_partkey AS n, round(radians(p_partkey % 41 - 20), 5) AS a, p_size % 7 * 1e-7 * 1540 AS first, p_size * 1e-7 * 1540 AS last, p_partkey % 9 = 0 AS silent FROM part),
+ q AS (SELECT n, silent, 0.001 - sin(a) * first AS x1, 0.004 - sin(a) * last AS x2, -cos(a) * first AS z1, -cos(a) * last AS z2 FROM p)
+ SELECT n, round(CASE WHEN silent OR z1 = z2 THEN 0 ELSE (z2 * x1 - z1 * x2) / (z2 - z1) END, 8) + 0.0 AS x FROM q""")
+def rotation_centres(spark, d):
+    """Every part as an emission of four elements: where its wave front meets the probe."""
+    delays = F.array((F.col("p_size") % 7) * 1e-7, F.col("p_size") * 1e-7)
+    bits = F.when(F.col("p_partkey") % 9 == 0, "0000").otherwise("0110")
+    x = patterns.rotation_centre([0.001, 0.002, 0.003, 0.004], F.radians(F.col("p_partkey") % 41 - 20), delays, bits, 1540.0)
+    return _table(spark, d, "part").select(F.col("p_partkey").alias("n"), (F.round(x, 8) + 0.0).alias("x"))
+
+
 _LINES = "w AS (SELECT s_suppkey AS n, CAST(s_nationkey AS VARCHAR) AS line FROM supplier), l AS (SELECT c_custkey AS n, CAST(c_nationkey AS VARCHAR) AS line FROM customer)"
 
 
@@ -144,13 +164,22 @@ def signal_spectrum(spark, d):
     return _vectors(spark, d).select("vec_id", F.posexplode(fourier.spectrum(F.col("series"))).alias("bin", "size")).select("vec_id", "bin", F.round("size", 5).alias("size"))
 
 
-@register(f"""WITH {_SERIES}, f AS MATERIALIZED (SELECT vec_id, k, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * sum(v * cos(2 * pi() * k * i / 64)) AS re, -CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * sum(v * sin(2 * pi() * k * i / 64)) AS im FROM s, range(0, 33) b(k) GROUP BY 1, 2),
- a AS (SELECT vec_id, i, sum(re * cos(2 * pi() * k * i / 64) - im * sin(2 * pi() * k * i / 64)) / 64 AS re, sum(re * sin(2 * pi() * k * i / 64) + im * cos(2 * pi() * k * i / 64)) / 64 AS im FROM f, range(0, 64) r(i) GROUP BY 1, 2)
+_ANALYTIC = f"""WITH {_SERIES}, f AS MATERIALIZED (SELECT vec_id, k, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * sum(v * cos(2 * pi() * k * i / 64)) AS re, -CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END * sum(v * sin(2 * pi() * k * i / 64)) AS im FROM s, range(0, 33) b(k) GROUP BY 1, 2),
+ a AS (SELECT vec_id, i, sum(re * cos(2 * pi() * k * i / 64) - im * sin(2 * pi() * k * i / 64)) / 64 AS re, sum(re * sin(2 * pi() * k * i / 64) + im * cos(2 * pi() * k * i / 64)) / 64 AS im FROM f, range(0, 64) r(i) GROUP BY 1, 2)"""
+
+
+@register(f"""{_ANALYTIC}
  SELECT vec_id, CAST(i AS INTEGER) AS t, round(sqrt(re * re + im * im), 5) AS value FROM a""")
 def signal_envelope(spark, d):
     return _vectors(spark, d).select("vec_id", F.posexplode(fourier.envelope(F.col("series"))).alias("t", "value")).select("vec_id", "t", F.round("value", 5).alias("value"))
 
 
+@register(f"""{_ANALYTIC}
+ SELECT vec_id, CAST(i AS INTEGER) AS t, round(re * re + im * im, 6) AS value FROM a""")
+def signal_power(spark, d):
+    return _vectors(spark, d).select("vec_id", F.posexplode(fourier.envelope_squared(F.col("series"))).alias("t", "value")).select("vec_id", "t", F.round("value", 6).alias("value"))
+
+
 @register(f"""WITH {_SERIES}, f AS MATERIALIZED (SELECT vec_id, k, CASE WHEN k = 0 THEN 1 ELSE 2 END * CASE WHEN k <= 14 THEN 1 ELSE 0.5 * (1 + cos(pi() * (k - 14) / 6)) END AS w, sum(v * cos(2 * pi() * k * i / 64)) AS re, -sum(v * sin(2 * pi() * k * i / 64)) AS im FROM s, range(0, 20) b(k) GROUP BY 1, 2)
  SELECT vec_id, CAST(t AS INTEGER) AS t, round(sum(w * (re * cos(2 * pi() * k * t / 40) - im * sin(2 * pi() * k * t / 40))) / 64, 5) + 0.0 AS value FROM f, range(0, 40) r(t) GROUP BY 1, 2""")
 def signal_resample(spark, d):
