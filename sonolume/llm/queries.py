@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, hmm, packing, paragraphs, quality, secrets, sharding, simhash, token_counts, topk
+from . import byte_bpe, exact_dedup, hmm, packing, paragraphs, quality, secrets, sharding, simhash, token_counts, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,15 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op11_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_maxscore, op2_bounded_ring, op3_line_rules, op4_token_counts, op5_byte_bpe, op6_best_fit_packing, op7_hmm_scores, op8_paragraph_minhash, op9_secret_scan,
-        op10_simhash_pivots,
+        op10_simhash_pivots, op11_heavy_hitters,
     )
 }
 
@@ -102,4 +106,9 @@ SQL: dict[str, str] = {
         ), v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost * 100 <= word_chars * {quality.LOST_PERCENT} AS kept FROM v
     """,
+    "op11_heavy_hitters": r"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+        FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST, r)
+    """,
 }
