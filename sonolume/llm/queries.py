@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, hmm, packing, paragraphs, quality, secrets, sharding, simhash, token_counts, topk
+from . import byte_bpe, centroids, exact_dedup, hmm, packing, paragraphs, quality, secrets, sharding, simhash, token_counts, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +58,46 @@ def op11_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op13_threshold_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def _centroid_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """The rounds one after the other: a_i has every vector's nearest centroid of c_i, c_(i+1) their means."""
+
+    def assign(i: int) -> str:
+        apart = "CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+        return f"""a{i} AS MATERIALIZED (
+            SELECT r, vec_id, e, cluster, distance FROM (SELECT v.r, v.vec_id, v.e, c.cluster, {apart} AS distance FROM v CROSS JOIN c{i} c)
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1)"""
+
+    def move(i: int) -> str:
+        return f"""c{i + 1} AS MATERIALIZED (
+            SELECT c.cluster, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN (
+                SELECT cluster, list(s // n - CAST(s % n < 0 AS INTEGER) ORDER BY d) AS e FROM (
+                    SELECT cluster, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM a{i}) GROUP BY cluster, d
+                ) GROUP BY cluster
+            ) m USING (cluster))"""
+
+    steps = [x for i in range(rounds) for x in (assign(i), move(i))] + [assign(rounds)]
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h NULLS LAST, e) - 1 AS cluster, e FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, e FROM v) ORDER BY h NULLS LAST, e LIMIT {clusters}
+        ), {", ".join(steps)}
+        SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c USING (cluster)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_maxscore, op2_bounded_ring, op3_line_rules, op4_token_counts, op5_byte_bpe, op6_best_fit_packing, op7_hmm_scores, op8_paragraph_minhash, op9_secret_scan,
-        op10_simhash_pivots, op11_heavy_hitters,
+        op10_simhash_pivots, op11_heavy_hitters, op13_threshold_centroids,
     )
 }
 
@@ -111,4 +146,5 @@ SQL: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST, r)
     """,
+    "op13_threshold_centroids": _centroid_sql(),
 }
