@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, centroids, exact_dedup, hmm, packing, paragraphs, quality, secrets, sharding, simhash, token_counts, topk
+from . import byte_bpe, centroids, conversations, exact_dedup, hmm, packing, paragraphs, quality, secrets, sharding, simhash, token_counts, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_heavy_hitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op12_repair_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(conversations.damage_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op13_threshold_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -97,7 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_maxscore, op2_bounded_ring, op3_line_rules, op4_token_counts, op5_byte_bpe, op6_best_fit_packing, op7_hmm_scores, op8_paragraph_minhash, op9_secret_scan,
-        op10_simhash_pivots, op11_heavy_hitters, op13_threshold_centroids,
+        op10_simhash_pivots, op11_heavy_hitters, op12_repair_parse,
+        op13_threshold_centroids,
     )
 }
 
