@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 
 #: Cells (vectors x centroids x components) that are worked on at once.
 BLOCK_CELLS = 4_000_000
@@ -141,9 +141,9 @@ def cluster_vectors(vectors: DataFrame, clusters: int = 40, rounds: int = 5, dim
     is an error. None usable or an empty table: no rows.
     """
     spark = vectors.sparkSession
-    vector = F.col(f"`{vec_col}`")
+    vector = F.col(quoted(vec_col))
     # Doubles hold every float, so that integers don't depend on the column's type.
-    usable = vectors.where(_usable(vector, dim)).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), vector.cast("array<double>").alias("v"))
+    usable = vectors.where(_usable(vector, dim)).select(F.col(quoted(id_col)).cast("long").alias("vec_id"), vector.cast("array<double>").alias("v"))
     seeds = usable.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256).asc_nulls_last(), "v").limit(clusters).toArrow()
     kinds = "vec_id long, cluster int, distance long"
     if not seeds.num_rows:

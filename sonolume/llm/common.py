@@ -55,6 +55,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def word_array(text: Column) -> Column:
     """Words (maximal runs of non-white-space) of a text; null and blank texts give an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

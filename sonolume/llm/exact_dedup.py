@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, materialize
+from .common import SPACE_CLASS, materialize, quoted
 
 #: A digest of more than this share of all rows is certain to be found frequent; at most 1 / SUPPORT digests are.
 SUPPORT = 1e-3
@@ -13,8 +13,8 @@ SUPPORT = 1e-3
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row (different for each row), digest (SHA-256 of the normalised text, 32 bytes)."""
-    text = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SPACE_CLASS, " ")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    text = F.regexp_replace(F.coalesce(F.col(quoted(text_col)), F.lit("")), SPACE_CLASS, " ")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
 def _groups(rows: DataFrame) -> DataFrame:

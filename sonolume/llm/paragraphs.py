@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, fresh, materialize
+from .common import connected_components, discard, fresh, materialize, quoted
 
 SEED = 42
 #: Words in a shingle and least Jaccard similarity of two paragraphs that count as one passage.
@@ -484,4 +484,4 @@ def remove_repeats(
     joined = docs.withColumn(own, F.coalesce(F.xxhash64(text_col), F.lit(0))).join(cuts, F.col(id_col).cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(mark)), "left")
     touched = F.col(gone).isNotNull()
     left = F.when(touched, cut(F.when(touched, F.col(text_col)), gone, words)).otherwise(F.col(text_col))
-    return joined.select(*(left.alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    return joined.select(*(left.alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, word_array
+from .common import SPACES, fresh, quoted, word_array
 
 #: A line of marks: this share of its characters or more are of MARKS.
 MARKS = "#*$%&|<>{}!~^=_\\"
@@ -47,9 +47,9 @@ def _judged(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
     """docs with the fields in VERDICT under names that it has not, and these names."""
     own = {c: fresh(docs, f"judged_{c}") for c in (*VERDICT, "words", "lines", "windows", "full", "good", "at")}
     words, lines, windows, full, good, at = (own.pop(c) for c in ("words", "lines", "windows", "full", "good", "at"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
     has_word = lambda line: F.btrim(line, F.lit(SPACES)) != ""
-    staged = docs.withColumn(words, word_array(F.col(f"`{text_col}`"))).withColumn(lines, F.split(text, "\n"))
+    staged = docs.withColumn(words, word_array(F.col(quoted(text_col)))).withColumn(lines, F.split(text, "\n"))
     staged = staged.withColumn(
         windows,
         F.array_sort(F.slice(F.transform(words, lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))), 1, F.greatest(F.size(words) - 2, F.lit(0)))),
@@ -82,7 +82,7 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     length are judged whole, in one row's memory. Repeated rows: one result each. Empty table: no rows.
     """
     judged, own = _judged(docs, text_col)
-    return judged.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in VERDICT), *(F.col(own[c]).alias(c) for c in VERDICT))
+    return judged.select(*(F.col(quoted(c)) for c in docs.columns if c.lower() not in VERDICT), *(F.col(own[c]).alias(c) for c in VERDICT))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,4 +94,4 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged, own = _judged(docs, text_col)
     at = fresh(judged, "judged_at")
     judged = judged.withColumn(at, F.spark_partition_id()).where(F.col(own["kept"]) & (F.col(at) >= 0))
-    return judged.select(*(F.col(own["clean_text"]).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return judged.select(*(F.col(own["clean_text"]).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns))

@@ -231,6 +231,7 @@ def scan_secrets(docs: DataFrame, min_log_guesses: float = MIN_LOG_GUESSES, id_c
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", min_log_guesses: float = MIN_LOG_GUESSES, text_col: str = "text") -> DataFrame:
     """docs with every secret value in the text replaced by mark; other columns and null texts stay as they are."""
     at = docs.columns.index(text_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names that any reader takes
     ranks = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text_col))
 
     def run(batches):
@@ -241,4 +242,4 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]", min_log_guesses: flo
                 texts.append(t if t is None else hide(t, find_spans(t, min_log_guesses, ranks.value)[2], mark))
             yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

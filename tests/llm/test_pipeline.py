@@ -83,3 +83,19 @@ def test_near_dedup_with_null_and_repeated_ids(spark):
     got = corpus_pipeline.near_dedup(spark, df, "")
     assert got.columns == COLUMNS
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(3, a), (5, b), (None, c), (None, d), (9, e), (7, f)])
+
+
+def test_every_stage_keeps_columns_of_odd_names(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(60)) + "."
+    texts = ["\n".join(line() for _ in range(2)) for _ in range(6)]
+    texts += [texts[0], texts[1] + "\n" + texts[2].split("\n")[0], texts[3] + ' token = "586908a73d53ffc7776756ed304e7317d12d4663".']
+    odd = ["a.b", "own_mark", "KEPT", "tick`ed", "near_row", "c1", "n words"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in odd)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *(f"{c}{i}" for c in odd)) for i, t in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, ""), name)
+        assert docs.columns == COLUMNS + odd
+        rows = docs.collect()
+        assert rows and all(r[len(COLUMNS) + k] == f"{c}{r.doc_id}" for r in rows for k, c in enumerate(odd))
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()} == {r.doc_id for r in rows}
