@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolume.llm import packing, paragraphs, quality, secrets, simhash
-from sonolume.llm.common import fresh, materialize
+from sonolume.llm.common import fresh, materialize, quoted
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -20,12 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: the smallest by id (null ids last), then by the hashes of the text and of the row."""
-    columns = [F.col(c) for c in docs.columns]
+    columns = [F.col(quoted(c)) for c in docs.columns]
     text, row, i, t, r = (fresh(docs, f"near_{c}") for c in ("text", "row", "id", "t", "r"))
     keyed = docs.withColumns({text: F.xxhash64("text"), row: F.xxhash64(*columns, *(c.isNull() for c in columns))})
     keepers = simhash.class_keepers(keyed, (text, row)).select(F.col("doc_id").alias(i), F.col(text).alias(t), F.col(row).alias(r))
     kept = keyed.join(keepers, (F.col(text) == F.col(t)) & (F.col(row) == F.col(r)) & F.col("doc_id").cast("long").eqNullSafe(F.col(i)), "left_semi")
-    return kept.dropDuplicates(["doc_id", text, row]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", text, row]).select(*columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
