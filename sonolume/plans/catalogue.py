@@ -275,4 +275,4 @@ def gradient_descent_2(spark, d):
     return solvers.gradient_descent(_matrix(spark, d), _signal(spark, d), 2, 1e-6).select("col_id", F.round("value", 4).alias("value"))
 
 
-from . import acquisition, measures, reconstruction  # noqa: E402, F401  they register their queries
+from . import acquisition, files, measures, reconstruction  # noqa: E402, F401  they register their queries

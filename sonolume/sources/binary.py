@@ -1,6 +1,6 @@
 """Binary formats of fixed-length records: list mode (pattern, angle, samples) and Interfile images (header and pixels).
 
-Spark splits the data files by records; each task decodes its own. Writing gives one data file a task, in order: the
+Tasks read ranges of records and decode their own. Writing gives one data file a task, in order: the
 records of all files, one after the other, are the format's single data file.
 """
 
@@ -10,9 +10,12 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
+
+from . import arrays
 
 #: Names of number formats in headers.
 NUMBERS = {"short float": "f4", "float": "f4", "int16": "i2", "int32": "i4", "uint16": "u2", "uint8": "u1"}
@@ -30,43 +33,87 @@ def header(spark: SparkSession, path: str, separator: str) -> dict[str, str]:
     return found
 
 
-def records(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """(n, record) of a file or folder of records of one size, numbered in the order of the files' names."""
-    rows = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda r: (r[1], bytearray(r[0])))
-    return spark.createDataFrame(rows, "n long, record binary")
+class _Records(DataSourceReader):
+    def __init__(self, uri: str, size: int, task: int):
+        self.uri, self.size, self.task = uri, size, task
 
+    def partitions(self):
+        from pyarrow import fs
 
-class _Writer(DataSourceWriter):
-    """One file a task, renamed into place by the commit; a failed or repeated task leaves only unused files."""
+        files, at = arrays.file_system(self.uri)
+        if files.get_file_info(at).type == fs.FileType.Directory:
+            found = sorted((f.base_name, f.path, f.size) for f in files.get_file_info(fs.FileSelector(at)) if f.is_file and not f.base_name.startswith(("_", ".")))
+        else:
+            found = [("", at, files.get_file_info(at).size)]
+        out, before = [], 0
+        for _, path, size in found:
+            if size % self.size:
+                raise ValueError(f"{path} has {size} bytes: these are no whole records of {self.size}")
+            several = max(1, self.task // self.size)
+            out += [arrays.Range(k, min(k + several, size // self.size), (path, before)) for k in range(0, size // self.size, several)]
+            before += size // self.size
+        return out or [arrays.Range(0, 0)]
+
+    def read(self, partition):
+        if partition.what is None:
+            return
+        path, before = partition.what
+        several = max(1, (1 << 23) // self.size)
+        with arrays.file_system(self.uri)[0].open_input_file(path) as f:
+            for k in range(partition.first, partition.end, several):
+                n = min(several, partition.end - k)
+                raw = pa.py_buffer(f.read_at(n * self.size, k * self.size))
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(self.size), n, [None, raw])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(before + k, before + k + n)), fixed.cast(pa.binary())], ["n", "record"])
+
+
+class RecordFiles(DataSource):
+    """Rows (n long, record binary) of a file or a folder of files of records of one size, numbered in the order of the files' names."""
 
-    def __init__(self, options):
-        self.path, self.run = options["path"], uuid.uuid4().hex
+    @classmethod
+    def name(cls):
+        return "sonolume_records"
 
-    def _at(self, path):
-        from pyarrow import fs
+    def schema(self):
+        return "n long, record binary"
 
-        return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    def reader(self, schema):
+        return _Records(self.options["path"], int(self.options["size"]), int(self.options["task"]))
+
+
+def records(spark: SparkSession, path: str, size: int, task: int = 1 << 26) -> DataFrame:
+    """(n, record): tasks read ranges of about ``task`` bytes. A file that is not whole records fails."""
+    spark.dataSource.register(RecordFiles)
+    return spark.read.format("sonolume_records").options(size=str(size), task=str(task)).load(arrays.located(spark, path))
+
+
+class _Writer(DataSourceArrowWriter):
+    """One file a task, renamed into place by the commit; a failed or repeated task leaves only unused files."""
+
+    def __init__(self, options):
+        self.uri, self.run = options["path"], uuid.uuid4().hex
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        files, root = self._at(self.path)
+        files, root = arrays.file_system(self.uri)
         name = f"{root}/_{self.run}-{task.partitionId():06d}-{task.taskAttemptId()}"
         files.create_dir(root, recursive=True)
         with files.open_output_stream(name) as out:
-            for row in iterator:
-                out.write(bytes(row[0]))
+            for batch in iterator:
+                for record in batch.column(0):
+                    out.write(record.as_buffer())
         return _Part(name, f"{root}/part-{task.partitionId():06d}.bin")
 
     def commit(self, messages):
-        files, _ = self._at(self.path)
+        files, _ = arrays.file_system(self.uri)
         for m in messages:
             if m is not None:
                 files.move(m.name, m.final)
 
     def abort(self, messages):
-        files, _ = self._at(self.path)
+        files, _ = arrays.file_system(self.uri)
         for m in messages:
             if m is not None:
                 files.delete_file(m.name)
@@ -94,7 +141,7 @@ class BinaryFiles(DataSource):
 def write_records(rows: DataFrame, order: str, path: str) -> None:
     spark = rows.sparkSession
     spark.dataSource.register(BinaryFiles)
-    rows.repartitionByRange(order).sortWithinPartitions(order).select("record").write.format("sonolume_binary").mode("append").save(path)
+    rows.repartitionByRange(order).sortWithinPartitions(order).select("record").write.format("sonolume_binary").mode("append").save(arrays.located(spark, path))
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:

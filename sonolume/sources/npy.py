@@ -1,4 +1,4 @@
-"""Arrays in NPY files: tasks read ranges of one file, wherever it lies."""
+"""Arrays in NPY files: tasks read and write ranges of one file."""
 
 from __future__ import annotations
 
@@ -6,64 +6,46 @@ import ast
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
-#: Values in one batch of a task, and in one task.
-BATCH, TASK = 1 << 17, 1 << 24
+from . import arrays
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    files, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return files.open_input_file(at)
-
-
-def describe(path: str) -> tuple[np.dtype, tuple[int, ...], int]:
-    """Number type, sizes of the axes and first byte of the values. Arrays in Fortran order or of objects fail."""
-    with _open(path) as f:
+def describe(uri: str) -> tuple[np.dtype, tuple[int, ...], bool, int]:
+    """Number type, sizes of the axes, whether the first axis is the fastest, first byte of the values. Arrays of objects fail."""
+    with arrays.open_input(uri) as f:
         start = f.read(8)
         if start[:6] != b"\x93NUMPY":
-            raise ValueError(f"{path} is not an NPY file")
+            raise ValueError(f"{uri} is not an NPY file")
         wide = 2 if start[6] == 1 else 4
         size = int.from_bytes(f.read(wide), "little")
         about = ast.literal_eval(f.read(size).decode("latin1"))
     number = np.dtype(about["descr"])
-    if about["fortran_order"] or number.hasobject:
-        raise ValueError(f"{path}: values must be numbers in C order")
-    return number, tuple(about["shape"]), 8 + wide + size
-
-
-class _Range(InputPartition):
-    def __init__(self, first: int, end: int):
-        self.first, self.end = first, end
+    if number.hasobject or number.names:
+        raise ValueError(f"{uri}: values must be numbers")
+    return number, tuple(about["shape"]), bool(about["fortran_order"]), 8 + wide + size
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-        self.number, self.shape, self.offset = describe(path)
+    def __init__(self, uri: str, task: int):
+        self.uri, self.task = uri, task
+        self.number, self.shape, _, self.offset = describe(uri)
 
     def partitions(self):
-        total = math.prod(self.shape)
-        return [_Range(k, min(k + TASK, total)) for k in range(0, total, TASK)] or [_Range(0, 0)]
+        return arrays.ranges(math.prod(self.shape), task=self.task) or [arrays.Range(0, 0)]
 
     def read(self, partition):
         size = self.number.itemsize
-        with _open(self.path) as f:
-            for k in range(partition.first, partition.end, BATCH):
-                n = min(BATCH, partition.end - k)
-                raw = f.read_at(n * size, self.offset + k * size)
-                v = np.frombuffer(raw, self.number, n)
-                columns = [np.arange(k, k + n), v.real.astype(float), v.imag.astype(float)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["position", "re", "im"])
+        with arrays.open_input(self.uri) as f:
+            for k in range(partition.first, partition.end, arrays.BATCH):
+                n = min(arrays.BATCH, partition.end - k)
+                yield arrays.batch_of(k, np.frombuffer(f.read_at(n * size, self.offset + k * size), self.number, n))
 
 
 class NpyFile(DataSource):
-    """Rows (position long, re double, im double) of one NPY file, position counting the values in C order."""
+    """Rows (position long, re double, im double) of one NPY file, position counting the values as they lie in it."""
 
     @classmethod
     def name(cls):
@@ -73,16 +55,23 @@ class NpyFile(DataSource):
         return "position long, re double, im double"
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], int(self.options["task"]))
 
 
-def read_npy(spark: SparkSession, path: str, axes: list[str], value: str = "value", complex_values: bool = False) -> DataFrame:
-    """(axes.., value), or (axes.., re, im) of complex values: a row for each value of the array. Empty array: no rows."""
-    _, shape, _ = describe(path)
+def read_npy(spark: SparkSession, path: str, axes: list[str], value: str = "value", complex_values: bool = False, task: int = arrays.TASK) -> DataFrame:
+    """(axes.., value), or (axes.., re, im) of complex values: a row for each value of the array, in C or Fortran order. Empty array: no rows."""
+    uri = arrays.located(spark, path)
+    _, shape, fortran, _ = describe(uri)
     if len(shape) != len(axes):
         raise ValueError(f"{path} has {len(shape)} axes, {len(axes)} are named")
     spark.dataSource.register(NpyFile)
-    rows = spark.read.format("sonolume_npy").load(path)
-    below = [max(math.prod(shape[k + 1 :]), 1) for k in range(len(shape))]
-    place = [F.expr(f"(position div {b}) % {max(size, 1)}").alias(name) for name, size, b in zip(axes, shape, below)]
-    return rows.select(*place, *(["re", "im"] if complex_values else [F.col("re").alias(value)]))
+    rows = spark.read.format("sonolume_npy").option("task", str(task)).load(uri)
+    return rows.select(*arrays.indices(axes, shape, fortran), *(["re", "im"] if complex_values else [F.col("re").alias(value)]))
+
+
+def write_npy(cells: DataFrame, path: str, axes: list[str], shape, value: str = "value", number: str = "<f8", fortran: bool = False) -> None:
+    """cells (axes.., value), or (axes.., re, im) for a complex number type, as one NPY file. Places without a row are zero."""
+    text = f"{{'descr': '{np.dtype(number).str}', 'fortran_order': {fortran}, 'shape': ({', '.join(map(str, shape))}{',' if len(shape) == 1 else ''}), }}"
+    text += " " * (-(len(text) + 11) % 64) + "\n"
+    head = b"\x93NUMPY\x01\x00" + len(text).to_bytes(2, "little") + text.encode("latin1")
+    arrays.write_array(arrays.placed(cells, axes, shape, fortran, value), path, number, math.prod(shape), head)

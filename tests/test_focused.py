@@ -104,15 +104,16 @@ def test_npy(spark, tmp_path, kind):
         assert (r.re, r.im) == (v.real, v.imag) if kind == "<c8" else r.value == v
 
 
-def test_npy_ranges_and_refusals(spark, tmp_path, monkeypatch):
-    from sonolume.sources import npy
-
+def test_npy_ranges_and_refusals(spark, tmp_path):
     np.save(tmp_path / "long.npy", np.arange(1000.0))
     np.save(tmp_path / "none.npy", np.zeros((0, 4)))
-    np.save(tmp_path / "turned.npy", np.asfortranarray(np.ones((3, 4))))
-    monkeypatch.setattr(npy, "TASK", 300)
-    monkeypatch.setattr(npy, "BATCH", 70)
-    assert [(r.i, r.value) for r in sorted(read_npy(spark, str(tmp_path / "long.npy"), ["i"]).collect())] == [(i, float(i)) for i in range(1000)]
+    np.save(tmp_path / "turned.npy", np.asfortranarray(np.arange(12.0).reshape(3, 4)))
+    np.save(tmp_path / "objects.npy", np.array([1, "a"], object))
+    whole = read_npy(spark, str(tmp_path / "long.npy"), ["i"], task=300)
+    assert whole.rdd.getNumPartitions() == 4
+    assert [(r.i, r.value) for r in sorted(whole.collect())] == [(i, float(i)) for i in range(1000)]
     assert read_npy(spark, str(tmp_path / "none.npy"), ["i", "j"]).count() == 0
-    with pytest.raises(ValueError):
-        read_npy(spark, str(tmp_path / "turned.npy"), ["i", "j"])
+    assert all(r.value == 4 * r.i + r.j for r in read_npy(spark, str(tmp_path / "turned.npy"), ["i", "j"]).collect())
+    for name, axes in (("objects", ["i"]), ("long", ["i", "j"])):
+        with pytest.raises(ValueError):
+            read_npy(spark, f"{tmp_path}/{name}.npy", axes)
