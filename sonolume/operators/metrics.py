@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -92,3 +92,26 @@ def apart_by_noise(metrics: DataFrame, distance: float) -> DataFrame:
     far = lambda taken, x: F.abs(x["noise"] - F.element_at(taken, -1)["noise"]) > distance
     taken = F.aggregate(F.slice("h", 2, F.greatest(F.size("h") - 1, F.lit(0))), F.slice("h", 1, 1), lambda acc, x: F.when(far(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
     return history.select(F.explode(taken).alias("e")).select("e.iter", "e.noise")
+
+
+def stopping_rounds(history: DataFrame, kind: str, threshold: float, window: int, by: list[str]) -> DataFrame:
+    """(by.., iter): the first round of each history (by.., iter, value) at which a rule ends it; none where it never does.
+
+    relative_change and gradient_norm average the values, cost and squared_error the relative changes of the values, each
+    over the last ``window`` rounds after the first, or over those there are; below the threshold ends. max_iterations ends
+    after threshold rounds. A history has as many rows as a reconstruction has rounds.
+    """
+    ordered = Window.partitionBy(*by).orderBy("iter")
+    numbered = history.withColumn("_k", F.row_number().over(ordered))
+    if kind == "max_iterations":
+        return numbered.where(F.col("_k") == int(threshold)).select(*by, "iter")
+    if kind in ("relative_change", "gradient_norm"):
+        step = F.col("value")
+    elif kind in ("cost", "squared_error"):
+        before = F.lag("value").over(ordered)
+        step = F.abs(F.col("value") - before) / (F.abs(before) + 1e-10)
+    else:
+        raise ValueError(f"unknown stopping rule {kind}")
+    steps = numbered.withColumn("_step", F.when(F.col("_k") > 1, step))
+    mean = F.avg("_step").over(ordered.rowsBetween(1 - window, 0))
+    return steps.withColumn("_mean", mean).where((F.col("_k") > 1) & (F.col("_mean") < threshold)).groupBy(*by).agg(F.min("iter").alias("iter"))

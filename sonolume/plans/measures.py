@@ -294,3 +294,31 @@ def image_similarity_7(spark, d):
     part = _table(spark, d, "part").select(F.floor(F.col("p_partkey") / X).alias("z"), (F.col("p_partkey") % X).alias("x"), F.col("p_retailprice").alias("a"), (F.col("p_retailprice") + F.col("p_size")).alias("b"))
     found = metrics.structural_similarity(part.select("z", "x", F.col("a").alias("value")), part.select("z", "x", F.col("b").alias("value")))
     return _rounded(found, 7, "ssim")
+
+
+_RULES = (("relative_change", 45.0, 3), ("gradient_norm", 40.0, 2), ("cost", 0.4, 2), ("squared_error", 0.6, 4), ("max_iterations", 5.0, 1))
+
+
+def _stopping_sql() -> str:
+    parts = []
+    for kind, threshold, window in _RULES:
+        if kind == "max_iterations":
+            parts.append(f"SELECT '{kind}' AS rule, run, iter FROM k WHERE k = {threshold:g}")
+            continue
+        step = "value" if kind in ("relative_change", "gradient_norm") else "abs(value - before) / (abs(before) + 1e-10)"
+        parts.append(f"""SELECT '{kind}' AS rule, run, min(iter) AS iter FROM (
+            SELECT run, iter, k, avg(CASE WHEN k > 1 THEN {step} END) OVER (PARTITION BY run ORDER BY iter ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS mean FROM k
+        ) WHERE k > 1 AND mean < {threshold} GROUP BY run""")
+    return f"""
+        WITH {_S}, h AS (SELECT n AS run, t AS iter, sum(y) AS value FROM s GROUP BY 1, 2),
+        k AS (SELECT *, row_number() OVER w AS k, lag(value) OVER w AS before FROM h WINDOW w AS (PARTITION BY run ORDER BY iter))
+        {" UNION ALL ".join(parts)}
+    """
+
+
+@register(_stopping_sql())
+def stopping_rounds(spark, d):
+    """Hours of each user's events as the rounds of a run: where each rule would have ended it."""
+    history = _series(spark, d).groupBy(F.col("n").alias("run"), F.col("t").alias("iter")).agg(F.sum("y").alias("value"))
+    found = [metrics.stopping_rounds(history, *rule, ["run"]).select(F.lit(rule[0]).alias("rule"), "run", "iter") for rule in _RULES]
+    return found[0].unionAll(found[1]).unionAll(found[2]).unionAll(found[3]).unionAll(found[4])

@@ -103,6 +103,51 @@ def primal_dual_2(spark, d):
     return solvers.reconstruct(a, _signal(spark, d), "primal_dual", 2, beta=0.1, x_size=X, z_size=lines).image.select("col_id", _rounded())
 
 
+def _power_sql(rounds: int) -> str:
+    """v0 is the random start; w_k holds (A^T A)^k v0, scaled to length 1 before each round."""
+    parts = [_A, "w0 AS MATERIALIZED (SELECT col_id, CAST('0x' || substr(md5(col_id || ':0'), 1, 8) AS BIGINT) / 4294967296.0 - 0.5 AS w FROM (SELECT DISTINCT col_id FROM a))"]
+    for k in range(rounds):
+        parts += [
+            f"n{k} AS MATERIALIZED (SELECT col_id, w / (SELECT sqrt(sum(w * w)) FROM w{k}) AS w FROM w{k})",
+            f"f{k} AS MATERIALIZED (SELECT row_id, sum(v * w) AS q FROM a JOIN n{k} USING (col_id) GROUP BY 1)",
+            f"w{k + 1} AS MATERIALIZED (SELECT col_id, sum(v * q) AS w FROM a JOIN f{k} USING (row_id) GROUP BY 1)",
+        ]
+    return ", ".join(parts) + f", power AS MATERIALIZED (SELECT sqrt(sum(w * w)) AS size FROM w{rounds})"
+
+
+@register(f"WITH {_power_sql(20)} SELECT round(size / 1e3, 6) AS size FROM power")
+def power_iteration(spark, d):
+    """The square of the matrix's norm, in thousands."""
+    size = solvers.lipschitz(cut(_matrix(spark, d), "matrix"))
+    return spark.createDataFrame([(size / 1e3,)], "size double").select(F.round("size", 6).alias("size"))
+
+
+@register(f"""
+    WITH {_power_sql(20)}, {_Y}, p AS MATERIALIZED (SELECT 0.99 / sqrt(size + 8.0) AS s FROM power),
+    d1 AS MATERIALIZED (SELECT row_id, coalesce(y, 0) AS y, -s * coalesce(y, 0) / (1 + s) AS d FROM (SELECT DISTINCT row_id FROM a) LEFT JOIN y USING (row_id), p),
+    x1 AS MATERIALIZED (SELECT col_id, greatest(0, -any_value(s) * sum(v * d)) AS u FROM a JOIN d1 USING (row_id), p GROUP BY 1),
+    d2 AS MATERIALIZED (
+        SELECT row_id, (any_value(d) + any_value(s) * (sum(v * 2 * u) - any_value(y))) / (1 + any_value(s)) AS d
+        FROM a JOIN x1 USING (col_id) JOIN d1 USING (row_id), p GROUP BY 1
+    ),
+    g AS (SELECT col_id // {X} AS z, col_id % {X} AS x, 2 * u AS value FROM x1), {_GRAD},
+    n AS (SELECT z, x, s * gz AS gz, s * gx AS gx, sqrt(power(s * gz, 2) + power(s * gx, 2) + 1e-12) AS n FROM f, p),
+    tv AS (SELECT z, x, gz * CASE WHEN n > 0.1 THEN 0.1 / n ELSE 1 END AS gz, gx * CASE WHEN n > 0.1 THEN 0.1 / n ELSE 1 END AS gx FROM n),
+    dv AS (
+        SELECT z, x, CASE WHEN lead(1) OVER v IS NULL THEN 0 ELSE gz END - coalesce(lag(gz) OVER v, 0)
+                     + CASE WHEN lead(1) OVER h IS NULL THEN 0 ELSE gx END - coalesce(lag(gx) OVER h, 0) AS div
+        FROM tv WINDOW v AS (PARTITION BY x ORDER BY z), h AS (PARTITION BY z ORDER BY x)
+    ),
+    c2 AS (SELECT col_id, sum(v * d) AS c FROM a JOIN d2 USING (row_id) GROUP BY 1)
+    SELECT col_id, round(greatest(0, u - s * (c - div)), 4) + 0.0 AS value FROM x1 JOIN c2 USING (col_id) JOIN dv ON dv.z = col_id // {X} AND dv.x = col_id % {X}, p
+""")
+def primal_dual_scalar_2(spark, d):
+    """Two rounds with one step for all columns and one for all rows."""
+    a = cut(_matrix(spark, d), "matrix")
+    lines = a.agg(F.max("col_id")).first()[0] // X + 1
+    return solvers.reconstruct(a, _signal(spark, d), "primal_dual", 2, beta=0.1, x_size=X, z_size=lines, steps="scalar").image.select("col_id", _rounded())
+
+
 @register()
 def lbfgs_2(spark, d):
     return solvers.lbfgs(_matrix(spark, d), _signal(spark, d), 2, solvers.Prior(0.01, X)).select("col_id", _rounded())

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import smatrix, stencil
-from ..session import cut, cut_bucketed, discard
+from ..session import cut, cut_bucketed, cut_path, discard, stored_table
 
 State = dict[str, DataFrame]
 
@@ -44,7 +45,9 @@ class Prior:
 
 @dataclass
 class Stop:
-    """Stopping rule on a scalar a round: relative_change, cost, squared_error or gradient_norm, averaged over a window."""
+    """Stopping rule on a scalar a round: relative_change, cost, squared_error or gradient_norm, averaged over the last
+    ``window`` rounds, or over those seen where they are fewer: two rounds are enough to stop. metrics.stopping_rounds
+    judges a stored history in the same way."""
 
     kind: str
     threshold: float
@@ -100,17 +103,53 @@ def _zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0.0))
 
 
-def _run(state: State, rounds: int, step: Callable[[State, int], State], after: Callable[[int, State, State], bool] | None = None, keep: bool = False) -> State:
-    """Apply the step; tables of the state are written after each round but the last, those of the round before then deleted,
-    unless they are kept for saved images. ``after`` may end the loop."""
-    for k in range(rounds):
+class Journal:
+    """Whole rounds of a reconstruction: after each, its number, the folders of its tables and its scalars are one row in ``folder``.
+
+    A row is written after the tables that it names, and these are deleted after the row of the next round only, so that
+    there is always a whole round to go on from. The folder is one that all executors share.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, about: dict):
+        self.spark, self.folder, self.about = spark, folder, json.dumps(about, sort_keys=True)
+
+    def last(self) -> tuple[int, State, dict] | None:
+        """The last whole round, its tables and scalars; an error if they are of other settings."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return None
+        rows = self.spark.read.schema("round int, about string, tables map<string, struct<path: string, schema: string>>, scalars string").parquet(self.folder)
+        row = rows.orderBy(F.desc("round")).first()
+        if row is None:
+            return None
+        if row["about"] != self.about:
+            raise ValueError(f"{self.folder} holds rounds of other settings: {row['about']}")
+        tables = {name: stored_table(self.spark, t["path"], t["schema"]) for name, t in row["tables"].items()}
+        return row["round"], tables, json.loads(row["scalars"])
+
+    def commit(self, k: int, state: State, scalars: dict) -> None:
+        tables = {name: (cut_path(t), ", ".join(f"`{c}` {kind}" for c, kind in t.dtypes)) for name, t in state.items()}
+        row = self.spark.createDataFrame([(k, self.about, tables, json.dumps(scalars))], "round int, about string, tables map<string, struct<path: string, schema: string>>, scalars string")
+        row.coalesce(1).write.mode("append").parquet(self.folder)
+
+
+def _run(state: State, rounds: int, step: Callable[[State, int], State], after: Callable[[int, State, State], bool] | None = None, kept: Callable[[int], bool] | None = None, first: int = 0, commit: Callable[[int, State], None] | None = None) -> State:
+    """Apply the step. Tables of the state are written after each round but the last, unless the step has written them, and
+    those of the round before, with what the step needed in between (step.spent), are then deleted, but for the images of
+    ``kept`` rounds. ``after`` may end the loop; ``commit`` is told of each whole round."""
+    spent: list[DataFrame] = getattr(step, "spent", [])
+    for k in range(first, rounds):
         before, state = state, step(state, k)
-        if k < rounds - 1 or after:
-            state = {name: cut(table, name) for name, table in state.items()}
+        if k < rounds - 1 or after or commit:
+            state = {name: table if cut_path(table) else cut(table, name) for name, table in state.items()}
             done = after and after(k, before, state)
-            if k and not keep:
-                for table in before.values():
+            if commit:
+                commit(k, state)
+            for name, table in before.items():
+                if cut_path(table) and not (name == "image" and kept and k > 0 and kept(k - 1)):
                     discard(table)
+            while spent:
+                discard(spent.pop())
             if done:
                 break
     return state
@@ -155,8 +194,8 @@ def _descent(a: DataFrame, y: DataFrame, step_size: float, momentum: bool, prior
             joined, data = joined.join(scale, "col_id", "left"), _zero("c") / F.col("diagonal")
         if prior:
             joined, data = joined.join(prior.of(at), "col_id", "left"), data + _zero("grad")
-        if len(ts) == k + 1:
-            ts.append((1 + (1 + 4 * ts[k] ** 2) ** 0.5) / 2)
+        while len(ts) <= k + 1:  # a resumed run begins at a later round
+            ts.append((1 + (1 + 4 * ts[-1] ** 2) ** 0.5) / 2)
         new = F.greatest(F.lit(0.0), F.col("ahead") - step_size * data)
         push = (ts[k] - 1) / ts[k + 1] if momentum else 0.0
         return {"image": joined.select("col_id", new.alias("value"), (new + push * (new - F.col("value"))).alias("ahead"))}
@@ -166,7 +205,6 @@ def _descent(a: DataFrame, y: DataFrame, step_size: float, momentum: bool, prior
 
 def _conjugate(a: DataFrame, y: DataFrame, step_size: float, prior: Prior | None, start: float):
     """Fletcher-Reeves directions with a fixed step, clipped at zero."""
-    last = [0.0]
 
     def step(state: State, k: int) -> State:
         table = state["image"]
@@ -176,11 +214,14 @@ def _conjugate(a: DataFrame, y: DataFrame, step_size: float, prior: Prior | None
         if prior:
             joined, r = joined.join(prior.of(image), "col_id", "left"), r - _zero("grad")
         joined = cut(joined.select("col_id", "value", "d", r.alias("r")), "direction")
+        step.spent.append(joined)
         size = joined.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
-        share, last[0] = (size / (last[0] + 1e-10) if k else 0.0), size
+        share = size / (step.scalars["last"] + 1e-10) if k else 0.0
+        step.scalars["last"] = size
         d = F.col("r") + share * F.col("d")
         return {"image": joined.select("col_id", F.greatest(F.lit(0.0), F.col("value") + step_size * d).alias("value"), d.alias("d"))}
 
+    step.spent, step.scalars = [], {"last": 0.0}
     return {"image": start_image(a, start).withColumn("d", F.lit(0.0))}, step
 
 
@@ -283,10 +324,12 @@ def lbfgs(a: DataFrame, y: DataFrame, rounds: int, prior: Prior | None = None, s
         if inner(coef, "g") >= 0:
             kept, coef = [], {"g": -1 / (dot["g", "g"] ** 0.5 + 1e-8)}
         slope = inner(coef, "g")
-        table = cut(table.withColumn("d", sum((F.lit(c) * F.col(n) for n, c in coef.items()), F.lit(0.0))), "lbfgs")
+        before, table = table, cut(table.withColumn("d", sum((F.lit(c) * F.col(n) for n, c in coef.items()), F.lit(0.0))), "lbfgs")
+        discard(before)
         q1 = smatrix.forward(a, table.select("col_id", (2 * F.col("w") * F.col("d")).alias("value"))).withColumnRenamed("q", "q1")
         q2 = smatrix.forward(a, table.select("col_id", (F.col("d") * F.col("d")).alias("value"))).withColumnRenamed("q", "q2")
         line = cut(residual.join(q1, "row_id").join(q2, "row_id"), "line")
+        discard(residual)
         c = lambda n: F.col(n)
         s = [v or 0.0 for v in line.agg(*[F.sum(p).alias(f"c{i}") for i, p in enumerate((c("y") * c("y"), c("y") * c("q1"), c("q1") * c("q1"), c("y") * c("q2"), c("q1") * c("q2"), c("q2") * c("q2")))]).first()]
         steps = [0.5**i for i in range(20)]
@@ -297,26 +340,48 @@ def lbfgs(a: DataFrame, y: DataFrame, rounds: int, prior: Prior | None = None, s
             break
         residual = cut(line.select("row_id", (c("y") + size * c("q1") + size * size * c("q2")).alias("y")), "residual")
         moved = table.select("col_id", (c("w") + size * c("d")).alias("w"), *[n for i in kept for n in (f"s{i}", f"u{i}")], c("g").alias("old"), (size * c("d")).alias(f"s{k}"))
-        table = cut(gradient(moved, residual).withColumn(f"u{k}", c("g") - c("old")).drop("old"), "lbfgs")
+        before, table = table, cut(gradient(moved, residual).withColumn(f"u{k}", c("g") - c("old")).drop("old"), "lbfgs")
+        discard(before)
+        discard(line)
         curvature = table.agg(F.sum(c(f"s{k}") * c(f"u{k}"))).first()[0] or 0.0
         kept = [*kept, k][-memory:] if curvature > 1e-10 else []
         table = table.select("col_id", "w", "g", *[n for i in kept for n in (f"s{i}", f"u{i}")])
     return table.select("col_id", (F.col("w") * F.col("w")).alias("value"))
 
 
-def lipschitz(a: DataFrame, rounds: int = 20, scale: DataFrame | None = None) -> float:
-    """Largest eigenvalue of A^T A (divided by the diagonal ``scale``) by power iteration from the constant vector."""
-    image, size = start_image(a, 1.0), 0.0
+def random_image(a: DataFrame, seed: int) -> DataFrame:
+    """A vector of hashes of seed and column, between -1/2 and 1/2: the same whatever the partitions."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("col_id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double")
+    return a.select("col_id").distinct().withColumn("value", drawn / F.lit(float(1 << 32)) - 0.5)
+
+
+def lipschitz(a: DataFrame, rounds: int = 20, scale: DataFrame | None = None, seed: int = 0) -> float:
+    """Largest eigenvalue of A^T A (divided by the diagonal ``scale``) by power iteration from a random vector; zero for a zero matrix.
+
+    A random start has a part along the leading vector, which the constant one need not have.
+    """
+    image = cut(random_image(a, seed), "power")
+    size = _norm(image, F.col("value"))
     for _ in range(rounds):
-        back = smatrix.backward(a, smatrix.forward(a, image).withColumnRenamed("q", "y"))
+        back = smatrix.backward(a, smatrix.forward(a, image.withColumn("value", F.col("value") / (size or 1.0))).withColumnRenamed("q", "y"))
         if scale is not None:
             back = back.join(scale, "col_id").select("col_id", (F.col("c") / F.col("diagonal")).alias("c"))
-        image = cut(back.withColumnRenamed("c", "value"), "power")
+        before, image = image, cut(back.withColumnRenamed("c", "value"), "power")
+        discard(before)
         size = _norm(image, F.col("value"))
-        image = image.withColumn("value", F.col("value") / (size or 1.0))
+    discard(image)
     return size
 
 
+def scalar_steps(a: DataFrame, subsets: int = 1, rho: float = 0.99, rounds: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame, float]:
+    """One step for all of A's columns, one for all of its rows, and that of the gradient's dual, as primal_dual_steps gives them.
+
+    They follow from the norm of A, which counts once for each subset, and that of the gradient of a grid, whose square is below 8.
+    """
+    whole = (subsets * lipschitz(a, rounds, seed=seed) + 8.0) ** 0.5
+    return a.select("col_id").distinct().withColumn("tau", F.lit(rho / whole)), a.select("row_id").distinct().withColumn("sigma", F.lit(rho * subsets / whole)), rho / whole
+
+
 def stored(a: DataFrame, y: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Matrix and signal written once, before the rounds. Bucketed by row, the joins and sums by row of each round exchange
     no cells of the matrix (those by column only partial sums); a row with very many cells then stays in one task."""
@@ -340,11 +405,13 @@ OPTIMIZERS = {"mlem": False, "mapem": True, "depierro": True, "ppgmlem": True, "
 def reconstruct(
     a: DataFrame, y: DataFrame, optimizer: str, rounds: int, *, prior: Prior | None = None, step_size: float | None = None, start: float = 0.1, eps: float = 1e-10, precondition: bool = False,
     beta: float = 0.0, x_size: int = 0, z_size: int = 0, theta: float = 1.0, subsets: int = 1, t_size: int = 1, stop: Stop | None = None, truth: DataFrame | None = None, costs: bool = False, max_saves: int = 0,
-    buckets: int | None = None,
+    buckets: int | None = None, steps: str = "diagonal", journal: str | None = None,
 ) -> Result:
     """Run an optimizer of OPTIMIZERS; saved images come as (iter, col_id, value). step_size None: 1 / (Lipschitz constants of data and prior).
 
     buckets: store matrix and signal bucketed by row (see stored); worth it where the matrix is too large to be shuffled each round.
+    steps: of primal_dual, diagonal or scalar. journal: a folder for whole rounds (see Journal); a call with the same matrix,
+    signal and settings goes on after the last one there. Saved images of rounds before are those that the folder's run saved.
     """
     if optimizer not in OPTIMIZERS:
         raise ValueError(f"unknown optimizer {optimizer}; one of {', '.join(OPTIMIZERS)}")
@@ -355,9 +422,17 @@ def reconstruct(
     if stop and stop.kind == "squared_error" and truth is None:
         raise ValueError("squared_error needs the truth")
     if optimizer == "lbfgs":
-        if stop or costs or max_saves:
+        if stop or costs or max_saves or journal:
             raise ValueError("lbfgs has its own stopping rule and saves no rounds")
         return Result(lbfgs(a, y, rounds, prior, start), None, rounds, [])
+    if steps not in ("diagonal", "scalar"):
+        raise ValueError(f"steps are diagonal or scalar, not {steps}")
+    settings = {
+        "optimizer": optimizer, "start": start, "eps": eps, "precondition": precondition, "beta": beta, "x_size": x_size, "z_size": z_size, "theta": theta, "subsets": subsets, "t_size": t_size, "steps": steps, "step_size": step_size,
+    }
+    book = Journal(a.sparkSession, journal, settings | {"prior": prior and vars(prior), "stop": stop and [stop.kind, stop.threshold, stop.window]}) if journal else None
+    found = book.last() if book else None
+    scalars = found[2] if found else {}
     a, y = stored(a, y, buckets)
     scale = None
     if precondition:
@@ -365,25 +440,33 @@ def reconstruct(
         top = d.agg(F.max("diagonal")).first()[0] or 1.0
         scale = cut(d.withColumn("diagonal", F.col("diagonal") + 1e-3 * top), "diagonal")
     if optimizer in ("gradient", "fista", "conjugate") and step_size is None:
-        step_size = 1 / ((lipschitz(a, scale=scale) + (prior.curvature() if prior else 0.0)) or 1.0)
+        step_size = scalars.get("step_size") or 1 / ((lipschitz(a, scale=scale) + (prior.curvature() if prior else 0.0)) or 1.0)
     if optimizer in ("mlem", "mapem", "depierro", "ppgmlem"):
         state, step, cost = *_expectation(optimizer, a, y, prior, start, eps), poisson_cost
     elif optimizer == "conjugate":
         state, step, cost = *_conjugate(a, y, step_size, prior, start), squares_cost
     elif optimizer == "primal_dual":
-        tau, sigma, sigma_p = primal_dual_steps(a, x_size, z_size, subsets)
+        tau, sigma, sigma_p = scalar_steps(a, subsets) if steps == "scalar" else primal_dual_steps(a, x_size, z_size, subsets)
         state, step, cost = *_primal_dual(a, y, beta, cut(tau, "tau"), cut(sigma, "sigma"), sigma_p, x_size, theta, subsets, t_size), squares_cost
     else:
         state, step, cost = *_descent(a, y, step_size, optimizer == "fista", prior, scale), squares_cost
     keep = set(saved_rounds(rounds, max_saves)) if max_saves else set()
-    saved: list[DataFrame] = []
-    history: list[float] = []
+    saved: list[tuple[int, DataFrame]] = []
+    history: list[float] = scalars.get("costs", [])
     done_rounds = [rounds]
+    if found:
+        state = found[1]
+        step.scalars = scalars.get("step", {})
+        saved = [(k, stored_table(a.sparkSession, *where)) for k, *where in scalars["saved"]]
+        if stop:
+            stop.seen = scalars["seen"]
+        if scalars["done"]:
+            rounds = done_rounds[0] = found[0] + 1
 
     def after(k: int, before: State, now: State) -> bool:
         image = now["image"].select("col_id", "value")
         if k in keep:
-            saved.append(image.select(F.lit(k).alias("iter"), "col_id", "value"))
+            saved.append((k, now["image"]))
         if costs or (stop and stop.kind == "cost"):
             history.append(cost(a, y, image) + (prior.energy(image) if prior else 0.0))
         if stop is None:
@@ -402,9 +485,20 @@ def reconstruct(
         done_rounds[0] = k + 1
         return stop.done(value)
 
-    state = _run(state, rounds, step, after if (stop or costs or max_saves) else None, keep=max_saves > 0)
+    ended = [False]
+
+    def judged(k: int, before: State, now: State) -> bool:
+        ended[0] = after(k, before, now)
+        return ended[0]
+
+    def commit(k: int, now: State) -> None:
+        images = [(k, cut_path(t), ", ".join(f"{c} {kind}" for c, kind in t.dtypes)) for k, t in saved]
+        book.commit(k, now, {"step": getattr(step, "scalars", {}), "step_size": step_size, "costs": history, "seen": stop.seen if stop else [], "saved": images, "done": ended[0]})
+
+    state = _run(state, rounds, step, judged if (stop or costs or max_saves) else None, lambda k: any(k == j for j, _ in saved), found[0] + 1 if found else 0, commit if book else None)
     all_saved = None
-    for part in saved:
+    for k, image in saved:
+        part = image.select(F.lit(k).alias("iter"), "col_id", "value")
         all_saved = part if all_saved is None else all_saved.unionByName(part)
     return Result(state["image"].select("col_id", "value"), all_saved, done_rounds[0], history)
 

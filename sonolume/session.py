@@ -26,7 +26,19 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_table(df.sparkSession, path, df.schema)
+
+
+def stored_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table that cut has written; it knows its folder."""
+    found = spark.read.schema(schema).parquet(path)
+    found.cut_to = path
+    return found
+
+
+def cut_path(df: DataFrame) -> str | None:
+    """The folder of a result of cut, None for any other table."""
+    return df.__dict__.get("cut_to")
 
 
 def cut_bucketed(df: DataFrame, key: str, name: str = "step", buckets: int | None = None) -> DataFrame:
@@ -42,9 +54,12 @@ def cut_bucketed(df: DataFrame, key: str, name: str = "step", buckets: int | Non
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the files of a result of cut that nothing reads any more."""
+    """Delete the files of a result of cut (or of columns of it) that nothing reads any more."""
     spark = df.sparkSession
-    found = df.inputFiles()
-    if found:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(found[0]).getParent()
+    path = cut_path(df)
+    if path is None:
+        found = df.inputFiles()
+        path = found[0].rsplit("/", 1)[0] if found else None
+    if path is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
