@@ -50,12 +50,17 @@ def norm_factors(a: DataFrame, kind: str = "csr") -> DataFrame:
     return a.groupBy("col_id").agg((1 / whole).alias("norm"))
 
 
+def _power(a: DataFrame) -> Column:
+    """|v|^2 of real or complex cells."""
+    return F.col("vre") * F.col("vre") + F.col("vim") * F.col("vim") if "vre" in a.columns else F.col("v") * F.col("v")
+
+
 def absolute_sums(a: DataFrame, by: str) -> DataFrame:
-    return a.groupBy(by).agg(F.sum(F.abs("v")).alias("total"))
+    return a.groupBy(by).agg(F.sum(F.sqrt(_power(a)) if "vre" in a.columns else F.abs("v")).alias("total"))
 
 
 def hessian_diagonal(a: DataFrame) -> DataFrame:
-    return a.groupBy("col_id").agg(F.sum(F.col("v") * F.col("v")).alias("diagonal"))
+    return a.groupBy("col_id").agg(F.sum(_power(a)).alias("diagonal"))
 
 
 def precondition(a: DataFrame, image: DataFrame) -> DataFrame:

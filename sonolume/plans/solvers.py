@@ -9,10 +9,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import smatrix, stencil
+from ..operators import blocks, smatrix, stencil
 from ..session import cut, cut_bucketed, cut_path, discard, stored_table
 
 State = dict[str, DataFrame]
+#: A^H f(A x, y) of an image x, as blocks.puller gives it.
+Pull = Callable[..., DataFrame]
 
 
 @dataclass
@@ -74,10 +76,6 @@ def saved_rounds(rounds: int, most: int) -> list[int]:
     return sorted({*range(0, rounds, max(1, rounds // most)), rounds - 1})
 
 
-def _ratio(a: DataFrame, y: DataFrame, image: DataFrame, eps: float) -> DataFrame:
-    return y.join(smatrix.forward(a, image), "row_id").select("row_id", (F.col("y") / F.greatest("q", F.lit(eps))).alias("y"))
-
-
 def _residual(a: DataFrame, y: DataFrame, image: DataFrame) -> DataFrame:
     q = smatrix.forward(a, image)
     return q.join(y, "row_id", "left").select("row_id", (F.col("q") - F.coalesce("y", F.lit(0.0))).alias("y"))
@@ -90,7 +88,10 @@ def poisson_cost(a: DataFrame, y: DataFrame, image: DataFrame) -> float:
 
 
 def squares_cost(a: DataFrame, y: DataFrame, image: DataFrame) -> float:
-    """Half the squared norm of Ax - y over all rows of A and y."""
+    """Half the squared norm of Ax - y over all rows of A and y, real or complex."""
+    if "vre" in a.columns:
+        parts = [F.coalesce(q, F.lit(0.0)) - F.coalesce(v, F.lit(0.0)) for q, v in (("qre", "yre"), ("qim", "yim"))]
+        return smatrix.forward_complex(a, image).join(y, "row_id", "full").agg(F.sum(sum((p * p for p in parts), F.lit(0.0))) / 2).first()[0] or 0.0
     r = F.coalesce("q", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))
     return smatrix.forward(a, image).join(y, "row_id", "full").agg(F.sum(r * r) / 2).first()[0] or 0.0
 
@@ -155,14 +156,14 @@ def _run(state: State, rounds: int, step: Callable[[State, int], State], after:
     return state
 
 
-def _expectation(kind: str, a: DataFrame, y: DataFrame, prior: Prior | None, start: float, eps: float):
+def _expectation(kind: str, a: DataFrame, pull: Pull, prior: Prior | None, start: float, eps: float):
     """mlem, mapem (prior one step late), depierro (surrogate), ppgmlem (preconditioned gradient)."""
     floor = F.lit(1e-10)
-    whole = cut(a.groupBy("col_id").agg(F.sum("v").alias("sens")), "sensitivity")
+    whole = cut(smatrix.sensitivity_complex(a) if "vre" in a.columns else a.groupBy("col_id").agg(F.sum("v").alias("sens")), "sensitivity")
 
     def step(state: State, _: int) -> State:
         image = state["image"]
-        c = smatrix.backward(a, _ratio(a, y, image, eps))
+        c = pull(image, blocks.ratio, eps)
         joined = image.join(whole, "col_id").join(c, "col_id", "left")
         if prior:
             joined = joined.join(prior.of(image, surrogate=kind == "depierro"), "col_id", "left")
@@ -180,14 +181,14 @@ def _expectation(kind: str, a: DataFrame, y: DataFrame, prior: Prior | None, sta
     return {"image": start_image(a, start)}, step
 
 
-def _descent(a: DataFrame, y: DataFrame, step_size: float, momentum: bool, prior: Prior | None, scale: DataFrame | None):
+def _descent(a: DataFrame, pull: Pull, step_size: float, momentum: bool, prior: Prior | None, scale: DataFrame | None):
     """Projected gradient; with momentum t <- (1 + sqrt(1 + 4 t^2)) / 2. ``scale`` (col_id, diagonal) preconditions the data term."""
     ts = [1.0]
 
     def step(state: State, k: int) -> State:
         table = state["image"]
         at = table.select("col_id", F.col("ahead").alias("value"))
-        c = smatrix.backward(a, _residual(a, y, at))
+        c = pull(at, blocks.residual)
         joined = table.join(c, "col_id", "left")
         data = _zero("c")
         if scale is not None:
@@ -203,13 +204,13 @@ def _descent(a: DataFrame, y: DataFrame, step_size: float, momentum: bool, prior
     return {"image": start_image(a, 0.0).withColumn("ahead", F.col("value"))}, step
 
 
-def _conjugate(a: DataFrame, y: DataFrame, step_size: float, prior: Prior | None, start: float):
+def _conjugate(a: DataFrame, pull: Pull, step_size: float, prior: Prior | None, start: float):
     """Fletcher-Reeves directions with a fixed step, clipped at zero."""
 
     def step(state: State, k: int) -> State:
         table = state["image"]
         image = table.select("col_id", "value")
-        joined = table.join(smatrix.backward(a, _residual(a, y, image)), "col_id", "left")
+        joined = table.join(pull(image, blocks.residual), "col_id", "left")
         r = -_zero("c")
         if prior:
             joined, r = joined.join(prior.of(image), "col_id", "left"), r - _zero("grad")
@@ -241,23 +242,25 @@ def primal_dual_steps(a: DataFrame, x_size: int, z_size: int, subsets: int = 1,
 
 def _primal_dual(a: DataFrame, y: DataFrame, beta: float, tau: DataFrame, sigma: DataFrame, sigma_p: float, x_size: int, theta: float, subsets: int, t_size: int):
     """Primal-dual splitting with total variation; with subsets each round updates the rows of one subset of emissions."""
-    rows = a.select("row_id").distinct()
+    rows, is_complex = a.select("row_id").distinct(), "vre" in a.columns
+    # The dual of the signal has its real and its imaginary part where cells are complex; the image is real.
+    duals, q_names, y_names = (("dre", "dim"), ("qre", "qim"), ("yre", "yim")) if is_complex else (("dual",), ("q",), ("y",))
 
     def step(state: State, k: int) -> State:
         image, dual, tv = state["image"], state["dual"], state["tv"]
         ahead = image.select("col_id", F.col("ahead").alias("value"))
-        q = dual.join(sigma, "row_id").join(smatrix.forward(a, ahead), "row_id", "left").join(y, "row_id", "left")
-        moved = (F.col("dual") + F.col("sigma") * (_zero("q") - _zero("y"))) / (1 + F.col("sigma"))
+        q = dual.join(sigma, "row_id").join(smatrix.forward_complex(a, ahead) if is_complex else smatrix.forward(a, ahead), "row_id", "left").join(y, "row_id", "left")
+        moved = [(F.col(d) + F.col("sigma") * (_zero(f) - _zero(v))) / (1 + F.col("sigma")) for d, f, v in zip(duals, q_names, y_names)]
         if subsets > 1:  # emissions are dealt anew each time all subsets have been used
             mine = F.pmod(F.xxhash64(F.floor(F.col("row_id") / t_size), F.lit(k // subsets)), F.lit(subsets)) == k % subsets
-            moved = F.when(mine, moved).otherwise(F.col("dual"))
-        dual = cut(q.select("row_id", moved.alias("dual")), "dual")
+            moved = [F.when(mine, m).otherwise(F.col(d)) for m, d in zip(moved, duals)]
+        dual = cut(q.select("row_id", *(m.alias(d) for m, d in zip(moved, duals))), "dual")
         grid = ahead.select(F.floor(F.col("col_id") / x_size).alias("z"), (F.col("col_id") % x_size).alias("x"), "value")
         g = stencil.gradient(grid).withColumnsRenamed({"gz": "dz", "gx": "dx"})
         raised = tv.join(g, ["z", "x"]).select("z", "x", (F.col("gz") + sigma_p * F.col("dz")).alias("gz"), (F.col("gx") + sigma_p * F.col("dx")).alias("gx"))
         tv = cut(stencil.project_ball(raised, beta), "tv")
         div = stencil.divergence(tv).select((F.col("z") * x_size + F.col("x")).alias("col_id"), F.col("value").alias("div"))
-        back = smatrix.backward(a, dual, "dual")
+        back = smatrix.backward_complex(a, dual.withColumnsRenamed(dict(zip(duals, y_names)))).withColumnRenamed("cre", "c") if is_complex else smatrix.backward(a, dual, "dual")
         # The adjoint of the gradient is minus the divergence.
         new = F.greatest(F.lit(0.0), F.col("value") - F.col("tau") * (_zero("c") - _zero("div")))
         joined = image.join(tau, "col_id").join(back, "col_id", "left").join(div, "col_id", "left")
@@ -265,7 +268,7 @@ def _primal_dual(a: DataFrame, y: DataFrame, beta: float, tau: DataFrame, sigma:
 
     zero = start_image(a, 0.0)
     grid = zero.select(F.floor(F.col("col_id") / x_size).alias("z"), (F.col("col_id") % x_size).alias("x"), F.lit(0.0).alias("gz"), F.lit(0.0).alias("gx"))
-    return {"image": zero.withColumn("ahead", F.col("value")), "dual": rows.withColumn("dual", F.lit(0.0)), "tv": grid}, step
+    return {"image": zero.withColumn("ahead", F.col("value")), "dual": rows.select("row_id", *(F.lit(0.0).alias(d) for d in duals)), "tv": grid}, step
 
 
 def lbfgs(a: DataFrame, y: DataFrame, rounds: int, prior: Prior | None = None, start: float = 0.1, memory: int = 10) -> DataFrame:
@@ -355,15 +358,18 @@ def random_image(a: DataFrame, seed: int) -> DataFrame:
     return a.select("col_id").distinct().withColumn("value", drawn / F.lit(float(1 << 32)) - 0.5)
 
 
-def lipschitz(a: DataFrame, rounds: int = 20, scale: DataFrame | None = None, seed: int = 0) -> float:
-    """Largest eigenvalue of A^T A (divided by the diagonal ``scale``) by power iteration from a random vector; zero for a zero matrix.
+def lipschitz(a: DataFrame, rounds: int = 20, scale: DataFrame | None = None, seed: int = 0, pull: Pull | None = None) -> float:
+    """Largest eigenvalue of the real part of A^H A (divided by the diagonal ``scale``) by power iteration from a random vector; zero for a zero matrix.
 
     A random start has a part along the leading vector, which the constant one need not have.
     """
+    if pull is None:
+        nothing = ("yre", "yim") if "vre" in a.columns else ("y",)
+        pull = blocks.puller(a, a.select("row_id", *(F.lit(0.0).alias(c) for c in nothing)).limit(0))
     image = cut(random_image(a, seed), "power")
     size = _norm(image, F.col("value"))
     for _ in range(rounds):
-        back = smatrix.backward(a, smatrix.forward(a, image.withColumn("value", F.col("value") / (size or 1.0))).withColumnRenamed("q", "y"))
+        back = pull(image.withColumn("value", F.col("value") / (size or 1.0)), blocks.itself)
         if scale is not None:
             back = back.join(scale, "col_id").select("col_id", (F.col("c") / F.col("diagonal")).alias("c"))
         before, image = image, cut(back.withColumnRenamed("c", "value"), "power")
@@ -373,12 +379,12 @@ def lipschitz(a: DataFrame, rounds: int = 20, scale: DataFrame | None = None, se
     return size
 
 
-def scalar_steps(a: DataFrame, subsets: int = 1, rho: float = 0.99, rounds: int = 20, seed: int = 0) -> tuple[DataFrame, DataFrame, float]:
+def scalar_steps(a: DataFrame, subsets: int = 1, rho: float = 0.99, rounds: int = 20, seed: int = 0, pull: Pull | None = None) -> tuple[DataFrame, DataFrame, float]:
     """One step for all of A's columns, one for all of its rows, and that of the gradient's dual, as primal_dual_steps gives them.
 
     They follow from the norm of A, which counts once for each subset, and that of the gradient of a grid, whose square is below 8.
     """
-    whole = (subsets * lipschitz(a, rounds, seed=seed) + 8.0) ** 0.5
+    whole = (subsets * lipschitz(a, rounds, seed=seed, pull=pull) + 8.0) ** 0.5
     return a.select("col_id").distinct().withColumn("tau", F.lit(rho / whole)), a.select("row_id").distinct().withColumn("sigma", F.lit(rho * subsets / whole)), rho / whole
 
 
@@ -398,6 +404,7 @@ class Result:
     costs: list[float]
 
 
+EXPECTATION = ("mlem", "mapem", "depierro", "ppgmlem")
 #: Optimizer: whether it takes a prior.
 OPTIMIZERS = {"mlem": False, "mapem": True, "depierro": True, "ppgmlem": True, "gradient": False, "fista": True, "conjugate": True, "primal_dual": False, "lbfgs": True}
 
@@ -409,7 +416,8 @@ def reconstruct(
 ) -> Result:
     """Run an optimizer of OPTIMIZERS; saved images come as (iter, col_id, value). step_size None: 1 / (Lipschitz constants of data and prior).
 
-    buckets: store matrix and signal bucketed by row (see stored); worth it where the matrix is too large to be shuffled each round.
+    a and y: real (v, y) or complex (vre, vim, yre, yim); images are real. A and y are stored in records of rows (see
+    blocks.RowBlocks) unless A has very many columns. buckets: store them as tables bucketed by row instead (see stored).
     steps: of primal_dual, diagonal or scalar. journal: a folder for whole rounds (see Journal); a call with the same matrix,
     signal and settings goes on after the last one there. Saved images of rounds before are those that the folder's run saved.
     """
@@ -421,6 +429,8 @@ def reconstruct(
         raise ValueError("primal_dual needs x_size and z_size")
     if stop and stop.kind == "squared_error" and truth is None:
         raise ValueError("squared_error needs the truth")
+    if "vre" in a.columns and (optimizer == "lbfgs" or (optimizer in EXPECTATION and (costs or (stop and stop.kind == "cost")))):
+        raise ValueError(f"{optimizer} has no complex form" if optimizer == "lbfgs" else "the Poisson cost has no complex form")
     if optimizer == "lbfgs":
         if stop or costs or max_saves or journal:
             raise ValueError("lbfgs has its own stopping rule and saves no rounds")
@@ -434,22 +444,23 @@ def reconstruct(
     found = book.last() if book else None
     scalars = found[2] if found else {}
     a, y = stored(a, y, buckets)
+    pull = blocks.puller(a, y, by_joins=bool(buckets)) if optimizer != "primal_dual" else None
     scale = None
     if precondition:
         d = smatrix.hessian_diagonal(a)
         top = d.agg(F.max("diagonal")).first()[0] or 1.0
         scale = cut(d.withColumn("diagonal", F.col("diagonal") + 1e-3 * top), "diagonal")
     if optimizer in ("gradient", "fista", "conjugate") and step_size is None:
-        step_size = scalars.get("step_size") or 1 / ((lipschitz(a, scale=scale) + (prior.curvature() if prior else 0.0)) or 1.0)
-    if optimizer in ("mlem", "mapem", "depierro", "ppgmlem"):
-        state, step, cost = *_expectation(optimizer, a, y, prior, start, eps), poisson_cost
+        step_size = scalars.get("step_size") or 1 / ((lipschitz(a, scale=scale, pull=pull) + (prior.curvature() if prior else 0.0)) or 1.0)
+    if optimizer in EXPECTATION:
+        state, step, cost = *_expectation(optimizer, a, pull, prior, start, eps), poisson_cost
     elif optimizer == "conjugate":
-        state, step, cost = *_conjugate(a, y, step_size, prior, start), squares_cost
+        state, step, cost = *_conjugate(a, pull, step_size, prior, start), squares_cost
     elif optimizer == "primal_dual":
         tau, sigma, sigma_p = scalar_steps(a, subsets) if steps == "scalar" else primal_dual_steps(a, x_size, z_size, subsets)
         state, step, cost = *_primal_dual(a, y, beta, cut(tau, "tau"), cut(sigma, "sigma"), sigma_p, x_size, theta, subsets, t_size), squares_cost
     else:
-        state, step, cost = *_descent(a, y, step_size, optimizer == "fista", prior, scale), squares_cost
+        state, step, cost = *_descent(a, pull, step_size, optimizer == "fista", prior, scale), squares_cost
     keep = set(saved_rounds(rounds, max_saves)) if max_saves else set()
     saved: list[tuple[int, DataFrame]] = []
     history: list[float] = scalars.get("costs", [])
@@ -479,7 +490,7 @@ def reconstruct(
             both = image.join(before["image"].select("col_id", F.col("value").alias("old")), "col_id")
             value = _norm(both, F.col("value") - F.col("old")) / (_norm(image, F.col("value")) + 1e-10)
         elif stop.kind == "gradient_norm":
-            value = _norm(smatrix.backward(a, _residual(a, y, image)), F.col("c"))
+            value = _norm((pull or blocks.puller(a, y, by_joins=True))(image, blocks.residual), F.col("c"))
         else:
             raise ValueError(f"unknown stopping rule {stop.kind}")
         done_rounds[0] = k + 1
@@ -525,37 +536,9 @@ def fista(a: DataFrame, y: DataFrame, rounds: int, step_size: float) -> DataFram
 
 def mlem_complex(a: DataFrame, y: DataFrame, rounds: int, start: float = 0.1, eps: float = 1e-10) -> DataFrame:
     """MLEM of a real image from complex cells (vre, vim) and signals (yre, yim): x <- max(0, x Re(A^H(y / Ax)) / |A^H 1|)."""
-    a, y = cut(a, "matrix"), cut(y, "signal")
-    whole = cut(smatrix.sensitivity_complex(a), "sensitivity")
-    size = F.col("qre") * F.col("qre") + F.col("qim") * F.col("qim")
-    small = F.sqrt(size) < eps
-    re, im = F.col("yre") * F.col("qre") + F.col("yim") * F.col("qim"), F.col("yim") * F.col("qre") - F.col("yre") * F.col("qim")
-
-    def step(state: State, _: int) -> State:
-        image = state["image"]
-        ratio = y.join(smatrix.forward_complex(a, image), "row_id").select(
-            "row_id", F.when(small, F.col("yre") / eps).otherwise(re / F.nullif(size, F.lit(0.0))).alias("yre"), F.when(small, F.col("yim") / eps).otherwise(im / F.nullif(size, F.lit(0.0))).alias("yim")
-        )
-        back = smatrix.backward_complex(a, ratio)
-        return {"image": image.join(whole, "col_id").join(back, "col_id", "left").select("col_id", F.greatest(F.lit(0.0), F.col("value") * _zero("cre") / F.col("sens")).alias("value"))}
-
-    return _run({"image": start_image(a, start)}, rounds, step)["image"]
+    return reconstruct(a, y, "mlem", rounds, start=start, eps=eps).image
 
 
 def gradient_complex(a: DataFrame, y: DataFrame, rounds: int, step_size: float, momentum: bool = False) -> DataFrame:
     """Projected gradient of a real image from complex cells and signals: x <- max(0, x - s Re(A^H(Ax - y))), with momentum as FISTA."""
-    a, y = cut(a, "matrix"), cut(y, "signal")
-    ts = [1.0]
-    for _ in range(rounds):
-        ts.append((1 + (1 + 4 * ts[-1] ** 2) ** 0.5) / 2)
-
-    def step(state: State, k: int) -> State:
-        table = state["image"]
-        q = smatrix.forward_complex(a, table.select("col_id", F.col("ahead").alias("value")))
-        r = q.join(y, "row_id", "left").select("row_id", (F.col("qre") - _zero("yre")).alias("yre"), (F.col("qim") - _zero("yim")).alias("yim"))
-        new = F.greatest(F.lit(0.0), F.col("ahead") - step_size * _zero("cre"))
-        push = (ts[k] - 1) / ts[k + 1] if momentum else 0.0
-        joined = table.join(smatrix.backward_complex(a, r), "col_id", "left")
-        return {"image": joined.select("col_id", new.alias("value"), (new + push * (new - F.col("value"))).alias("ahead"))}
-
-    return _run({"image": start_image(a, 0.0).withColumn("ahead", F.col("value"))}, rounds, step)["image"].select("col_id", "value")
+    return reconstruct(a, y, "fista" if momentum else "gradient", rounds, step_size=step_size).image
