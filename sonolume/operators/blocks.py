@@ -54,13 +54,14 @@ class RowBlocks:
     joins of smatrix instead, so that no task holds one.
     """
 
-    def __init__(self, a: DataFrame, y: DataFrame, longest: int = LONGEST):
+    def __init__(self, a: DataFrame, y: DataFrame, columns: DataFrame | None = None, longest: int = LONGEST):
         self.spark, self.complex = a.sparkSession, "vre" in a.columns
-        self.columns = np.sort(a.select("col_id").distinct().toArrow()["col_id"].to_numpy())
+        columns = a.select("col_id").distinct() if columns is None else columns.select("col_id")
+        self.columns = np.sort(columns.toArrow()["col_id"].to_numpy())
         values, signal = (["vre", "vim"], ["yre", "yim"]) if self.complex else (["v"], ["y"])
         long_rows = a.groupBy("row_id").count().where(F.col("count") > longest).select("row_id")
         self.long = None
-        if not long_rows.isEmpty():
+        if a.count() > longest and not long_rows.isEmpty():
             long_rows = cut(long_rows, "long_rows")
             self.long = cut(a.join(long_rows, "row_id", "left_semi"), "long_cells"), cut(y.join(long_rows, "row_id", "left_semi"), "long_signal")
             a = a.join(long_rows, "row_id", "left_anti")
@@ -156,8 +157,10 @@ def joined(a: DataFrame, y: DataFrame, image: DataFrame | None, f, eps: float) -
     return smatrix.backward(a, moved)
 
 
-def puller(a: DataFrame, y: DataFrame, by_joins: bool = False):
-    """pulled of a matrix and its signal: in records of rows where a vector of its columns is small enough to be sent, else by joins."""
-    if by_joins or a.select("col_id").distinct().limit(MOST_COLUMNS + 1).count() > MOST_COLUMNS:
+def puller(a: DataFrame, y: DataFrame, columns: DataFrame | None = None, by_joins: bool = False):
+    """pulled of a matrix and its signal: in records of rows where a vector of its columns (col_id, of a, in a written table)
+    is small enough to be sent, else by joins."""
+    columns = cut(a.select("col_id").distinct(), "columns") if columns is None else columns
+    if by_joins or columns.count() > MOST_COLUMNS:
         return lambda image, f, eps=0.0: joined(a, y, image, f, eps)
-    return RowBlocks(a, y).pulled
+    return RowBlocks(a, y, columns).pulled

@@ -8,7 +8,7 @@ from ..functions import fourier, patterns
 from ..operators import metrics, scans, signals, smatrix, stencil
 from . import solvers
 from .acquisition import _codes
-from .catalogue import _A, _BITS, _G, _I, _P, _S, T, X, _grid, _image, _matrix, _series, _table, register
+from .catalogue import _A, _BITS, _G, _GRAD, _I, _P, _S, T, X, _grid, _image, _matrix, _series, _table, register
 
 _C = """a AS (SELECT l_orderkey AS row_id, l_partkey AS col_id, sum(l_quantity) AS vre, sum(l_discount * 100) AS vim FROM lineitem GROUP BY 1, 2),
  y AS (SELECT l_orderkey AS row_id, sum(l_extendedprice) AS yre, sum(l_tax * 1000) AS yim FROM lineitem GROUP BY 1)"""
@@ -322,3 +322,83 @@ def stopping_rounds(spark, d):
     history = _series(spark, d).groupBy(F.col("n").alias("run"), F.col("t").alias("iter")).agg(F.sum("y").alias("value"))
     found = [metrics.stopping_rounds(history, *rule, ["run"]).select(F.lit(rule[0]).alias("rule"), "run", "iter") for rule in _RULES]
     return found[0].unionAll(found[1]).unionAll(found[2]).unionAll(found[3]).unionAll(found[4])
+
+
+def _complex_ratio(k: int) -> list[str]:
+    """q, the ratio y / q and Re A^H of it, from the image x_k."""
+    return [
+        f"q{k} AS MATERIALIZED (SELECT row_id, sum(vre * value) AS qre, sum(vim * value) AS qim FROM a JOIN x{k} USING (col_id) GROUP BY 1)",
+        f"r{k} AS MATERIALIZED (SELECT row_id, (yre * qre + yim * qim) / (qre * qre + qim * qim) AS re, (yim * qre - yre * qim) / (qre * qre + qim * qim) AS im FROM y JOIN q{k} USING (row_id))",
+        f"c{k} AS MATERIALIZED (SELECT col_id, sum(vre * re + vim * im) AS c FROM a JOIN r{k} USING (row_id) GROUP BY 1)",
+    ]
+
+
+def _mapem_complex_sql(rounds: int, beta: float) -> str:
+    parts = [_C, "s AS (SELECT col_id, greatest(sqrt(power(sum(vre), 2) + power(sum(vim), 2)), 1e-10) AS sens FROM a GROUP BY 1)", "x0 AS (SELECT DISTINCT col_id, CAST(0.1 AS DOUBLE) AS value FROM a)"]
+    for k in range(rounds):
+        parts += [
+            *_complex_ratio(k),
+            f"""p{k} AS MATERIALIZED (
+                SELECT l.col_id, sum({beta} * (l.value - r.value)) AS grad FROM x{k} l JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) o(dz, dx) ON true
+                JOIN x{k} r ON r.col_id // {X} = l.col_id // {X} + o.dz AND r.col_id % {X} = l.col_id % {X} + o.dx GROUP BY 1
+            )""",
+            f"x{k + 1} AS MATERIALIZED (SELECT col_id, greatest(0, value * coalesce(c, 0) / greatest(sens + coalesce(grad, 0), 1e-10)) AS value FROM x{k} JOIN s USING (col_id) LEFT JOIN c{k} USING (col_id) LEFT JOIN p{k} USING (col_id))",
+        ]
+    return f"WITH {', '.join(parts)} SELECT col_id, round(value, 4) AS value FROM x{rounds}"
+
+
+@register(_mapem_complex_sql(2, 0.01))
+def mapem_complex_2(spark, d):
+    return _rounded(solvers.reconstruct(*_complex(spark, d), "mapem", 2, prior=solvers.Prior(0.01, X)).image, 4, "value")
+
+
+def _conjugate_complex_sql(rounds: int, step: float) -> str:
+    parts = [_C, "x0 AS (SELECT DISTINCT col_id, CAST(0.1 AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS d FROM a)"]
+    for k in range(rounds):
+        share = "0" if k == 0 else f"(SELECT sum(r * r) FROM r{k}) / ((SELECT sum(r * r) FROM r{k - 1}) + 1e-10)"
+        parts += [
+            f"e{k} AS MATERIALIZED (SELECT row_id, sum(vre * value) - any_value(yre) AS re, sum(vim * value) - any_value(yim) AS im FROM a JOIN x{k} USING (col_id) JOIN y USING (row_id) GROUP BY 1)",
+            f"r{k} AS MATERIALIZED (SELECT col_id, -sum(vre * re + vim * im) AS r FROM a JOIN e{k} USING (row_id) GROUP BY 1)",
+            f"d{k} AS MATERIALIZED (SELECT col_id, value, r + {share} * d AS d FROM x{k} JOIN r{k} USING (col_id))",
+            f"x{k + 1} AS MATERIALIZED (SELECT col_id, greatest(0, value + {step} * d) AS value, d FROM d{k})",
+        ]
+    return f"WITH {', '.join(parts)} SELECT col_id, round(value, 4) AS value FROM x{rounds}"
+
+
+@register(_conjugate_complex_sql(2, 1e-7))
+def conjugate_complex_2(spark, d):
+    return _rounded(solvers.reconstruct(*_complex(spark, d), "conjugate", 2, step_size=1e-7).image, 4, "value")
+
+
+_LOW = "SELECT greatest(quantile_cont(t, 0.5) * 1e-6, 1e-12) FROM"
+
+
+@register(f"""
+    WITH {_C}, rt AS (SELECT row_id, sum(sqrt(vre * vre + vim * vim)) AS t FROM a GROUP BY 1), ct AS (SELECT col_id, sum(sqrt(vre * vre + vim * vim)) AS t FROM a GROUP BY 1),
+    sg AS (SELECT row_id, 0.99 / greatest(t, ({_LOW} rt)) AS sigma FROM rt), last AS (SELECT max(col_id) // {X} AS z FROM ct),
+    ta AS (
+        SELECT col_id, 0.99 / (greatest(t, ({_LOW} ct)) + 4 - CAST(col_id // {X} = 0 AS INT) - CAST(col_id // {X} = last.z AS INT)
+               - CAST(col_id % {X} = 0 AS INT) - CAST(col_id % {X} = {X} - 1 AS INT)) AS tau FROM ct, last
+    ),
+    d1 AS MATERIALIZED (SELECT row_id, sigma, yre, yim, -sigma * yre / (1 + sigma) AS dre, -sigma * yim / (1 + sigma) AS dim FROM sg JOIN y USING (row_id)),
+    x1 AS MATERIALIZED (SELECT col_id, tau, greatest(0, -tau * sum(vre * dre + vim * dim)) AS u FROM a JOIN d1 USING (row_id) JOIN ta USING (col_id) GROUP BY 1, 2),
+    d2 AS MATERIALIZED (
+        SELECT row_id, (any_value(dre) + any_value(sigma) * (sum(vre * 2 * u) - any_value(yre))) / (1 + any_value(sigma)) AS dre,
+               (any_value(dim) + any_value(sigma) * (sum(vim * 2 * u) - any_value(yim))) / (1 + any_value(sigma)) AS dim
+        FROM a JOIN x1 USING (col_id) JOIN d1 USING (row_id) GROUP BY 1
+    ),
+    g AS (SELECT col_id // {X} AS z, col_id % {X} AS x, 2 * u AS value FROM x1), {_GRAD},
+    n AS (SELECT z, x, 0.495 * gz AS gz, 0.495 * gx AS gx, sqrt(power(0.495 * gz, 2) + power(0.495 * gx, 2) + 1e-12) AS n FROM f),
+    tv AS (SELECT z, x, gz * CASE WHEN n > 0.1 THEN 0.1 / n ELSE 1 END AS gz, gx * CASE WHEN n > 0.1 THEN 0.1 / n ELSE 1 END AS gx FROM n),
+    dv AS (
+        SELECT z, x, CASE WHEN lead(1) OVER v IS NULL THEN 0 ELSE gz END - coalesce(lag(gz) OVER v, 0)
+               + CASE WHEN lead(1) OVER h IS NULL THEN 0 ELSE gx END - coalesce(lag(gx) OVER h, 0) AS div
+        FROM tv WINDOW v AS (PARTITION BY x ORDER BY z), h AS (PARTITION BY z ORDER BY x)
+    ),
+    c2 AS (SELECT col_id, sum(vre * dre + vim * dim) AS c FROM a JOIN d2 USING (row_id) GROUP BY 1)
+    SELECT col_id, round(greatest(0, u - tau * (c - div)), 4) + 0.0 AS value FROM x1 JOIN c2 USING (col_id) JOIN dv ON dv.z = col_id // {X} AND dv.x = col_id % {X}
+""")
+def primal_dual_complex_2(spark, d):
+    a, y = _complex(spark, d)
+    lines = a.agg(F.max("col_id")).first()[0] // X + 1
+    return _rounded(solvers.reconstruct(a, y, "primal_dual", 2, beta=0.1, x_size=X, z_size=lines).image, 4, "value")

@@ -156,15 +156,14 @@ def _run(state: State, rounds: int, step: Callable[[State, int], State], after:
     return state
 
 
-def _expectation(kind: str, a: DataFrame, pull: Pull, prior: Prior | None, start: float, eps: float):
+def _expectation(kind: str, columns: DataFrame, pull: Pull, prior: Prior | None, start: float, eps: float):
     """mlem, mapem (prior one step late), depierro (surrogate), ppgmlem (preconditioned gradient)."""
     floor = F.lit(1e-10)
-    whole = cut(smatrix.sensitivity_complex(a) if "vre" in a.columns else a.groupBy("col_id").agg(F.sum("v").alias("sens")), "sensitivity")
 
     def step(state: State, _: int) -> State:
         image = state["image"]
         c = pull(image, blocks.ratio, eps)
-        joined = image.join(whole, "col_id").join(c, "col_id", "left")
+        joined = image.join(columns, "col_id").join(c, "col_id", "left")
         if prior:
             joined = joined.join(prior.of(image, surrogate=kind == "depierro"), "col_id", "left")
         x, back, sens = F.col("value"), _zero("c"), F.col("sens")
@@ -178,10 +177,10 @@ def _expectation(kind: str, a: DataFrame, pull: Pull, prior: Prior | None, start
         }[kind]()
         return {"image": joined.select("col_id", F.greatest(F.lit(0.0), new).alias("value"))}
 
-    return {"image": start_image(a, start)}, step
+    return {"image": start_image(columns, start)}, step
 
 
-def _descent(a: DataFrame, pull: Pull, step_size: float, momentum: bool, prior: Prior | None, scale: DataFrame | None):
+def _descent(columns: DataFrame, pull: Pull, step_size: float, momentum: bool, prior: Prior | None, scale: DataFrame | None):
     """Projected gradient; with momentum t <- (1 + sqrt(1 + 4 t^2)) / 2. ``scale`` (col_id, diagonal) preconditions the data term."""
     ts = [1.0]
 
@@ -201,10 +200,10 @@ def _descent(a: DataFrame, pull: Pull, step_size: float, momentum: bool, prior:
         push = (ts[k] - 1) / ts[k + 1] if momentum else 0.0
         return {"image": joined.select("col_id", new.alias("value"), (new + push * (new - F.col("value"))).alias("ahead"))}
 
-    return {"image": start_image(a, 0.0).withColumn("ahead", F.col("value"))}, step
+    return {"image": start_image(columns, 0.0).withColumn("ahead", F.col("value"))}, step
 
 
-def _conjugate(a: DataFrame, pull: Pull, step_size: float, prior: Prior | None, start: float):
+def _conjugate(columns: DataFrame, pull: Pull, step_size: float, prior: Prior | None, start: float):
     """Fletcher-Reeves directions with a fixed step, clipped at zero."""
 
     def step(state: State, k: int) -> State:
@@ -223,7 +222,7 @@ def _conjugate(a: DataFrame, pull: Pull, step_size: float, prior: Prior | None,
         return {"image": joined.select("col_id", F.greatest(F.lit(0.0), F.col("value") + step_size * d).alias("value"), d.alias("d"))}
 
     step.spent, step.scalars = [], {"last": 0.0}
-    return {"image": start_image(a, start).withColumn("d", F.lit(0.0))}, step
+    return {"image": start_image(columns, start).withColumn("d", F.lit(0.0))}, step
 
 
 def primal_dual_steps(a: DataFrame, x_size: int, z_size: int, subsets: int = 1, rho: float = 0.99) -> tuple[DataFrame, DataFrame, float]:
@@ -444,7 +443,10 @@ def reconstruct(
     found = book.last() if book else None
     scalars = found[2] if found else {}
     a, y = stored(a, y, buckets)
-    pull = blocks.puller(a, y, by_joins=bool(buckets)) if optimizer != "primal_dual" else None
+    pull = columns = None
+    if optimizer != "primal_dual":
+        columns = cut(smatrix.sensitivity_complex(a) if "vre" in a.columns else a.groupBy("col_id").agg(F.sum("v").alias("sens")), "sensitivity")
+        pull = blocks.puller(a, y, columns, by_joins=bool(buckets))
     scale = None
     if precondition:
         d = smatrix.hessian_diagonal(a)
@@ -453,14 +455,14 @@ def reconstruct(
     if optimizer in ("gradient", "fista", "conjugate") and step_size is None:
         step_size = scalars.get("step_size") or 1 / ((lipschitz(a, scale=scale, pull=pull) + (prior.curvature() if prior else 0.0)) or 1.0)
     if optimizer in EXPECTATION:
-        state, step, cost = *_expectation(optimizer, a, pull, prior, start, eps), poisson_cost
+        state, step, cost = *_expectation(optimizer, columns, pull, prior, start, eps), poisson_cost
     elif optimizer == "conjugate":
-        state, step, cost = *_conjugate(a, pull, step_size, prior, start), squares_cost
+        state, step, cost = *_conjugate(columns, pull, step_size, prior, start), squares_cost
     elif optimizer == "primal_dual":
         tau, sigma, sigma_p = scalar_steps(a, subsets) if steps == "scalar" else primal_dual_steps(a, x_size, z_size, subsets)
         state, step, cost = *_primal_dual(a, y, beta, cut(tau, "tau"), cut(sigma, "sigma"), sigma_p, x_size, theta, subsets, t_size), squares_cost
     else:
-        state, step, cost = *_descent(a, pull, step_size, optimizer == "fista", prior, scale), squares_cost
+        state, step, cost = *_descent(columns, pull, step_size, optimizer == "fista", prior, scale), squares_cost
     keep = set(saved_rounds(rounds, max_saves)) if max_saves else set()
     saved: list[tuple[int, DataFrame]] = []
     history: list[float] = scalars.get("costs", [])
