@@ -83,6 +83,48 @@ def flipped(scans: DataFrame, elements: int) -> DataFrame:
     return asked.join(have, ["code", "angle"], "left").select("n", F.coalesce("m", "n").alias("source"), F.col("m").isNotNull().alias("found"))
 
 
+def from_matrix(bits: DataFrame, angles: DataFrame, elements: int) -> DataFrame:
+    """(n, code, angle) of an experiment's matrix of elements (i, n, value: 0 or 1) and its angles (n, angle).
+
+    As a shift register takes them, the last element stands first: element i has the place value 2^i, and the code is the
+    whole number in hexadecimal digits, four elements each. Digits are sums of place values, 48 elements in one column, so a
+    scan's elements are never listed. An element that the matrix lacks is off; a scan without an angle, or an element
+    beyond the probe, is an error.
+    """
+    wide, digits = 48, -(-elements // 4)
+    i, on = F.col("i"), F.col("value") > 0
+    known = F.when((i >= 0) & (i < elements), i).otherwise(F.raise_error(F.concat(F.lit("there is no element "), i.cast("string"))).cast("long"))
+    place = F.pow(F.lit(2.0), known % wide).cast("long")
+    words = [F.sum(F.when(on & (F.floor(known / wide) == w), place).otherwise(0)) for w in reversed(range(-(-elements // wide)))]
+    code = F.concat(*(F.lpad(F.lower(F.hex(w)), wide // 4, "0") for w in words)).substr(len(words) * (wide // 4) - digits + 1, digits)
+    named = bits.groupBy("n").agg(code.alias("code")).join(angles.select("n", "angle"), "n", "left")
+    return named.select("n", "code", F.coalesce(F.col("angle").cast("int"), F.raise_error(F.concat(F.lit("no angle of scan "), F.col("n").cast("string"))).cast("int")).alias("angle"))
+
+
+def flip_experiment(
+    scans: DataFrame, signals: DataFrame, fields: DataFrame | None, elements: int, x_size: int, width: float, speed: float, flip_pattern: bool = True, flip_angle: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The experiment as a mirrored probe sees it: scans (n, code, angle, other columns, delays), signals (n, t, y), fields (n, t, z, x, value).
+
+    flip_pattern mirrors every scan's code, turns the order of the signals (the list is its own mirror image, so the mirror
+    of scan n is scan N - 1 - n) and mirrors the fields along x; a mirrored pattern keeps its frequency, so decimations stay.
+    flip_angle turns the signs of the angles. Delays follow from the angles. Scans are numbered from 0 without gaps;
+    a signal or field of any other number is an error, so that nothing is left behind. Twice is as before.
+    """
+    total = scans.count()
+    if scans.where((F.col("n") >= 0) & (F.col("n") < total)).select("n").distinct().count() != total:
+        raise ValueError("scans must be numbered from 0 without gaps")
+    own = F.when((F.col("n") >= 0) & (F.col("n") < total), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("no scan "), F.col("n").cast("string"))).cast("long"))
+    code = patterns.bits_to_hex(patterns.mirrored(patterns.hex_to_bits(F.col("code"), elements))) if flip_pattern else F.col("code")
+    angle = -F.col("angle") if flip_angle else F.col("angle")
+    turned = scans.withColumns({"code": code, "angle": angle}).withColumn("delays", patterns.delay_law(F.col("angle"), elements, width, speed))
+    moved = signals.withColumn("n", total - 1 - own if flip_pattern else own)
+    if fields is not None:
+        fields = fields.withColumn("n", own)
+        fields = flip_fields(fields, x_size) if flip_pattern else fields
+    return turned, moved, fields
+
+
 def flip_signals(signals: DataFrame, flips: DataFrame) -> DataFrame:
     """Signals (n, t, y) of each scan replaced by those of its mirror scan."""
     return flips.select("n", "source").join(signals.withColumnRenamed("n", "source"), "source").select("n", "t", "y")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fourier, patterns
-from ..operators import metrics, scans, signals, smatrix, stencil
+from ..operators import grids, metrics, scans, signals, smatrix, stencil
 from . import solvers
 from .acquisition import _codes
 from .catalogue import _A, _BITS, _G, _GRAD, _I, _P, _S, T, X, _grid, _image, _matrix, _series, _table, register
@@ -402,3 +402,61 @@ def primal_dual_complex_2(spark, d):
     a, y = _complex(spark, d)
     lines = a.agg(F.max("col_id")).first()[0] // X + 1
     return _rounded(solvers.reconstruct(a, y, "primal_dual", 2, beta=0.1, x_size=X, z_size=lines).image, 4, "value")
+
+
+@register("""
+    WITH s AS (SELECT max(p_partkey) // 50 + 1 AS depth FROM part),
+    i AS (SELECT p_partkey // 50 AS z, p_partkey % 50 AS x, p_retailprice AS value FROM part),
+    w AS (SELECT l_partkey // 50 AS z, l_partkey % 50 AS x, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
+    t AS (
+        SELECT z, x, (CAST(0.8 AS DOUBLE) * z - CAST(1.5 AS DOUBLE)) / CAST(0.5 AS DOUBLE) AS fz, (CAST(0.75 AS DOUBLE) * x - 7) / CAST(0.7 AS DOUBLE) AS fx
+        FROM s, range(0, s.depth) a(z), range(0, 50) b(x)
+    ),
+    o AS (SELECT t.* FROM t, s WHERE fz >= 0 AND fz <= depth - 1 AND fx >= 0 AND fx <= 49),
+    c AS (
+        SELECT z, x, CAST(floor(fz) AS BIGINT) + dz AS cz, CAST(floor(fx) AS BIGINT) + dx AS cx,
+               (CASE WHEN dz = 1 THEN fz - floor(fz) ELSE 1 - fz + floor(fz) END) * (CASE WHEN dx = 1 THEN fx - floor(fx) ELSE 1 - fx + floor(fx) END) AS weight
+        FROM o, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dz, dx)
+    ),
+    v AS (SELECT c.z, c.x, sum(c.weight * coalesce(i.value, 0)) AS value FROM c LEFT JOIN i ON i.z = c.cz AND i.x = c.cx GROUP BY 1, 2),
+    f AS (SELECT min(z) AS z, min(x) AS x FROM o)
+    SELECT v.z - f.z AS z, v.x - f.x AS x, round(v.value, 6) AS value, coalesce(w.value, 0) AS truth FROM v LEFT JOIN w ON w.z = v.z AND w.x = v.x, f
+""")
+def truth_on_grid(spark, d):
+    """The image brought to the grid of another, whose ends differ on all four sides; both cut to what they share."""
+    image = _grid(spark, d)
+    depth = (image.agg(F.max("z")).first()[0] or 0) + 1
+    truth = _table(spark, d, "lineitem").groupBy(F.floor(F.col("l_partkey") / X).alias("z"), (F.col("l_partkey") % X).alias("x")).agg(F.sum("l_quantity").alias("value"))
+    source, target = (grids.Even(1.5, 0.5, depth), grids.Even(7.0, 0.7, X)), (grids.Even(0.0, 0.8, depth), grids.Even(0.0, 0.75, X))
+    return _rounded(grids.with_truth(image, truth, source, target), 6, "value")
+
+
+@register("""
+    WITH p AS (SELECT p_partkey AS n, substr(md5(CAST(p_partkey AS VARCHAR)), 1, 12) AS code, p_partkey % 41 - 20 AS angle FROM part)
+    SELECT n, code, CAST(angle AS INTEGER) AS angle FROM p
+""")
+def list_from_matrix(spark, d):
+    """Scans from a matrix with a row for each element."""
+    codes = _codes(spark, d)
+    bits = codes.select("n", F.posexplode(F.split(patterns.hex_to_bits(F.col("code"), 48), "")).alias("i", "bit")).where("bit <> ''")
+    return scans.from_matrix(bits.select("n", (47 - F.col("i")).alias("i"), F.col("bit").cast("double").alias("value")), codes, 48)
+
+
+@register(f"""
+    WITH {_P}, size AS (SELECT count(*) AS total FROM part),
+    q AS (SELECT row_number() OVER (ORDER BY n) - 1 AS n, code, angle FROM p),
+    {_BITS.replace("FROM p)", "FROM q)")},
+    r AS (SELECT n, angle, array_to_string(list_transform(range(0, 12), lambda k: format('{{:x}}', CAST(list_reduce(list_transform(range(0, 4), lambda j: CAST(substr(reverse(bits), 4 * k + j + 1, 1) AS INTEGER) * (8 >> j)), lambda a, b: a + b) AS INTEGER))), '') AS code FROM b),
+    y AS (SELECT l_partkey - (SELECT min(p_partkey) FROM part) AS n, l_linenumber AS t, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2)
+    SELECT total - 1 - y.n AS n, t, y, code, CAST(-angle AS BIGINT) AS angle, round(1e6 / 1540.0 * sin(radians(-angle)) * CAST(0.0003 AS DOUBLE), 9) + 0.0 AS slope
+    FROM size, y JOIN r ON r.n = total - 1 - y.n
+""")
+def experiment_flip(spark, d):
+    """The parts' patterns and the lines' quantities as their signals, seen by a mirrored probe."""
+    codes = _codes(spark, d)
+    listed, _ = scans.renumber(codes)
+    least = codes.agg(F.min("n")).first()[0] or 0
+    y = _table(spark, d, "lineitem").groupBy((F.col("l_partkey") - least).alias("n"), F.col("l_linenumber").alias("t")).agg(F.sum("l_quantity").alias("y"))
+    turned, moved, _ = scans.flip_experiment(listed, y, None, 48, X, 0.0003, 1540.0)
+    slope = (F.element_at("delays", 2) - F.element_at("delays", 1)) * 1e3
+    return _rounded(moved.join(turned.select("n", "code", F.col("angle").cast("long").alias("angle"), slope.alias("slope")), "n"), 9, "slope")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fourier
 from ..operators import scans
+from ..operators.grids import Even
 from . import arrays, binary, hdf5, mat, npy
 
 #: Parameters, the variables that hold them, and factors to SI units.
@@ -104,18 +104,6 @@ def write_file(cells: DataFrame, path: str, axes: list[str], shape, array: str =
         raise ValueError(f"{path}: files are npy, mat, h5 or hdf5")
 
 
-@dataclass
-class Even:
-    """Places at even distances along an axis."""
-
-    first: float
-    step: float
-    count: int
-
-    def __len__(self) -> int:
-        return self.count
-
-
 #: The grid of the planar scans, in millimetres (fixed values).
 PLANE = {"x": Even(-23, 0.2, 221), "z": Even(0, 0.2, 186)}
 
