@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -139,3 +141,55 @@ def ramp_filter(f: Column, kind: str, cutoff: float) -> Column:
     else:
         raise ValueError(f"unknown filter {kind}")
     return F.when(F.abs(f) > cutoff, 0.0).otherwise(F.abs(f) * shape * F.exp(-2 * F.pow(F.abs(f) / cutoff, F.lit(10))))
+
+
+def _divided(n: int) -> int:
+    """The largest divisor of n up to its root."""
+    return next(d for d in range(math.isqrt(n), 0, -1) if n % d == 0)
+
+
+def _grouped(rows: DataFrame, keys: list[str], group: str, at: str, size: int, sign: int) -> DataFrame:
+    """(keys.., group, at, re, im): transforms of ``size`` points along ``at``; a point that a group lacks is zero."""
+
+    @pandas_udf("array<struct<re: double, im: double>>")
+    def transform(points: pd.Series) -> pd.Series:
+        out = []
+        for p in points:
+            v = np.zeros(size, complex)
+            v[[x["at"] for x in p]] = [complex(x["re"], x["im"]) for x in p]
+            w = np.fft.fft(v) if sign < 0 else np.fft.ifft(v) * size
+            out.append([{"re": x.real, "im": x.imag} for x in w])
+        return pd.Series(out)
+
+    packed = rows.groupBy(*keys, group).agg(F.collect_list(F.struct(F.col(at).alias("at"), "re", "im")).alias("p"))
+    return packed.select(*keys, group, F.posexplode(transform("p")).alias(at, "w")).select(*keys, group, at, "w.re", "w.im")
+
+
+def long_transform(samples: DataFrame, keys: list[str], at: str, n: int, inverse: bool = False) -> DataFrame:
+    """(keys.., at, re, im): the discrete Fourier transform of n points along ``at`` of (keys.., at, re, im), for axes longer than a row should hold.
+
+    n is parted into n1 x n2, n1 the largest divisor up to its root. Point n2 a + b stands in column b: columns of n1
+    points are transformed, turned by their place (b c / n of a circle) and transformed along rows of n2 points, whose
+    point d is that of c + n1 d. So no group holds more than n2 points: 2^8 of 2^16 (all n, where n is prime). Absent
+    points are zero; points outside the axis are an error.
+    """
+    n1 = _divided(n)
+    n2, sign = n // n1, 1 if inverse else -1
+    t = F.when((F.col(at) >= 0) & (F.col(at) < n), F.col(at)).otherwise(F.raise_error(F.concat(F.lit("the axis has no point "), F.col(at).cast("string"))).cast("long"))
+    rows = samples.select(*keys, F.floor(t / n2).cast("int").alias("_a"), (t % n2).cast("int").alias("_b"), "re", "im")
+    columns = _grouped(rows, keys, "_b", "_a", n1, sign)
+    turn = sign * 2 * F.pi() * (F.col("_a") * F.col("_b") % n) / n
+    re, im = F.col("re") * F.cos(turn) - F.col("im") * F.sin(turn), F.col("re") * F.sin(turn) + F.col("im") * F.cos(turn)
+    turned = columns.select(*keys, "_a", "_b", re.alias("re"), im.alias("im"))
+    found = _grouped(turned, keys, "_a", "_b", n2, sign)
+    scale = 1.0 / n if inverse else 1.0
+    return found.select(*keys, (F.col("_a").cast("long") + F.lit(n1) * F.col("_b")).alias(at), (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im"))
+
+
+def centred_transform(samples: DataFrame, keys: list[str], at: str, n: int, step: float, inverse: bool = False) -> DataFrame:
+    """long_transform between an axis of places and one of frequencies, both with zero in the middle: forward times n and the step, back divided by the step."""
+    half = n // 2
+    moved = lambda df, by: df.withColumn(at, F.pmod(F.col(at) + by, F.lit(n)))
+    found = moved(long_transform(moved(samples, half if inverse else -half), keys, at, n, inverse), -half if inverse else half)
+    scale = 1 / step if inverse else n * step
+    return found.select(*keys, at, (F.col("re") * scale).alias("re"), (F.col("im") * scale).alias("im"))

@@ -61,11 +61,11 @@ def renumber(scans: DataFrame, others: list[DataFrame] = ()) -> tuple[DataFrame,
     Numbers come from counts of ranges, so no task sees all scans: each range is numbered within itself and shifted by
     the ranges before it.
     """
-    placed = scans.select("n").distinct().repartitionByRange("n").withColumn("_part", F.spark_partition_id())
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"))
-    before = sizes.select("least", F.coalesce(F.sum("c").over(Window.orderBy("least").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), (F.lead("least").over(Window.orderBy("least"))).alias("next"))
-    in_range = placed.select("n").join(F.broadcast(before), (F.col("n") >= F.col("least")) & (F.col("next").isNull() | (F.col("n") < F.col("next"))))
-    ids = in_range.select("n", (F.col("base") + F.row_number().over(Window.partitionBy("least").orderBy("n")) - 1).alias("_new"))
+    # Written once: the rows of a range and their count come from the same division.
+    placed = cut(scans.select("n").distinct().repartitionByRange("n").withColumn("_part", F.spark_partition_id()), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = sizes.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    ids = placed.join(F.broadcast(before), "_part").select("n", (F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy("n")) - 1).alias("_new"))
     carry = lambda t: t.join(ids, "n").withColumn("n", F.col("_new")).drop("_new")
     return carry(scans), [carry(t) for t in others]
 

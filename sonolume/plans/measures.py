@@ -460,3 +460,14 @@ def experiment_flip(spark, d):
     turned, moved, _ = scans.flip_experiment(listed, y, None, 48, X, 0.0003, 1540.0)
     slope = (F.element_at("delays", 2) - F.element_at("delays", 1)) * 1e3
     return _rounded(moved.join(turned.select("n", "code", F.col("angle").cast("long").alias("angle"), slope.alias("slope")), "n"), 9, "slope")
+
+
+@register("""
+    WITH s AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) r(i))
+    SELECT vec_id, k, round(16 * sum(v * cos(2 * pi() * (k - 32) * (i - 32) / 64)), 5) + 0.0 AS re, round(-16 * sum(v * sin(2 * pi() * (k - 32) * (i - 32) / 64)), 5) + 0.0 AS im
+    FROM s, range(0, 64) b(k) GROUP BY 1, 2
+""")
+def signal_transform(spark, d):
+    """The spectrum of every vector as a signal with its zero in the middle, a sample each quarter."""
+    samples = _table(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "re")).select("vec_id", F.col("k").cast("long").alias("k"), "re", F.lit(0.0).alias("im"))
+    return _rounded(fourier.centred_transform(samples, ["vec_id"], "k", 64, 0.25), 5, "re", "im")

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,3 +48,37 @@ def test_stored_medium_names_what_differs(spark, tmp_path):
     assert sorted(map(tuple, store.read_medium(spark, at, {"speed": "1540"}).collect())) == [(0, 0, 1.5), (0, 1, 2.5)]
     with pytest.raises(ValueError, match="speed"):
         store.read_medium(spark, at, {"speed": "1500"})
+
+
+@pytest.mark.parametrize("n", [1, 7, 12, 64, 1 << 12])
+@pytest.mark.parametrize("inverse", [False, True])
+def test_long_transform(spark, n, inverse):
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(2, n)) + 1j * rng.normal(size=(2, n))
+    v[1, rng.random(n) < 0.3] = 0
+    df = spark.createDataFrame([(k, t, float(v[k, t].real), float(v[k, t].imag)) for k in range(2) for t in range(n) if v[k, t]], "k long, t long, re double, im double")
+    f = fourier.long_transform(df, ["k"], "t", n, inverse)
+    found = np.zeros((2, n), complex)
+    for r in f.collect():
+        found[r.k, r.t] = complex(r.re, r.im)
+    filled = [k for k in range(2) if v[k].any()]
+    assert np.allclose(found[filled], (np.fft.ifft if inverse else np.fft.fft)(v[filled]))
+    centred = np.zeros((2, n), complex)
+    for r in fourier.centred_transform(df, ["k"], "t", n, 0.5, inverse).collect():
+        centred[r.k, r.t] = complex(r.re, r.im)
+    want = np.fft.ifftshift(np.fft.ifft(np.fft.fftshift(v, axes=1)), axes=1) * 2 if inverse else np.fft.fftshift(np.fft.fft(np.fft.ifftshift(v, axes=1)), axes=1) * n * 0.5
+    assert np.allclose(centred[filled], want[filled])
+
+
+def test_groups_of_a_long_transform(spark):
+    assert fourier._divided(1 << 16) == 1 << 8 and fourier._divided(1000) == 25 and fourier._divided(13) == 1
+    with pytest.raises(Exception, match="no point"):
+        fourier.long_transform(spark.createDataFrame([(0, 9, 1.0, 0.0)], "k long, t long, re double, im double"), ["k"], "t", 9).collect()
+
+
+def test_renumber_carries_other_tables(spark):
+    listed = spark.range(0, 300, 3).withColumnRenamed("id", "n").repartition(7)
+    other = spark.range(0, 400).withColumnRenamed("id", "n").withColumn("was", F.col("n"))
+    got, (carried,) = scans.renumber(listed, [other])
+    assert sorted(r.n for r in got.collect()) == list(range(100))
+    assert sorted((r.n, r.was) for r in carried.collect()) == [(k, 3 * k) for k in range(100)]
