@@ -377,7 +377,8 @@ def repeated_passages(docs: DataFrame, removed: DataFrame, passage: int = PASSAG
     discard(several)
     place = F.struct("doc_id", "mark", "at")
     kept = hits.groupBy("gram").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where(~F.col("keeper").eqNullSafe(F.col("other"))).select("gram", "keeper")
-    marked = hits.join(kept, "gram").select("doc_id", "mark", "at", place.eqNullSafe(F.col("keeper")).alias("stays"), F.col("keeper.doc_id").alias("keeper"))
+    kept = materialize(kept, "keepers")  # for the same reason
+    marked = hits.join(kept.hint("shuffle_hash"), "gram").select("doc_id", "mark", "at", place.eqNullSafe(F.col("keeper")).alias("stays"), F.col("keeper.doc_id").alias("keeper"))
     places = marked.groupBy("doc_id", "mark").agg(
         F.collect_set(F.when(~F.col("stays"), F.col("at"))).alias("gone"),
         F.collect_set(F.when(F.col("stays"), F.col("at"))).alias("stay"),
@@ -385,6 +386,7 @@ def repeated_passages(docs: DataFrame, removed: DataFrame, passage: int = PASSAG
     )
     found = materialize(_spans(places, passage), "passages")
     discard(hits)
+    discard(kept)
     return found
 
 
