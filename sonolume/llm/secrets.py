@@ -154,7 +154,11 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least: int = LEAST_OCCURRENCES) -> dict[str, int]:
-    """Ranks of words: COMMON_WORDS, then the commonest words of the corpus (3 to LONGEST_PART letters a-z), at most ``most``."""
+    """Ranks of words: COMMON_WORDS, then the commonest words of the corpus (3 to LONGEST_PART letters a-z), at most ``most``.
+
+    A word needs ``least`` occurrences, and in a large corpus common_floor(all, most) too, so that the last task reads a
+    bounded number of words.
+    """
     counted = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count_words, "word binary, freq long").groupBy("word").agg(F.sum("freq").alias("freq"))
     words = counted.select(F.col("word").cast("string").alias("word"), "freq").where(F.col("word").rlike(f"^[a-z]{{3,{LONGEST_PART}}}$") & (F.col("freq") >= least))
     words = materialize(words, "dictionary")
