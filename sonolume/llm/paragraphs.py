@@ -29,13 +29,20 @@ SKETCH = 4
 #: a window with its copy wherever both lie, and STEP - 1 words at each end of it may stay.
 PASSAGE = 30
 STEP = 18
-#: Words that are hashed and signed at once.
+#: Bytes of text that are cut into words at once, and words and paragraphs that are signed at once.
+BLOCK_BYTES = 1 << 20
 BLOCK_WORDS = 200_000
+BLOCK_PARAGRAPHS = 60_000
+#: Bytes of the longest words that are hashed together.
+LONG_WORD = 64
 #: Up to so many colliding paragraphs (8 bytes each) are sent to the tasks that cut their shingles; more are joined.
 SENT_PARAGRAPHS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 LOW_48 = np.uint64((1 << 48) - 1)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+BYTES = np.arange(256, dtype=np.uint8)
+SPACE = (BYTES == 32) | ((BYTES >= 9) & (BYTES <= 13))
+LOWER = np.where((BYTES >= 65) & (BYTES <= 90), BYTES + 32, BYTES).astype(np.uint8)
 
 
 def bands_for(similarity: float, rows: int, miss: float) -> int:
@@ -43,24 +50,59 @@ def bands_for(similarity: float, rows: int, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
 
 
-class WordHashes(dict):
-    """64-bit hashes by word, remembered until there are 200,000."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 200_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word, SEED)
-        return found
+class Words:
+    """The words of a block of texts put end to end: their hashes (64 bits, A-Z in lower case), texts (numbers in the block) and lines (from 0 in each text)."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray):
+        starts = np.concatenate([[0], ends[:-1]])
+        lower = LOWER[data]
+        inside = ~SPACE[data]
+        fresh = np.zeros(len(data) + 1, bool)
+        fresh[starts] = fresh[-1] = True
+        first = np.flatnonzero(inside & (fresh[:-1] | np.concatenate([[True], ~inside[:-1]])))
+        after = np.flatnonzero(inside & (fresh[1:] | np.concatenate([~inside[1:], [True]]))) + 1
+        self.hashes = word_hashes(lower, first, after - first)
+        self.text = np.searchsorted(ends, first, "right")
+        breaks = np.flatnonzero(data == 10)
+        self.line = np.searchsorted(breaks, first) - np.searchsorted(breaks, starts)[self.text]
+
+
+def word_hashes(data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the words of these places, from eight bytes at a time; of longer words than LONG_WORD from the library's hash."""
+    import xxhash
+
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    found = _mixed(sizes.astype(np.uint64) * np.uint64(BASE) + np.uint64(SEED))
+    at = np.flatnonzero(sizes <= LONG_WORD)
+    done = 0
+    while len(at):
+        left = np.minimum(sizes[at] - done, 8).astype(np.uint64)
+        part = eights[first[at] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        found[at] = _mixed((found[at] ^ part) * np.uint64(BASE))
+        done += 8
+        at = at[sizes[at] > done]
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        found[i] = xxhash.xxh3_64_intdigest(data[first[i] : first[i] + sizes[i]].tobytes(), SEED)
+    return found
 
-    def array(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def word_blocks(column):
+    """(number of the first text, Words) for blocks of texts (an Arrow column of binaries; null counts as empty) of BLOCK_BYTES or one longer text."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BLOCK_BYTES, "right")) - 1)
+        if offsets[stop] > offsets[start]:
+            yield start, Words(data[offsets[start] : offsets[stop]], offsets[start + 1 : stop + 1] - offsets[start])
+        start = stop
 
 
 def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
@@ -82,9 +124,8 @@ def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
 class Paragraphs:
     """Paragraphs of a block of texts: where they stand and their ids; cut() gives their distinct shingles (48 bits each), put end to end."""
 
-    def __init__(self, where: list[tuple[int, int]], words: np.ndarray, lengths: np.ndarray):
-        self.doc, self.line = np.array(where, np.int64).reshape(-1, 2).T
-        self.words, self.lengths = words, lengths
+    def __init__(self, doc: np.ndarray, line: np.ndarray, words: np.ndarray, lengths: np.ndarray):
+        self.doc, self.line, self.words, self.lengths = doc, line, words, lengths
         starts = np.cumsum(lengths) - lengths
         self.place = np.arange(len(words)) - np.repeat(starts, lengths)
         powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(lengths.max() - 1, BASE, np.uint64))])
@@ -92,7 +133,7 @@ class Paragraphs:
 
     def only(self, chosen: np.ndarray) -> Paragraphs | None:
         at = np.flatnonzero(chosen)
-        return Paragraphs(list(zip(self.doc[at], self.line[at])), self.words[np.repeat(chosen, self.lengths)], self.lengths[at]) if len(at) else None
+        return Paragraphs(self.doc[at], self.line[at], self.words[np.repeat(chosen, self.lengths)], self.lengths[at]) if len(at) else None
 
     def cut(self, width: int) -> Paragraphs:
         shingles = run_hashes(self.words, width)
@@ -124,33 +165,22 @@ class Paragraphs:
         return np.stack(keys)
 
 
-def paragraph_blocks(texts, min_words: int, width: int, hashes: WordHashes):
-    """Paragraphs of the texts (bytes or None) in blocks; lower case is taken of A-Z only, white space between words counts as one space."""
-    where, words, lengths = [], [], []
-
-    def block():
-        return Paragraphs(where, hashes.array(words), np.array(lengths))
-
-    for doc, text in enumerate(texts):
-        for number, line in enumerate((text or b"").lower().split(b"\n")):
-            if len(line) < 2 * min_words - 1:
-                continue
-            found = line.split()
-            if len(found) < max(1, min_words):
-                continue
-            found += [b""] * (width - len(found))
-            where.append((doc, number))
-            words += found
-            lengths.append(len(found))
-            if len(words) > BLOCK_WORDS or len(lengths) > 60_000:
-                yield block()
-                where, words, lengths = [], [], []
-    if where:
-        yield block()
-
-
-def _texts(column) -> list:
-    return [t.as_py() for t in column]
+def paragraph_blocks(column, min_words: int, width: int):
+    """Paragraphs of the texts of an Arrow column in blocks; lower case is taken of A-Z only, white space between words counts as one space."""
+    for first, w in word_blocks(column):
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(w.text) != 0) | (np.diff(w.line) != 0)])) if len(w.text) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(new, len(w.text)))
+        new, lengths = new[lengths >= min_words], lengths[lengths >= min_words]
+        doc, line, full = first + w.text[new], w.line[new], np.maximum(lengths, width)
+        total, i = np.cumsum(full), 0
+        while i < len(new):
+            before = total[i - 1] if i else 0
+            j = min(max(i + 1, int(np.searchsorted(total, before + BLOCK_WORDS, "right"))), i + BLOCK_PARAGRAPHS)
+            words = np.zeros(total[j - 1] - before, np.uint64)  # lines of fewer than width words are filled up
+            place = np.arange(lengths[i:j].sum()) - np.repeat(np.cumsum(lengths[i:j]) - lengths[i:j], lengths[i:j])
+            words[np.repeat(total[i:j] - full[i:j] - before, lengths[i:j]) + place] = w.hashes[np.repeat(new[i:j], lengths[i:j]) + place]
+            yield Paragraphs(doc[i:j], line[i:j], words, full[i:j])
+            i = j
 
 
 def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS, min_words: int = MIN_WORDS, width: int = WIDTH) -> DataFrame:
@@ -162,10 +192,9 @@ def paragraph_rows(docs: DataFrame, bands: int, rows: int = ROWS, min_words: int
     names = ["doc_id", "mark", "line", "pid", "size", *(f"b{i}" for i in range(bands)), *(f"s{i}" for i in range(SKETCH))]
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
-            for p in paragraph_blocks(_texts(batch.column(2)), min_words, width, hashes):
+            for p in paragraph_blocks(batch.column(2), min_words, width):
                 p.cut(width)
                 n += np.bincount(p.doc, minlength=len(n))
                 at = pa.array(p.doc)
@@ -184,9 +213,9 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, min_words: int, width: int
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(few)) if len(few) <= SENT_PARAGRAPHS else None
 
     def run(batches):
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
-            for p in paragraph_blocks(_texts(batch.column(0)), min_words, width, hashes):
+            for p in paragraph_blocks(batch.column(0), min_words, width):
                 p = p.only(np.isin(p.pid, sent.value)) if sent is not None else p
                 if p is None:
                     continue
@@ -295,40 +324,18 @@ def passage_rows(docs: DataFrame, passage: int = PASSAGE, step: int = STEP) -> D
     names = ["doc_id", "mark", "at", "line", "last", "gram"]
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            words, docs, lengths, lines, counts = [], [], [], [], []
-
-            def pack():
-                sizes = np.array(lengths)
-                starts = np.cumsum(sizes) - sizes
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                place = np.arange(len(words)) - starts[owner]
-                line = np.repeat(np.concatenate(lines), np.concatenate(counts))
-                grams = run_hashes(hashes.array(words), passage)
+            for first, w in word_blocks(batch.column(2)):
+                grams = run_hashes(w.hashes, passage)
+                if not len(grams):
+                    continue
                 # Windows over the end of a text are none; there are passage - 1 of them in a row, so texts never meet.
-                grams[place[: len(grams)] > sizes[owner[: len(grams)]] - passage] = np.iinfo(np.uint64).max
+                grams[w.text[: len(grams)] != w.text[passage - 1 :]] = np.iinfo(np.uint64).max
                 at = chosen_windows(grams, step)
-                rows = pa.array(np.array(docs)[owner[at]])
-                return pa.record_batch(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[at], pa.int32()), pa.array(line[at], pa.int32()), pa.array(line[at + passage - 1], pa.int32()), pa.array(grams[at].view(np.int64))], names
-                )
-
-            for doc, text in enumerate(_texts(batch.column(2))):
-                parts = [x.split() for x in (text or b"").lower().split(b"\n")]
-                size = np.array([len(x) for x in parts])
-                if size.sum() >= passage:
-                    for x in parts:
-                        words += x
-                    docs.append(doc)
-                    lengths.append(size.sum())
-                    lines.append(np.arange(len(parts)))
-                    counts.append(size)
-                    if len(words) > BLOCK_WORDS:
-                        yield pack()
-                        words, docs, lengths, lines, counts = [], [], [], [], []
-            if words:
-                yield pack()
+                rows = pa.array(first + w.text[at])
+                place = at - np.searchsorted(w.text, w.text[at])
+                longs = [pa.array(x, pa.int32()) for x in (place, w.line[at], w.line[at + passage - 1])]
+                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *longs, pa.array(grams[at].view(np.int64))], names)
 
     base = docs.select("doc_id", "mark", F.col("text").cast("binary").alias("text"))
     return base.mapInArrow(run, "doc_id long, mark long, at int, line int, last int, gram long")
