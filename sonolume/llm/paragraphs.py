@@ -25,10 +25,12 @@ MISS = 1e-3
 ROWS = 2
 #: Longs of a paragraph's odd sketch: every shingle flips one of its bits.
 SKETCH = 4
-#: Words in a window. Of STEP windows in a row one at least is compared, so that a passage of PASSAGE + STEP - 1 words shares
-#: a window with its copy wherever both lie, and STEP - 1 words at each end of it may stay.
-PASSAGE = 30
-STEP = 18
+#: Words in a window, as many as in the least paragraph. Of STEP windows in a row one at least is compared, so that equal runs of
+#: PASSAGE + STEP - 1 = 30 words share a window wherever they lie, and STEP - 1 words at each end of a run may stay. Two passages
+#: with k scattered words changed have SIMILARITY on five-word shingles from 45 k + 4 words on, which leaves a run of 30 equal
+#: words or more if they have 60 words (k = 1) or more than one change (94 words, k = 2): none of these is missed.
+PASSAGE = 20
+STEP = 11
 #: Bytes of text that are cut into words at once, and words and paragraphs that are signed at once.
 BLOCK_BYTES = 1 << 20
 BLOCK_WORDS = 200_000
@@ -38,6 +40,7 @@ LONG_WORD = 64
 #: Up to so many colliding paragraphs (8 bytes each) are sent to the tasks that cut their shingles; more are joined.
 SENT_PARAGRAPHS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
+CHECK_BASE = 0xC2B2AE3D27D4EB4F
 LOW_48 = np.uint64((1 << 48) - 1)
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BYTES = np.arange(256, dtype=np.uint8)
@@ -105,14 +108,14 @@ def word_blocks(column):
         start = stop
 
 
-def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+def run_hashes(words: np.ndarray, length: int, base: int = BASE) -> np.ndarray:
     """64-bit hash of every run of ``length`` words, from the hashes of the words; runs of 1, 2, 4, ... words are put together."""
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     total, done, piece, size = np.zeros(n, np.uint64), 0, words, 1
     while done < length:
-        factor = np.uint64(pow(BASE, size, 1 << 64))
+        factor = np.uint64(pow(base, size, 1 << 64))
         if length & size:
             total = total * factor + piece[done : done + n]
             done += size
@@ -314,31 +317,33 @@ def chosen_windows(hashes: np.ndarray, step: int) -> np.ndarray:
     return np.flatnonzero((hashes == largest) & (hashes != none) & ~again)
 
 
+def window_batches(batches, passage: int, step: int):
+    """The rows of passage_rows for Arrow batches of doc_id, mark, text (binary)."""
+    for batch in batches:
+        for first, w in word_blocks(batch.column(2)):
+            grams = run_hashes(w.hashes, passage)
+            if not len(grams):
+                continue
+            # Windows over the end of a text are none; there are passage - 1 of them in a row, so texts never meet.
+            grams[w.text[: len(grams)] != w.text[passage - 1 :]] = np.iinfo(np.uint64).max
+            check = run_hashes(_mixed(~w.hashes), passage, CHECK_BASE)
+            at = chosen_windows(grams, step)
+            rows = pa.array(first + w.text[at])
+            ints = [pa.array(x, pa.int32()) for x in (at - np.searchsorted(w.text, w.text[at]), w.line[at], w.line[at + passage - 1])]
+            longs = [pa.array(x[at].view(np.int64)) for x in (grams, check)]
+            yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *ints, *longs], ["doc_id", "mark", "at", "line", "last", "gram", "check"])
+
+
 def passage_rows(docs: DataFrame, passage: int = PASSAGE, step: int = STEP) -> DataFrame:
-    """doc_id, mark, at, line, last, gram for every chosen window of the whole text.
+    """doc_id, mark, at, line, last, gram, check for every chosen window of the whole text.
 
-    ``at`` is the number of its first word, ``line`` and ``last`` are the lines of its first and last word, all from 0.
+    ``at`` is the number of its first word, ``line`` and ``last`` are the lines of its first and last word, all from 0;
+    ``gram`` is the hash by which windows are chosen and meet, ``check`` another of the same words, which verifies them.
     """
     if step > passage:
         raise ValueError("windows of neighbouring texts would meet: step must not be above passage")
-    names = ["doc_id", "mark", "at", "line", "last", "gram"]
-
-    def run(batches):
-        for batch in batches:
-            for first, w in word_blocks(batch.column(2)):
-                grams = run_hashes(w.hashes, passage)
-                if not len(grams):
-                    continue
-                # Windows over the end of a text are none; there are passage - 1 of them in a row, so texts never meet.
-                grams[w.text[: len(grams)] != w.text[passage - 1 :]] = np.iinfo(np.uint64).max
-                at = chosen_windows(grams, step)
-                rows = pa.array(first + w.text[at])
-                place = at - np.searchsorted(w.text, w.text[at])
-                longs = [pa.array(x, pa.int32()) for x in (place, w.line[at], w.line[at + passage - 1])]
-                yield pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), *longs, pa.array(grams[at].view(np.int64))], names)
-
     base = docs.select("doc_id", "mark", F.col("text").cast("binary").alias("text"))
-    return base.mapInArrow(run, "doc_id long, mark long, at int, line int, last int, gram long")
+    return base.mapInArrow(lambda batches: window_batches(batches, passage, step), "doc_id long, mark long, at int, line int, last int, gram long, check long")
 
 
 def _spans(places: DataFrame, passage: int) -> DataFrame:
@@ -370,8 +375,9 @@ def repeated_passages(docs: DataFrame, removed: DataFrame, passage: int = PASSAG
 
     docs: doc_id, mark, text; removed: doc_id, mark, removed_lines of paragraphs that go. Windows wholly inside these take no
     part; those that reach into shorter lines beside them do, else the short lines of near copies would stay. Of equal
-    windows the smallest (doc_id, mark, at) stays; its words stay even where another window is a repeat. Windows are equal
-    or not: below 49 words one other word inside takes a window under Jaccard 0.8 anyway.
+    windows (by two independent hashes) the smallest (doc_id, mark, at) stays; its words stay even where another window is a
+    repeat. Windows are equal or not: below 49 words one other word inside takes a window under Jaccard 0.8 anyway, and longer
+    passages that reach it have equal windows on one side of their changes (see PASSAGE); the changed words stay.
     """
     rows = materialize(passage_rows(docs, passage, step), "windows")
     # Written, so that the join deals both sides out anew and can split a very common window.
@@ -379,13 +385,13 @@ def repeated_passages(docs: DataFrame, removed: DataFrame, passage: int = PASSAG
     gone = removed.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "removed_lines")
     hits = rows.join(several.hint("shuffle_hash"), "gram").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     inside = F.size(F.filter("removed_lines", lambda x: (x >= F.col("line")) & (x <= F.col("last")))) > F.col("last") - F.col("line")
-    hits = materialize(hits.where(~F.coalesce(inside, F.lit(False))).select("doc_id", "mark", "at", "gram"), "hits")
+    hits = materialize(hits.where(~F.coalesce(inside, F.lit(False))).select("doc_id", "mark", "at", "gram", "check"), "hits")
     discard(rows)
     discard(several)
     place = F.struct("doc_id", "mark", "at")
-    kept = hits.groupBy("gram").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where(~F.col("keeper").eqNullSafe(F.col("other"))).select("gram", "keeper")
+    kept = hits.groupBy("gram", "check").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where(~F.col("keeper").eqNullSafe(F.col("other"))).select("gram", "check", "keeper")
     kept = materialize(kept, "keepers")  # for the same reason
-    marked = hits.join(kept.hint("shuffle_hash"), "gram").select("doc_id", "mark", "at", place.eqNullSafe(F.col("keeper")).alias("stays"), F.col("keeper.doc_id").alias("keeper"))
+    marked = hits.join(kept.hint("shuffle_hash"), ["gram", "check"]).select("doc_id", "mark", "at", place.eqNullSafe(F.col("keeper")).alias("stays"), F.col("keeper.doc_id").alias("keeper"))
     places = marked.groupBy("doc_id", "mark").agg(
         F.collect_set(F.when(~F.col("stays"), F.col("at"))).alias("gone"),
         F.collect_set(F.when(F.col("stays"), F.col("at"))).alias("stay"),

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sonolume.llm import paragraphs
@@ -209,3 +210,56 @@ def test_short_lines_beside_removed_ones(spark):
     left = {r.doc_id: r.text for r in remove_repeats(df).collect()}
     assert left[0] == long and left[3] == texts[3] and left[1] == "\n".join([*before, *after])
     assert all(a not in left[2] for a in (before[1], after[0], after[1])) and texts[2].split("\n")[-1] in left[2]
+
+
+@pytest.mark.parametrize("wide", [10, 7, 10**6])
+def test_passages_with_a_changed_word_are_found_whatever_the_line_ends(spark, wide):
+    """60 pairs of 60 words with one word changed (similarity 51 / 61) inside other words, and 60 texts that share nothing."""
+    rng = random.Random(21)
+    own = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    rows = []
+    for i in range(60):
+        one = own(60)
+        two = list(one)
+        two[rng.randint(10, 49)] = "changed"
+        for k, words in enumerate((own(rng.randint(3, 40)) + one + own(rng.randint(3, 40)), own(rng.randint(3, 40)) + two + own(rng.randint(3, 40)), own(120))):
+            rows.append((3 * i + k, "\n".join(" ".join(words[j : j + wide]) for j in range(0, len(words), wide))))
+    got = {r.doc_id: r for r in repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[3 * i + 1].n_passage_words >= PASSAGE and list(got[3 * i + 1].passages_in) == [3 * i] and got[3 * i].n_matches > 0 for i in range(60))
+    assert all(got[3 * i + 2].n_matches == 0 for i in range(60))
+
+
+def test_windows_that_meet_by_one_hash_only_are_not_equal(spark, monkeypatch):
+    real = paragraphs.run_hashes
+
+    def weak(words, length, base=paragraphs.BASE):
+        found = real(words, length, base)
+        return found & np.uint64(7) if length == PASSAGE and base == paragraphs.BASE else found
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(19)) + "\n" + " ".join(f"v{i}x{k}" for k in range(19))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "doc_id AS mark", "text").coalesce(1)
+    monkeypatch.setattr(paragraphs, "run_hashes", weak)
+    batches = [pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[0] for r in rows]), pa.array([r[1].encode() for r in rows], pa.binary())], ["doc_id", "mark", "text"])]
+    found = [(b.column(5).to_pylist(), b.column(6).to_pylist()) for b in paragraphs.window_batches(batches, PASSAGE, STEP)]
+    grams, checks = (sum(x, []) for x in zip(*found))
+    assert len(set(grams)) <= 8 and len(set(checks)) == len(checks) > 20
+    monkeypatch.setattr(paragraphs, "passage_rows", lambda *_: spark.createDataFrame([(i, i, 0, 0, 1, g, c) for i, (g, c) in enumerate(zip(grams, checks))], "doc_id long, mark long, at int, line int, last int, gram long, check long"))
+    none = spark.createDataFrame([], "doc_id long, mark long, removed_lines array<int>")
+    assert paragraphs.repeated_passages(docs, none).count() == 0
+
+
+def test_words_of_blocks(monkeypatch):
+    """Words, lines and hashes of small blocks against plain Python: empty and null texts, long words, every kind of white space."""
+    monkeypatch.setattr(paragraphs, "BLOCK_BYTES", 200)
+    rng = random.Random(1)
+    bits = ["a", "B", "\u00e9", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\xa0", "xyz", "word" * 3, "word" * 17, "word" * 40]
+    texts = [None if rng.random() < 0.1 else "".join(rng.choice(bits) for _ in range(rng.choice([0, 0, 1, 5, 40]))).encode() for _ in range(300)]
+    got = {}
+    for first, w in paragraphs.word_blocks(pa.array(texts, pa.binary()).slice(3)):
+        for h, t, n in zip(w.hashes.tolist(), w.text.tolist(), w.line.tolist()):
+            got.setdefault(first + t, []).append((h, n))
+    words, hashes = {}, {}
+    for i, text in enumerate(texts[3:]):
+        want = [(x, n) for n, line in enumerate((text or b"").lower().split(b"\n")) for x in line.split()]
+        assert [n for _, n in want] == [n for _, n in got.get(i, [])]
+        assert all(words.setdefault(x, h) == h and hashes.setdefault(h, x) == x for (x, _), (h, _) in zip(want, got.get(i, [])))
