@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .patterns import let
-
 
 def _each(f):
     return lambda series: pd.Series([None if v is None else f(np.asarray(v, dtype=float)) for v in series])
@@ -109,20 +107,25 @@ def uniform_length(signals: DataFrame, keys: list[str], size: int, at: str = "t"
     return unpack(packed.withColumn("series", cubic_zoom(F.col("series"), size)), keys, at, value)
 
 
-def dominant_bin(bits: Column) -> Column:
-    """Bin 1 to n/2 - 1 with the largest magnitude in a string of 0 and 1 (ties: the lowest); 0 if all are 1. In the JVM."""
-    n = F.length(bits)
-
-    def search(values: Column) -> Column:
-        def power(k: Column) -> Column:
-            turn = lambda i: 2 * F.pi() * k * i / n
-            total = lambda wave: F.aggregate(F.transform(values, lambda v, i: v * wave(turn(i))), F.lit(0.0), lambda s, v: s + v)
-            return F.round(F.sqrt(F.pow(total(F.cos), F.lit(2)) + F.pow(total(F.sin), F.lit(2))), 6)
+def _dominant(bits: pd.Series) -> pd.Series:
+    found = pd.Series([None] * len(bits), bits.index, "Int32")
+    for n, same in bits.dropna().groupby(bits.str.len()):
+        v = np.frombuffer("".join(same).encode(), np.uint8).reshape(len(same), -1) - ord("0")
+        if (v > 1).any():
+            raise ValueError("patterns are strings of 0 and 1")
+        n = int(n)
+        if n < 4:
+            found[same.index] = 0
+            continue
+        # Magnitudes that differ by rounding alone count as equal.
+        size = np.round(np.abs(np.fft.rfft(v.astype(float), axis=1)[:, 1 : n // 2]), 6)
+        found[same.index] = np.where(v.all(axis=1), 0, size.argmax(axis=1) + 1)
+    return found
 
-        return F.array_min(F.transform(F.sequence(F.lit(1), F.floor(n / 2).cast("int") - 1), lambda k: F.struct((-power(k)).alias("p"), k.alias("k"))))["k"]
 
-    found = let(F.transform(F.split(bits, ""), lambda c: c.cast("double")), search)
-    return F.when(F.replace(bits, F.lit("1"), F.lit("")) == "", F.lit(0)).otherwise(found)
+def dominant_bin(bits: Column) -> Column:
+    """Bin 1 to n/2 - 1 with the largest magnitude in a string of 0 and 1 (ties: the lowest); 0 if all are 1 or there is no such bin."""
+    return pandas_udf(_dominant, "int")(bits)
 
 
 def ramp_filter(f: Column, kind: str, cutoff: float) -> Column:
