@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 def hex_to_bits(code: Column, elements: int) -> Column:
     """Bits (0/1 string), most significant first; padded with zeros at the right or cut to the number of elements. A code of f alone: all ones."""
     plain = F.regexp_replace(code, "[ \\n]", "")
-    nibbles = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0"))
+    # Digits 0 and 1 make way first, as the bits are written with them.
+    nibbles = F.translate(F.lower(plain), "01", "gh")
+    for k, digit in enumerate("gh23456789abcdef"):
+        nibbles = F.replace(nibbles, F.lit(digit), F.lit(f"{k:04b}"))
     full = F.when(plain.rlike("^[fF]+$"), F.lit("1" * elements))
-    return full.when(plain.rlike("^[0-9a-fA-F]+$"), F.rpad(F.array_join(nibbles, ""), elements, "0")).otherwise(F.lit("0" * elements))
+    return full.when(plain.rlike("^[0-9a-fA-F]+$"), F.rpad(nibbles, elements, "0")).otherwise(F.lit("0" * elements))
 
 
 def bits_to_hex(bits: Column) -> Column:
-    """Groups of four bits, most significant first; the last group is padded with zeros at the right."""
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.length(bits) - 1) / 4).cast("int")), lambda i: F.lower(F.conv(F.rpad(F.substr(bits, i * 4 + 1, F.lit(4)), 4, "0"), 2, 16)))
-    return F.array_join(groups, "")
+    """Groups of four bits, most significant first; the last group is padded with zeros at the right. No bits: no digits."""
+    # Each group ends in a blank, which a group's four bits precede nowhere else.
+    groups = F.regexp_replace(F.rpad(bits, (F.ceil(F.length(bits) / 4) * 4).cast("int"), F.lit("0")), "(.{4})", "$1 ")
+    for k in range(16):
+        groups = F.replace(groups, F.lit(f"{k:04b} "), F.lit(f"{k:x}"))
+    return groups
 
 
 def mirrored(bits: Column) -> Column:

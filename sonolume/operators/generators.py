@@ -41,11 +41,32 @@ def gaussian_beam(pixels: DataFrame, waist: float, x0: float, z0: float, dx: flo
     return pixels.select("z", "x", F.exp(-2 * r2 / waist**2).alias("value"))
 
 
+#: exp(-r^2 / radius^2) is zero in double precision beyond this many radii; pixels of a tile along each axis.
+REACH, TILE = math.sqrt(746.0), 16
+
+
 def phantom(beam: DataFrame, absorbers: DataFrame, dx: float = 1.0, dz: float = 1.0) -> DataFrame:
-    """The beam less a Gaussian for each absorber (cx, cz, radius, amplitude), clipped at zero. Few absorbers: Spark broadcasts a small table by its size."""
+    """The beam less a Gaussian for each absorber (cx, cz, radius, amplitude), clipped at zero.
+
+    Absorbers alike but for their amplitude are added first. Each lists the tiles of the beam that its Gaussian reaches
+    and meets their pixels by an equi-join: what is left out is zero in double precision.
+    """
+    alike = absorbers.where("amplitude is not null and radius is not null").groupBy("cx", "cz", "radius").agg(F.sum("amplitude").alias("amplitude"))
+    tile = lambda c: F.floor(c / TILE)
+    extent = beam.agg(*(f(tile(F.col(c))).alias(f"_{n}_{c}") for c in ("z", "x") for n, f in (("low", F.min), ("high", F.max))))
+
+    def reached(axis: str, centre: str, step: float):
+        far = REACH * F.abs("radius")
+        low = F.greatest(F.floor((F.col(centre) - far) / step / TILE), F.col(f"_low_{axis}"))
+        high = F.least(F.floor((F.col(centre) + far) / step / TILE), F.col(f"_high_{axis}"))
+        return F.explode(F.when(low <= high, F.sequence(low, high)))
+
+    listed = alike.crossJoin(F.broadcast(extent)).withColumn("_tz", reached("z", "cz", dz)).withColumn("_tx", reached("x", "cx", dx))
     r2 = F.pow(F.col("x") * dx - F.col("cx"), F.lit(2)) + F.pow(F.col("z") * dz - F.col("cz"), F.lit(2))
     taken = F.sum(F.coalesce(F.col("amplitude") * F.exp(-r2 / (F.col("radius") * F.col("radius"))), F.lit(0.0)))
-    return beam.join(absorbers, F.lit(True), "left").groupBy("z", "x").agg(F.greatest(F.lit(0.0), F.first("value") - taken).alias("value"))
+    pixels = beam.withColumn("_tz", tile(F.col("z"))).withColumn("_tx", tile(F.col("x")))
+    found = pixels.join(listed.select("cx", "cz", "radius", "amplitude", "_tz", "_tx"), ["_tz", "_tx"], "left")
+    return found.groupBy("z", "x").agg(F.greatest(F.lit(0.0), F.first("value") - taken).alias("value"))
 
 
 def regions(pixels: DataFrame, absorbers: DataFrame, dx: float = 1.0, dz: float = 1.0) -> DataFrame:
@@ -151,15 +172,21 @@ def tone_burst(frequency: float, cycles: float, rate: float) -> list[float]:
     return [math.sin(2 * math.pi * frequency * k / rate) * math.exp(-0.5 * ((k - middle) / spread) ** 2) for k in range(size)]
 
 
+#: Scans of a partition of ray_field, about.
+RAY_SCANS = 1 << 13
+
+
 def ray_field(scans: DataFrame, elements: int, width_px: int, t_size: int, z_size: int, x_size: int, dt: float, dx: float, speed: float, burst: int, factor: int = 4, start_px: int = 0) -> DataFrame:
     """Analytic fields (n, t, z, x, value) of scans (n, bits, angle in degrees).
 
     Each active element sends a ray along the angle, delayed by its distance from the pivot; it lights the fine pixels
     (dx / factor) that it is over, then a sin^2 envelope of ``burst`` samples is laid over time. Rays are added on the
-    coarse grid before the envelope multiplies the rows.
+    coarse grid before the envelope multiplies the rows. Scans are numbered (n) differently.
     """
     fine = dx / factor
     a = F.radians("angle")
+    # All pixels of a scan stay in its partition: sums by scan need no exchange, and a task's tables hold some thousand scans.
+    scans = scans.repartition(max(1, -(-scans.count() // RAY_SCANS)), "n")
     active = scans.select("n", "angle", F.posexplode(F.split("bits", "")).alias("i", "bit")).where("bit = '1'")
     at = start_px + F.col("i") * width_px
     pivot = F.when(F.col("angle") >= 0, F.lit(start_px)).otherwise(F.lit(start_px + elements * width_px))

@@ -59,8 +59,9 @@ _RAW = """
 def _recording(spark, d) -> str:
     """A MAT file of all order lines: time by repeats and scans, and parameters from the other tables."""
     lines = _table(spark, d, "lineitem")
-    raw = lines.groupBy(F.floor(F.col("l_orderkey") / T).alias("n"), (F.col("l_linenumber") - 1).alias("repeat"), (F.col("l_orderkey") % T).alias("t")).agg(F.sum("l_quantity").alias("value"))
-    scans, repeats = (n + 1 for n in _most(raw, "n", "repeat"))
+    lines = lines.select(F.floor(F.col("l_orderkey") / T).alias("n"), (F.col("l_linenumber") - 1).alias("repeat"), (F.col("l_orderkey") % T).alias("t"), "l_quantity")
+    scans, repeats = (n + 1 for n in _most(lines, "n", "repeat"))
+    raw = lines.groupBy("n", "repeat", "t").agg(F.sum("l_quantity").alias("value"))
     part, supplier = _table(spark, d, "part"), _table(spark, d, "supplier")
     sizes = sorted(r[0] for r in part.select("p_size").distinct().collect())
     facts = {

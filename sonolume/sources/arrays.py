@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, InputPartition, WriterCommitMessage
 
 #: Values in one batch of a task, and in one task.
-BATCH, TASK = 1 << 17, 1 << 24
+BATCH, TASK = 1 << 17, 1 << 22
+#: Absent values between neighbours at most that a task writes as zeros instead of beginning a new run.
+GAP = 64
 
 
 def located(spark: SparkSession, path: str) -> str:
@@ -68,13 +70,15 @@ def position_of(axes: list[str], shape, fortran: bool) -> Column:
 def batch_of(first: int, re: np.ndarray, im: np.ndarray | None = None, **more) -> pa.RecordBatch:
     """(what is in more.., position, re, im) of values in a row; imaginary parts may be in ``re`` already."""
     n = len(re)
-    columns = {**{k: pa.array([v] * n) for k, v in more.items()}, "position": np.arange(first, first + n), "re": re.real.astype(float), "im": re.imag.astype(float) if im is None else im.astype(float)}
+    columns = {**{k: pa.repeat(v, n) for k, v in more.items()}, "position": np.arange(first, first + n), "re": re.real.astype(float), "im": re.imag.astype(float) if im is None else im.astype(float)}
     return pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in columns.values()], list(columns))
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, runs: list[tuple[int, int]], name: str | None):
-        self.runs, self.name = runs, name
+    """What a task wrote: its first and last position and how many there are."""
+
+    def __init__(self, first: int, last: int, count: int, name: str | None):
+        self.first, self.last, self.count, self.name = first, last, count, name
 
 
 class _Writer(DataSourceArrowWriter):
@@ -100,7 +104,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator):
         from pyspark import TaskContext
 
-        size, runs, name = self.number.itemsize, [], None
+        size, name, first, last, count = self.number.itemsize, None, None, -1, 0
         if self.in_place:
             out = open(self.hidden, "r+b")
         else:
@@ -112,25 +116,33 @@ class _Writer(DataSourceArrowWriter):
                 position = batch.column(0).to_numpy(zero_copy_only=False)
                 re, im = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
                 values = (re + 1j * im if self.number.kind == "c" else np.rint(re) if self.number.kind in "iu" else re).astype(self.number)
-                cuts = np.flatnonzero(np.diff(position) != 1) + 1
-                for a, b in zip([0, *cuts], [*cuts, len(position)]) if len(position) else ():
-                    first = int(position[a])
-                    if self.in_place:
-                        out.seek(len(self.head) + first * size)
-                    out.write(values[a:b].tobytes())
-                    runs = [*runs[:-1], (runs[-1][0], runs[-1][1] + int(b - a))] if runs and sum(runs[-1]) == first else [*runs, (first, int(b - a))]
-        return _Written(runs, name)
+                if not len(position):
+                    continue
+                # Rows are sorted within tasks, and tasks hold ranges: equal positions are neighbours.
+                if position[0] == last or (np.diff(position) == 0).any():
+                    raise ValueError(f"{self.uri}: a position is given twice")
+                first, last, count = int(position[0]) if first is None else first, int(position[-1]), count + len(position)
+                if not self.in_place:
+                    out.write(values.tobytes())
+                    continue
+                cuts = np.flatnonzero(np.diff(position) > GAP) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(position)]):
+                    # No other task has places between those of this one, and zero is what the file holds there.
+                    run = np.zeros(position[b - 1] - position[a] + 1, self.number)
+                    run[position[a:b] - position[a]] = values[a:b]
+                    out.seek(len(self.head) + int(position[a]) * size)
+                    out.write(run.tobytes())
+        return _Written(-1 if first is None else first, last, count, name)
 
     def commit(self, messages):
         files, _ = file_system(self.uri)
-        done = sorted((m for m in messages if m is not None and m.runs), key=lambda m: m.runs[0])
-        runs = sorted(r for m in done for r in m.runs)
-        if any(sum(a) > b[0] for a, b in zip(runs, runs[1:])):
+        done = sorted((m for m in messages if m is not None and m.count), key=lambda m: m.first)
+        if any(a.last >= b.first for a, b in zip(done, done[1:])):
             raise ValueError(f"{self.uri}: a position is given twice")
         if self.in_place:
             files.move(self.hidden, self.at)
             return
-        if sum(n for _, n in runs) != self.total or any(len(m.runs) > 1 for m in done):
+        if sum(m.count for m in done) != self.total:
             raise ValueError(f"{self.uri}: on this file system every position must be given")
         with files.open_output_stream(self.at) as out:
             out.write(self.head)

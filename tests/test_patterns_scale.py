@@ -18,3 +18,18 @@ def test_dominant_bin_is_cheap_a_row(spark):
     began = time.time()
     assert codes.agg(F.max(fourier.dominant_bin(F.col("b")))).first()[0] <= 23
     assert time.time() - began < 15
+
+
+def test_digits_and_bits_of_any_length(spark):
+    codes = spark.createDataFrame([("0f",), ("Gg",), ("1 0\na",), ("h",), ("",), (None,)], "c string").select(patterns.hex_to_bits(F.col("c"), 12).alias("b"))
+    assert [r["b"] for r in codes.collect()] == ["000011110000", "0" * 12, "000100001010", "0" * 12, "0" * 12, "0" * 12]
+    bits = spark.createDataFrame([("",), ("1",), ("00011111",), ("0" * 9,), (None,)], "b string").select(patterns.bits_to_hex(F.col("b")).alias("c"))
+    assert [r["c"] for r in bits.collect()] == ["", "8", "1f", "000", None]
+
+
+def test_mirrored_codes_are_cheap_a_row(spark):
+    codes = spark.range(100000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 12).alias("c"))
+    turned = patterns.bits_to_hex(patterns.mirrored(patterns.hex_to_bits(F.col("c"), 48)))
+    began = time.time()
+    assert codes.where(F.length(turned) != 12).count() == 0
+    assert time.time() - began < 8
