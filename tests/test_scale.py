@@ -1,10 +1,11 @@
-"""Steps whose work once grew faster than their input: array files of scattered values."""
+"""Steps whose work once grew faster than their input: array files of scattered values, phantoms of many absorbers."""
 
 import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from sonolume.operators import generators
 from sonolume.sources import npy
 
 
@@ -18,3 +19,22 @@ def test_scattered_values_of_a_file_are_written_once_each(spark, tmp_path):
     want = np.zeros(n)
     want[::3] = np.arange(0, n, 3) + 1
     assert np.array_equal(np.load(path).ravel(), want)
+
+
+def test_phantom_of_many_absorbers_meets_only_what_they_reach(spark):
+    beam = generators.gaussian_beam(generators.grid(spark, 4000, 50), 20.0, 24.5, 2.0)
+    i = F.col("id")
+    absorbers = spark.range(10000).select((i * 7 % 50).cast("double").alias("cx"), (i % 4).cast("double").alias("cz"), (i % 3 + F.lit(0.5)).alias("radius"), F.lit(1e-5).alias("amplitude"))
+    began = time.time()
+    found = generators.phantom(beam, absorbers).toPandas().sort_values(["z", "x"])
+    assert time.time() - began < 30
+    assert len(found) == 4000 * 50
+    z, x = found["z"].to_numpy(), found["x"].to_numpy()
+    near = z < 120
+    k = np.arange(10000)
+    kinds, copies = np.unique(np.stack([k * 7 % 50, k % 4, k % 3]), axis=1, return_counts=True)
+    z, x = z[near, None], x[near, None]
+    taken = (1e-5 * copies * np.exp(-((x - kinds[0]) ** 2 + (z - kinds[1]) ** 2) / (kinds[2] + 0.5) ** 2)).sum(1)
+    want = np.maximum(0, np.exp(-2 * ((x - 24.5) ** 2 + (z - 2) ** 2) / 400).ravel() - taken)
+    assert np.allclose(found["value"].to_numpy()[near], want, rtol=0, atol=1e-12)
+    assert (found["value"].to_numpy()[~near] == np.exp(-2 * ((found["x"] - 24.5) ** 2 + (found["z"] - 2.0) ** 2) / 400).to_numpy()[~near]).mean() > 0.99
