@@ -7,14 +7,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_path
+from ..sources.arrays import file_system, located
 from . import smatrix
 
 #: Cells of a record at least, and of a row at most; longer rows are kept as cells, spread over tasks.
 BLOCK, LONGEST = 1 << 13, 1 << 20
-#: Columns at most: a vector of so many (32 MB) is sent to each task, and tasks add up one of their own.
-MOST_COLUMNS = 1 << 22
+#: Columns at most: each task reads a vector of so many (128 MB), and adds up one of its own.
+MOST_COLUMNS = 1 << 24
+#: Sums of neighbouring columns that tasks exchange as one row.
+CHUNK = 1 << 15
 _RECORD = "local binary, place binary, v binary, y binary"
+#: The sorted columns that this Python worker has read last, with their table's folder.
+_last_names: list = [None, None]
+
+
+def _columns_of(uri: str, names: list[str]):
+    """Arrays of these columns, file by file of a stored table."""
+    import pyarrow.parquet as pq
+
+    files, at = file_system(uri)
+    from pyarrow import fs
+
+    for found in files.get_file_info(fs.FileSelector(at)):
+        if found.base_name.endswith(".parquet") and not found.base_name.startswith(("_", ".")):
+            with pq.ParquetFile(files.open_input_file(found.path)) as table:
+                for batch in table.iter_batches(1 << 20, columns=names):
+                    yield [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+class Places:
+    """Places 0, 1, .. of the columns in rising order. Without gaps between them they follow from the first; else tasks read them."""
+
+    def __init__(self, columns: DataFrame):
+        """columns: (col_id, ..), distinct, a result of cut."""
+        low, high, self.count = columns.agg(F.min("col_id"), F.max("col_id"), F.count("col_id")).first()
+        self.low = low or 0
+        self.uri = None if not self.count or high - low + 1 == self.count else located(columns.sparkSession, cut_path(columns))
+
+    def names(self, first: int = 0, end: int | None = None) -> np.ndarray:
+        """Columns at the places from first to end."""
+        if self.uri is None:
+            return self.low + np.arange(first, self.count if end is None else min(end, self.count), dtype=np.int64)
+        if _last_names[0] != self.uri:
+            found = np.sort(np.concatenate([ids for (ids,) in _columns_of(self.uri, ["col_id"])]).astype(np.int64))
+            _last_names[:] = [self.uri, found]
+        return _last_names[1][first:end]
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        """Places of columns, -1 where there is none of the name."""
+        if not self.count:
+            return np.full(len(ids), -1)
+        if self.uri is None:
+            return np.where((ids >= self.low) & (ids < self.low + self.count), ids - self.low, -1)
+        names = self.names()
+        at = np.minimum(np.searchsorted(names, ids), self.count - 1)
+        return np.where(names[at] == ids, at, -1)
+
+    def vector(self, uri: str | None) -> np.ndarray:
+        """The values of a stored image (col_id, value) at their places, zero elsewhere."""
+        x = np.zeros(self.count)
+        for ids, values in _columns_of(uri, ["col_id", "value"]) if uri else ():
+            at = self.of(ids)
+            x[at[at >= 0]] = values[at >= 0]
+        return x
 
 
 def ratio(q: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
@@ -50,14 +106,17 @@ class RowBlocks:
 
     A record has some thousand cells of whole rows, as arrays, and the signal of these rows. Where x and y meet a row, its
     part of A x is complete inside the record, so f(A x, y) and its share of A^H follow at once: a pass reads each cell once
-    and shuffles one number a column and task. Rows beyond LONGEST cells are few (under cells / LONGEST) and take the
+    and shuffles one number a column and core; no vector passes through the driver. Rows beyond LONGEST cells are few (under cells / LONGEST) and take the
     joins of smatrix instead, so that no task holds one.
     """
 
     def __init__(self, a: DataFrame, y: DataFrame, columns: DataFrame | None = None, longest: int = LONGEST):
         self.spark, self.complex = a.sparkSession, "vre" in a.columns
-        columns = a.select("col_id").distinct() if columns is None else columns.select("col_id")
-        self.columns = np.sort(columns.toArrow()["col_id"].to_numpy())
+        #: Images written for a pass, to be discarded when its result has been used.
+        self.spent: list[DataFrame] = []
+        if columns is None or not cut_path(columns):
+            columns = cut(a.select("col_id").distinct() if columns is None else columns.select("col_id"), "columns")
+        self.places = Places(columns)
         values, signal = (["vre", "vim"], ["yre", "yim"]) if self.complex else (["v"], ["y"])
         long_rows = a.groupBy("row_id").count().where(F.col("count") > longest).select("row_id")
         self.long = None
@@ -65,7 +124,7 @@ class RowBlocks:
             long_rows = cut(long_rows, "long_rows")
             self.long = cut(a.join(long_rows, "row_id", "left_semi"), "long_cells"), cut(y.join(long_rows, "row_id", "left_semi"), "long_signal")
             a = a.join(long_rows, "row_id", "left_anti")
-        sent, is_complex = self.spark.sparkContext.broadcast(self.columns), self.complex
+        places, is_complex = self.places, self.complex
 
         def numbers(batch, names) -> np.ndarray:
             parts = [batch.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]
@@ -77,7 +136,7 @@ class RowBlocks:
             def record(rows, cols, v, y):
                 first = np.concatenate([[True], rows[1:] != rows[:-1]])
                 local = (np.cumsum(first) - 1).astype(np.int32)
-                place = np.searchsorted(sent.value, cols).astype(np.int32)
+                place = places.of(cols).astype(np.int32)
                 return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (local, place, v, y[first])], ["local", "place", "v", "y"])
 
             for batch in batches:
@@ -100,32 +159,47 @@ class RowBlocks:
         self.records = cut(cells.repartition("row_id").sortWithinPartitions("row_id").mapInArrow(build, _RECORD), "blocks")
 
     def pulled(self, image: DataFrame | None, f, eps: float = 0.0) -> DataFrame:
-        """(col_id, c): the real part of A^H f(A x, y); without an image x is zero. f is ratio, residual, itself or ones."""
-        x = np.zeros(len(self.columns))
+        """(col_id, c): the real part of A^H f(A x, y); without an image x is zero. f is ratio, residual, itself or ones.
+
+        Tasks read the image (col_id, value) from its files, into which it is written unless it comes from there. There
+        are as many tasks as cores: each sends its sums of all columns once, in chunks.
+        """
+        path = None
         if image is not None:
-            table = image.select("col_id", F.col("value").cast("double").alias("value")).toArrow()
-            ids, values = table["col_id"].to_numpy(), table["value"].to_numpy()
-            known = np.isin(ids, self.columns)
-            x[np.searchsorted(self.columns, ids[known])] = values[known]
-        sent, number, columns = self.spark.sparkContext.broadcast((x, self.columns)), np.complex128 if self.complex else np.float64, len(self.columns)
+            if not cut_path(image):
+                image = cut(image.select("col_id", F.col("value").cast("double").alias("value")), "vector")
+                self.spent.append(image)
+            path = located(self.spark, cut_path(image))
+        places, number = self.places, np.complex128 if self.complex else np.float64
 
         def run(batches):
-            x, names = sent.value
-            total, touched = np.zeros(columns), np.zeros(columns, bool)
+            total = x = None
             for batch in batches:
+                if x is None:
+                    x, total = places.vector(path), np.zeros(places.count)
                 for local, place, v, y in zip(*(batch.column(k) for k in range(4))):
                     local, place = (np.frombuffer(b.as_buffer(), np.int32) for b in (local, place))
                     v, y = (np.frombuffer(b.as_buffer(), number) for b in (v, y))
                     r = f(_complex_sum(local, v * x[place], len(y)), y, eps)
                     np.add.at(total, place, (np.conj(v) * r[local]).real)
-                    touched[place] = True
-            some = np.flatnonzero(touched)
-            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(total[some])], ["col_id", "c"])
+            for first in range(0, 0 if total is None else places.count, CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([first // CHUNK]), pa.array([total[first : first + CHUNK].tobytes()], pa.binary())], ["chunk", "sums"])
+
+        def add(batches):
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for chunk, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    more = np.frombuffer(sums.as_buffer())
+                    totals[chunk] = totals[chunk] + more if chunk in totals else more.copy()
+            for chunk, c in totals.items():
+                yield pa.RecordBatch.from_arrays([pa.array(places.names(chunk * CHUNK, (chunk + 1) * CHUNK)), pa.array(c)], ["col_id", "c"])
 
-        parts = self.records.mapInArrow(run, "col_id long, c double")
-        if self.long is not None:
-            parts = parts.unionByName(joined(*self.long, image, f, eps))
-        return parts.groupBy("col_id").agg(F.sum("c").alias("c"))
+        cores = self.spark.sparkContext.defaultParallelism
+        sums = self.records.coalesce(cores).mapInArrow(run, "chunk long, sums binary")
+        parts = sums.repartition(min(cores, -(-places.count // CHUNK) or 1), "chunk").mapInArrow(add, "col_id long, c double")
+        if self.long is None:
+            return parts
+        return parts.unionByName(joined(*self.long, image, f, eps)).groupBy("col_id").agg(F.sum("c").alias("c"))
 
 
 def joined(a: DataFrame, y: DataFrame, image: DataFrame | None, f, eps: float) -> DataFrame:
@@ -159,8 +233,18 @@ def joined(a: DataFrame, y: DataFrame, image: DataFrame | None, f, eps: float) -
 
 def puller(a: DataFrame, y: DataFrame, columns: DataFrame | None = None, by_joins: bool = False):
     """pulled of a matrix and its signal: in records of rows where a vector of its columns (col_id, of a, in a written table)
-    is small enough to be sent, else by joins."""
+    is small enough for a task, else by joins. Its ``spent`` are tables to be discarded when its results have been used."""
     columns = cut(a.select("col_id").distinct(), "columns") if columns is None else columns
     if by_joins or columns.count() > MOST_COLUMNS:
-        return lambda image, f, eps=0.0: joined(a, y, image, f, eps)
-    return RowBlocks(a, y, columns).pulled
+        def pull(image, f, eps=0.0):
+            return joined(a, y, image, f, eps)
+
+        pull.spent = []
+    else:
+        rows = RowBlocks(a, y, columns)
+
+        def pull(image, f, eps=0.0):
+            return rows.pulled(image, f, eps)
+
+        pull.spent = rows.spent
+    return pull

@@ -177,6 +177,7 @@ def _expectation(kind: str, columns: DataFrame, pull: Pull, prior: Prior | None,
         }[kind]()
         return {"image": joined.select("col_id", F.greatest(F.lit(0.0), new).alias("value"))}
 
+    step.spent = pull.spent
     return {"image": start_image(columns, start)}, step
 
 
@@ -200,6 +201,7 @@ def _descent(columns: DataFrame, pull: Pull, step_size: float, momentum: bool, p
         push = (ts[k] - 1) / ts[k + 1] if momentum else 0.0
         return {"image": joined.select("col_id", new.alias("value"), (new + push * (new - F.col("value"))).alias("ahead"))}
 
+    step.spent = pull.spent
     return {"image": start_image(columns, 0.0).withColumn("ahead", F.col("value"))}, step
 
 
@@ -221,7 +223,7 @@ def _conjugate(columns: DataFrame, pull: Pull, step_size: float, prior: Prior |
         d = F.col("r") + share * F.col("d")
         return {"image": joined.select("col_id", F.greatest(F.lit(0.0), F.col("value") + step_size * d).alias("value"), d.alias("d"))}
 
-    step.spent, step.scalars = [], {"last": 0.0}
+    step.spent, step.scalars = pull.spent, {"last": 0.0}
     return {"image": start_image(columns, start).withColumn("d", F.lit(0.0))}, step
 
 
@@ -368,10 +370,11 @@ def lipschitz(a: DataFrame, rounds: int = 20, scale: DataFrame | None = None, se
     image = cut(random_image(a, seed), "power")
     size = _norm(image, F.col("value"))
     for _ in range(rounds):
-        back = pull(image.withColumn("value", F.col("value") / (size or 1.0)), blocks.itself)
+        # A is linear: its result is divided, and the image is read as it was written.
+        back, value = pull(image, blocks.itself), F.col("c") / (size or 1.0)
         if scale is not None:
-            back = back.join(scale, "col_id").select("col_id", (F.col("c") / F.col("diagonal")).alias("c"))
-        before, image = image, cut(back.withColumnRenamed("c", "value"), "power")
+            back, value = back.join(scale, "col_id"), value / F.col("diagonal")
+        before, image = image, cut(back.select("col_id", value.alias("value")), "power")
         discard(before)
         size = _norm(image, F.col("value"))
     discard(image)

@@ -72,3 +72,19 @@ def test_optimizers_of_complex_matrices(spark):
         solvers.reconstruct(a, signal, "lbfgs", 1)
     with pytest.raises(ValueError, match="complex"):
         solvers.reconstruct(a, signal, "mlem", 1, costs=True)
+
+
+@pytest.mark.parametrize("step", [1, 7])
+def test_power_iteration_collects_no_vector(spark, monkeypatch, step):
+    """Columns with and without gaps between them; vectors stay in files."""
+    rng = np.random.default_rng(4)
+    m = rng.random((12, 9))
+    cells = spark.createDataFrame([(i, 5 + step * j, float(m[i, j])) for i in range(12) for j in range(9)], "row_id long, col_id long, v double")
+
+    def refused(*_):
+        raise AssertionError("a table was collected")
+
+    for name in ("toArrow", "collect", "toPandas"):
+        monkeypatch.setattr(type(cells), name, refused)
+    monkeypatch.setattr(type(cells), "first", lambda df: df.tail(1)[0])  # single rows of scalars
+    assert np.isclose(solvers.lipschitz(cells, 10), np.linalg.norm(m, 2) ** 2)
