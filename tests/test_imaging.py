@@ -161,6 +161,20 @@ def test_inverse_fourier(spark):
     assert np.allclose(got, total * dx / (6 * 0.75 * 4))
 
 
+def test_inverse_fourier_whole_and_by_rows(spark, monkeypatch):
+    """Images turned as a whole exchange no pixel of an angle, and equal those by joins: absent depths, repeated traces, centres."""
+    _, df = _traces(spark)
+    more = df.where("not (z = 3 or (z = 5 and angle = 10))").unionByName(df.where("decimation = 1 and z = 2"))
+    centres = spark.createDataFrame([(10.0, 1.25)], "angle double, centre_x double")
+    whole = analytic.inverse_fourier(more, 6, 0.5, z0=0.5, dz=0.25, x0=-1.0, centres=centres)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "cx#" not in plan and "cz#" not in plan
+    got = {(r["z"], r["x"]): r["value"] for r in whole.collect()}
+    monkeypatch.setattr(analytic, "WHOLE_PIXELS", 0)
+    want = {(r["z"], r["x"]): r["value"] for r in analytic.inverse_fourier(more, 6, 0.5, z0=0.5, dz=0.25, x0=-1.0, centres=centres).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in got)
+
+
 def test_back_projection(spark):
     values, df = _traces(spark)
     nz, nx, dz, dx, f0, cut = 8, 6, 0.25, 0.5, 0.3, 1.5
