@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fourier, patterns
 from ..operators import generators, scans, signals
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from ..sources import active_list, binary
 from ..streaming import ingest
 from .catalogue import _BITS, _P, _S, T, X, _grid, _series, _signal, _table, register
@@ -16,7 +16,7 @@ from .catalogue import _BITS, _P, _S, T, X, _grid, _series, _signal, _table, reg
 
 def _codes(spark, d):
     n = F.col("p_partkey")
-    return _table(spark, d, "part").select(n.alias("n"), F.substring(F.md5(n.cast("string")), 1, 12).alias("code"), (n % 41 - 20).cast("int").alias("angle"))
+    return spread(_table(spark, d, "part").select(n), "p_partkey").select(n.alias("n"), F.substring(F.md5(n.cast("string")), 1, 12).alias("code"), (n % 41 - 20).cast("int").alias("angle"))
 
 
 _RUNS = "r AS (SELECT *, list_max(list_transform(string_split(bits, '1'), lambda s: length(s))) AS zeros, list_max(list_transform(string_split(bits, '0'), lambda s: length(s))) AS ones, length(regexp_extract(bits, '^(0+|1+)')) AS head FROM b)"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns
 from ..operators import metrics, signals, smatrix, stencil
+from ..session import spread
 from . import solvers
 
 T, X = 50, 50
@@ -225,7 +226,7 @@ def signal_normalise(spark, d):
 
 @register(f"WITH {_P}, {_BITS} SELECT n, bits, length(bits) - length(replace(bits, '1', '')) AS active, list_max(list_transform(string_split(bits, '1'), lambda s: length(s))) AS zeros, list_max(list_transform(string_split(bits, '0'), lambda s: length(s))) AS ones, length(regexp_extract(bits, '^(0+|1+)')) AS first_run FROM b")
 def pattern_bits(spark, d):
-    p = _table(spark, d, "part").select(F.col("p_partkey").alias("n"), F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 12).alias("code"))
+    p = spread(_table(spark, d, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("n"), F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 12).alias("code"))
     b = p.select("n", patterns.hex_to_bits(F.col("code"), 48).alias("bits"))
     long = lambda c: c.cast("long")
     return b.select("n", "bits", long(F.length(F.replace("bits", F.lit("0"), F.lit("")))).alias("active"), long(patterns.longest_run(F.col("bits"), "0")).alias("zeros"), long(patterns.longest_run(F.col("bits"), "1")).alias("ones"), long(patterns.first_run(F.col("bits"))).alias("first_run"))
@@ -233,7 +234,7 @@ def pattern_bits(spark, d):
 
 @register(f"""WITH {_P}, {_BITS} SELECT n, array_to_string(list_transform(range(0, 12), lambda i: to_hex(CAST(list_sum(list_transform(range(0, 4), lambda j: CAST(substr(reverse(bits), i * 4 + j + 1, 1) AS INTEGER) * (8 >> j))) AS INTEGER))), '') AS mirrored FROM b""".replace("to_hex(", "lower(to_hex(").replace("AS INTEGER))), '') AS mirrored", "AS INTEGER)))), '') AS mirrored"))
 def pattern_mirror(spark, d):
-    p = _table(spark, d, "part").select(F.col("p_partkey").alias("n"), F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 12).alias("code"))
+    p = spread(_table(spark, d, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("n"), F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 12).alias("code"))
     return p.select("n", patterns.bits_to_hex(patterns.mirrored(patterns.hex_to_bits(F.col("code"), 48))).alias("mirrored"))
 
 

@@ -1,4 +1,4 @@
-"""The shared folder, and the cutting of lineage in iterations."""
+"""The shared folder, the cutting of lineage in iterations, and the dealing out of rows."""
 
 from __future__ import annotations
 
@@ -22,6 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out to as many tasks as there are cores, by the keys: a small file is one task, whatever its rows cost."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

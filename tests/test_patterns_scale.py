@@ -2,8 +2,11 @@
 
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from sonolume.plans import catalogue
 from sonolume.functions import fourier, patterns
 
 
@@ -33,3 +36,8 @@ def test_mirrored_codes_are_cheap_a_row(spark):
     began = time.time()
     assert codes.where(F.length(turned) != 12).count() == 0
     assert time.time() - began < 8
+
+
+@pytest.mark.parametrize("name", ["pattern_mirror", "pattern_bits", "pattern_frequency", "pattern_phase"])
+def test_rows_of_one_small_file_are_dealt_to_all_cores(spark, sf_dir, name):
+    assert catalogue.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
