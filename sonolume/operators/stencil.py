@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,31 +78,70 @@ def prior(image: DataFrame, beta: float, kind: str = "quadratic", delta: float =
     return pairs(image, ["value"], radius, shape).groupBy("z", "x").agg(F.sum(grad).alias("grad"), F.sum(hess).alias("hess"), (F.sum(energy) / 2).alias("energy"))
 
 
+#: Pixels of a line that one group of _smoothed holds, besides those that its Gaussians reach.
+BAND = 2048
+
+
+def _smoothed(image: DataFrame, sigma: Column, along: str, size: int, truncate: float, whole: bool) -> DataFrame:
+    """(z, x, value): Gaussian sums along an axis, mirrored at the borders; ``sigma`` is one number a line.
+
+    Lines are cut into bands. A pixel goes to its own band and to those that it is within reach of, as one row each: taps
+    are met inside the task. Sums are divided by all weights (whole), else by those of the pixels that the image has.
+    """
+    line_name = "x" if along == "z" else "z"
+    reach = F.greatest(F.floor(F.lit(truncate) * sigma + 0.5), F.lit(0))
+    rows = image.select(F.col(line_name).cast("long").alias("line"), F.col(along).cast("long").alias("at"), F.col("value").cast("double").alias("value"), sigma.cast("double").alias("s"), reach.cast("long").alias("r"))
+    last = max(0, (size - 1) // BAND)
+    band = lambda c: F.greatest(F.lit(0), F.least(F.lit(last), F.floor(c / BAND))).cast("long")
+    rows = rows.withColumn("own", band(F.col("at"))).withColumn("band", F.explode(F.sequence(band(F.col("at") - F.col("r")), band(F.col("at") + F.col("r")))))
+
+    def sums(line, band, at, value, null, s, r, own):
+        group = np.cumsum((np.diff(line, prepend=line[:1]) != 0) | (np.diff(band, prepend=band[:1]) != 0))
+        keys, mine = group * size + at, own == band
+        line, at, group, s, r = (c[mine] for c in (line, at, group, s, r))
+        total, weights, seen = np.zeros(len(at)), np.zeros(len(at)), np.zeros(len(at), bool)
+        for k in range(-int(r.max(initial=0)), int(r.max(initial=0)) + 1):
+            m = np.mod(at + k, 2 * size)
+            key = group * size + np.where(m < size, m, 2 * size - 1 - m)
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            w = np.exp(-0.5 * (k / s) ** 2) if k else np.ones(len(at))
+            asked = r >= abs(k)
+            hit = asked & (keys[place] == key)
+            known = hit & ~null[place]
+            total += np.where(known, w * value[place], 0)
+            weights += np.where(asked if whole else hit, w, 0)
+            seen |= known
+        found = {line_name: pa.array(line), along: pa.array(at), "value": pa.array(total / weights, mask=~seen)}
+        return pa.RecordBatch.from_arrays([found["z"], found["x"], found["value"]], ["z", "x", "value"])
+
+    def run(batches):
+        waiting: list = []
+        for batch in batches:
+            value = batch.column("value")
+            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("line", "band", "at")]
+            columns += [value.fill_null(0.0).to_numpy(zero_copy_only=False), value.is_null().to_numpy(zero_copy_only=False)]
+            columns += [batch.column(n).to_numpy(zero_copy_only=False) for n in ("s", "r", "own")]
+            if waiting:
+                columns = [np.concatenate(c) for c in zip(waiting, columns)]
+            # Rows come sorted; the last group may go on in the next batch.
+            starts = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
+            if len(starts):
+                yield sums(*(c[: starts[-1]] for c in columns))
+            waiting = [c[starts[-1] if len(starts) else 0 :] for c in columns]
+        if waiting and len(waiting[0]):
+            yield sums(*waiting)
+
+    return rows.repartition("line", "band").sortWithinPartitions("line", "band", "at").mapInArrow(run, "z long, x long, value double")
+
+
 def gaussian(image: DataFrame, sigma: float, along: str, size: int, truncate: float = 4.0) -> DataFrame:
     """Gaussian filter along z or x of a grid whose index runs from 0 to size - 1, mirrored at the borders (edge pixel repeated)."""
-    radius = int(truncate * sigma + 0.5)
-    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)] if sigma > 0 else [1.0]
-    weights = [(k - radius, w / sum(raw)) for k, w in enumerate(raw)] if sigma > 0 else [(0, 1.0)]
-    taps = F.broadcast(image.sparkSession.createDataFrame(weights, "_k long, _w double"))
-    m = F.pmod(F.col(along) + F.col("_k"), F.lit(2 * size))
-    other = "x" if along == "z" else "z"
-    target = F.when(m < size, m).otherwise(2 * size - 1 - m)
-    asked = image.select(other, along).crossJoin(taps).select(other, F.col(along).alias("_at"), target.alias(along), "_w")
-    return asked.join(image.select(other, along, "value"), [other, along]).groupBy(F.col("_at").alias(along), other).agg(F.sum(F.col("_w") * F.col("value")).alias("value")).select("z", "x", "value")
+    return _smoothed(image, F.lit(float(max(sigma, 0.0))), along, size, truncate, True)
 
 
 def gaussian_lines(image: DataFrame, sigma: Column, size: int, truncate: float = 4.0) -> DataFrame:
-    """Gaussian filter along x with a width of its own in each line; ``sigma`` is an expression of z, borders as in ``gaussian``.
-
-    Each pixel asks for as many taps as its line's width needs; their sum precedes nothing but the division by the weights.
-    """
-    reach = F.floor(F.lit(truncate) * sigma + 0.5)
-    taps = image.select("z", F.col("x").alias("_at"), sigma.alias("_s"), F.explode(F.sequence(-reach, reach)).alias("_k"))
-    m = F.pmod(F.col("_at") + F.col("_k"), F.lit(2 * size))
-    weight = F.when(F.col("_k") == 0, 1.0).otherwise(F.exp(-0.5 * F.pow(F.col("_k") / F.col("_s"), F.lit(2))))
-    asked = taps.select("z", "_at", F.when(m < size, m).otherwise(2 * size - 1 - m).alias("x"), weight.alias("_w"))
-    joined = asked.groupBy("z", "_at", "x").agg(F.sum("_w").alias("_w")).join(image.select("z", "x", "value"), ["z", "x"])
-    return joined.groupBy("z", F.col("_at").alias("x")).agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value"))
+    """Gaussian filter along x with a width of its own in each line; ``sigma`` is an expression of z, borders as in ``gaussian``."""
+    return _smoothed(image, sigma, "x", size, truncate, False)
 
 
 def crop(image: DataFrame, z_range: tuple[int, int], x_range: tuple[int, int], step: int = 1) -> DataFrame:

@@ -74,6 +74,30 @@ def test_gaussian_lines(spark):
     assert np.allclose(got, [smooth(a[z], 0.1 + 1.5 * z) for z in range(4)])
 
 
+@pytest.mark.parametrize("band", [3, 2048])
+def test_bands_exchange_pixels_not_taps(spark, monkeypatch, band):
+    """Lines cut into bands, absent pixels, widths over the line's end: one exchange, no join, and the sums of all taps."""
+    monkeypatch.setattr(stencil, "BAND", band)
+    a = np.random.default_rng(8).normal(size=(4, 17))
+    gone = [(1, 3), (2, 0), (2, 16)]
+    df = image_rows(spark, a).where(" and ".join(f"not (z = {z} and x = {x})" for z, x in gone))
+    found = stencil.gaussian_lines(df, 0.2 + F.col("z") * 1.5, 17)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    got = {(r["z"], r["x"]): r["value"] for r in found.collect()}
+    assert len(got) == a.size - len(gone)
+    for (z, x), value in got.items():
+        sigma = 0.2 + z * 1.5
+        total = weights = 0.0
+        for k in range(-int(4 * sigma + 0.5), int(4 * sigma + 0.5) + 1):
+            m = (x + k) % 34
+            m = m if m < 17 else 33 - m
+            if (z, m) not in gone:
+                w = np.exp(-0.5 * (k / sigma) ** 2)
+                total, weights = total + w * a[z, m], weights + w
+        assert np.isclose(value, total / weights)
+
+
 def test_focused_image(spark):
     t_size, n_size, z_size, x_size = 40, 6, 9, 11
     dx, dz, speed, rate, frequency, cycles, focus, aperture = 1e-3, 1e-3, 1500.0, 5e6, 1e6, 2.0, 4e-3, 3e-3
