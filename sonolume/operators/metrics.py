@@ -115,3 +115,32 @@ def stopping_rounds(history: DataFrame, kind: str, threshold: float, window: int
     steps = numbered.withColumn("_step", F.when(F.col("_k") > 1, step))
     mean = F.avg("_step").over(ordered.rowsBetween(1 - window, 0))
     return steps.withColumn("_mean", mean).where((F.col("_k") > 1) & (F.col("_mean") < threshold)).groupBy(*by).agg(F.min("iter").alias("iter"))
+
+
+#: Values around the median that the driver sorts at most, but for values that many rows share.
+NEAR = 4096
+
+
+def median(df: DataFrame, name: str) -> float | None:
+    """The exact median of a column (of the two middle values, their mean), None without values.
+
+    Approximate quantiles close in on it until few values are left around it, so that no task holds all values.
+    """
+    values = df.select(F.col(name).cast("double").alias("v")).where(F.col("v").isNotNull())
+    total, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not total:
+        return None
+    ranks, v, error = ((total - 1) // 2, total // 2), F.col("v"), 1e-3
+    while low < high:
+        below, inside = values.agg(F.count(F.when(v < low, 1)), F.count(F.when((v >= low) & (v <= high), 1))).first()
+        near = values.where((v >= low) & (v <= high))
+        shares = [(r - below) / inside for r in ranks]
+        closer = near.approxQuantile("v", [max(0.0, shares[0] - 3 * error), min(1.0, shares[1] + 3 * error)], error) if inside > NEAR else [low, high]
+        if closer == [low, high]:
+            found, at = [], below
+            for value, count in near.groupBy("v").count().orderBy("v").collect():
+                found += [value for r in ranks if at <= r < at + count]
+                at += count
+            return sum(found) / 2
+        low, high = closer
+    return low

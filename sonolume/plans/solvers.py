@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, smatrix, stencil
+from ..operators import blocks, metrics, smatrix, stencil
 from ..session import cut, cut_bucketed, cut_path, discard, stored_table
 
 State = dict[str, DataFrame]
@@ -228,48 +228,54 @@ def _conjugate(columns: DataFrame, pull: Pull, step_size: float, prior: Prior |
 
 
 def primal_dual_steps(a: DataFrame, x_size: int, z_size: int, subsets: int = 1, rho: float = 0.99) -> tuple[DataFrame, DataFrame, float]:
-    """Diagonal step sizes: (col_id, tau), (row_id, sigma) and the one of the gradient's dual."""
-    rows, cols = smatrix.absolute_sums(a, "row_id"), smatrix.absolute_sums(a, "col_id")
-    least = lambda t: F.greatest(F.percentile("total", 0.5) * 1e-6, F.lit(1e-12))
-    low_row, low_col = rows.agg(least(rows)).first()[0] or 1e-12, cols.agg(least(cols)).first()[0] or 1e-12
+    """Diagonal step sizes: (col_id, tau), (row_id, sigma), both written, and the one of the gradient's dual."""
+    rows, cols = cut(smatrix.absolute_sums(a, "row_id"), "row_sums"), cut(smatrix.absolute_sums(a, "col_id"), "column_sums")
+    low_row, low_col = (max((metrics.median(t, "total") or 0.0) * 1e-6, 1e-12) for t in (rows, cols))
     z, x = F.floor(F.col("col_id") / x_size), F.col("col_id") % x_size
     near = 4 - sum((F.when(c, 1).otherwise(0) for c in (z == 0, z == z_size - 1, x == 0, x == x_size - 1)), F.lit(0))
-    return (
-        cols.select("col_id", (rho / subsets / (F.greatest("total", F.lit(low_col)) + near)).alias("tau")),
-        rows.select("row_id", (rho / F.greatest("total", F.lit(low_row))).alias("sigma")),
-        rho / 2,
-    )
+    tau = cut(cols.select("col_id", (rho / subsets / (F.greatest("total", F.lit(low_col)) + near)).alias("tau")), "tau")
+    sigma = cut(rows.select("row_id", (rho / F.greatest("total", F.lit(low_row))).alias("sigma")), "sigma")
+    discard(rows)
+    discard(cols)
+    return tau, sigma, rho / 2
 
 
-def _primal_dual(a: DataFrame, y: DataFrame, beta: float, tau: DataFrame, sigma: DataFrame, sigma_p: float, x_size: int, theta: float, subsets: int, t_size: int):
-    """Primal-dual splitting with total variation; with subsets each round updates the rows of one subset of emissions."""
-    rows, is_complex = a.select("row_id").distinct(), "vre" in a.columns
-    # The dual of the signal has its real and its imaginary part where cells are complex; the image is real.
-    duals, q_names, y_names = (("dre", "dim"), ("qre", "qim"), ("yre", "yim")) if is_complex else (("dual",), ("q",), ("y",))
+def _primal_dual(columns: DataFrame, pull: Pull, beta: float, tau: DataFrame | float, sigma: float | None, sigma_p: float, x_size: int, theta: float, subsets: int, t_size: int):
+    """Primal-dual splitting with total variation; with subsets each round updates the rows of one subset of emissions.
+    sigma None: the signal of ``pull`` has the steps of the rows."""
+
+    def moved(d, q, y, s):
+        return (d + s * (q - y)) / (1 + s)
 
     def step(state: State, k: int) -> State:
-        image, dual, tv = state["image"], state["dual"], state["tv"]
+        image, tv = state["image"], state["tv"]
         ahead = image.select("col_id", F.col("ahead").alias("value"))
-        q = dual.join(sigma, "row_id").join(smatrix.forward_complex(a, ahead) if is_complex else smatrix.forward(a, ahead), "row_id", "left").join(y, "row_id", "left")
-        moved = [(F.col(d) + F.col("sigma") * (_zero(f) - _zero(v))) / (1 + F.col("sigma")) for d, f, v in zip(duals, q_names, y_names)]
+        move = moved
         if subsets > 1:  # emissions are dealt anew each time all subsets have been used
             mine = F.pmod(F.xxhash64(F.floor(F.col("row_id") / t_size), F.lit(k // subsets)), F.lit(subsets)) == k % subsets
-            moved = [F.when(mine, m).otherwise(F.col(d)) for m, d in zip(moved, duals)]
-        dual = cut(q.select("row_id", *(m.alias(d) for m, d in zip(moved, duals))), "dual")
+            move = lambda d, q, y, s: F.when(mine, moved(d, q, y, s)).otherwise(d)
+        dual, back = pull.advanced(image, "ahead", state.get("dual"), move, sigma)
         grid = ahead.select(F.floor(F.col("col_id") / x_size).alias("z"), (F.col("col_id") % x_size).alias("x"), "value")
         g = stencil.gradient(grid).withColumnsRenamed({"gz": "dz", "gx": "dx"})
         raised = tv.join(g, ["z", "x"]).select("z", "x", (F.col("gz") + sigma_p * F.col("dz")).alias("gz"), (F.col("gx") + sigma_p * F.col("dx")).alias("gx"))
         tv = cut(stencil.project_ball(raised, beta), "tv")
         div = stencil.divergence(tv).select((F.col("z") * x_size + F.col("x")).alias("col_id"), F.col("value").alias("div"))
-        back = smatrix.backward_complex(a, dual.withColumnsRenamed(dict(zip(duals, y_names)))).withColumnRenamed("cre", "c") if is_complex else smatrix.backward(a, dual, "dual")
+        joined = image.join(back, "col_id", "left").join(div, "col_id", "left")
+        if isinstance(tau, DataFrame):
+            joined = joined.join(tau, "col_id")
         # The adjoint of the gradient is minus the divergence.
-        new = F.greatest(F.lit(0.0), F.col("value") - F.col("tau") * (_zero("c") - _zero("div")))
-        joined = image.join(tau, "col_id").join(back, "col_id", "left").join(div, "col_id", "left")
+        new = F.greatest(F.lit(0.0), F.col("value") - (F.col("tau") if isinstance(tau, DataFrame) else F.lit(tau)) * (_zero("c") - _zero("div")))
         return {"image": joined.select("col_id", new.alias("value"), (new + theta * (new - F.col("value"))).alias("ahead")), "dual": dual, "tv": tv}
 
-    zero = start_image(a, 0.0)
+    def resume(state: State) -> State:
+        """Duals of a journal under the rows of this call."""
+        step.spent.append(state["dual"])
+        return state | {"dual": pull.dealt(state["dual"])}
+
+    step.spent, step.resume = pull.spent, resume
+    zero = start_image(columns, 0.0)
     grid = zero.select(F.floor(F.col("col_id") / x_size).alias("z"), (F.col("col_id") % x_size).alias("x"), F.lit(0.0).alias("gz"), F.lit(0.0).alias("gx"))
-    return {"image": zero.withColumn("ahead", F.col("value")), "dual": rows.select("row_id", *(F.lit(0.0).alias(d) for d in duals)), "tv": grid}, step
+    return {"image": zero.withColumn("ahead", F.col("value")), "tv": grid}, step
 
 
 def lbfgs(a: DataFrame, y: DataFrame, rounds: int, prior: Prior | None = None, start: float = 0.1, memory: int = 10) -> DataFrame:
@@ -277,16 +283,27 @@ def lbfgs(a: DataFrame, y: DataFrame, rounds: int, prior: Prior | None = None, s
 
     w, its gradient g and the pairs (s_i, u_i) are columns of one table. One aggregation gives all inner products; the two
     loops then run on the driver on the coefficients of the direction in these vectors, so no vector leaves Spark. The
-    residual along a direction is r + t q1 + t^2 q2: the data cost of every trial step follows from five more sums.
+    residual along a direction is r + t q1 + t^2 q2: the data cost of every trial step follows from six sums over the rows,
+    which one pass over the cells gives.
     """
-    a, y = cut(a, "matrix"), cut(y, "signal")
+    a, y = stored(a, y)
+    columns = cut(a.select("col_id").distinct(), "columns")
+    pull = blocks.puller(a, y, columns)
+
+    def along(w, d):
+        return w * w, 2 * w * d, d * d
 
-    def gradient(w: DataFrame, residual: DataFrame) -> DataFrame:
+    def products(q, q1, q2, y):
+        r = q - y
+        return [r * r, r * q1, q1 * q1, r * q2, q1 * q2, q2 * q2]
+
+    def gradient(w: DataFrame) -> DataFrame:
         """w (col_id, w, ..) with g."""
-        joined = w.join(smatrix.backward(a, residual), "col_id", "left")
-        grad = _zero("c")
+        image = cut(w.select("col_id", (F.col("w") * F.col("w")).alias("value")), "vector")
+        pull.spent.append(image)
+        joined, grad = w.join(pull(image, blocks.residual), "col_id", "left"), _zero("c")
         if prior:
-            joined, grad = joined.join(prior.of(w.select("col_id", (F.col("w") * F.col("w")).alias("value"))), "col_id", "left"), grad + _zero("grad")
+            joined, grad = joined.join(prior.of(image), "col_id", "left"), grad + _zero("grad")
         return joined.select(*w.columns, (grad * 2 * F.col("w")).alias("g"))
 
     def energies(table: DataFrame, steps: list[float]) -> list[float]:
@@ -297,9 +314,12 @@ def lbfgs(a: DataFrame, y: DataFrame, rounds: int, prior: Prior | None = None, s
         sums = [F.sum(stencil.pair_energy(prior.kind, at("a", t), at("b", t), F.col("w"), prior.beta, prior.delta)[2]) / 2 for t in steps]
         return [v or 0.0 for v in pairs.agg(*[s.alias(f"e{i}") for i, s in enumerate(sums)]).first()]
 
-    table = start_image(a, start**0.5).withColumnRenamed("value", "w")
-    residual = cut(_residual(a, y, table.select("col_id", (F.col("w") * F.col("w")).alias("value"))), "residual")
-    table = cut(gradient(table, residual), "lbfgs")
+    def spend() -> None:
+        while pull.spent:
+            discard(pull.spent.pop())
+
+    table = cut(gradient(start_image(columns, start**0.5).withColumnRenamed("value", "w")), "lbfgs")
+    spend()
     kept: list[int] = []
     for k in range(rounds):
         names = [*[f"s{i}" for i in kept], *[f"u{i}" for i in kept], "g"]
@@ -330,23 +350,18 @@ def lbfgs(a: DataFrame, y: DataFrame, rounds: int, prior: Prior | None = None, s
         slope = inner(coef, "g")
         before, table = table, cut(table.withColumn("d", sum((F.lit(c) * F.col(n) for n, c in coef.items()), F.lit(0.0))), "lbfgs")
         discard(before)
-        q1 = smatrix.forward(a, table.select("col_id", (2 * F.col("w") * F.col("d")).alias("value"))).withColumnRenamed("q", "q1")
-        q2 = smatrix.forward(a, table.select("col_id", (F.col("d") * F.col("d")).alias("value"))).withColumnRenamed("q", "q2")
-        line = cut(residual.join(q1, "row_id").join(q2, "row_id"), "line")
-        discard(residual)
         c = lambda n: F.col(n)
-        s = [v or 0.0 for v in line.agg(*[F.sum(p).alias(f"c{i}") for i, p in enumerate((c("y") * c("y"), c("y") * c("q1"), c("q1") * c("q1"), c("y") * c("q2"), c("q1") * c("q2"), c("q2") * c("q2")))]).first()]
+        s = pull.totals(table, ["w", "d"], along, products)
         steps = [0.5**i for i in range(20)]
         here, *there = energies(table, [0.0, *steps])
         data = lambda t: 0.5 * (s[0] + 2 * t * s[1] + t * t * (s[2] + 2 * s[3]) + 2 * t**3 * s[4] + t**4 * s[5])
         size = next((t for t, e in zip(steps, there) if data(t) + e <= data(0) + here + 1e-4 * t * slope), None)
         if size is None:
             break
-        residual = cut(line.select("row_id", (c("y") + size * c("q1") + size * size * c("q2")).alias("y")), "residual")
         moved = table.select("col_id", (c("w") + size * c("d")).alias("w"), *[n for i in kept for n in (f"s{i}", f"u{i}")], c("g").alias("old"), (size * c("d")).alias(f"s{k}"))
-        before, table = table, cut(gradient(moved, residual).withColumn(f"u{k}", c("g") - c("old")).drop("old"), "lbfgs")
+        before, table = table, cut(gradient(moved).withColumn(f"u{k}", c("g") - c("old")).drop("old"), "lbfgs")
         discard(before)
-        discard(line)
+        spend()
         curvature = table.agg(F.sum(c(f"s{k}") * c(f"u{k}"))).first()[0] or 0.0
         kept = [*kept, k][-memory:] if curvature > 1e-10 else []
         table = table.select("col_id", "w", "g", *[n for i in kept for n in (f"s{i}", f"u{i}")])
@@ -381,13 +396,19 @@ def lipschitz(a: DataFrame, rounds: int = 20, scale: DataFrame | None = None, se
     return size
 
 
-def scalar_steps(a: DataFrame, subsets: int = 1, rho: float = 0.99, rounds: int = 20, seed: int = 0, pull: Pull | None = None) -> tuple[DataFrame, DataFrame, float]:
-    """One step for all of A's columns, one for all of its rows, and that of the gradient's dual, as primal_dual_steps gives them.
+def scalar_sizes(a: DataFrame, subsets: int = 1, rho: float = 0.99, rounds: int = 20, seed: int = 0, pull: Pull | None = None) -> tuple[float, float, float]:
+    """One step for all of A's columns, one for all of its rows, and that of the gradient's dual.
 
     They follow from the norm of A, which counts once for each subset, and that of the gradient of a grid, whose square is below 8.
     """
     whole = (subsets * lipschitz(a, rounds, seed=seed, pull=pull) + 8.0) ** 0.5
-    return a.select("col_id").distinct().withColumn("tau", F.lit(rho / whole)), a.select("row_id").distinct().withColumn("sigma", F.lit(rho * subsets / whole)), rho / whole
+    return rho / whole, rho * subsets / whole, rho / whole
+
+
+def scalar_steps(a: DataFrame, subsets: int = 1, rho: float = 0.99, rounds: int = 20, seed: int = 0, pull: Pull | None = None) -> tuple[DataFrame, DataFrame, float]:
+    """scalar_sizes as primal_dual_steps gives its steps."""
+    tau, sigma, sigma_p = scalar_sizes(a, subsets, rho, rounds, seed, pull)
+    return a.select("col_id").distinct().withColumn("tau", F.lit(tau)), a.select("row_id").distinct().withColumn("sigma", F.lit(sigma)), sigma_p
 
 
 def stored(a: DataFrame, y: DataFrame, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -395,7 +416,7 @@ def stored(a: DataFrame, y: DataFrame, buckets: int | None = None) -> tuple[Data
     no cells of the matrix (those by column only partial sums); a row with very many cells then stays in one task."""
     if buckets:
         return cut_bucketed(a, "row_id", "matrix", buckets), cut_bucketed(y, "row_id", "signal", buckets)
-    return cut(a, "matrix"), cut(y, "signal")
+    return a if cut_path(a) else cut(a, "matrix"), y if cut_path(y) else cut(y, "signal")
 
 
 @dataclass
@@ -446,8 +467,20 @@ def reconstruct(
     found = book.last() if book else None
     scalars = found[2] if found else {}
     a, y = stored(a, y, buckets)
-    pull = columns = None
-    if optimizer != "primal_dual":
+    if optimizer == "primal_dual":
+        # Spark deals the emissions of subsets, so their rows take the joins.
+        by_joins = bool(buckets) or subsets > 1
+        if steps == "diagonal":
+            tau, sigmas, sigma_p = primal_dual_steps(a, x_size, z_size, subsets)
+            columns, sigma = tau, None
+            pull = blocks.puller(a, sigmas.join(y, "row_id", "left"), columns, by_joins)
+            if pull.holds_signal:
+                discard(sigmas)
+        else:
+            columns = cut(a.select("col_id").distinct(), "columns")
+            pull = blocks.puller(a, y, columns, by_joins)
+            tau, sigma, sigma_p = scalar_sizes(a, subsets, pull=pull)
+    else:
         columns = cut(smatrix.sensitivity_complex(a) if "vre" in a.columns else a.groupBy("col_id").agg(F.sum("v").alias("sens")), "sensitivity")
         pull = blocks.puller(a, y, columns, by_joins=bool(buckets))
     scale = None
@@ -462,8 +495,7 @@ def reconstruct(
     elif optimizer == "conjugate":
         state, step, cost = *_conjugate(columns, pull, step_size, prior, start), squares_cost
     elif optimizer == "primal_dual":
-        tau, sigma, sigma_p = scalar_steps(a, subsets) if steps == "scalar" else primal_dual_steps(a, x_size, z_size, subsets)
-        state, step, cost = *_primal_dual(a, y, beta, cut(tau, "tau"), cut(sigma, "sigma"), sigma_p, x_size, theta, subsets, t_size), squares_cost
+        state, step, cost = *_primal_dual(columns, pull, beta, tau, sigma, sigma_p, x_size, theta, subsets, t_size), squares_cost
     else:
         state, step, cost = *_descent(columns, pull, step_size, optimizer == "fista", prior, scale), squares_cost
     keep = set(saved_rounds(rounds, max_saves)) if max_saves else set()
@@ -471,7 +503,7 @@ def reconstruct(
     history: list[float] = scalars.get("costs", [])
     done_rounds = [rounds]
     if found:
-        state = found[1]
+        state = step.resume(found[1]) if hasattr(step, "resume") else found[1]
         step.scalars = scalars.get("step", {})
         saved = [(k, stored_table(a.sparkSession, *where)) for k, *where in scalars["saved"]]
         if stop:
@@ -495,7 +527,7 @@ def reconstruct(
             both = image.join(before["image"].select("col_id", F.col("value").alias("old")), "col_id")
             value = _norm(both, F.col("value") - F.col("old")) / (_norm(image, F.col("value")) + 1e-10)
         elif stop.kind == "gradient_norm":
-            value = _norm((pull or blocks.puller(a, y, by_joins=True))(image, blocks.residual), F.col("c"))
+            value = _norm(pull(image, blocks.residual), F.col("c"))
         else:
             raise ValueError(f"unknown stopping rule {stop.kind}")
         done_rounds[0] = k + 1

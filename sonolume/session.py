@@ -27,10 +27,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the shared folder and read it back."""
+def cut(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back; by: its last column, each value of which gets a folder of its own."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return stored_table(df.sparkSession, path, df.schema)
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sonolume.operators import blocks
+from sonolume.operators import blocks, metrics
 from sonolume.plans import solvers
 
 ROWS, COLS = 60, 20
@@ -88,3 +88,42 @@ def test_power_iteration_collects_no_vector(spark, monkeypatch, step):
         monkeypatch.setattr(type(cells), name, refused)
     monkeypatch.setattr(type(cells), "first", lambda df: df.tail(1)[0])  # single rows of scalars
     assert np.isclose(solvers.lipschitz(cells, 10), np.linalg.norm(m, 2) ** 2)
+
+
+@pytest.mark.parametrize("wave", [False, True])
+@pytest.mark.parametrize("longest", [blocks.LONGEST, 12])
+def test_duals_of_rows_equal_numpy(spark, wave, longest):
+    """Two rounds, the second from dealt duals; rows that are kept as cells too."""
+    m, step = WAVE if wave else REAL, 0.3
+    y = m @ rng.random(COLS)
+    a, signal = tables(spark, m, y, (5,))
+    made, dual, before = blocks.RowBlocks(a, signal, longest=longest), np.zeros(ROWS), None
+    for _ in range(2):
+        x = rng.random(COLS)
+        image = spark.createDataFrame([(7 * j + 3, float(v)) for j, v in enumerate(x)], "col_id long, ahead double")
+        dual = dual + step * (m @ x - 2 * np.where(np.arange(ROWS) == 5, 0, y))
+        before, back = made.advanced(image, "ahead", before and made.dealt(before), lambda d, q, y, s: d + s * (q - 2 * y), step)
+        assert np.allclose(found(back), (m.conj().T @ dual).real)
+    got = {r.row_id: complex(r[1], r[2]) if wave else r[1] for r in blocks.only_duals(before, wave).collect()}
+    assert len(got) == ROWS and np.allclose([got[i] for i in range(ROWS)], dual)
+
+
+def test_primal_dual_and_lbfgs_join_no_cells(spark, monkeypatch):
+    a, signal = tables(spark, REAL, REAL @ rng.random(COLS))
+
+    def refused(*_):
+        raise AssertionError("cells were joined")
+
+    for name in ("forward", "backward"):
+        monkeypatch.setattr(blocks.smatrix, name, refused)
+    for steps in ("diagonal", "scalar"):
+        solvers.reconstruct(a, signal, "primal_dual", 1, beta=0.1, x_size=10, z_size=20, steps=steps)
+    solvers.reconstruct(a, signal, "lbfgs", 1)
+
+
+def test_median_sorts_few_values_at_once(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "NEAR", 20)
+    for values in (rng.random(3001), rng.random(3000), np.repeat([1.0, 2.0], 1500), np.floor(8 * rng.random(2000)), [4.0]):
+        table = spark.createDataFrame([(float(v),) for v in values], "total double")
+        assert np.isclose(metrics.median(table, "total"), np.median(values), rtol=1e-15)
+    assert metrics.median(table.where("total > 9"), "total") is None
