@@ -1,6 +1,7 @@
 """Sparse system matrices as tables (row_id, col_id, v); row_id = n * T + t, col_id = z * X + x.
 
-Vectors are tables too: images (col_id, value), signals (row_id, y). Absent cells are zero. Layouts of compressed formats
+Vectors are tables too: images (col_id, value), signals (row_id, y). Absent cells are zero. The products (forward,
+backward and their complex forms) are sums over cells, so they also take entries whose cells repeat. Layouts of compressed formats
 have no counterpart: Spark's partitioning takes their place.
 """
 

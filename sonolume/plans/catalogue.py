@@ -30,6 +30,11 @@ def _matrix(spark, sf_dir):
     return smatrix.from_entries(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_quantity")
 
 
+def _entries(spark, sf_dir):
+    """Its entries as they stand, for a single product: repeated cells add up there."""
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").alias("v"))
+
+
 def _signal(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("row_id")).agg(F.sum("l_extendedprice").alias("y"))
 
@@ -70,12 +75,12 @@ def register(sql: str | None = None):
 
 @register(f"WITH {_A}, {_I} SELECT row_id, round(sum(v * value), 4) AS q FROM a JOIN i USING (col_id) GROUP BY 1")
 def forward_projection(spark, d):
-    return smatrix.forward(_matrix(spark, d), _image(spark, d)).select("row_id", F.round("q", 4).alias("q"))
+    return smatrix.forward(_entries(spark, d), _image(spark, d)).select("row_id", F.round("q", 4).alias("q"))
 
 
 @register(f"WITH {_A}, {_Y} SELECT col_id, round(sum(v * y), 4) AS c FROM a JOIN y USING (row_id) GROUP BY 1")
 def back_projection(spark, d):
-    return smatrix.backward(_matrix(spark, d), _signal(spark, d)).select("col_id", F.round("c", 4).alias("c"))
+    return smatrix.backward(_entries(spark, d), _signal(spark, d)).select("col_id", F.round("c", 4).alias("c"))
 
 
 @register("""WITH a AS (SELECT l_orderkey AS row_id, l_partkey AS col_id, sum(l_quantity) AS vre, sum(l_discount * 100) AS vim FROM lineitem GROUP BY 1, 2),
@@ -83,7 +88,7 @@ def back_projection(spark, d):
  SELECT col_id, round(sum(vre * yre + vim * yim), 3) AS cre, round(sum(vre * yim - vim * yre), 3) AS cim FROM a JOIN y USING (row_id) GROUP BY 1""")
 def back_projection_complex(spark, d):
     rows = _table(spark, d, "lineitem")
-    a = rows.groupBy(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id")).agg(F.sum("l_quantity").alias("vre"), F.sum(F.col("l_discount") * 100).alias("vim"))
+    a = rows.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("col_id"), F.col("l_quantity").alias("vre"), (F.col("l_discount") * 100).alias("vim"))
     y = rows.groupBy(F.col("l_orderkey").alias("row_id")).agg(F.sum("l_extendedprice").alias("yre"), F.sum("l_tax").alias("yim"))
     return smatrix.backward_complex(a, y).select("col_id", F.round("cre", 3).alias("cre"), F.round("cim", 3).alias("cim"))
 

@@ -5,7 +5,8 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from sonolume.operators import generators
+from sonolume.operators import generators, smatrix
+from sonolume.plans import catalogue
 from sonolume.sources import npy
 
 
@@ -38,3 +39,15 @@ def test_phantom_of_many_absorbers_meets_only_what_they_reach(spark):
     want = np.maximum(0, np.exp(-2 * ((x - 24.5) ** 2 + (z - 2) ** 2) / 400).ravel() - taken)
     assert np.allclose(found["value"].to_numpy()[near], want, rtol=0, atol=1e-12)
     assert (found["value"].to_numpy()[~near] == np.exp(-2 * ((found["x"] - 24.5) ** 2 + (found["z"] - 2.0) ** 2) / 400).to_numpy()[~near]).mean() > 0.99
+
+
+def test_products_do_not_merge_cells_first(spark, sf_dir):
+    """Repeated cells add up in a product; grouping lines by cell would hold a group for nearly every line."""
+    for name in ("forward_projection", "forward_projection_complex", "back_projection", "back_projection_complex"):
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        groups = [line for line in plan.splitlines() if "Aggregate [" in line]
+        assert groups and not any("l_orderkey" in g.split("]")[0] and "l_partkey" in g.split("]")[0] for g in groups)
+    lines = spark.createDataFrame([(0, 1, 2.0, 1.0), (0, 1, 3.0, -4.0), (0, 2, 1.0, 0.5), (5, 1, 7.0, 2.0)], "row_id long, col_id long, vre double, vim double")
+    image = spark.createDataFrame([(1, 10.0), (2, 100.0)], "col_id long, value double")
+    found = {r.row_id: (r.qre, r.qim) for r in smatrix.forward_complex(lines, image).collect()}
+    assert found == {0: (150.0, 20.0), 5: (70.0, 20.0)}
